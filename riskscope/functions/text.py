@@ -33,7 +33,7 @@ EMAIL_RE = rf"[^{WS_CLASS}]+@[^{WS_CLASS}]+\.[^{WS_CLASS}]+"
 NOT_KEPT_RE = r"[^a-z0-9']+"
 #: Leading / trailing Unicode whitespace (for ``ustrip``).
 LEADING_WS_RE = rf"^[{WS_CLASS}]+"
-TRAILING_WS_RE = rf"[{WS_CLASS}]+$"
+TRAILING_WS_RE = rf"[{WS_CLASS}]+\z"
 
 
 def _col(c: str | Column) -> Column:

@@ -104,7 +104,10 @@ def csv_view(df: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def review_queue(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows a person must check, highest risk first.  The sort is a
-    range shuffle; at scale write it partitioned rather than collect it."""
+    range shuffle; at scale write it partitioned rather than collect it.
+    ``df`` should be a stored results table (or ``session.materialize``d):
+    a filter straight on top of ``classify`` gets the whole expression chain
+    inlined into its predicate."""
     return (df.filter("requires_human_review")
             .select(key, "label", "risk_score", "confidence", F.array_join("review_reasons", ",").alias("review_reasons"))
             .orderBy(F.desc("risk_score"), F.col(key)))

@@ -1,20 +1,31 @@
 """Registered queries: name -> (Spark builder, DuckDB oracle SQL or None).
 
 Every builder takes ``(spark, sf_dir)`` and reads the supplied tables (or a
-frame Spark derives from them) in full.
+frame Spark derives from them) in full.  Faults that the checks need (null,
+empty, blank text, bad labels) are injected by a fixed rule on the key in
+both the Spark builder and its SQL, never by dropping rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..params import AS_CODED_FUSION, DEFAULT_FUSION
+from ..functions.text import clean, model_tokens, tokenize, truncate, ustrip
+from ..operators import dataset as D
+from ..operators import fairness as FA
+from ..operators import metrics as M
+from ..operators import rules as R
+from ..operators import scoring as S
+from ..operators import validation as V
+from ..params import AS_CODED_FUSION, DEFAULT_FUSION, LABELS, SEVERITY_WEIGHTS
 from . import oracle as O
-from .classify import classify, flat_result
-from .corpus import fixture_probs, seeded_corpus
+from .classify import (
+    audit_view, batch_request_ids, chunk_request_ids, classify, csv_view, flat_result, raw_view, review_queue,
+)
+from .corpus import fixture_probs, four_class_truth, read_table, seeded_corpus, text_fixture_probs
 
 Builder = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Builder, str | None]] = {}
@@ -29,24 +40,345 @@ def register(name: str, sql: str | None):
     return deco
 
 
+q = O.q
+
+# --------------------------------------------------------------------------
+# shared inputs
+# --------------------------------------------------------------------------
+
+
 def classified_corpus(spark: SparkSession, sf_dir: str, params=DEFAULT_FUSION) -> DataFrame:
     docs = seeded_corpus(spark, sf_dir).withColumn("probs", fixture_probs(F.col("doc_id")))
     return classify(docs, params=params)
 
 
-def _with(ctes: str, select: str) -> str:
-    return f"WITH {ctes}\nSELECT {select} FROM fused3"
+def cleaned_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeded_corpus(spark, sf_dir).withColumn("cleaned", clean("text"))
+
+
+def ruled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.match_rules(cleaned_corpus(spark, sf_dir), "cleaned")
+
+
+CLS = O.classified_ctes()
+
+
+def _with(select: str, ctes: str = CLS, source: str = "fused3", tail: str = "") -> str:
+    return f"WITH {ctes}\nSELECT {select} FROM {source} {tail}"
+
+
+RULED_CTES = f"""
+src AS ({O.corpus_sql()}),
+cl AS (SELECT *, {O.clean_sql('text')} AS cleaned FROM src),
+ru AS (SELECT *, {O.rules_select_sql('cleaned')} FROM cl),
+ru2 AS (SELECT *, {O.rule_derived_sql()} FROM ru)"""
+
+
+def _sev_names():
+    from ..params import KEYWORDS
+    return [s for s, _ in KEYWORDS]
 
 
 # --------------------------------------------------------------------------
-# The flagship
+# C: text functions
 # --------------------------------------------------------------------------
 
-@register("classify_default", _with(O.classified_ctes(), O.flat_result_select()))
-def q_classify_default(spark, sf_dir):
-    return flat_result(classified_corpus(spark, sf_dir))
+@register("clean_text", f"WITH src AS ({O.corpus_sql()}) SELECT doc_id, {O.clean_sql('text')} AS cleaned FROM src")
+def q_clean_text(spark, sf_dir):
+    return cleaned_corpus(spark, sf_dir).select("doc_id", "cleaned")
+
+
+@register("tokenize", f"""WITH src AS ({O.corpus_sql()}),
+cl AS (SELECT doc_id, {O.clean_sql('text')} AS cleaned FROM src),
+tk AS (SELECT doc_id, {O.tokens_sql('cleaned')} AS tokens FROM cl)
+SELECT doc_id, CAST(len(tokens) AS INTEGER) AS token_count, CAST(len(tokens[1:256]) AS INTEGER) AS model_token_count,
+  array_to_string(tokens[1:5], '|') AS first_tokens, tokens[len(tokens)] AS last_token FROM tk""")
+def q_tokenize(spark, sf_dir):
+    df = cleaned_corpus(spark, sf_dir).withColumn("tokens", tokenize("cleaned"))
+    return df.select("doc_id", F.size("tokens").alias("token_count"),
+                     F.size(model_tokens("tokens", 256)).alias("model_token_count"),
+                     F.array_join(F.slice("tokens", 1, 5), "|").alias("first_tokens"),
+                     F.element_at("tokens", -1).alias("last_token"))
+
+
+def _padded_text(t: Column, key: Column) -> Column:
+    # leading / trailing Unicode whitespace on some rows, by key
+    return (F.when(key % 4 == 0, F.concat(F.lit("\u00a0\t "), t, F.lit(" \n\u3000")))
+            .when(key % 4 == 1, F.concat(t, F.lit("\u2028"))).otherwise(t))
+
+
+PADDED_SQL = ("(CASE WHEN doc_id % 4 = 0 THEN chr(160) || chr(9) || ' ' || text || ' ' || chr(10) || chr(12288) "
+              "WHEN doc_id % 4 = 1 THEN text || chr(8232) ELSE text END)")
+
+
+@register("normalize_text", f"""SELECT doc_id, CAST(length({O.ustrip_sql(PADDED_SQL)}) AS INTEGER) AS stripped_chars,
+  md5({O.ustrip_sql(PADDED_SQL)}) AS stripped_md5 FROM documents""")
+def q_normalize_text(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    s = ustrip(_padded_text(F.col("text"), F.col("doc_id")))
+    return d.select("doc_id", F.length(s).alias("stripped_chars"), F.md5(s).alias("stripped_md5"))
+
+
+# --------------------------------------------------------------------------
+# D: rules
+# --------------------------------------------------------------------------
+
+@register("keyword_hits", _with("doc_id, array_to_string(kw_hits, ',') AS kw_hits, kw_points", RULED_CTES, "ru2"))
+def q_keyword_hits(spark, sf_dir):
+    return ruled_corpus(spark, sf_dir).select("doc_id", F.array_join("kw_hits", ",").alias("kw_hits"), "kw_points")
+
+
+_SEV_SQL = "concat_ws(';', " + ", ".join(
+    f"CASE WHEN len(kw_{i}) > 0 THEN {q(s)} || ':' || array_to_string(kw_{i}, '|') END"
+    for i, s in enumerate(_sev_names())) + ")"
+
+
+@register("severity_breakdown", _with(f"doc_id, {_SEV_SQL} AS breakdown", RULED_CTES, "ru2"))
+def q_severity_breakdown(spark, sf_dir):
+    df = ruled_corpus(spark, sf_dir)
+    s = F.array_join(F.transform(F.map_entries("kw_by_severity"),
+                                 lambda e: F.concat(e["key"], F.lit(":"), F.array_join(e["value"], "|"))), ";")
+    return df.select("doc_id", s.alias("breakdown"))
+
+
+@register("pattern_hits", _with("doc_id, array_to_string(pat_terms, '|') AS patterns, "
+                                "array_to_string(pat_cats, '|') AS categories, pattern_count", RULED_CTES, "ru2"))
+def q_pattern_hits(spark, sf_dir):
+    df = ruled_corpus(spark, sf_dir)
+    return df.select("doc_id", F.array_join(F.transform("pattern_hits", lambda x: x["pattern"]), "|").alias("patterns"),
+                     F.array_join(F.transform("pattern_hits", lambda x: x["category"]), "|").alias("categories"),
+                     "pattern_count")
+
+
+@register("rule_analyze", _with("doc_id, rule_risk, rule_flagged, has_high_risk, "
+                                "array_to_string(rule_terms, ', ') AS rule_terms, "
+                                "array_to_string(high_terms, ', ') AS high_terms", RULED_CTES, "ru2"))
+def q_rule_analyze(spark, sf_dir):
+    df = ruled_corpus(spark, sf_dir)
+    return df.select("doc_id", "rule_risk", "rule_flagged", "has_high_risk",
+                     F.array_join("rule_terms", ", ").alias("rule_terms"),
+                     F.array_join("high_terms", ", ").alias("high_terms"))
+
+
+def _rules_values_sql() -> str:
+    from ..params import DEFAULT_LEXICON
+    rows = ", ".join(f"({o}, {q(k)}, {q(g)}, {q(t)}, {w})" for o, k, g, t, w in DEFAULT_LEXICON.rows())
+    return f"SELECT * FROM (VALUES {rows}) AS r(ord, kind, grp, term, weight)"
+
+
+LONG_SQL = f"""WITH src AS ({O.corpus_sql()}),
+cl AS (SELECT doc_id, {O.clean_sql('text')} AS cleaned FROM src),
+rl AS ({_rules_values_sql()}),
+hits AS (
+  SELECT cl.doc_id, CAST(rl.ord AS INTEGER) AS ord, rl.kind, rl.grp AS "group", rl.term, CAST(rl.weight AS INTEGER) AS weight
+  FROM cl JOIN rl ON (
+    (rl.kind = 'keyword' AND regexp_matches(cl.cleaned, '\\b' || rl.term || '\\b'))
+    OR (rl.kind = 'pattern' AND contains(cl.cleaned, rl.term))))"""
+
+
+@register("rule_hits_long", LONG_SQL + "\nSELECT * FROM hits")
+def q_rule_hits_long(spark, sf_dir):
+    return R.rule_hits_long(cleaned_corpus(spark, sf_dir), R.rules_frame(spark), "doc_id", "cleaned")
+
+
+@register("rule_group_stats", LONG_SQL + """
+SELECT kind, "group", count(DISTINCT doc_id) AS docs, count(*) AS hits, CAST(sum(weight) AS BIGINT) AS points
+FROM hits GROUP BY kind, "group" """)
+def q_rule_group_stats(spark, sf_dir):
+    long_ = R.rule_hits_long(cleaned_corpus(spark, sf_dir), R.rules_frame(spark), "doc_id", "cleaned")
+    return R.rule_group_stats(long_, "doc_id")
+
+
+@register("rule_terms_via_join", _with("doc_id, array_to_string(rule_terms, ', ') AS rule_terms", RULED_CTES, "ru2",
+                                       "WHERE len(rule_terms) > 0"))
+def q_rule_terms_via_join(spark, sf_dir):
+    """Invariant: the join plan gives the same terms in the same order as the
+    literal plan (documents without any hit have no row here)."""
+    long_ = R.rule_hits_long(cleaned_corpus(spark, sf_dir), R.rules_frame(spark), "doc_id", "cleaned")
+    return R.collect_hits(long_, "doc_id").select("doc_id", F.array_join("rule_terms", ", ").alias("rule_terms"))
+
+
+# --------------------------------------------------------------------------
+# E: scoring
+# --------------------------------------------------------------------------
+
+def _logits(doc_id: Column, n_chars: Column) -> Column:
+    """Deterministic logits from document fields (a stand-in model output)."""
+    return F.array((doc_id % 7).cast("double") * F.lit(0.5), (n_chars % 11).cast("double") * F.lit(0.3),
+                   (doc_id % 3).cast("double"), (n_chars % 5).cast("double") * F.lit(0.7))
+
+
+LOGITS_SQL = ("[CAST(doc_id % 7 AS DOUBLE) * CAST(0.5 AS DOUBLE), CAST(n_chars % 11 AS DOUBLE) * CAST(0.3 AS DOUBLE), "
+              "CAST(doc_id % 3 AS DOUBLE), CAST(n_chars % 5 AS DOUBLE) * CAST(0.7 AS DOUBLE)]")
 
 
-@register("label_as_coded", _with(O.classified_ctes(params=AS_CODED_FUSION), "doc_id, risk_score, label"))
+def _r6(x: str) -> str:
+    return f"floor(({x}) * CAST(1000000.0 AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(1000000.0 AS DOUBLE)"
+
+
+@register("score_logits", f"""WITH lg AS (SELECT doc_id, {LOGITS_SQL} AS logits FROM documents),
+ex AS (SELECT doc_id, list_transform(logits, lambda v: exp(v - list_max(logits))) AS e FROM lg),
+pr AS (SELECT doc_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM ex)
+SELECT doc_id, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS label_id,
+  ({O.qlist(LABELS)})[list_position(p, list_max(p))] AS label, {_r6('list_max(p)')} AS confidence,
+  {_r6('p[1]')} AS p0, {_r6('p[2]')} AS p1, {_r6('p[3]')} AS p2, {_r6('p[4]')} AS p3 FROM pr""")
+def q_score_logits(spark, sf_dir):
+    from ..operators.fusion import round_half_up as rh
+    d = read_table(spark, sf_dir, "documents").select("doc_id", _logits(F.col("doc_id"), F.col("n_chars")).alias("logits"))
+    s = S.score_logits(d, "logits")
+    return s.select("doc_id", F.col("ml_label_id").alias("label_id"), F.col("ml_label").alias("label"),
+                    rh(F.col("ml_confidence"), 6).alias("confidence"),
+                    *[rh(F.element_at("ml_probs", i + 1), 6).alias(f"p{i}") for i in range(4)])
+
+
+@register("fine_grained_scores", f"""WITH s AS (SELECT doc_id, coalesce({O.fixture_probs_sql()}, {O.dlist((0.5, 0.2, 0.2, 0.1))}) AS p FROM documents)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS label_id, p[i] AS prob FROM s, range(1, 5) t(i)""")
+def q_fine_grained_scores(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select("doc_id", fixture_probs(F.col("doc_id")).alias("probs"))
+    return S.fine_grained_scores(S.score_probs(d, "probs"), "doc_id", "ml_probs")
+
+
+@register("score_fallback", f"""WITH m AS (SELECT doc_id, {O.ml_select_sql(O.fixture_probs_sql())} FROM documents),
+m2 AS (SELECT *, {O.ml_derived_sql()} FROM m)
+SELECT doc_id, ml_missing, ml_label, ml_confidence, ml_probs[1] AS p_non_radical, ml_probs[2] AS p_mildly_radical,
+  ml_probs[3] AS p_moderately_radical, ml_probs[4] AS p_highly_radical FROM m2""")
+def q_score_fallback(spark, sf_dir):
+    """E4 (fallback when the scores table has no row) and E2 (the map)."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id")
+    joined = S.attach_scores(d, from_scores_table(spark, sf_dir), "doc_id", "probs")
+    s = S.score_probs(joined, "probs").withColumn("pm", S.probabilities_map("ml_probs"))
+    return s.select("doc_id", "ml_missing", "ml_label", "ml_confidence",
+                    *[F.col("pm")[lab].alias("p_" + lab.lower().replace("-", "_").replace(" ", "_")) for lab in LABELS])
+
+
+def from_scores_table(spark, sf_dir) -> DataFrame:
+    from .corpus import fixture_scores
+    return fixture_scores(spark, sf_dir)
+
+
+@register("distinct_scoring", f"""WITH m AS (SELECT doc_id, {O.ml_select_sql(O.probs_by_bucket_sql('length(text) % 5'))} FROM documents),
+m2 AS (SELECT *, {O.ml_derived_sql()} FROM m) SELECT doc_id, ml_label, ml_confidence FROM m2""")
+def q_distinct_scoring(spark, sf_dir):
+    """Each distinct text scored once, joined back; equals scoring every row."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = S.score_distinct(d, "text", lambda u: u.withColumn("probs", text_fixture_probs(F.col("text"))))
+    return S.score_probs(scored, "probs").select("doc_id", "ml_label", "ml_confidence")
+
+
+# --------------------------------------------------------------------------
+# F: fusion
+# --------------------------------------------------------------------------
+
+_MLR = " + ".join(f"ml_probs[{i + 1}] * CAST({w!r} AS DOUBLE)" for i, w in enumerate((0.0, 0.33, 0.66, 1.0)))
+
+
+@register("fuse_risk", _with(f"doc_id, rule_risk, ({_MLR}) AS ml_risk, risk_score"))
+def q_fuse_risk(spark, sf_dir):
+    from ..operators.fusion import ml_risk
+    return classified_corpus(spark, sf_dir).select("doc_id", "rule_risk", ml_risk(F.col("ml_probs")).alias("ml_risk"),
+                                                   "risk_score")
+
+
+@register("label_intended", _with("doc_id, risk_score, label"))
+def q_label_intended(spark, sf_dir):
+    return classified_corpus(spark, sf_dir).select("doc_id", "risk_score", "label")
+
+
+@register("label_as_coded", _with("doc_id, risk_score, label", O.classified_ctes(params=AS_CODED_FUSION)))
 def q_label_as_coded(spark, sf_dir):
     return classified_corpus(spark, sf_dir, AS_CODED_FUSION).select("doc_id", "risk_score", "label")
+
+
+@register("confidence", _with("doc_id, confidence"))
+def q_confidence(spark, sf_dir):
+    return classified_corpus(spark, sf_dir).select("doc_id", "confidence")
+
+
+@register("review_flags", _with("doc_id, requires_human_review, array_to_string(review_reasons, ',') AS review_reasons"))
+def q_review_flags(spark, sf_dir):
+    return classified_corpus(spark, sf_dir).select("doc_id", "requires_human_review",
+                                                   F.array_join("review_reasons", ",").alias("review_reasons"))
+
+
+@register("bias_check", _with("doc_id, high_bias_risk AS bias_risk, array_to_string(detected_categories, ',') AS bias_categories, "
+                              "array_to_string(list_transform(risk_factors, lambda f: f.category || '=' || "
+                              "array_to_string(f.terms, '|')), ';') AS bias_terms"))
+def q_bias_check(spark, sf_dir):
+    return flat_result(classified_corpus(spark, sf_dir)).select("doc_id", "bias_risk", "bias_categories", "bias_terms")
+
+
+@register("reasoning", _with("doc_id, reasoning"))
+def q_reasoning(spark, sf_dir):
+    return classified_corpus(spark, sf_dir).select("doc_id", "reasoning")
+
+
+# --------------------------------------------------------------------------
+# I / B8-B11 / S8, S14: classification and its projections
+# --------------------------------------------------------------------------
+
+@register("classify_default", _with(O.flat_result_select()))
+def q_classify_default(spark, sf_dir):
+    return flat_result(classified_corpus(spark, sf_dir))
+
+
+@register("classify_documents_raw", _with(
+    O.flat_result_select(),
+    O.classified_ctes(source_sql="SELECT doc_id, text, lang, source FROM documents")))
+def q_classify_documents_raw(spark, sf_dir):
+    """The supplied documents as they are (no seed phrase)."""
+    d = read_table(spark, sf_dir, "documents").withColumn("probs", fixture_probs(F.col("doc_id")))
+    return flat_result(classify(d))
+
+
+CONV_SRC = "SELECT conv_id, turn, role, text FROM conversations"
+
+
+@register("classify_batch_ids", _with(
+    "conv_id || '_' || turn AS request_id, label, risk_score, confidence",
+    O.classified_ctes(source_sql=CONV_SRC, probs_sql=O.probs_by_bucket_sql("length(text) % 5"), key="conv_id")))
+def q_classify_batch_ids(spark, sf_dir):
+    """I2 on conversations: a conversation is a batch, its turn the item index."""
+    c = read_table(spark, sf_dir, "conversations").withColumn("probs", text_fixture_probs(F.col("text")))
+    out = batch_request_ids(classify(c), "conv_id", "turn")
+    return out.select("request_id", "label", "risk_score", "confidence")
+
+
+@register("classify_chunk_ids", _with(
+    "conv_id || '_chunk_' || CAST(turn // 8 AS VARCHAR) || '_' || CAST(turn % 8 AS VARCHAR) AS request_id, "
+    "CAST(turn // 8 AS BIGINT) AS chunk_id, CAST(turn % 8 AS BIGINT) AS chunk_pos, label",
+    O.classified_ctes(source_sql=CONV_SRC, probs_sql=O.probs_by_bucket_sql("length(text) % 5"), key="conv_id")))
+def q_classify_chunk_ids(spark, sf_dir):
+    """``<batch>_chunk_<k>_<j>`` ids, chunks of 8."""
+    c = read_table(spark, sf_dir, "conversations").withColumn("probs", text_fixture_probs(F.col("text")))
+    out = chunk_request_ids(classify(c), "conv_id", "turn", 8)
+    return out.select("request_id", "chunk_id", "chunk_pos", "label")
+
+
+@register("result_csv_view", _with("doc_id, label, confidence, risk_score, array_to_string(rule_terms, ', ') AS flagged_terms, reasoning"))
+def q_result_csv_view(spark, sf_dir):
+    return csv_view(classified_corpus(spark, sf_dir))
+
+
+@register("audit_view", _with(
+    "doc_id, CAST(doc_id AS VARCHAR) AS request_id, label, risk_score, confidence, requires_human_review, "
+    "high_bias_risk AS bias_risk, CASE WHEN length(input) > 100 THEN substring(input, 1, 100) || '...' ELSE input END AS preview"))
+def q_audit_view(spark, sf_dir):
+    return audit_view(classified_corpus(spark, sf_dir))
+
+
+@register("review_queue", _with("doc_id, label, risk_score, confidence, array_to_string(review_reasons, ',') AS review_reasons",
+                                tail="WHERE len(review_reasons) > 0 ORDER BY risk_score DESC, doc_id"))
+def q_review_queue(spark, sf_dir):
+    from ..session import materialize
+    return review_queue(materialize(classified_corpus(spark, sf_dir)))
+
+
+@register("label_only", _with("doc_id, label"))
+def q_label_only(spark, sf_dir):
+    return classified_corpus(spark, sf_dir).select("doc_id", "label")
+
+
+@register("classify_raw", None)
+def q_classify_raw(spark, sf_dir):
+    """Intermediates nested (rows-only check)."""
+    return raw_view(classified_corpus(spark, sf_dir))

@@ -59,3 +59,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and read it back (cuts
+    lineage; survives executor loss, unlike a local checkpoint).
+
+    Use it between the classification and anything that *filters* on its
+    derived columns: Catalyst pushes a filter below the projections by
+    substituting each column with its defining expression, so a predicate on
+    ``requires_human_review`` would inline the whole cleaning and rule chain
+    once per reference.  Production jobs write the results table instead.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
