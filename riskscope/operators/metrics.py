@@ -211,7 +211,7 @@ def cache_replay(events: DataFrame, keys: list[str], ts_col: str, id_col: str, t
     spark = events.sparkSession
     checkpoint_dir(spark)
     ttl = int(ttl_seconds) * 1_000_000
-    ev = events.select(*keys, F.unix_micros(F.col(ts_col)).alias("__t"), F.col(id_col).cast("bigint").alias("__id"))
+    ev = events.select(*keys, F.unix_micros(F.col(ts_col).cast("timestamp")).alias("__t"), F.col(id_col).cast("bigint").alias("__id"))
     nxt = _next_after(ev, keys, ttl).checkpoint()
     first = ev.groupBy(*keys).agg(F.min(F.struct("__t", "__id")).alias("__f")).select(F.col("__f.__id").alias("__id"))
     reach = first.checkpoint()

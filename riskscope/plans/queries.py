@@ -52,6 +52,17 @@ def classified_corpus(spark: SparkSession, sf_dir: str, params=DEFAULT_FUSION) -
     return classify(docs, params=params)
 
 
+def results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classification written once to the shared checkpoint folder; the
+    reports read it (classify once, report many times).  Reading a stored
+    table also keeps Catalyst from inlining the whole classification chain
+    into report expressions that reach into nested result fields."""
+    from ..session import materialize
+    cols = ["doc_id", "lang", "source", "label", "risk_score", "confidence", "requires_human_review",
+            "review_reasons", "bias_metadata", "ml_label_id", "rule_terms"]
+    return materialize(classified_corpus(spark, sf_dir).select(*cols))
+
+
 def cleaned_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeded_corpus(spark, sf_dir).withColumn("cleaned", clean("text"))
 
@@ -369,8 +380,7 @@ def q_audit_view(spark, sf_dir):
 @register("review_queue", _with("doc_id, label, risk_score, confidence, array_to_string(review_reasons, ',') AS review_reasons",
                                 tail="WHERE len(review_reasons) > 0 ORDER BY risk_score DESC, doc_id"))
 def q_review_queue(spark, sf_dir):
-    from ..session import materialize
-    return review_queue(materialize(classified_corpus(spark, sf_dir)))
+    return review_queue(results_table(spark, sf_dir))
 
 
 @register("label_only", _with("doc_id, label"))
@@ -382,3 +392,468 @@ def q_label_only(spark, sf_dir):
 def q_classify_raw(spark, sf_dir):
     """Intermediates nested (rows-only check)."""
     return raw_view(classified_corpus(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# Validation and ingest
+# --------------------------------------------------------------------------
+
+def _faulty_text(t: Column, key: Column) -> Column:
+    """Null, empty and whitespace-only text on a few keys."""
+    return (F.when(key % 50 == 3, F.lit(None).cast("string")).when(key % 50 == 4, F.lit(""))
+            .when(key % 50 == 5, F.lit(" \t\u00a0")).otherwise(t))
+
+
+FAULTY_SQL = ("(CASE WHEN doc_id % 50 = 3 THEN NULL WHEN doc_id % 50 = 4 THEN '' "
+              "WHEN doc_id % 50 = 5 THEN ' ' || chr(9) || chr(160) ELSE text END)")
+
+
+def _reason_sql(t: str) -> str:
+    return f"(CASE WHEN {t} IS NULL OR {t} = '' THEN 'empty' WHEN {O.ustrip_sql(t)} = '' THEN 'blank' END)"
+
+
+def _strict_sql(t: str, max_chars: int = 10_000) -> str:
+    return (f"(CASE WHEN {t} IS NULL OR {t} = '' THEN 'empty' WHEN length({t}) > {max_chars} THEN 'too_long' "
+            f"WHEN {O.ustrip_sql(t)} = '' THEN 'blank' END)")
+
+
+def faulty_documents(spark, sf_dir) -> DataFrame:
+    d = read_table(spark, sf_dir, "documents")
+    return d.withColumn("text", _faulty_text(F.col("text"), F.col("doc_id")))
+
+
+@register("reject_single", f"WITH f AS (SELECT doc_id, {FAULTY_SQL} AS t FROM documents) "
+                           f"SELECT doc_id, {_reason_sql('t')} AS reject_reason FROM f")
+def q_reject_single(spark, sf_dir):
+    return V.reject_single(faulty_documents(spark, sf_dir)).select("doc_id", "reject_reason")
+
+
+@register("reject_batch", f"""WITH f AS (SELECT doc_id, source, {FAULTY_SQL} AS t FROM documents)
+SELECT source, count(*) AS batch_size, min(CASE WHEN t IS NULL OR t = '' THEN doc_id END) AS first_empty_idx,
+  CASE WHEN count(*) > 1000 THEN 'batch_too_large'
+       WHEN min(CASE WHEN t IS NULL OR t = '' THEN doc_id END) IS NOT NULL THEN 'empty_item' END AS verdict
+FROM f GROUP BY source""")
+def q_reject_batch(spark, sf_dir):
+    """B2: a source is a batch, ``doc_id`` the item index."""
+    return V.batch_verdicts(faulty_documents(spark, sf_dir), "source", "doc_id", "text", 1000)
+
+
+@register("reject_strict", f"""WITH f AS (SELECT doc_id, source, {FAULTY_SQL} AS t FROM documents),
+n AS (SELECT source, count(*) AS n FROM f GROUP BY source)
+SELECT doc_id, CASE WHEN n.n > 100 THEN 'batch_too_large' ELSE {_strict_sql('t')} END AS reject_reason
+FROM f JOIN n USING (source)""")
+def q_reject_strict(spark, sf_dir):
+    """Service profile (1-10,000 characters, not blank, <= 100 per batch)."""
+    return V.reject_strict(faulty_documents(spark, sf_dir), "source", "text").select("doc_id", "reject_reason")
+
+
+@register("truncate_text", """SELECT doc_id, length(text) > 10000 AS was_truncated,
+  CAST(length(substring(text, 1, 10000)) AS INTEGER) AS input_chars, md5(substring(text, 1, 10000)) AS input_md5 FROM documents""")
+def q_truncate_text(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    t = truncate("text", 10_000)
+    return d.select("doc_id", (F.length("text") > 10_000).alias("was_truncated"), F.length(t).alias("input_chars"),
+                    F.md5(t).alias("input_md5"))
+
+
+def labelled_frame(spark, sf_dir) -> DataFrame:
+    """``documents`` joined with the 4-class truth of ``labels``."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return d.join(four_class_truth(spark, sf_dir), "doc_id")
+
+
+LABELLED_SQL = ("SELECT d.doc_id, d.text, d.lang, CAST(2 * l.toxic + 1 - l.quality AS INTEGER) AS label "
+                "FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+
+FRAME_FAULT_SQL = f"""lf0 AS ({LABELLED_SQL}),
+lf AS (SELECT doc_id, CASE WHEN doc_id % 47 = 0 THEN NULL ELSE text END AS text,
+  CASE WHEN doc_id % 37 = 0 THEN CAST(7.0 AS DOUBLE) WHEN doc_id % 41 = 0 THEN CAST(-1.0 AS DOUBLE)
+       WHEN doc_id % 43 = 0 THEN NULL WHEN doc_id % 53 = 0 THEN CAST(label AS DOUBLE) + CAST(0.5 AS DOUBLE)
+       ELSE CAST(label AS DOUBLE) END AS label FROM lf0)"""
+
+
+@register("frame_checks", f"""WITH {FRAME_FAULT_SQL},
+s AS (SELECT count(*) AS "rows", count(*) FILTER (WHERE text IS NULL) AS null_text,
+  count(*) FILTER (WHERE label IS NULL) AS null_label,
+  count(*) FILTER (WHERE label IS NOT NULL AND label <> floor(label)) AS non_integer_labels,
+  count(*) FILTER (WHERE label = floor(label) AND (label < 0 OR label >= 4)) AS out_of_range,
+  coalesce(array_to_string(list_sort(list_distinct(list(CAST(label AS BIGINT)) FILTER (WHERE label = floor(label) AND (label < 0 OR label >= 4)))), ','), '') AS bad_label_values
+  FROM lf),
+a AS (SELECT coalesce(array_to_string(list_sort(list(doc_id)), ','), '') AS first_null_text_keys
+  FROM (SELECT doc_id FROM lf WHERE text IS NULL ORDER BY doc_id LIMIT 15)),
+b AS (SELECT coalesce(array_to_string(list_sort(list(doc_id)), ','), '') AS first_null_label_keys
+  FROM (SELECT doc_id FROM lf WHERE label IS NULL ORDER BY doc_id LIMIT 15))
+SELECT *, (null_text = 0 AND null_label = 0 AND non_integer_labels = 0 AND out_of_range = 0) AS valid FROM s, a, b""")
+def q_frame_checks(spark, sf_dir):
+    """B5 on the labelled frame with injected null text and bad labels."""
+    lf = labelled_frame(spark, sf_dir)
+    k, lab = F.col("doc_id"), F.col("label").cast("double")
+    lf = lf.select("doc_id",
+                   F.when(k % 47 == 0, F.lit(None).cast("string")).otherwise(F.col("text")).alias("text"),
+                   F.when(k % 37 == 0, F.lit(7.0)).when(k % 41 == 0, F.lit(-1.0))
+                   .when(k % 43 == 0, F.lit(None).cast("double")).when(k % 53 == 0, lab + F.lit(0.5))
+                   .otherwise(lab).alias("label"))
+    return V.frame_checks(lf, "doc_id", 4)
+
+
+def _ingest_text(t: Column, key: Column) -> Column:
+    return F.when(key % 9 == 0, F.lit(" \t ")).when(key % 9 == 1, F.concat(F.lit("\u00a0"), t, F.lit(" "))).otherwise(t)
+
+
+INGEST_SQL = "(CASE WHEN doc_id % 9 = 0 THEN ' ' || chr(9) || ' ' WHEN doc_id % 9 = 1 THEN chr(160) || text || ' ' ELSE text END)"
+INGEST_CTE = f"""g AS (SELECT doc_id, {O.ustrip_sql(INGEST_SQL)} AS t FROM documents)"""
+
+
+@register("ingest_stats", f"""WITH {INGEST_CTE}
+SELECT count(*) AS rows_in, count(*) FILTER (WHERE length(t) = 0) AS blank_rows,
+  count(*) FILTER (WHERE length(t) = 0) AS dropped_empty, count(*) FILTER (WHERE length(t) > 5000) AS truncated_rows,
+  CAST(5000 AS INTEGER) AS max_chars, count(*) - count(*) FILTER (WHERE length(t) = 0) AS rows_out FROM g""")
+def q_ingest_stats(spark, sf_dir):
+    """B6 stats: strip, drop blanks, truncate at 5,000 characters."""
+    d = read_table(spark, sf_dir, "documents")
+    d = d.withColumn("text", _ingest_text(F.col("text"), F.col("doc_id")))
+    _rows, stats = D.normalize(d, "text", drop_empty_text=True, max_text_chars=5000)
+    return stats
+
+
+@register("ingest_rows", f"""WITH {INGEST_CTE}
+SELECT doc_id, CAST(length(substring(t, 1, 5000)) AS INTEGER) AS text_chars, md5(substring(t, 1, 5000)) AS text_md5
+FROM g WHERE length(t) > 0""")
+def q_ingest_rows(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    d = d.withColumn("text", _ingest_text(F.col("text"), F.col("doc_id")))
+    rows, _stats = D.normalize(d, "text", drop_empty_text=True, max_text_chars=5000)
+    return rows.select("doc_id", F.length("text").alias("text_chars"), F.md5("text").alias("text_md5"))
+
+
+@register("dedupe_text", """SELECT doc_id, n_chars FROM documents
+WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)""")
+def q_dedupe_text(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return D.dedupe_text(d, "doc_id", "text").select("doc_id", "n_chars")
+
+
+# --------------------------------------------------------------------------
+# splits
+# --------------------------------------------------------------------------
+
+@register("label_histogram", "SELECT CAST(2 * toxic + 1 - quality AS INTEGER) AS label, count(*) AS n FROM labels GROUP BY 1")
+def q_label_histogram(spark, sf_dir):
+    return D.label_histogram(four_class_truth(spark, sf_dir))
+
+
+def split_sql(source: str, fr: tuple[float, float, float], seed: int = 42) -> str:
+    """CTEs ``sp`` (doc_id, label, split, ...) over CTE ``source``."""
+    _tr, va, te = fr
+    d = lambda v: f"CAST({float(v)!r} AS DOUBLE)"
+    return f"""cnt AS (SELECT label, count(*) AS n FROM {source} GROUP BY label),
+tot AS (SELECT sum(n) AS total_n FROM cnt),
+qt AS (SELECT c.label, c.n, t.total_n,
+  CAST(floor(CAST(t.total_n AS DOUBLE) * {d(te)} + {d(0.5)}) AS BIGINT) AS t_test,
+  CAST(floor(CAST(t.total_n AS DOUBLE) * {d(va)} + {d(0.5)}) AS BIGINT) AS t_val FROM cnt c, tot t),
+qb AS (SELECT *, (CAST(n AS HUGEINT) * t_test) // total_n AS b_test, (CAST(n AS HUGEINT) * t_test) % total_n AS r_test,
+  (CAST(n AS HUGEINT) * t_val) // total_n AS b_val, (CAST(n AS HUGEINT) * t_val) % total_n AS r_val FROM qt),
+qr AS (SELECT *, row_number() OVER (ORDER BY r_test DESC, label) AS k_test, row_number() OVER (ORDER BY r_val DESC, label) AS k_val,
+  sum(b_test) OVER () AS s_test, sum(b_val) OVER () AS s_val FROM qb),
+q1 AS (SELECT label, n, CAST(b_test + CASE WHEN k_test <= t_test - s_test THEN 1 ELSE 0 END AS BIGINT) AS n_test,
+  CAST(b_val + CASE WHEN k_val <= t_val - s_val THEN 1 ELSE 0 END AS BIGINT) AS v0 FROM qr),
+quota AS (SELECT label, n, n_test, least(v0, n - n_test) AS n_val FROM q1),
+rk AS (SELECT s.*, row_number() OVER (PARTITION BY label ORDER BY md5('{seed}' || ':' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS pos
+  FROM {source} s),
+sp AS (SELECT rk.*, CASE WHEN quota.n < 3 THEN NULL WHEN pos < n_test THEN 'test' WHEN pos < n_test + n_val THEN 'val'
+  ELSE 'train' END AS split FROM rk JOIN quota USING (label))"""
+
+
+@register("stratified_split", f"WITH lf AS ({LABELLED_SQL}),\n{split_sql('lf', (0.7, 0.15, 0.15))}\n"
+                              "SELECT doc_id, label, split FROM sp")
+def q_stratified_split(spark, sf_dir):
+    """H1: exact 70/15/15 per class, seed 42."""
+    return D.stratified_split(labelled_frame(spark, sf_dir), "doc_id", "label").select("doc_id", "label", "split")
+
+
+@register("split_80_10_10", f"WITH lf AS ({LABELLED_SQL}),\n{split_sql('lf', (0.8, 0.1, 0.1))}\n"
+                            "SELECT doc_id, label, split FROM sp")
+def q_split_80_10_10(spark, sf_dir):
+    """H2: the 80/10/10 variant."""
+    return D.stratified_split(labelled_frame(spark, sf_dir), "doc_id", "label", (0.8, 0.1, 0.1)).select(
+        "doc_id", "label", "split")
+
+
+PREP_SQL = f"""lf0 AS ({LABELLED_SQL}),
+lf1 AS (SELECT doc_id, {O.ustrip_sql("(CASE WHEN doc_id % 9 = 0 THEN ' ' ELSE text END)")} AS text, label FROM lf0),
+lf2 AS (SELECT * FROM lf1 WHERE length(text) > 0),
+lf AS (SELECT * FROM lf2 WHERE doc_id IN (SELECT min(doc_id) FROM lf2 GROUP BY text)),
+{split_sql('lf', (0.7, 0.15, 0.15))}"""
+
+
+def prepared_split(spark, sf_dir) -> DataFrame:
+    """H3: validate -> normalise (strip, drop blanks) -> dedupe -> split."""
+    lf = labelled_frame(spark, sf_dir)
+    lf = lf.withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.lit(" ")).otherwise(F.col("text")))
+    rows, _stats = D.normalize(lf, "text", drop_empty_text=True)
+    deduped = D.dedupe_text(rows, "doc_id", "text")
+    return D.stratified_split(deduped, "doc_id", "label")
+
+
+@register("prepare_counts", f"WITH {PREP_SQL}\nSELECT split, label, count(*) AS n FROM sp GROUP BY split, label")
+def q_prepare_counts(spark, sf_dir):
+    return D.split_counts(prepared_split(spark, sf_dir))
+
+
+@register("split_leak_check", f"""WITH {PREP_SQL},
+per AS (SELECT text, count(DISTINCT split) AS k FROM sp GROUP BY text)
+SELECT count(*) AS n_texts, count(*) FILTER (WHERE k > 1) AS n_leaked FROM per""")
+def q_split_leak_check(spark, sf_dir):
+    """No text in two splits after dedupe (anti-join invariant)."""
+    sp = prepared_split(spark, sf_dir)
+    per = sp.groupBy("text").agg(F.countDistinct("split").alias("k"))
+    return per.agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(F.col("k") > 1).alias("n_leaked"))
+
+
+@register("manifest_counts", f"""WITH {PREP_SQL},
+sc AS (SELECT split, label, count(*) AS n FROM sp GROUP BY split, label),
+bs AS (SELECT label, sum(n) AS n FROM sc GROUP BY label)
+SELECT split, CAST(sum(n) AS BIGINT) AS "rows", string_agg(CAST(label AS VARCHAR) || ':' || CAST(n AS VARCHAR), ',' ORDER BY CAST(label AS VARCHAR)) AS label_counts FROM sc GROUP BY split
+UNION ALL
+SELECT 'before_split', CAST(sum(n) AS BIGINT), string_agg(CAST(label AS VARCHAR) || ':' || CAST(n AS VARCHAR), ',' ORDER BY CAST(label AS VARCHAR)) FROM bs""")
+def q_manifest_counts(spark, sf_dir):
+    """G12 counts: rows and label histogram per split and before the split."""
+    m = D.manifest_counts(prepared_split(spark, sf_dir))
+    return m.select("split", F.col("rows").cast("bigint").alias("rows"),
+                    F.array_join(F.transform(F.map_entries("label_counts"),
+                                             lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+                    .alias("label_counts"))
+
+
+# --------------------------------------------------------------------------
+# fairness
+# --------------------------------------------------------------------------
+
+def _r(x: str, digits: int = 4) -> str:
+    k = float(10 ** digits)
+    return f"floor(({x}) * CAST({k!r} AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST({k!r} AS DOUBLE)"
+
+
+DI_SQL_LOW = "CAST(0.8 AS DOUBLE)"
+DI_SQL_HIGH = f"CAST({1 / 0.8!r} AS DOUBLE)"
+FAIR_CTES = CLS + f""",
+ov AS (SELECT count(*) AS total, count(*) FILTER (WHERE label <> 'Non-Radical') AS flagged_count,
+  count(*) FILTER (WHERE high_bias_risk) AS bias_risk_count FROM fused3),
+cat AS (SELECT c AS category, count(*) AS total, count(*) FILTER (WHERE label <> 'Non-Radical') AS positive
+  FROM (SELECT unnest(detected_categories) AS c, label FROM fused3) GROUP BY c),
+con0 AS (SELECT cat.category, CAST(cat.positive AS DOUBLE) / CAST(cat.total AS DOUBLE) AS pr,
+  CASE WHEN ov.total = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST(ov.flagged_count AS DOUBLE) / CAST(ov.total AS DOUBLE) END AS rr
+  FROM cat, ov WHERE cat.total > 0),
+con1 AS (SELECT *, CASE WHEN rr = 0 THEN CAST(0.0 AS DOUBLE) ELSE pr / rr END AS di FROM con0),
+con AS (SELECT category, {_r('pr')} AS positive_rate, {_r('rr')} AS reference_rate, {_r('di')} AS disparate_impact_ratio,
+  CASE WHEN di < 0.5 THEN 'high' ELSE 'medium' END AS severity FROM con1 WHERE di < {DI_SQL_LOW} OR di > {DI_SQL_HIGH}),
+sco AS (SELECT count(*) FILTER (WHERE severity = 'high') AS n_high, count(*) FILTER (WHERE severity = 'medium') AS n_medium,
+  count(*) AS n_concerns FROM con),
+sco2 AS (SELECT *, {_r("greatest(CAST(0.0 AS DOUBLE), CAST(1.0 AS DOUBLE) - (n_high * CAST(0.3 AS DOUBLE) + n_medium * CAST(0.1 AS DOUBLE)) / CAST(greatest(n_concerns, 1) AS DOUBLE))")} AS fairness_score,
+  n_high > 0 AS requires_fairness_review FROM sco)"""
+
+
+@register("fairness_summary", f"""WITH {FAIR_CTES}
+SELECT total AS total_processed, flagged_count,
+  {_r("CASE WHEN total = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST(flagged_count AS DOUBLE) / CAST(total AS DOUBLE) END")} AS flagged_rate,
+  bias_risk_count,
+  {_r("CASE WHEN total = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST(bias_risk_count AS DOUBLE) / CAST(total AS DOUBLE) END")} AS bias_risk_rate,
+  CASE WHEN total = 0 THEN CAST(1.0 AS DOUBLE) ELSE fairness_score END AS fairness_score,
+  (requires_fairness_review AND total > 0) AS requires_fairness_review FROM ov, sco2""")
+def q_fairness_summary(spark, sf_dir):
+    return FA.summary(results_table(spark, sf_dir))
+
+
+@register("fairness_categories", f"WITH {FAIR_CTES}\nSELECT category, total, positive FROM cat")
+def q_fairness_categories(spark, sf_dir):
+    return FA.category_metrics(results_table(spark, sf_dir))
+
+
+@register("fairness_concerns", f"WITH {FAIR_CTES}\nSELECT * FROM con")
+def q_fairness_concerns(spark, sf_dir):
+    return FA.concerns(results_table(spark, sf_dir))
+
+
+@register("fairness_score", f"WITH {FAIR_CTES}\nSELECT n_high, n_medium, n_concerns, fairness_score, requires_fairness_review FROM sco2")
+def q_fairness_score(spark, sf_dir):
+    return FA.fairness_score(FA.concerns(results_table(spark, sf_dir)))
+
+
+@register("parity_by_lang", CLS.join(["WITH ", ""]) + f""",
+g AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE label <> 'Non-Radical') AS positive FROM fused3 GROUP BY lang),
+g2 AS (SELECT *, CASE WHEN n = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST(positive AS DOUBLE) / CAST(n AS DOUBLE) END AS rate FROM g),
+rf AS (SELECT coalesce(max(rate), CAST(0.0 AS DOUBLE)) AS ref FROM g2 WHERE lang = 'en')
+SELECT lang, n, positive, {_r('rate')} AS positive_rate, {_r('ref')} AS reference_rate,
+  {_r('CASE WHEN ref = 0 THEN CAST(0.0 AS DOUBLE) ELSE rate / ref END')} AS disparate_impact_ratio,
+  {_r('abs(rate - ref)')} AS parity_difference FROM g2, rf""")
+def q_parity_by_lang(spark, sf_dir):
+    """Per language against English."""
+    return FA.group_rates(classified_corpus(spark, sf_dir), "lang", "en")
+
+
+@register("equalized_odds_by_lang", CLS.join(["WITH ", ""]) + f""",
+j AS (SELECT f.lang, l.toxic AS truth, CASE WHEN f.label <> 'Non-Radical' THEN 1 ELSE 0 END AS pred
+  FROM fused3 f JOIN labels l ON f.doc_id = l.doc_id),
+g AS (SELECT lang, count(*) FILTER (WHERE truth = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE truth = 1 AND pred <> 1) AS fn,
+  count(*) FILTER (WHERE truth <> 1 AND pred = 1) AS fp, count(*) FILTER (WHERE truth <> 1 AND pred <> 1) AS tn FROM j GROUP BY lang),
+g2 AS (SELECT *, CASE WHEN tp + fn = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS tpr,
+  CASE WHEN fp + tn = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST(fp AS DOUBLE) / CAST(fp + tn AS DOUBLE) END AS fpr FROM g),
+rf AS (SELECT coalesce(max(tpr), CAST(0.0 AS DOUBLE)) AS rt, coalesce(max(fpr), CAST(0.0 AS DOUBLE)) AS rfp FROM g2 WHERE lang = 'en')
+SELECT lang, tp, fn, fp, tn, {_r('tpr')} AS tpr, {_r('fpr')} AS fpr,
+  {_r('(abs(tpr - rt) + abs(fpr - rfp)) / CAST(2.0 AS DOUBLE)')} AS equalized_odds_difference FROM g2, rf""")
+def q_equalized_odds_by_lang(spark, sf_dir):
+    """truth = ``labels.toxic``; predicted positive = label other than
+    Non-Radical; per language against English."""
+    res = classified_corpus(spark, sf_dir).select("doc_id", "lang", "label")
+    j = res.join(read_table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("truth")), "doc_id")
+    j = j.withColumn("pred", F.when(F.col("label") != LABELS[0], 1).otherwise(0))
+    return FA.odds_by_group(j, "lang", "en", "truth", "pred")
+
+
+# --------------------------------------------------------------------------
+# G9-G10 counters
+# --------------------------------------------------------------------------
+
+COUNTERS_SQL = CLS.join(["WITH ", ""]) + """,
+base AS (SELECT label, len(review_reasons) > 0 AS rv, count(*) AS n FROM fused3 GROUP BY 1, 2),
+ctr AS (SELECT 'requests_total' AS metric, '' AS key, CAST(coalesce(sum(n), 0) AS BIGINT) AS value FROM base
+  UNION ALL SELECT 'label_total', label, CAST(sum(n) AS BIGINT) FROM base GROUP BY label
+  UNION ALL SELECT 'review_total', CASE WHEN rv THEN 'review_required' ELSE 'no_review' END, CAST(sum(n) AS BIGINT) FROM base GROUP BY 2)"""
+
+
+@register("counters", COUNTERS_SQL + "\nSELECT * FROM ctr")
+def q_counters(spark, sf_dir):
+    return M.counters(classified_corpus(spark, sf_dir))
+
+
+@register("exposition_lines", COUNTERS_SQL + """
+SELECT CASE WHEN key = '' THEN 'riskscope_' || metric || ' ' || CAST(value AS VARCHAR)
+  ELSE 'riskscope_' || metric || '{' || CASE WHEN metric = 'label_total' THEN 'label' ELSE 'status' END || '="' || key || '"} ' || CAST(value AS VARCHAR) END AS line
+FROM ctr""")
+def q_exposition_lines(spark, sf_dir):
+    return M.exposition_lines(M.counters(classified_corpus(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------
+# G13-G16 evaluation
+# --------------------------------------------------------------------------
+
+def eval_pairs(spark, sf_dir) -> DataFrame:
+    """Truth (4-class from ``labels``) against the model prediction."""
+    pred = classified_corpus(spark, sf_dir).select("doc_id", F.col("ml_label_id").alias("y_pred"))
+    return four_class_truth(spark, sf_dir).select("doc_id", F.col("label").alias("y_true")).join(pred, "doc_id")
+
+
+PAIRS_SQL = CLS.join(["WITH ", ""]) + """,
+pairs AS (SELECT CAST(2 * l.toxic + 1 - l.quality AS INTEGER) AS y_true, f.ml_label_id AS y_pred
+  FROM labels l JOIN fused3 f ON l.doc_id = f.doc_id),
+cm AS (SELECT y_true, y_pred, count(*) AS n FROM pairs GROUP BY 1, 2),
+dim AS (SELECT CAST(i AS INTEGER) AS label_id, (['Non-Radical', 'Mildly Radical', 'Moderately Radical', 'Highly Radical'])[i + 1] AS label FROM range(0, 4) t(i)),
+pc0 AS (SELECT dim.label_id, dim.label,
+  coalesce(sum(n) FILTER (WHERE y_true = label_id AND y_pred = label_id), 0) AS tp,
+  coalesce(sum(n) FILTER (WHERE y_true <> label_id AND y_pred = label_id), 0) AS fp,
+  coalesce(sum(n) FILTER (WHERE y_true = label_id AND y_pred <> label_id), 0) AS fn
+  FROM dim, cm GROUP BY dim.label_id, dim.label),
+pc1 AS (SELECT *, CASE WHEN tp + fp = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) END AS "precision",
+  CASE WHEN tp + fn = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS recall FROM pc0),
+pc AS (SELECT label_id, label, "precision", recall,
+  CASE WHEN "precision" + recall = 0 THEN CAST(0.0 AS DOUBLE) ELSE CAST(2.0 AS DOUBLE) * "precision" * recall / ("precision" + recall) END AS f1,
+  CAST(tp + fn AS BIGINT) AS support FROM pc1),
+tot AS (SELECT CAST(sum(support) AS BIGINT) AS n,
+  sum("precision" * support ORDER BY label_id) AS wp, sum(recall * support ORDER BY label_id) AS wr, sum(f1 * support ORDER BY label_id) AS wf,
+  sum("precision" ORDER BY label_id) AS mp, sum(recall ORDER BY label_id) AS mr, sum(f1 ORDER BY label_id) AS mf FROM pc),
+hit AS (SELECT coalesce(sum(n) FILTER (WHERE y_true = y_pred), 0) AS tp FROM cm)"""
+
+
+def _r6s(x: str) -> str:
+    return _r(x, 6)
+
+
+@register("confusion_matrix", PAIRS_SQL + "\nSELECT y_true, y_pred, n FROM cm")
+def q_confusion_matrix(spark, sf_dir):
+    return M.confusion(eval_pairs(spark, sf_dir))
+
+
+@register("confusion_dense", PAIRS_SQL + """
+SELECT y_true, CAST(coalesce(sum(n) FILTER (WHERE y_pred = 0), 0) AS BIGINT) AS p0,
+  CAST(coalesce(sum(n) FILTER (WHERE y_pred = 1), 0) AS BIGINT) AS p1,
+  CAST(coalesce(sum(n) FILTER (WHERE y_pred = 2), 0) AS BIGINT) AS p2,
+  CAST(coalesce(sum(n) FILTER (WHERE y_pred = 3), 0) AS BIGINT) AS p3 FROM cm GROUP BY y_true""")
+def q_confusion_dense(spark, sf_dir):
+    return M.confusion_dense(eval_pairs(spark, sf_dir), 4)
+
+
+@register("per_class_metrics", PAIRS_SQL + f"""
+SELECT label_id, label, {_r6s('"precision"')} AS "precision", {_r6s('recall')} AS recall, {_r6s('f1')} AS f1, support FROM pc""")
+def q_per_class_metrics(spark, sf_dir):
+    from ..operators.fusion import round_half_up as rh
+    pc = M.per_class(eval_pairs(spark, sf_dir), 4)
+    return pc.select("label_id", "label", rh(F.col("precision"), 6).alias("precision"), rh(F.col("recall"), 6).alias("recall"),
+                     rh(F.col("f1"), 6).alias("f1"), "support")
+
+
+@register("eval_metrics", PAIRS_SQL + f"""
+SELECT {_r6s('CASE WHEN n = 0 THEN 0.0 ELSE CAST(hit.tp AS DOUBLE) / CAST(n AS DOUBLE) END')} AS accuracy,
+  {_r6s('CASE WHEN n = 0 THEN 0.0 ELSE wp / CAST(n AS DOUBLE) END')} AS "precision",
+  {_r6s('CASE WHEN n = 0 THEN 0.0 ELSE wr / CAST(n AS DOUBLE) END')} AS recall,
+  {_r6s('CASE WHEN n = 0 THEN 0.0 ELSE wf / CAST(n AS DOUBLE) END')} AS f1, n AS support FROM tot, hit""")
+def q_eval_metrics(spark, sf_dir):
+    return M.eval_metrics(eval_pairs(spark, sf_dir), 4)
+
+
+@register("eval_report", PAIRS_SQL + f"""
+SELECT label AS "row", {_r6s('"precision"')} AS "precision", {_r6s('recall')} AS recall, {_r6s('f1')} AS f1, support FROM pc
+UNION ALL SELECT 'accuracy', NULL, NULL, {_r6s('CASE WHEN n = 0 THEN 0.0 ELSE wr / CAST(n AS DOUBLE) END')}, n FROM tot
+UNION ALL SELECT 'macro avg', {_r6s('mp / CAST(4 AS DOUBLE)')}, {_r6s('mr / CAST(4 AS DOUBLE)')}, {_r6s('mf / CAST(4 AS DOUBLE)')}, n FROM tot
+UNION ALL SELECT 'weighted avg', {_r6s('CASE WHEN n = 0 THEN 0.0 ELSE wp / CAST(n AS DOUBLE) END')},
+  {_r6s('CASE WHEN n = 0 THEN 0.0 ELSE wr / CAST(n AS DOUBLE) END')}, {_r6s('CASE WHEN n = 0 THEN 0.0 ELSE wf / CAST(n AS DOUBLE) END')}, n FROM tot""")
+def q_eval_report(spark, sf_dir):
+    return M.eval_report(eval_pairs(spark, sf_dir), 4)
+
+
+# --------------------------------------------------------------------------
+# G17, G18, T5 batch forms
+# --------------------------------------------------------------------------
+
+@register("batch_stats", f"""WITH f AS (SELECT doc_id, source, {FAULTY_SQL} AS t FROM documents)
+SELECT source, count(*) AS total, count(*) FILTER (WHERE {_reason_sql('t')} IS NULL) AS processed,
+  count(*) FILTER (WHERE {_reason_sql('t')} IS NOT NULL) AS failed FROM f GROUP BY source""")
+def q_batch_stats(spark, sf_dir):
+    """G17 counts per batch (a source is a batch)."""
+    return M.batch_stats(V.reject_single(faulty_documents(spark, sf_dir)), "source")
+
+
+CACHE_TTL_DAYS = 2
+CACHE_TTL_US = CACHE_TTL_DAYS * 86_400 * 1_000_000
+
+
+@register("cache_replay", f"""WITH RECURSIVE ev AS (
+  SELECT user_id, event_type, epoch_us(ts) AS t,
+    row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+walk AS (
+  SELECT user_id, event_type, rn, t AS last_miss, CAST(0 AS BIGINT) AS hits, CAST(1 AS BIGINT) AS misses FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT w.user_id, w.event_type, e.rn,
+    CASE WHEN e.t - w.last_miss <= {CACHE_TTL_US} THEN w.last_miss ELSE e.t END,
+    w.hits + CASE WHEN e.t - w.last_miss <= {CACHE_TTL_US} THEN 1 ELSE 0 END,
+    w.misses + CASE WHEN e.t - w.last_miss <= {CACHE_TTL_US} THEN 0 ELSE 1 END
+  FROM walk w JOIN ev e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.rn = w.rn + 1),
+fin AS (SELECT user_id, event_type, arg_max(hits, rn) AS hits, arg_max(misses, rn) AS misses FROM walk GROUP BY 1, 2)
+SELECT user_id, event_type, hits, misses, {_r('CAST(hits AS DOUBLE) / CAST(greatest(hits + misses, 1) AS DOUBLE)', 3)} AS hit_rate FROM fin""")
+def q_cache_replay(spark, sf_dir):
+    """TTL cache replay over ``events`` keyed (user, event type) with a
+    2-day TTL (the 300 s default would hit almost never on this data)."""
+    ev = read_table(spark, sf_dir, "events")
+    return M.cache_replay(ev, ["user_id", "event_type"], "ts", "event_id", CACHE_TTL_DAYS * 86_400)
+
+
+RATE_LIMIT_PER_DAY = 3
+
+
+@register("rate_limit_flags", f"""SELECT CAST(date_trunc('day', ts) AS DATE) AS window_day, user_id, count(*) AS n
+FROM events GROUP BY 1, 2 HAVING count(*) > {RATE_LIMIT_PER_DAY}""")
+def q_rate_limit_flags(spark, sf_dir):
+    """T5 batch form: users over the limit in a 1-day tumbling window."""
+    ev = read_table(spark, sf_dir, "events")
+    f = M.rate_limit_flags(ev, "user_id", "ts", "1 day", RATE_LIMIT_PER_DAY)
+    return f.select(F.to_date("window_start").alias("window_day"), "user_id", "n")
