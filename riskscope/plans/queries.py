@@ -857,3 +857,177 @@ def q_rate_limit_flags(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events")
     f = M.rate_limit_flags(ev, "user_id", "ts", "1 day", RATE_LIMIT_PER_DAY)
     return f.select(F.to_date("window_start").alias("window_day"), "user_id", "n")
+
+
+# --------------------------------------------------------------------------
+# Training and plug-in scoring (rows-only checks)
+# --------------------------------------------------------------------------
+
+@register("train_and_score", None)
+def q_train_and_score(spark, sf_dir):
+    """E5 + E6: train on the 70% split of the labelled documents, pick the
+    regularisation on the validation split, score the test split."""
+    from ..operators.training import score_with_pipeline, train_classifier
+    sp = D.stratified_split(labelled_frame(spark, sf_dir), "doc_id", "label")
+    model, _rp, _f1 = train_classifier(sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "val"))
+    test = sp.filter(F.col("split") == "test").select("doc_id", "text", "label")
+    s = S.score_probs(score_with_pipeline(model, test), "probs")
+    return s.select("doc_id", F.col("label").alias("y_true"), F.col("ml_label_id").alias("y_pred"), "ml_confidence")
+
+
+def _length_model():
+    """A stand-in external model, loaded once per task: logits from simple
+    text statistics computed with numpy over the Arrow batch."""
+    import numpy as np
+
+    def predict(texts):
+        n = texts.str.len().to_numpy(dtype="float64")
+        words = texts.str.count(" ").to_numpy(dtype="float64") + 1.0
+        digits = texts.str.count("[0-9]").to_numpy(dtype="float64")
+        return np.stack([np.log1p(n), np.log1p(words), digits / 10.0, np.sqrt(n) / 50.0], axis=1)
+    return predict
+
+
+@register("model_scoring_plugin", None)
+def q_model_scoring_plugin(spark, sf_dir):
+    """E6 plug-in point: any Python model over Arrow batches (mapInPandas),
+    then native softmax, fallback and fusion."""
+    d = seeded_corpus(spark, sf_dir)
+    scored = S.score_with_model(d, "text", _length_model, 4, "probs")
+    return flat_result(classify(scored))
+
+
+# --------------------------------------------------------------------------
+# CSV scan and the whole preparation job
+# --------------------------------------------------------------------------
+
+def _labelled_csv(spark, sf_dir) -> str:
+    from ..session import scratch_path
+    path = scratch_path(spark, "labelled-csv")
+    lf = labelled_frame(spark, sf_dir).select("doc_id", "text", "label")
+    lf.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return path
+
+
+@register("labeled_csv_scan", f"WITH lf AS ({LABELLED_SQL}) SELECT doc_id, label, md5(text) AS text_md5 FROM lf")
+def q_labeled_csv_scan(spark, sf_dir):
+    """The labelled documents written as CSV (quoted, multi-line texts)
+    and read back with the strict reader."""
+    from ..sources.io import load_labeled_csv
+    df = load_labeled_csv(spark, _labelled_csv(spark, sf_dir))
+    return df.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("label").cast("int").alias("label"),
+                     F.md5("text").alias("text_md5"))
+
+
+@register("prepare_manifest_rows", f"""WITH lf AS ({LABELLED_SQL}),
+{split_sql('lf', (0.7, 0.15, 0.15))}
+SELECT count(*) AS loaded, CAST(0 AS BIGINT) AS dropped_empty_text, CAST(0 AS BIGINT) AS truncated_text_rows,
+  count(*) AS after_normalize, CAST(0 AS BIGINT) AS duplicates_removed, count(*) AS after_dedupe,
+  count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'val') AS val,
+  count(*) FILTER (WHERE split = 'test') AS test FROM sp""")
+def q_prepare_manifest_rows(spark, sf_dir):
+    """H3 end to end on a CSV of the labelled documents: the manifest's row
+    counts.  (The split is keyed by the row position of the file here,
+    so only the counts are compared.)"""
+    from ..session import scratch_path
+    from .prepare import prepare
+    m = prepare(spark, _labelled_csv(spark, sf_dir), scratch_path(spark, "prepared"))
+    r = m["rows"]
+    cols = ["loaded", "dropped_empty_text", "truncated_text_rows", "after_normalize", "duplicates_removed",
+            "after_dedupe", "train", "val", "test"]
+    return spark.createDataFrame([tuple(int(r[c]) for c in cols)], ", ".join(f"{c} bigint" for c in cols))
+
+
+# --------------------------------------------------------------------------
+# streaming
+# --------------------------------------------------------------------------
+
+def _corpus_stream(spark, sf_dir):
+    from ..streaming.jobs import table_stream
+    from .corpus import seed_phrase
+    s = table_stream(spark, sf_dir, "documents")
+    s = s.select("doc_id", F.concat(F.col("text"), F.lit(" "), seed_phrase(F.col("doc_id"))).alias("text"),
+                 "lang", "source")
+    return s.withColumn("probs", fixture_probs(F.col("doc_id")))
+
+
+def _classified_stream_dir(spark, sf_dir) -> str:
+    from ..streaming.jobs import classify_stream, fresh_dir
+    out = fresh_dir(spark, "stream-results")
+    classify_stream(_corpus_stream(spark, sf_dir), out)
+    return out
+
+
+@register("stream_classify", _with(O.flat_result_select()))
+def q_stream_classify(spark, sf_dir):
+    """Streamed classification (availableNow) equals the batch result."""
+    return flat_result(spark.read.parquet(_classified_stream_dir(spark, sf_dir)))
+
+
+EPOCH_2024 = 1_704_067_200
+
+
+@register("stream_label_counts", _with(
+    "strftime(date_trunc('hour', make_timestamp((CAST(" + str(EPOCH_2024) + " AS BIGINT) + doc_id * 60) * 1000000)), "
+    "'%Y-%m-%d %H:%M:%S') AS window_start, label, len(review_reasons) > 0 AS requires_human_review, count(*) AS n",
+    tail="GROUP BY ALL"))
+def q_stream_label_counts(spark, sf_dir):
+    """Label / review counters per 1-hour event-time window (a document's
+    event time is one minute per ``doc_id`` from 2024-01-01), read from the
+    T1 results stream."""
+    from ..streaming.jobs import fresh_dir, label_counts_stream, latest
+    res_dir = _classified_stream_dir(spark, sf_dir)
+    schema = spark.read.parquet(res_dir).schema
+    st = (spark.readStream.schema(schema).parquet(res_dir)
+          .withColumn("ts", F.timestamp_seconds(F.lit(EPOCH_2024) + F.col("doc_id") * 60)))
+    out = fresh_dir(spark, "stream-labelcounts")
+    label_counts_stream(st, "ts", "1 hour", "1 hour", out)
+    res = latest(spark, out, ["window_start", "label", "requires_human_review"])
+    return res.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "label",
+                      "requires_human_review", "n")
+
+
+@register("stream_categories", f"WITH {FAIR_CTES}\nSELECT category, total, positive FROM cat")
+def q_stream_categories(spark, sf_dir):
+    """Running category counts from the T1 results stream."""
+    from ..streaming.jobs import category_counts_stream, fresh_dir, latest
+    res_dir = _classified_stream_dir(spark, sf_dir)
+    st = spark.readStream.schema(spark.read.parquet(res_dir).schema).parquet(res_dir)
+    out = fresh_dir(spark, "stream-categories")
+    category_counts_stream(st, out)
+    return latest(spark, out, ["category"])
+
+
+@register("stream_cache", REGISTRY["cache_replay"][1].replace(
+    f", {_r('CAST(hits AS DOUBLE) / CAST(greatest(hits + misses, 1) AS DOUBLE)', 3)} AS hit_rate", ""))
+def q_stream_cache(spark, sf_dir):
+    """T4: the TTL cache as a stateful stream over ``events``; equals the
+    batch replay (G18) when events arrive in time order."""
+    from ..streaming.jobs import cache_stream, fresh_dir, latest, table_stream
+    out = fresh_dir(spark, "stream-cache")
+    cache_stream(table_stream(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id",
+                 CACHE_TTL_DAYS * 86_400, "3 days", out)
+    return latest(spark, out, ["user_id", "event_type"])
+
+
+@register("stream_rate_limit", REGISTRY["rate_limit_flags"][1])
+def q_stream_rate_limit(spark, sf_dir):
+    """T5: per-user daily request counts as a stream; flags on the latest."""
+    from ..streaming.jobs import fresh_dir, latest, rate_limit_stream, table_stream
+    out = fresh_dir(spark, "stream-ratelimit")
+    ev = table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rate_limit_stream(ev, "user_id", "ts", "1 day", "1 day", out)
+    res = latest(spark, out, ["window_start", "user_id"]).filter(F.col("n") > RATE_LIMIT_PER_DAY)
+    return res.select(F.to_date("window_start").alias("window_day"), "user_id", "n")
+
+
+@register("stream_ingest", REGISTRY["reject_single"][1])
+def q_stream_ingest(spark, sf_dir):
+    """Valid rows and rejects written from each persisted micro-batch."""
+    from ..streaming.jobs import fresh_dir, ingest_stream, table_stream
+    s = table_stream(spark, sf_dir, "documents").withColumn("text", _faulty_text(F.col("text"), F.col("doc_id")))
+    valid, rej = fresh_dir(spark, "stream-valid"), fresh_dir(spark, "stream-rejects")
+    ingest_stream(s, "text", valid, rej)
+    v = spark.read.parquet(valid).select("doc_id", F.lit(None).cast("string").alias("reject_reason"))
+    r = spark.read.parquet(rej).select("doc_id", "reject_reason")
+    return v.unionByName(r)
