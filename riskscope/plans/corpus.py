@@ -53,7 +53,10 @@ NO_SCORE_MODULUS = 7
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One supplied table; spread over the cores when it arrives in too few
+    splits (see ``session.balanced``)."""
+    from ..session import balanced
+    return balanced(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def seed_phrase(key: Column) -> Column:

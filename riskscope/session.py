@@ -73,3 +73,17 @@ def materialize(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def balanced(df, factor: int = 2):
+    """Spread a scan that has fewer partitions than the cluster has cores.
+
+    A large input already arrives in many splits (one per file block /
+    row group) and is returned unchanged - no shuffle.  A small input stored
+    as one big row group would otherwise run every narrow stage in a single
+    task; it is round-robin repartitioned to ``factor`` x default
+    parallelism (a cheap shuffle of a small table)."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() * factor <= target // 2:
+        return df.repartition(target)
+    return df
