@@ -1,14 +1,14 @@
 """Fairness reports over classification results.
 
 Inputs are result frames with ``label`` and ``bias_metadata`` (see
-``operators.fusion``).  All aggregates are partial + final hash
-aggregates; per-category and per-group tables have a handful of rows, so
-joining the one-row overall rate back onto them is a broadcast of one row.
+``operators.fusion``).  Every report is one scan of the results and one
+partial + final hash aggregate; reference rates are attached to the
+resulting few-row tables by a window, never by a second pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DI_HIGH_BELOW, DI_THRESHOLD, LABELS
@@ -40,6 +40,28 @@ def odds_difference(g_tpr: Column, r_tpr: Column, g_fpr: Column, r_fpr: Column)
     return (F.abs(g_tpr - r_tpr) + F.abs(g_fpr - r_fpr)) / F.lit(2.0)
 
 
+def _table(results: DataFrame) -> DataFrame:
+    """One tiny aggregate for every fairness figure: a row per category
+    plus one row with ``category = null`` for all results.  Each result is
+    exploded into ``[null] + detected_categories`` (at most 4 rows), so one
+    scan and one partial + final aggregate give the overall counts and the
+    per-category counts together.  The overall positive rate is attached to
+    every row by a window over this (few-row) table."""
+    cats = F.concat(F.array(F.lit(None).cast("string")), F.col("bias_metadata.detected_categories"))
+    t = (results.select(F.explode(cats).alias("category"), _flagged().alias("pos"),
+                        F.col("bias_metadata.high_bias_risk").alias("bias"))
+         .groupBy("category").agg(F.count(F.lit(1)).alias("total"), F.count_if("pos").alias("positive"),
+                                  F.count_if("bias").alias("bias_count")))
+    everything = Window.partitionBy(F.lit(1))
+    ref = F.max(F.when(F.col("category").isNull(), _rate(F.col("positive"), F.col("total")))).over(everything)
+    t = t.withColumn("reference_rate", F.coalesce(ref, F.lit(0.0)))
+    pr = _rate(F.col("positive"), F.col("total"))
+    di = disparate_impact(pr, F.col("reference_rate"))
+    concern = F.col("category").isNotNull() & (F.col("total") > 0) & ((di < DI_THRESHOLD) | (di > 1 / DI_THRESHOLD))
+    return t.withColumns({"positive_rate": pr, "di": di, "is_concern": concern,
+                          "severity": F.when(di < DI_HIGH_BELOW, F.lit("high")).otherwise(F.lit("medium"))})
+
+
 def overall(results: DataFrame) -> DataFrame:
     """Totals used by G1/G3: one row ``total, flagged_count, bias_risk_count``."""
     return results.agg(
@@ -51,67 +73,71 @@ def overall(results: DataFrame) -> DataFrame:
 
 def category_metrics(results: DataFrame) -> DataFrame:
     """``(category, total, positive)``; positive = label other than
-    Non-Radical.  Explode of at most 3 categories per row, partial agg."""
-    return (results.select(F.explode("bias_metadata.detected_categories").alias("category"), _flagged().alias("pos"))
-            .groupBy("category").agg(F.count(F.lit(1)).alias("total"), F.count_if("pos").alias("positive")))
+    Non-Radical."""
+    return _table(results).filter(F.col("category").isNotNull()).select("category", "total", "positive")
 
 
 def concerns(results: DataFrame) -> DataFrame:
     """Categories whose positive rate is below 0.8x or above 1/0.8x the
     overall rate; ``high`` below 0.5x, else ``medium`` (over-representation
     is always medium)."""
-    ov = overall(results).select(_rate(F.col("flagged_count"), F.col("total")).alias("reference_rate"))
-    cat = category_metrics(results).filter(F.col("total") > 0)
-    j = cat.withColumn("__k", F.lit(1)).join(F.broadcast(ov.withColumn("__k", F.lit(1))), "__k").drop("__k")
-    pr = F.col("positive").cast("double") / F.col("total").cast("double")
-    j = j.withColumns({"positive_rate": pr}).withColumn("di", disparate_impact(F.col("positive_rate"),
-                                                                                F.col("reference_rate")))
-    j = j.filter((F.col("di") < DI_THRESHOLD) | (F.col("di") > 1 / DI_THRESHOLD))
-    return j.select(
+    return _table(results).filter("is_concern").select(
         "category",
         round_half_up(F.col("positive_rate"), 4).alias("positive_rate"),
         round_half_up(F.col("reference_rate"), 4).alias("reference_rate"),
         round_half_up(F.col("di"), 4).alias("disparate_impact_ratio"),
-        F.when(F.col("di") < DI_HIGH_BELOW, F.lit("high")).otherwise(F.lit("medium")).alias("severity"),
+        "severity",
     )
 
 
+def _score(n_high: Column, n_medium: Column, n_concerns: Column) -> Column:
+    pen = (n_high * F.lit(0.3) + n_medium * F.lit(0.1)) / F.greatest(n_concerns, F.lit(1)).cast("double")
+    return round_half_up(F.greatest(F.lit(0.0), F.lit(1.0) - pen), 4)
+
+
 def fairness_score(concern_df: DataFrame, total: Column | None = None) -> DataFrame:
     """``max(0, 1 - (0.3*high + 0.1*medium) / max(1, n))`` (an average
     penalty, so in [0.7, 1]); review needed when any concern is high."""
     a = concern_df.agg(F.count_if(F.col("severity") == "high").alias("n_high"),
                        F.count_if(F.col("severity") == "medium").alias("n_medium"),
                        F.count(F.lit(1)).alias("n_concerns"))
-    pen = (F.col("n_high") * F.lit(0.3) + F.col("n_medium") * F.lit(0.1)) / F.greatest(F.col("n_concerns"), F.lit(1)).cast("double")
     return a.withColumns({
-        "fairness_score": round_half_up(F.greatest(F.lit(0.0), F.lit(1.0) - pen), 4),
+        "fairness_score": _score(F.col("n_high"), F.col("n_medium"), F.col("n_concerns")),
         "requires_fairness_review": F.col("n_high") > 0,
     })
 
 
 def summary(results: DataFrame) -> DataFrame:
-    """G1 + G4: one row.  An empty input gives zeros and a score of 1.0."""
-    ov = overall(results)
-    sc = fairness_score(concerns(results))
-    j = ov.withColumn("__k", F.lit(1)).join(sc.withColumn("__k", F.lit(1)), "__k").drop("__k")
-    return j.select(
+    """G1 + G4: one row from the one fairness table.  An empty input gives
+    zeros and a score of 1.0."""
+    allrow = F.col("category").isNull()
+    a = _table(results).agg(
+        F.coalesce(F.sum(F.when(allrow, F.col("total"))), F.lit(0)).alias("total"),
+        F.coalesce(F.sum(F.when(allrow, F.col("positive"))), F.lit(0)).alias("flagged_count"),
+        F.coalesce(F.sum(F.when(allrow, F.col("bias_count"))), F.lit(0)).alias("bias_risk_count"),
+        F.count_if(F.col("is_concern") & (F.col("severity") == "high")).alias("n_high"),
+        F.count_if(F.col("is_concern") & (F.col("severity") == "medium")).alias("n_medium"),
+        F.count_if("is_concern").alias("n_concerns"))
+    return a.select(
         F.col("total").alias("total_processed"), "flagged_count",
         round_half_up(_rate(F.col("flagged_count"), F.col("total")), 4).alias("flagged_rate"),
         "bias_risk_count",
         round_half_up(_rate(F.col("bias_risk_count"), F.col("total")), 4).alias("bias_risk_rate"),
-        F.when(F.col("total") == 0, F.lit(1.0)).otherwise(F.col("fairness_score")).alias("fairness_score"),
-        (F.col("requires_fairness_review") & (F.col("total") > 0)).alias("requires_fairness_review"),
+        F.when(F.col("total") == 0, F.lit(1.0)).otherwise(_score(F.col("n_high"), F.col("n_medium"),
+                                                                 F.col("n_concerns"))).alias("fairness_score"),
+        ((F.col("n_high") > 0) & (F.col("total") > 0)).alias("requires_fairness_review"),
     )
 
 
 def group_rates(results: DataFrame, group_col: str, reference_group: str) -> DataFrame:
     """G6/G7 by a column (e.g. language): positive rate per group against
-    the rate of ``reference_group``."""
+    the rate of ``reference_group`` (attached by a window over the grouped
+    table, so the input is scanned once)."""
     g = results.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"), F.count_if(_flagged()).alias("positive"))
     g = g.withColumn("rate", _rate(F.col("positive"), F.col("n")))
-    ref = g.filter(F.col(group_col) == reference_group).select(F.col("rate").alias("reference_rate"))
-    j = g.withColumn("__k", F.lit(1)).join(F.broadcast(ref.withColumn("__k", F.lit(1))), "__k", "left").drop("__k")
-    j = j.withColumn("reference_rate", F.coalesce("reference_rate", F.lit(0.0)))
+    everything = Window.partitionBy(F.lit(1))
+    ref = F.max(F.when(F.col(group_col) == reference_group, F.col("rate"))).over(everything)
+    j = g.withColumn("reference_rate", F.coalesce(ref, F.lit(0.0)))
     return j.select(
         group_col, "n", "positive",
         round_half_up(F.col("rate"), 4).alias("positive_rate"),
@@ -131,9 +157,10 @@ def odds_by_group(scored: DataFrame, group_col: str, reference_group: str, truth
         F.count_if(~t & p).alias("fp"), F.count_if(~t & ~p).alias("tn"))
     g = g.withColumns({"tpr": _rate(F.col("tp"), F.col("tp") + F.col("fn")),
                        "fpr": _rate(F.col("fp"), F.col("fp") + F.col("tn"))})
-    ref = g.filter(F.col(group_col) == reference_group).select(F.col("tpr").alias("ref_tpr"), F.col("fpr").alias("ref_fpr"))
-    j = g.withColumn("__k", F.lit(1)).join(F.broadcast(ref.withColumn("__k", F.lit(1))), "__k", "left").drop("__k")
-    j = j.withColumns({"ref_tpr": F.coalesce("ref_tpr", F.lit(0.0)), "ref_fpr": F.coalesce("ref_fpr", F.lit(0.0))})
+    everything = Window.partitionBy(F.lit(1))
+    is_ref = F.col(group_col) == reference_group
+    j = g.withColumns({"ref_tpr": F.coalesce(F.max(F.when(is_ref, F.col("tpr"))).over(everything), F.lit(0.0)),
+                       "ref_fpr": F.coalesce(F.max(F.when(is_ref, F.col("fpr"))).over(everything), F.lit(0.0))})
     return j.select(
         group_col, "tp", "fn", "fp", "tn",
         round_half_up(F.col("tpr"), 4).alias("tpr"), round_half_up(F.col("fpr"), 4).alias("fpr"),

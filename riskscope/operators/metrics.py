@@ -23,17 +23,17 @@ METRIC_PREFIX = "riskscope"
 
 def counters(results: DataFrame, label_col: str = "label", review_col: str = "requires_human_review") -> DataFrame:
     """``(metric, key, value)`` rows: requests, per label, per review
-    status.  One partial aggregate on (label, review) (<= 8 groups), then
-    the three roll-ups of that tiny table."""
-    base = results.groupBy(label_col, review_col).agg(F.count(F.lit(1)).alias("n"))
+    status.  One ``cube`` over (label, review): a single scan and a single
+    partial + final aggregate produce all three roll-ups (``grouping_id``
+    tells them apart; the (label, review) cells are dropped)."""
+    g = results.cube(label_col, review_col).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("__gid"))
+    gid = F.col("__gid")
     status = F.when(F.col(review_col), F.lit("review_required")).otherwise(F.lit("no_review"))
-    req = base.agg(F.sum("n").alias("value")).select(F.lit("requests_total").alias("metric"), F.lit("").alias("key"),
-                                                     F.coalesce("value", F.lit(0)).cast("bigint").alias("value"))
-    lab = base.groupBy(label_col).agg(F.sum("n").cast("bigint").alias("value")).select(
-        F.lit("label_total").alias("metric"), F.col(label_col).alias("key"), "value")
-    rev = base.groupBy(status.alias("key")).agg(F.sum("n").cast("bigint").alias("value")).select(
-        F.lit("review_total").alias("metric"), "key", "value")
-    return req.unionByName(lab).unionByName(rev)
+    return g.filter(gid != 0).select(
+        F.when(gid == 3, F.lit("requests_total")).when(gid == 1, F.lit("label_total"))
+        .otherwise(F.lit("review_total")).alias("metric"),
+        F.when(gid == 3, F.lit("")).when(gid == 1, F.col(label_col)).otherwise(status).alias("key"),
+        F.col("n").cast("bigint").alias("value"))
 
 
 def exposition_lines(counter_df: DataFrame, prefix: str = METRIC_PREFIX) -> DataFrame:
@@ -63,85 +63,93 @@ def confusion_dense(pairs: DataFrame, k: int = 4, true_col: str = "y_true", pred
     return d.select("y_true", *[F.col(str(i)).cast("bigint").alias(f"p{i}") for i in range(k)])
 
 
+def _class_table(pairs: DataFrame, k: int, true_col: str, pred_col: str) -> DataFrame:
+    """One row, column ``c``: the k per-class records (label order) with
+    tp, fp, fn, precision, recall, f1 and support.  Built from the k x k
+    confusion counts in one aggregate, so every report below is a single
+    branch over one scan of the input."""
+    c = confusion(pairs, true_col, pred_col)
+    t, p, n = F.col("y_true"), F.col("y_pred"), F.col("n")
+    stats = c.agg(*[
+        a for i in range(k) for a in (
+            F.coalesce(F.sum(F.when((t == i) & (p == i), n)), F.lit(0)).alias(f"tp{i}"),
+            F.coalesce(F.sum(F.when((t != i) & (p == i), n)), F.lit(0)).alias(f"fp{i}"),
+            F.coalesce(F.sum(F.when((t == i) & (p != i), n)), F.lit(0)).alias(f"fn{i}"))])
+    raw = F.array(*[F.struct(F.lit(i).alias("label_id"), F.lit(LABELS[i] if i < len(LABELS) else str(i)).alias("label"),
+                             F.col(f"tp{i}").cast("bigint").alias("tp"), F.col(f"fp{i}").cast("bigint").alias("fp"),
+                             F.col(f"fn{i}").cast("bigint").alias("fn")) for i in range(k)])
+
+    def finish(x):
+        prec = F.when(x["tp"] + x["fp"] == 0, F.lit(0.0)).otherwise(x["tp"] / (x["tp"] + x["fp"]))
+        rec = F.when(x["tp"] + x["fn"] == 0, F.lit(0.0)).otherwise(x["tp"] / (x["tp"] + x["fn"]))
+        return F.struct(x["label_id"].alias("label_id"), x["label"].alias("label"), x["tp"].alias("tp"),
+                        prec.cast("double").alias("precision"), rec.cast("double").alias("recall"),
+                        (x["tp"] + x["fn"]).alias("support"))
+
+    def add_f1(x):
+        pr, rc = x["precision"], x["recall"]
+        f1 = F.when(pr + rc == 0, F.lit(0.0)).otherwise(F.lit(2.0) * pr * rc / (pr + rc))
+        return F.struct(x["label_id"].alias("label_id"), x["label"].alias("label"), x["tp"].alias("tp"),
+                        pr.alias("precision"), rc.alias("recall"), f1.alias("f1"), x["support"].alias("support"))
+
+    return stats.select(F.transform(F.transform(raw, finish), add_f1).alias("c"))
+
+
 def per_class(pairs: DataFrame, k: int = 4, true_col: str = "y_true", pred_col: str = "y_pred") -> DataFrame:
     """``(label_id, label, precision, recall, f1, support)`` for every
     class of the label dimension, zero-filled (a class absent from the data
     still gets its row; zero division gives 0)."""
-    spark: SparkSession = pairs.sparkSession
-    c = confusion(pairs, true_col, pred_col)
-    stats = c.groupBy().agg(*[
-        agg for i in range(k) for agg in (
-            F.sum(F.when((F.col("y_true") == i) & (F.col("y_pred") == i), F.col("n")).otherwise(0)).alias(f"tp{i}"),
-            F.sum(F.when((F.col("y_true") != i) & (F.col("y_pred") == i), F.col("n")).otherwise(0)).alias(f"fp{i}"),
-            F.sum(F.when((F.col("y_true") == i) & (F.col("y_pred") != i), F.col("n")).otherwise(0)).alias(f"fn{i}"),
-        )])
-    dim = spark.createDataFrame([(i, LABELS[i] if i < len(LABELS) else str(i)) for i in range(k)], "label_id int, label string")
-    rows = stats.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("label_id"), F.coalesce(F.col(f"tp{i}"), F.lit(0)).alias("tp"),
-                 F.coalesce(F.col(f"fp{i}"), F.lit(0)).alias("fp"), F.coalesce(F.col(f"fn{i}"), F.lit(0)).alias("fn"))
-        for i in range(k)])).alias("s")).select("s.*")
-    p = F.when(F.col("tp") + F.col("fp") == 0, F.lit(0.0)).otherwise(F.col("tp") / (F.col("tp") + F.col("fp")))
-    r = F.when(F.col("tp") + F.col("fn") == 0, F.lit(0.0)).otherwise(F.col("tp") / (F.col("tp") + F.col("fn")))
-    rows = rows.withColumns({"precision": p.cast("double"), "recall": r.cast("double")})
-    f1 = F.when(F.col("precision") + F.col("recall") == 0, F.lit(0.0)).otherwise(
-        F.lit(2.0) * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
-    rows = rows.withColumn("f1", f1).withColumn("support", (F.col("tp") + F.col("fn")).cast("bigint"))
-    return F.broadcast(dim).join(rows, "label_id").select("label_id", "label", "precision", "recall", "f1", "support")
+    return (_class_table(pairs, k, true_col, pred_col).select(F.explode("c").alias("s"))
+            .select("s.label_id", "s.label", "s.precision", "s.recall", "s.f1", "s.support"))
 
 
-def eval_metrics(pairs: DataFrame, k: int = 4, true_col: str = "y_true", pred_col: str = "y_pred",
-                 digits: int = 6) -> DataFrame:
-    """Accuracy and support-weighted precision, recall, F1 (one row).
-    Sums run over the k per-class rows in label order, so the float result
-    does not depend on partitioning."""
-    pc = per_class(pairs, k, true_col, pred_col)
-    agg = pc.agg(F.array_sort(F.collect_list(F.struct("label_id", "precision", "recall", "f1", "support"))).alias("c"))
+def _sums(digits: int, k: int):
+    n = F.aggregate("c", F.lit(0).cast("bigint"), lambda acc, x: acc + x["support"])
 
     def wsum(field):
         return F.aggregate("c", F.lit(0.0), lambda acc, x: acc + x[field] * x["support"].cast("double"))
 
-    n = F.aggregate("c", F.lit(0).cast("bigint"), lambda acc, x: acc + x["support"])
-    hits = confusion(pairs, true_col, pred_col).agg(
-        F.coalesce(F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n"))), F.lit(0)).alias("__tp"))
+    def msum(field):
+        return F.aggregate("c", F.lit(0.0), lambda acc, x: acc + x[field])
 
-    def safe(x):
-        return round_half_up(F.when(n == 0, F.lit(0.0)).otherwise(x / n.cast("double")), digits)
+    def div(x, d):
+        return round_half_up(F.when(d == 0, F.lit(0.0)).otherwise(x / d.cast("double")), digits)
 
-    one = F.lit(1)
-    agg = agg.withColumn("__k", one).join(hits.withColumn("__k", one), "__k")
-    return agg.select(safe(F.col("__tp").cast("double")).alias("accuracy"), safe(wsum("precision")).alias("precision"),
-                      safe(wsum("recall")).alias("recall"), safe(wsum("f1")).alias("f1"), n.alias("support"))
+    tp = F.aggregate("c", F.lit(0).cast("bigint"), lambda acc, x: acc + x["tp"])
+    return n, tp, wsum, msum, div
+
+
+def eval_metrics(pairs: DataFrame, k: int = 4, true_col: str = "y_true", pred_col: str = "y_pred",
+                 digits: int = 6) -> DataFrame:
+    """Accuracy and support-weighted precision, recall, F1 (one row).
+    Sums run over the k per-class records in label order, so the float
+    result does not depend on partitioning."""
+    n, tp, wsum, _msum, div = _sums(digits, k)
+    return _class_table(pairs, k, true_col, pred_col).select(
+        div(tp.cast("double"), n).alias("accuracy"), div(wsum("precision"), n).alias("precision"),
+        div(wsum("recall"), n).alias("recall"), div(wsum("f1"), n).alias("f1"), n.alias("support"))
 
 
 def eval_report(pairs: DataFrame, k: int = 4, true_col: str = "y_true", pred_col: str = "y_pred",
                 digits: int = 6) -> DataFrame:
     """Per-class rows plus ``accuracy``, ``macro avg`` and
-    ``weighted avg`` rows, each with its support."""
-    pc = per_class(pairs, k, true_col, pred_col)
-    rnd = lambda c: round_half_up(F.col(c), digits)
-    cls = pc.select(F.col("label").alias("row"), rnd("precision").alias("precision"), rnd("recall").alias("recall"),
-                    rnd("f1").alias("f1"), "support")
-    agg = pc.agg(F.array_sort(F.collect_list(F.struct("label_id", "precision", "recall", "f1", "support"))).alias("c"))
-    n = F.aggregate("c", F.lit(0).cast("bigint"), lambda acc, x: acc + x["support"])
-
-    def msum(field):
-        return F.aggregate("c", F.lit(0.0), lambda acc, x: acc + x[field])
-
-    def wsum(field):
-        return F.aggregate("c", F.lit(0.0), lambda acc, x: acc + x[field] * x["support"].cast("double"))
-
-    def div(x, d):
-        return round_half_up(F.when(d == 0, F.lit(0.0)).otherwise(x / d.cast("double")), digits)
-
-    macro = agg.select(F.lit("macro avg").alias("row"), div(msum("precision"), F.lit(k)).alias("precision"),
-                       div(msum("recall"), F.lit(k)).alias("recall"), div(msum("f1"), F.lit(k)).alias("f1"),
-                       n.alias("support"))
-    weighted = agg.select(F.lit("weighted avg").alias("row"), div(wsum("precision"), n).alias("precision"),
-                          div(wsum("recall"), n).alias("recall"), div(wsum("f1"), n).alias("f1"), n.alias("support"))
-    acc = agg.select(F.lit("accuracy").alias("row"), F.lit(None).cast("double").alias("precision"),
-                     F.lit(None).cast("double").alias("recall"), div(wsum("recall"), n).alias("f1"),
-                     n.alias("support"))
-    return cls.unionByName(acc).unionByName(macro).unionByName(weighted)
+    ``weighted avg`` rows, each with its support (one branch, exploded)."""
+    n, _tp, wsum, msum, div = _sums(digits, k)
+    kk = F.lit(k).cast("bigint")
+
+    def row(name, p, r, f, sup):
+        return F.struct(name.alias("row"), p.cast("double").alias("precision"), r.cast("double").alias("recall"),
+                        f.cast("double").alias("f1"), sup.cast("bigint").alias("support"))
+
+    per = F.transform("c", lambda x: row(x["label"], round_half_up(x["precision"], digits),
+                                         round_half_up(x["recall"], digits), round_half_up(x["f1"], digits),
+                                         x["support"]))
+    tail = F.array(
+        row(F.lit("accuracy"), F.lit(None), F.lit(None), div(wsum("recall"), n), n),
+        row(F.lit("macro avg"), div(msum("precision"), kk), div(msum("recall"), kk), div(msum("f1"), kk), n),
+        row(F.lit("weighted avg"), div(wsum("precision"), n), div(wsum("recall"), n), div(wsum("f1"), n), n))
+    return (_class_table(pairs, k, true_col, pred_col).select(F.explode(F.concat(per, tail)).alias("r"))
+            .select("r.*"))
 
 
 # --------------------------------------------------------------------------

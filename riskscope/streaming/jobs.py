@@ -39,9 +39,15 @@ from ..session import checkpoint_dir, scratch_path
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int = 1) -> DataFrame:
     """A file stream over one table of ``sf_dir`` (schema from the table)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
+    static = spark.read.parquet(path)
+    stream = (spark.readStream.schema(static.schema).option("pathGlobFilter", f"{name}.parquet")
+              .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
+    # Same rule as session.balanced: only when the files arrive in fewer
+    # splits than there are cores is each micro-batch spread out.
+    target = spark.sparkContext.defaultParallelism * 2
+    if static.rdd.getNumPartitions() * 2 <= target // 2:
+        stream = stream.repartition(target)
+    return stream
 
 
 def _run(writer, name: str, spark: SparkSession) -> str:
