@@ -132,3 +132,53 @@ def chunk_request_ids(df: DataFrame, batch_col: str = "batch_id", idx_col: str =
 def in_input_order(df: DataFrame, batch_col: str = "batch_id", idx_col: str = "item_idx") -> DataFrame:
     """Numeric order of (batch, item)."""
     return df.orderBy(F.col(batch_col), F.col(idx_col))
+
+
+def classify_file(spark, path: str, output_path: str | None = None, fmt: str | None = None,
+                  scorer=None, **classify_kw) -> DataFrame:
+    """I4: read ``.json`` / ``.jsonl`` / ``.txt`` texts (S2-S5), reject empty
+    items, classify the rest and, when ``output_path`` is given, write the
+    results as JSON (S7).  ``scorer`` adds a ``probs`` column (e.g.
+    ``operators.scoring.score_with_model``); without one every row takes the
+    fallback score.  Returns the result frame (``item_idx`` keeps the input
+    order)."""
+    from ..operators.validation import reject_single
+    from ..sources.io import read_texts, write_json
+
+    items = reject_single(read_texts(spark, path, fmt))
+    valid = items.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    scored = scorer(valid) if scorer else valid.withColumn("probs", F.lit(None).cast("array<double>"))
+    res = result_view(classify(scored, **classify_kw), key="item_idx")
+    if output_path:
+        write_json(res, output_path)
+    return res
+
+
+def run_batch(df: DataFrame, output_path: str, batch_col: str | None = None, key: str = "doc_id",
+              fmt: str = "parquet", **classify_kw) -> dict:
+    """Classify ``df`` (rows with empty or blank text are counted as
+    failed, not classified), write the results, and return the batch stats
+    ``total, processed, failed, elapsed_ms, items_per_second``.  The counts
+    come from an ``Observation`` on the same write - no second pass."""
+    import time
+
+    from pyspark.sql import Observation
+
+    from ..operators.validation import reject_single
+
+    obs = Observation("batch_stats")
+    checked = reject_single(df).observe(
+        obs, F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col("reject_reason").isNull()).alias("processed"),
+        F.count_if(F.col("reject_reason").isNotNull()).alias("failed"))
+    out = classify(checked.filter(F.col("reject_reason").isNull()), **classify_kw)
+    cols = [key] + ([batch_col] if batch_col else [])
+    t0 = time.perf_counter()
+    out.select(*cols, "label", "confidence", "risk_score", "flagged_terms", "requires_human_review",
+               "bias_metadata", "reasoning", "rule_amplification").write.mode("overwrite").format(fmt).save(output_path)
+    elapsed = (time.perf_counter() - t0) * 1000.0
+    m = obs.get
+    stats = {k: int(m.get(k, 0)) for k in ("total", "processed", "failed")}
+    stats["elapsed_ms"] = round(elapsed, 2)
+    stats["items_per_second"] = round(stats["processed"] / (elapsed / 1000.0), 2) if elapsed > 0 else 0.0
+    return stats

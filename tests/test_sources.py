@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskscope.plans.prepare import PrepareOptions, prepare
 from riskscope.sources import io
@@ -76,3 +77,19 @@ def test_prepare_failures(spark, tmp_dir):
     nolabel = _write(os.path.join(tmp_dir, "nl.csv"), b"text\nx\n")
     with pytest.raises(ValueError, match="missing"):
         prepare(spark, nolabel, os.path.join(tmp_dir, "o3"))
+
+
+def test_classify_file_and_batch_stats(spark, tmp_dir):
+    from riskscope.plans.classify import classify_file, run_batch
+    p = _write(os.path.join(tmp_dir, "in.jsonl"),
+               b'{"text": "stop the attack now"}\n{"content": "a calm day"}\n{"other": 1}\n')
+    out = os.path.join(tmp_dir, "res")
+    res = classify_file(spark, p, out)
+    rows = res.orderBy("item_idx").collect()
+    assert len(rows) == 2 and rows[0]["flagged_terms"] == ["attack"]
+    assert "ML model unavailable" in rows[1]["reasoning"]
+    assert spark.read.json(out).count() == 2
+    df = spark.createDataFrame([(1, "kill"), (2, ""), (3, "fine"), (4, "  ")], "doc_id long, text string")
+    df = df.withColumn("probs", F.lit(None).cast("array<double>"))
+    st = run_batch(df, os.path.join(tmp_dir, "batch"))
+    assert (st["total"], st["processed"], st["failed"]) == (4, 2, 2) and st["elapsed_ms"] > 0
