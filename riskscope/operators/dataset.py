@@ -88,8 +88,11 @@ def split_quotas(counts: DataFrame, fractions: tuple[float, float, float], label
     for name, frac in (("test", test), ("val", val)):
         total = F.floor(F.col("__N") * F.lit(float(frac)) + F.lit(0.5)).cast("bigint")
         c = c.withColumn(f"__T_{name}", total)
-        c = c.withColumn(f"__base_{name}", F.floor(F.col("n") * F.col(f"__T_{name}") / F.col("__N")).cast("bigint"))
-        c = c.withColumn(f"__rem_{name}", (F.col("n") * F.col(f"__T_{name}")) % F.col("__N"))
+        # n*T overflows a long past ~3e9 rows: exact decimal(38,0) arithmetic
+        prod = F.col("n").cast("decimal(38,0)") * F.col(f"__T_{name}").cast("decimal(38,0)")
+        big_n = F.col("__N").cast("decimal(38,0)")
+        c = c.withColumn(f"__rem_{name}", prod % big_n)
+        c = c.withColumn(f"__base_{name}", ((prod - F.col(f"__rem_{name}")) / big_n).cast("bigint"))
         c = c.withColumn(f"__rank_{name}", F.row_number().over(
             Window.partitionBy(F.lit(1)).orderBy(F.desc(f"__rem_{name}"), F.col(label_col))))
         left = F.col(f"__T_{name}") - F.sum(f"__base_{name}").over(all_w)
@@ -105,20 +108,29 @@ def split_hash(key: str, seed: int):
 
 def stratified_split(df: DataFrame, key: str, label_col: str = "label",
                      fractions: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 42,
-                     min_class_rows: int = 3) -> DataFrame:
+                     min_class_rows: int = 3, num_labels: int = 4) -> DataFrame:
     """H1: adds ``split`` in {train, val, test}.  Exact per-class sizes; the
     same input and seed always give the same assignment, at any
-    partitioning.  Classes with fewer than ``min_class_rows`` rows get
-    ``split = null`` and ``split_error`` set (the job should fail on them)."""
-    h = split_hash(key, seed)
-    rows = df.withColumns({"__h": h}).withColumn(
-        "__b", F.conv(F.substring("__h", 1, BUCKET_HEX), 16, 10).cast("int"))
-    counts = rows.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
+    partitioning.  Rows whose label is outside ``[0, num_labels)`` and all
+    rows of classes with fewer than ``min_class_rows`` rows get
+    ``split = null`` and ``split_error`` set (the job should fail on them).
+
+    The input is read twice: once for the bucket counts (per-class counts
+    are sums of those), once for the assignment.  The bucket table has at
+    most 65,536 x ``num_labels`` rows by construction and is broadcast only
+    when ``num_labels <= BROADCAST_MAX_CLASSES``."""
+    lab = F.col(label_col)
+    in_range = lab.isNotNull() & (lab >= 0) & (lab < num_labels)
+    rows = (df.withColumn("__h", split_hash(key, seed))
+            .withColumn("__b", F.when(in_range, F.conv(F.substring("__h", 1, BUCKET_HEX), 16, 10).cast("int"))))
+    buckets = (rows.filter(F.col("__b").isNotNull()).groupBy(label_col, "__b")
+               .agg(F.count(F.lit(1)).alias("__bn")))
+    counts = buckets.groupBy(label_col).agg(F.sum("__bn").alias("n"))
     quotas = split_quotas(counts, fractions, label_col)
-    buckets = rows.groupBy(label_col, "__b").agg(F.count(F.lit(1)).alias("__bn"))
     w = Window.partitionBy(label_col).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    small = num_labels <= BROADCAST_MAX_CLASSES
     buckets = (buckets.withColumn("__start", F.coalesce(F.sum("__bn").over(w), F.lit(0)).cast("bigint"))
-               .join(F.broadcast(quotas), label_col))
+               .join(F.broadcast(quotas) if small else quotas, label_col))
     t1 = F.col("n_test")
     t2 = F.col("n_test") + F.col("n_val")
     start, end = F.col("__start"), F.col("__start") + F.col("__bn")
@@ -126,18 +138,20 @@ def stratified_split(df: DataFrame, key: str, label_col: str = "label",
         "__whole", F.when(end <= t1, F.lit("test")).when((start >= t1) & (end <= t2), F.lit("val"))
         .when(start >= t2, F.lit("train"))).withColumn("__small", F.col("n") < min_class_rows)
     bt = buckets.select(label_col, "__b", "__start", "__whole", "__small", "n_test", "n_val")
-    joined = rows.join(F.broadcast(bt), [label_col, "__b"])
+    joined = rows.join(F.broadcast(bt) if small else bt, [label_col, "__b"], "left")
 
-    direct = joined.filter(F.col("__whole").isNotNull()).withColumn("split", F.col("__whole"))
-    edge = joined.filter(F.col("__whole").isNull())
+    direct = joined.filter(F.col("__whole").isNotNull() | F.col("__b").isNull()).withColumn("split", F.col("__whole"))
+    edge = joined.filter(F.col("__whole").isNull() & F.col("__b").isNotNull())
     pos = F.col("__start") + F.row_number().over(Window.partitionBy(label_col, "__b").orderBy("__h", key)) - 1
     edge = edge.withColumn("__pos", pos).withColumn(
         "split", F.when(F.col("__pos") < F.col("n_test"), F.lit("test"))
         .when(F.col("__pos") < F.col("n_test") + F.col("n_val"), F.lit("val")).otherwise(F.lit("train"))).drop("__pos")
     out = direct.unionByName(edge)
+    bad = F.col("__b").isNull()
     out = out.withColumns({
-        "split": F.when(F.col("__small"), F.lit(None).cast("string")).otherwise(F.col("split")),
-        "split_error": F.when(F.col("__small"), F.lit(f"class has fewer than {min_class_rows} rows")),
+        "split": F.when(F.col("__small") | bad, F.lit(None).cast("string")).otherwise(F.col("split")),
+        "split_error": F.when(bad, F.lit(f"label outside [0, {num_labels})"))
+        .when(F.col("__small"), F.lit(f"class has fewer than {min_class_rows} rows")),
     })
     return out.drop("__h", "__b", "__start", "__whole", "__small", "n_test", "n_val")
 

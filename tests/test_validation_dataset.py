@@ -86,3 +86,24 @@ def test_histogram_and_manifest_counts(spark):
     assert m["before_split"] == (100, {"0": 25, "1": 25, "2": 25, "3": 25})
     assert sum(m[s][0] for s in ("train", "val", "test")) == 100
     assert {r["label"]: r["n"] for r in D.label_histogram(_frame(spark)).collect()} == {0: 25, 1: 25, 2: 25, 3: 25}
+
+
+def test_split_flags_out_of_range_labels(spark):
+    df = spark.createDataFrame([(i, "t", i % 2) for i in range(40)] + [(100, "u", 7), (101, "v", None)],
+                               "k long, text string, label int")
+    sp = {r["k"]: (r["split"], r["split_error"]) for r in D.stratified_split(df, "k", "label").collect()}
+    assert sp[100] == (None, "label outside [0, 4)") and sp[101] == (None, "label outside [0, 4)")
+    assert sum(1 for k, v in sp.items() if v[0] is not None) == 40
+
+
+def test_split_quotas_exact_for_huge_counts(spark):
+    ns = [4_000_000_007, 3_000_000_011, 2_000_000_003, 999_999_937]
+    counts = spark.createDataFrame(list(enumerate(ns)), "label int, n long")
+    q = {r["label"]: (r["n_test"], r["n_val"]) for r in D.split_quotas(counts, (0.7, 0.15, 0.15)).collect()}
+    total = sum(ns)
+    t = int(total * 0.15 + 0.5)
+    base = [n * t // total for n in ns]
+    rem = [n * t % total for n in ns]
+    order = sorted(range(4), key=lambda i: (-rem[i], i))
+    want = {i: base[i] + (1 if order.index(i) < t - sum(base) else 0) for i in range(4)}
+    assert {i: q[i][0] for i in q} == want and sum(v[0] for v in q.values()) == t
