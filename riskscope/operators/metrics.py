@@ -169,41 +169,45 @@ def batch_stats(df: DataFrame, batch_col: str = "batch_id", reason_col: str = "r
 # G18 TTL cache replay
 # --------------------------------------------------------------------------
 
-def _next_after(events: DataFrame, keys: list[str], ttl: int) -> DataFrame:
+def _next_after(events: DataFrame, keys: list[str], ttl: int, width: int) -> DataFrame:
     """For every event, the first event of its key strictly later than
     ``t + ttl`` (an as-of lookup), without ordering any key as a whole.
 
-    Time is cut into buckets of width ``ttl``.  The probe ``t + ttl`` of an
-    event in bucket b lies in bucket b+1, so the answer is either an event of
-    bucket b+1 (running minimum over that one bucket, ordered by time
-    descending with the probe before equal-time events) or the first event
-    of the first non-empty bucket >= b+2 (``lead`` over the per-bucket
-    summary table, one row per key and bucket)."""
-    ev = events.withColumn("__b", F.floor(F.col("__t") / F.lit(ttl)).cast("bigint"))
-    probes = ev.select(*keys, (F.col("__b") + 1).alias("__b"), (F.col("__t") + ttl).alias("__time"),
-                       F.lit(0).alias("__kind"), F.col("__id").alias("__src"), F.lit(None).cast("bigint").alias("__eid"),
-                       F.lit(None).cast("bigint").alias("__et"))
+    Time is cut into buckets of ``width``.  The probe ``p = t + ttl`` falls
+    in bucket ``floor(p / width)``; the answer is the earliest event of that
+    bucket later than ``p`` (running minimum over the one bucket, time
+    descending, probe before equal-time events) or else the first event of
+    the next non-empty bucket (running ``last(ignorenulls)`` over a per-key
+    summary with one row per non-empty or probed bucket).  A window task
+    holds one bucket of one key; the summary holds at most
+    ``2 * time span / width`` rows per key, whatever the event count."""
+    ev = events.withColumn("__b", F.floor(F.col("__t") / F.lit(width)).cast("bigint"))
+    probes = ev.select(*keys, F.floor((F.col("__t") + ttl) / F.lit(width)).cast("bigint").alias("__b"),
+                       (F.col("__t") + ttl).alias("__time"), F.lit(0).alias("__kind"), F.col("__id").alias("__src"),
+                       F.lit(None).cast("bigint").alias("__eid"), F.lit(None).cast("bigint").alias("__et"))
     evrows = ev.select(*keys, "__b", F.col("__t").alias("__time"), F.lit(1).alias("__kind"),
                        F.lit(None).cast("bigint").alias("__src"), F.col("__id").alias("__eid"),
                        F.col("__t").alias("__et"))
-    u = probes.unionByName(evrows)
     w = (Window.partitionBy(*keys, "__b").orderBy(F.desc("__time"), F.asc("__kind"))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cand = F.min(F.when(F.col("__kind") == 1, F.struct(F.col("__et").alias("t"), F.col("__eid").alias("id")))).over(w)
-    inb = u.withColumn("__c", cand).filter(F.col("__kind") == 0).select(F.col("__src").alias("__id"),
-                                                                      F.col("__c.id").alias("__n1"))
-    bt = ev.groupBy(*keys, "__b").agg(F.min(F.struct(F.col("__t").alias("t"), F.col("__id").alias("id"))).alias("__f"))
-    wb = Window.partitionBy(*keys).orderBy("__b")
-    bt = bt.withColumns({"__nb1": F.lead("__b", 1).over(wb), "__nf1": F.lead("__f", 1).over(wb),
-                         "__nf2": F.lead("__f", 2).over(wb)})
-    bt = bt.select(*keys, "__b", F.when(F.col("__nb1") >= F.col("__b") + 2, F.col("__nf1.id"))
-                   .otherwise(F.col("__nf2.id")).alias("__n2"))
-    out = ev.join(bt, [*keys, "__b"], "left").join(inb, "__id", "left")
-    return out.select(*keys, "__id", "__t", F.coalesce("__n1", "__n2").alias("__next"))
+    inb = (probes.unionByName(evrows).withColumn("__c", cand).filter(F.col("__kind") == 0)
+           .select(*keys, F.col("__src").alias("__id"), "__b", F.col("__c.id").alias("__n1")))
+
+    firsts = (ev.groupBy(*keys, "__b").agg(F.min(F.struct(F.col("__t").alias("t"), F.col("__id").alias("id"))).alias("__f"))
+              .withColumn("__kind", F.lit(1)))
+    asked = inb.filter(F.col("__n1").isNull()).select(*keys, "__b").distinct().select(
+        *keys, "__b", F.lit(None).cast(firsts.schema["__f"].dataType).alias("__f"), F.lit(0).alias("__kind"))
+    ws = (Window.partitionBy(*keys).orderBy(F.desc("__b"), F.asc("__kind"))
+          .rowsBetween(Window.unboundedPreceding, -1))
+    nxt = (asked.unionByName(firsts).withColumn("__nf", F.last("__f", ignorenulls=True).over(ws))
+           .filter(F.col("__kind") == 0).select(*keys, "__b", F.col("__nf.id").alias("__n2")))
+    out = inb.join(nxt, [*keys, "__b"], "left").select(*keys, "__id", F.coalesce("__n1", "__n2").alias("__next"))
+    return out
 
 
 def cache_replay(events: DataFrame, keys: list[str], ts_col: str, id_col: str, ttl_seconds: int,
-                 max_rounds: int = 64) -> DataFrame:
+                 max_rounds: int = 64, bucket_seconds: int | None = None) -> DataFrame:
     """Replay a TTL result cache of unlimited size per key.
 
     An event is a miss when no entry is stored or the stored time is more
@@ -220,7 +224,8 @@ def cache_replay(events: DataFrame, keys: list[str], ts_col: str, id_col: str, t
     checkpoint_dir(spark)
     ttl = int(ttl_seconds) * 1_000_000
     ev = events.select(*keys, F.unix_micros(F.col(ts_col).cast("timestamp")).alias("__t"), F.col(id_col).cast("bigint").alias("__id"))
-    nxt = _next_after(ev, keys, ttl).checkpoint()
+    width = int(bucket_seconds if bucket_seconds else min(int(ttl_seconds), 60)) * 1_000_000
+    nxt = _next_after(ev, keys, ttl, max(width, 1)).checkpoint()
     first = ev.groupBy(*keys).agg(F.min(F.struct("__t", "__id")).alias("__f")).select(F.col("__f.__id").alias("__id"))
     reach = first.checkpoint()
     jump = nxt.select("__id", F.col("__next").alias("__to")).filter(F.col("__to").isNotNull()).checkpoint()

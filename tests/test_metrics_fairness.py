@@ -28,8 +28,10 @@ def test_cache_replay_long_chain_matches_loop(spark):
             hits += 1
         else:
             misses, last = misses + 1, t
-    r = M.cache_replay(_events(spark, times), ["user_id", "event_type"], "ts", "event_id", 300).first()
-    assert (r["hits"], r["misses"]) == (hits, misses)
+    for width in (None, 7, 300, 5_000):
+        r = M.cache_replay(_events(spark, times), ["user_id", "event_type"], "ts", "event_id", 300,
+                           bucket_seconds=width).first()
+        assert (r["hits"], r["misses"]) == (hits, misses), width
 
 
 def test_per_class_zero_filled_and_weighted(spark):
