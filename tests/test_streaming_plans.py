@@ -45,10 +45,18 @@ def _physical(df):
 
 
 def test_classify_is_narrow_and_native(spark):
-    plan = _physical(Q.classified_corpus(spark, SF_SMALL))
+    from riskscope.plans.classify import classify
+    from riskscope.plans.corpus import fixture_probs
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").withColumn("probs", fixture_probs(F.col("doc_id")))
+    plan = _physical(classify(docs))
     assert "Exchange" not in plan
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
     assert "WholeStageCodegen" in plan or "*(" in plan
+    # the registered builder only adds the round-robin spread of the
+    # single-row-group test file (session.balanced), nothing keyed
+    built = _physical(Q.classified_corpus(spark, SF_SMALL))
+    exchanges = [ln for ln in built.split("\n") if "Exchange" in ln]
+    assert exchanges and all("RoundRobinPartitioning" in ln for ln in exchanges)
 
 
 def test_scan_prunes_columns(spark):
