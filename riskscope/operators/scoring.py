@@ -98,16 +98,18 @@ def score_distinct(df: DataFrame, text_col: str, scorer: Callable[[DataFrame], D
     """Score every distinct text once and join the scores back.
 
     ``scorer`` maps a frame with ``text_col`` to the same frame plus
-    ``probs_col``.  The key is ``(xxhash64(text), text)``: the hash spreads
-    the shuffle, the text keeps it exact.  Distinct is a partial aggregate,
-    so a text repeated in a third of all rows is reduced per map task before
-    the shuffle; the join back is many-to-one and AQE splits a skewed side.
+    ``probs_col``.  Texts are identified by their SHA-256 digest: the
+    distinct step groups by the digest (partial aggregation, so a text
+    repeated in a third of all rows is reduced per map task before the
+    shuffle) and keeps one copy of the text to score; the scored side then
+    carries only ``(digest, probs)`` into the join back, which is
+    many-to-one on the digest (AQE splits a skewed side).
     """
-    h = "__text_hash"
-    keyed = df.withColumn(h, F.xxhash64(text_col))
-    uniq = keyed.select(h, text_col).distinct()
-    scored = scorer(uniq).select(h, text_col, probs_col)
-    return keyed.join(scored, [h, text_col], "left").drop(h)
+    h = "__text_sha256"
+    keyed = df.withColumn(h, F.sha2(F.col(text_col), 256))
+    uniq = keyed.groupBy(h).agg(F.any_value(text_col).alias(text_col))
+    scored = scorer(uniq).select(h, probs_col)
+    return keyed.join(scored, h, "left").drop(h)
 
 
 def score_with_model(df: DataFrame, text_col: str, load_model: Callable[[], Callable], n_labels: int = 4,
