@@ -140,25 +140,38 @@ def match_rules(df: DataFrame, cleaned_col: str = "cleaned", lexicon: Lexicon =
     return df.drop("__kw_all", *[n for _, n in sev_cols])
 
 
-def ngrams_in_runs(cleaned: Column, max_n: int) -> Column:
+def ngrams_in_runs(cleaned: Column, max_n: int, first_words: list[str] | None = None) -> Column:
     """All word n-grams (n <= max_n) that lie inside one apostrophe-free run.
 
     ``\\bour people\\b`` needs a real space between the words, so n-grams never
-    cross an apostrophe, while ``enemy's`` still yields ``enemy``.
+    cross an apostrophe, while ``enemy's`` still yields ``enemy``.  With
+    ``first_words`` (the first words of the multi-word terms) only n-grams
+    (n >= 2) starting with one of them are built: the others cannot match.
     """
     runs = F.filter(F.transform(F.split(cleaned, "'"), lambda r: F.filter(F.split(r, " "), lambda w: w != "")),
                     lambda ws: F.size(ws) > 0)
+    starts = F.array(*[F.lit(w) for w in first_words]) if first_words else None
+
     def grams_of(n):
         def per_run(ws):
             # sequence(1, 0) counts down, so short runs get an empty index list
             idx = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - n + 1)).otherwise(F.array().cast("array<int>"))
+            if n > 1 and starts is not None:
+                idx = F.filter(idx, lambda i: F.array_contains(starts, F.element_at(ws, i)))
             return F.transform(idx, lambda i: F.array_join(F.slice(ws, i, n), " "))
         return per_run
 
+    if max_n > 1 and first_words is not None and not first_words:
+        max_n = 1
     grams = [F.flatten(F.transform(runs, grams_of(n))) for n in range(1, max_n + 1)]
     return F.flatten(F.array(*grams))
 
 
+#: Largest number of distinct first words of multi-word terms that is
+#: inlined as a literal filter for n-gram start positions.
+MAX_LITERAL_FIRST_WORDS = 256
+
+
 def rule_hits_long(df: DataFrame, rules: DataFrame, key: str = "doc_id", cleaned_col: str = "cleaned") -> DataFrame:
     """Hits in long form ``(key, ord, kind, group, term, weight)``.
 
@@ -172,7 +185,12 @@ def rule_hits_long(df: DataFrame, rules: DataFrame, key: str = "doc_id", cleaned
     kw = rules.filter(F.col("kind") == "keyword").withColumn("term", F.lower("term"))
     n_rules = rules.count()
     max_n = kw.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
-    grams = df.select(F.col(key), F.explode(F.array_distinct(ngrams_in_runs(F.col(cleaned_col), max_n))).alias("term"))
+    firsts = kw.filter(F.size(F.split("term", " ")) > 1).select(F.split("term", " ")[0].alias("w")).distinct()
+    first_words = None
+    if firsts.limit(MAX_LITERAL_FIRST_WORDS + 1).count() <= MAX_LITERAL_FIRST_WORDS:
+        first_words = sorted(r["w"] for r in firsts.collect())
+    grams = df.select(F.col(key), F.explode(F.array_distinct(
+        ngrams_in_runs(F.col(cleaned_col), max_n, first_words))).alias("term"))
     kw_side = F.broadcast(kw) if n_rules <= BROADCAST_RULES_MAX_ROWS else kw
     parts = [grams.join(kw_side, "term").select(key, "ord", "kind", "group", "term", "weight")]
 
