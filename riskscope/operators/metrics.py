@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..params import LABELS
+from ..functions.time import as_utc_instant
 from ..session import checkpoint_dir
 from .fusion import round_half_up
 
@@ -223,7 +224,8 @@ def cache_replay(events: DataFrame, keys: list[str], ts_col: str, id_col: str, t
     spark = events.sparkSession
     checkpoint_dir(spark)
     ttl = int(ttl_seconds) * 1_000_000
-    ev = events.select(*keys, F.unix_micros(F.col(ts_col).cast("timestamp")).alias("__t"), F.col(id_col).cast("bigint").alias("__id"))
+    ts = as_utc_instant(F.col(ts_col), events.schema[ts_col].dataType)
+    ev = events.select(*keys, F.unix_micros(ts).alias("__t"), F.col(id_col).cast("bigint").alias("__id"))
     width = int(bucket_seconds if bucket_seconds else min(int(ttl_seconds), 60)) * 1_000_000
     nxt = _next_after(ev, keys, ttl, max(width, 1)).checkpoint()
     first = ev.groupBy(*keys).agg(F.min(F.struct("__t", "__id")).alias("__f")).select(F.col("__f.__id").alias("__id"))

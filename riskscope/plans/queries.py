@@ -968,8 +968,8 @@ EPOCH_2024 = 1_704_067_200
 
 
 @register("stream_label_counts", _with(
-    "strftime(date_trunc('hour', make_timestamp((CAST(" + str(EPOCH_2024) + " AS BIGINT) + doc_id * 60) * 1000000)), "
-    "'%Y-%m-%d %H:%M:%S') AS window_start, label, len(review_reasons) > 0 AS requires_human_review, count(*) AS n",
+    "CAST(epoch(date_trunc('hour', make_timestamp((CAST(" + str(EPOCH_2024) + " AS BIGINT) + doc_id * 60) * 1000000))) "
+    "AS BIGINT) AS window_start, label, len(review_reasons) > 0 AS requires_human_review, count(*) AS n",
     tail="GROUP BY ALL"))
 def q_stream_label_counts(spark, sf_dir):
     """Label / review counters per 1-hour event-time window (a document's
@@ -983,8 +983,7 @@ def q_stream_label_counts(spark, sf_dir):
     out = fresh_dir(spark, "stream-labelcounts")
     label_counts_stream(st, "ts", "1 hour", "1 hour", out)
     res = latest(spark, out, ["window_start", "label", "requires_human_review"])
-    return res.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "label",
-                      "requires_human_review", "n")
+    return res.select(F.unix_seconds("window_start").alias("window_start"), "label", "requires_human_review", "n")
 
 
 @register("stream_categories", f"WITH {FAIR_CTES}\nSELECT category, total, positive FROM cat")
@@ -1015,10 +1014,12 @@ def q_stream_rate_limit(spark, sf_dir):
     """T5: per-user daily request counts as a stream; flags on the latest."""
     from ..streaming.jobs import fresh_dir, latest, rate_limit_stream, table_stream
     out = fresh_dir(spark, "stream-ratelimit")
-    ev = table_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    from ..functions.time import as_utc_instant, utc_date
+    ev = table_stream(spark, sf_dir, "events")
+    ev = ev.withColumn("ts", as_utc_instant(F.col("ts"), ev.schema["ts"].dataType))
     rate_limit_stream(ev, "user_id", "ts", "1 day", "1 day", out)
     res = latest(spark, out, ["window_start", "user_id"]).filter(F.col("n") > RATE_LIMIT_PER_DAY)
-    return res.select(F.to_date("window_start").alias("window_day"), "user_id", "n")
+    return res.select(utc_date(F.col("window_start")).alias("window_day"), "user_id", "n")
 
 
 @register("stream_ingest", REGISTRY["reject_single"][1])

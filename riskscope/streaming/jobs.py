@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.time import as_utc_instant
 from ..operators import validation as V
 from ..plans.classify import classify
 from ..session import checkpoint_dir, scratch_path
@@ -161,7 +162,8 @@ def cache_stream(events: DataFrame, keys: list[str], ts_col: str, id_col: str, t
     kf = [f for f in events.schema.fields if f.name in keys]
     out_schema = T.StructType([T.StructField(f.name, f.dataType) for f in kf] + [
         T.StructField("hits", T.LongType()), T.StructField("misses", T.LongType())])
-    ev = events.withColumn("__ts", F.col(ts_col).cast("timestamp")).withWatermark("__ts", watermark).select(
+    ts = as_utc_instant(F.col(ts_col), events.schema[ts_col].dataType)
+    ev = events.withColumn("__ts", ts).withWatermark("__ts", watermark).select(
         *keys, "__ts", F.unix_micros("__ts").alias("__t"), F.col(id_col).cast("bigint").alias("__id"))
     res = ev.groupBy(*keys).applyInPandasWithState(
         _cache_fn(ttl_us, keys), out_schema, CACHE_STATE, "update", GroupStateTimeout.EventTimeTimeout)
