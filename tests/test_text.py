@@ -12,7 +12,7 @@ ADVERSARIAL = [
     "a@b@c.d e", "u@.x.y z", "half½@½½x y", "http://😀x foo", "Check https://t.co/abc NOW!!", "@user hello",
     "I ❤️ this 😀 very much", "12 Monkeys and 7 dwarfs", "The Enemy's PLAN",
     "x a@b.c@d y", "@@a.b z", "a@.b c", "a@b. c", "foo@bar.com. end", "q a@b.c\u00a0d e", "a@b..c", "é@é.é x",
-    "multi\n  a.b@c.d\tnext", "@a@b.c", "x@@y.z w", "line\u2028a@b.c",
+    "multi\n  a.b@c.d\tnext", "@a@b.c", "x@@y.z w", "line\u2028a@b.c", "a@-b.c. x", "q@-.x.y z", "m@-x.",
 ]
 
 
