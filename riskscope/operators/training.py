@@ -9,6 +9,7 @@ scores come back as ``array<double>`` probabilities for ``score_probs``.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -21,6 +22,9 @@ from ..functions.text import clean, model_tokens, tokenize
 from ..params import MODEL_MAX_TOKENS
 
 
+ROWS_PER_PARTITION = 50_000
+
+
 def with_model_tokens(df: DataFrame, text_col: str = "text", out_col: str = "__tokens") -> DataFrame:
     """Cleaned whitespace tokens, cut at the model input length."""
     return df.withColumn(out_col, model_tokens(tokenize(clean(text_col)), MODEL_MAX_TOKENS))
@@ -28,24 +32,39 @@ def with_model_tokens(df: DataFrame, text_col: str = "text", out_col: str = "__t
 
 def train_classifier(train: DataFrame, val: DataFrame, text_col: str = "text", label_col: str = "label",
                      reg_params: tuple[float, ...] = (0.0, 0.01, 0.1), max_iter: int = 50,
-                     num_features: int = 1 << 18) -> tuple[PipelineModel, float, float]:
+                     num_features: int = 1 << 16) -> tuple[PipelineModel, float, float]:
     """Fit one pipeline per ``regParam``; return (best model, its regParam,
     its weighted F1 on ``val``)."""
+    # Iterative fitting runs one job per iteration and every partition ships
+    # a full gradient (classes x features): keep about ROWS_PER_PARTITION
+    # rows per partition, at most 4 per core (narrowing, no shuffle).
+    cap = train.sparkSession.sparkContext.defaultParallelism * 4
     tr = with_model_tokens(train, text_col).withColumn("__y", F.col(label_col).cast("double"))
-    va = with_model_tokens(val, text_col).withColumn("__y", F.col(label_col).cast("double"))
+    tr = tr.select("__tokens", "__y").persist(StorageLevel.MEMORY_AND_DISK)
+    want = max(1, min(cap, -(-tr.count() // ROWS_PER_PARTITION)))
+    if tr.rdd.getNumPartitions() > want:
+        narrowed = tr.coalesce(want).persist(StorageLevel.MEMORY_AND_DISK)
+        tr.unpersist()
+        tr = narrowed
+    va = with_model_tokens(val, text_col).withColumn("__y", F.col(label_col).cast("double")).select("__tokens", "__y")
+    va = va.persist(StorageLevel.MEMORY_AND_DISK)
     ev = MulticlassClassificationEvaluator(labelCol="__y", predictionCol="prediction", metricName="f1")
     best = None
-    for rp in reg_params:
-        pipe = Pipeline(stages=[
-            HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=num_features),
-            IDF(inputCol="__tf", outputCol="__features"),
-            LogisticRegression(featuresCol="__features", labelCol="__y", family="multinomial", regParam=rp,
-                               maxIter=max_iter),
-        ])
-        model = pipe.fit(tr)
-        f1 = ev.evaluate(model.transform(va))
-        if best is None or f1 > best[2]:
-            best = (model, rp, f1)
+    try:
+        for rp in reg_params:
+            pipe = Pipeline(stages=[
+                HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=num_features),
+                IDF(inputCol="__tf", outputCol="__features"),
+                LogisticRegression(featuresCol="__features", labelCol="__y", family="multinomial", regParam=rp,
+                                   maxIter=max_iter),
+            ])
+            model = pipe.fit(tr)
+            f1 = ev.evaluate(model.transform(va))
+            if best is None or f1 > best[2]:
+                best = (model, rp, f1)
+    finally:
+        tr.unpersist()
+        va.unpersist()
     return best
 
 

@@ -868,7 +868,8 @@ def q_train_and_score(spark, sf_dir):
     """E5 + E6: train on the 70% split of the labelled documents, pick the
     regularisation on the validation split, score the test split."""
     from ..operators.training import score_with_pipeline, train_classifier
-    sp = D.stratified_split(labelled_frame(spark, sf_dir), "doc_id", "label")
+    from ..session import materialize
+    sp = materialize(D.stratified_split(labelled_frame(spark, sf_dir), "doc_id", "label"))
     model, _rp, _f1 = train_classifier(sp.filter(F.col("split") == "train"), sp.filter(F.col("split") == "val"))
     test = sp.filter(F.col("split") == "test").select("doc_id", "text", "label")
     s = S.score_probs(score_with_pipeline(model, test), "probs")
