@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ustrip
+from ..session import checkpoint_dir
 
 SPLITS = ("train", "val", "test")
 #: Hex digits of the hash used for buckets: 16**4 = 65,536 buckets per class.
@@ -115,8 +116,10 @@ def stratified_split(df: DataFrame, key: str, label_col: str = "label",
     rows of classes with fewer than ``min_class_rows`` rows get
     ``split = null`` and ``split_error`` set (the job should fail on them).
 
-    The input is read twice: once for the bucket counts (per-class counts
-    are sums of those), once for the assignment.  The bucket table has at
+    The input is read once for the bucket counts (per-class counts are sums
+    of those; the bucket table is checkpointed, so this runs eagerly) and
+    once per output branch (rows of whole buckets, rows of boundary
+    buckets); pass a stored table when the input is expensive to compute.  The bucket table has at
     most 65,536 x ``num_labels`` rows by construction and is broadcast only
     when ``num_labels <= BROADCAST_MAX_CLASSES``."""
     lab = F.col(label_col)
@@ -137,7 +140,11 @@ def stratified_split(df: DataFrame, key: str, label_col: str = "label",
     buckets = buckets.withColumn(
         "__whole", F.when(end <= t1, F.lit("test")).when((start >= t1) & (end <= t2), F.lit("val"))
         .when(start >= t2, F.lit("train"))).withColumn("__small", F.col("n") < min_class_rows)
-    bt = buckets.select(label_col, "__b", "__start", "__whole", "__small", "n_test", "n_val")
+    # The bucket table is small (<= 65,536 x num_labels rows) but both union
+    # branches below would re-aggregate the input for it: store it once in
+    # the shared checkpoint folder.
+    checkpoint_dir(df.sparkSession)
+    bt = buckets.select(label_col, "__b", "__start", "__whole", "__small", "n_test", "n_val").checkpoint(eager=True)
     joined = rows.join(F.broadcast(bt) if small else bt, [label_col, "__b"], "left")
 
     direct = joined.filter(F.col("__whole").isNotNull() | F.col("__b").isNull()).withColumn("split", F.col("__whole"))

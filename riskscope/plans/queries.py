@@ -591,7 +591,8 @@ def prepared_split(spark, sf_dir) -> DataFrame:
     lf = labelled_frame(spark, sf_dir)
     lf = lf.withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.lit(" ")).otherwise(F.col("text")))
     rows, _stats = D.normalize(lf, "text", drop_empty_text=True)
-    deduped = D.dedupe_text(rows, "doc_id", "text")
+    from ..session import materialize
+    deduped = materialize(D.dedupe_text(rows, "doc_id", "text"))  # read more than once by the split
     return D.stratified_split(deduped, "doc_id", "label")
 
 
