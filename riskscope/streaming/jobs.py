@@ -15,10 +15,11 @@ state store (checkpointed, so it survives executor loss):
   from one persisted micro-batch.
 
 Aggregations run in ``update`` mode into an upsert log (``foreachBatch``
-appends the updated rows with the batch id); ``latest`` reads the newest
-version of each key.  That keeps the sink idempotent per batch id and
-works with ``availableNow`` triggers, where the last windows would never
-be emitted in ``append`` mode.
+writes the updated rows of batch n to its own ``batch_id=n`` directory,
+overwriting it on a retry); ``latest`` reads the newest version of each
+key.  That keeps the sink idempotent per batch id and works with
+``availableNow`` triggers, where the last windows would never be emitted in
+``append`` mode.
 """
 
 from __future__ import annotations
@@ -58,17 +59,27 @@ def _run(writer, name: str, spark: SparkSession) -> str:
     return ck
 
 
+def _batch_dir(out: str, batch_id: int) -> str:
+    """Each micro-batch owns one directory and overwrites it, so a batch
+    that is re-run after a failure replaces its output instead of adding
+    duplicates (idempotent ``foreachBatch``)."""
+    return f"{out.rstrip('/')}/batch_id={batch_id}"
+
+
+def write_batch(batch: DataFrame, out: str, batch_id: int) -> None:
+    """Write one micro-batch to its own directory (replaced on a re-run)."""
+    batch.write.mode("overwrite").parquet(_batch_dir(out, batch_id))
+
+
 def _upsert_sink(df: DataFrame, out: str):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("__batch", F.lit(batch_id).cast("bigint")).write.mode("append").parquet(out)
-    return df.writeStream.outputMode("update").foreachBatch(write)
+    return df.writeStream.outputMode("update").foreachBatch(lambda b, i: write_batch(b, out, i))
 
 
 def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     """Newest version of every key in an upsert log."""
     log = spark.read.parquet(out)
-    cols = [c for c in log.columns if c not in keys and c != "__batch"]
-    last = log.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("__batch")).alias("__v"))
+    cols = [c for c in log.columns if c not in keys and c != "batch_id"]
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("__v"))
     return last.select(*keys, *[F.col(f"__v.{c}").alias(c) for c in cols])
 
 
@@ -178,10 +189,11 @@ def ingest_stream(stream: DataFrame, text_col: str, valid_out: str, rejects_out:
     """Each micro-batch is persisted once, then its valid rows and its
     rejects (with the reason) are appended to two outputs."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        b = V.reject_single(batch, text_col).withColumn("__batch", F.lit(batch_id).cast("bigint")).persist()
+        b = V.reject_single(batch, text_col).persist()
         try:
-            b.filter(F.col("reject_reason").isNull()).drop("reject_reason").write.mode("append").parquet(valid_out)
-            b.filter(F.col("reject_reason").isNotNull()).write.mode("append").parquet(rejects_out)
+            (b.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+             .write.mode("overwrite").parquet(_batch_dir(valid_out, batch_id)))
+            b.filter(F.col("reject_reason").isNotNull()).write.mode("overwrite").parquet(_batch_dir(rejects_out, batch_id))
         finally:
             b.unpersist()
     return _run(stream.writeStream.foreachBatch(write), "ingest", stream.sparkSession)

@@ -89,3 +89,14 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() == 200 and "label" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_batch_writes_are_idempotent(spark):
+    out = scratch_path(spark, "idem")
+    b0 = spark.createDataFrame([("a", 1)], "k string, n long")
+    b1 = spark.createDataFrame([("a", 5), ("b", 2)], "k string, n long")
+    jobs.write_batch(b0, out, 0)
+    jobs.write_batch(b1, out, 1)
+    jobs.write_batch(b1, out, 1)  # the same batch re-run after a failure
+    got = {r["k"]: r["n"] for r in jobs.latest(spark, out, ["k"]).collect()}
+    assert got == {"a": 5, "b": 2} and spark.read.parquet(out).count() == 3
