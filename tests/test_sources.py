@@ -93,3 +93,23 @@ def test_classify_file_and_batch_stats(spark, tmp_dir):
     df = df.withColumn("probs", F.lit(None).cast("array<double>"))
     st = run_batch(df, os.path.join(tmp_dir, "batch"))
     assert (st["total"], st["processed"], st["failed"]) == (4, 2, 2) and st["elapsed_ms"] > 0
+
+
+def test_append_only_logs_and_result_projection(spark, tmp_dir):
+    from riskscope.plans.classify import audit_view, classify, result_view, with_audit_fields
+    df = spark.createDataFrame([(1, "stop the attack", None), (2, "a calm day", [0.9, 0.05, 0.03, 0.02])],
+                               "doc_id long, text string, probs array<double>")
+    res = with_audit_fields(result_view(classify(df)))
+    assert res.columns == ["doc_id", "input", "label", "confidence", "risk_score", "flagged_terms",
+                           "requires_human_review", "bias_metadata", "reasoning", "rule_amplification",
+                           "processed_at", "audit_id"]
+    rows = res.collect()
+    assert len({r["audit_id"] for r in rows}) == 2 and all(r["processed_at"] is not None for r in rows)
+    log = os.path.join(tmp_dir, "results_log")
+    io.write_json(res, log, mode="append")
+    io.write_json(res, log, mode="append")
+    assert spark.read.json(log).count() == 4
+    audit = os.path.join(tmp_dir, "audit_log")
+    io.write_json(audit_view(classify(df)), audit, mode="append")
+    assert set(spark.read.json(audit).columns) >= {"request_id", "label", "risk_score", "confidence",
+                                                   "requires_human_review", "bias_risk", "preview"}
