@@ -100,3 +100,15 @@ def test_batch_writes_are_idempotent(spark):
     jobs.write_batch(b1, out, 1)  # the same batch re-run after a failure
     got = {r["k"]: r["n"] for r in jobs.latest(spark, out, ["k"]).collect()}
     assert got == {"a": 5, "b": 2} and spark.read.parquet(out).count() == 3
+
+
+def test_no_python_outside_the_plugin(spark):
+    """Only the E6 plug-in scorer may run Python in a batch plan."""
+    allowed = {"model_scoring_plugin"}
+    skip = {"train_and_score", "prepare_manifest_rows", "labeled_csv_scan"}  # ML fits / file jobs at build time
+    for name, (fn, _sql) in Q.REGISTRY.items():
+        if name in skip or name.startswith("stream_"):
+            continue
+        plan = _physical(fn(spark, SF_SMALL))
+        has_py = any(x in plan for x in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "PythonUDF"))
+        assert has_py == (name in allowed), name
