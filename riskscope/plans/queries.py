@@ -109,7 +109,7 @@ def q_tokenize(spark, sf_dir):
     return df.select("doc_id", F.size("tokens").alias("token_count"),
                      F.size(model_tokens("tokens", 256)).alias("model_token_count"),
                      F.array_join(F.slice("tokens", 1, 5), "|").alias("first_tokens"),
-                     F.element_at("tokens", -1).alias("last_token"))
+                     F.try_element_at("tokens", F.lit(-1)).alias("last_token"))
 
 
 def _padded_text(t: Column, key: Column) -> Column:

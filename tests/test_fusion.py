@@ -1,6 +1,7 @@
 """Fusion, labels, confidence, review and reasoning."""
 import pymodel
 import pytest
+from pyspark.sql import functions as F
 
 from riskscope.operators.fusion import fuse
 from riskscope.operators.scoring import score_probs
@@ -65,3 +66,10 @@ def test_weight_normalisation():
     p = FusionParams(rule_weight=0.6, ml_weight=1.4).normalised()
     assert abs(p.rule_weight - 0.3) < 1e-12 and abs(p.ml_weight - 0.7) < 1e-12
     assert FusionParams(rule_weight=0.0, ml_weight=0.0).normalised().rule_weight == 0.0
+
+
+def test_classify_texts_that_clean_to_nothing(spark):
+    from riskscope.plans.classify import classify, flat_result
+    df = spark.createDataFrame([(1, "!!!"), (2, "😀😀"), (3, "@someone"), (4, "x")], "doc_id long, text string")
+    rows = flat_result(classify(df.withColumn("probs", F.lit(None).cast("array<double>")))).collect()
+    assert len(rows) == 4 and all(r["flagged_terms"] == "" and r["label"] == "Non-Radical" for r in rows)
