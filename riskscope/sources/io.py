@@ -118,10 +118,18 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
 # S12 digests, S13 manifest
 # --------------------------------------------------------------------------
 
+MAX_BINARY_FILE_BYTES = 2**31 - 1
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """``(path, sha256, size_bytes)`` per file under ``path``.
-    ``binaryFile`` holds one whole file per row (2 GB limit per file)."""
+    ``binaryFile`` holds one whole file per row, so files over 2 GB are
+    rejected up front (the check reads only file lengths: the content
+    column is pruned)."""
     b = spark.read.format("binaryFile").load(path)
+    too_big = b.filter(F.col("length") > MAX_BINARY_FILE_BYTES).select("path").limit(1).collect()
+    if too_big:
+        raise ValueError(f"file too large to digest as one row (> 2 GB): {too_big[0]['path']}")
     return b.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
 
 
