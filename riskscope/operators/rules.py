@@ -61,6 +61,33 @@ def rules_frame(spark: SparkSession, lexicon: Lexicon = DEFAULT_LEXICON) -> Data
     return spark.createDataFrame(lexicon.rows(), RULES_SCHEMA)
 
 
+#: Largest rules table turned into literal expressions (beyond it, use the
+#: join plan ``rule_hits_long``).
+MAX_LITERAL_RULES = 10_000
+
+
+def lexicon_from_frame(rules: DataFrame, pattern_weight: int = 2) -> Lexicon:
+    """S6 from any table ``(ord, kind, group, term, weight)``: a literal
+    lexicon for ``match_rules``.  The row count is checked before the
+    (small) table is collected; groups and terms keep ``ord`` order, and a
+    keyword group's weight is taken from its rows."""
+    n = rules.count()
+    if n > MAX_LITERAL_RULES:
+        raise ValueError(f"{n} rules: too many for literal matching; use rule_hits_long")
+    kws: dict[str, list[str]] = {}
+    pats: dict[str, list[str]] = {}
+    weights: dict[str, int] = {}
+    for r in rules.orderBy("ord").collect():
+        if r["kind"] == "keyword":
+            kws.setdefault(r["group"], []).append(r["term"])
+            weights[r["group"]] = int(r["weight"])
+        else:
+            pats.setdefault(r["group"], []).append(r["term"])
+    return Lexicon(keywords=tuple((g, tuple(t)) for g, t in kws.items()),
+                   patterns=tuple((g, tuple(t)) for g, t in pats.items()),
+                   severity_weights=weights, pattern_weight=pattern_weight)
+
+
 def _lit_array(values) -> Column:
     vals = list(values)
     if not vals:

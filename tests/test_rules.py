@@ -62,3 +62,16 @@ def test_yaml_lexicon(tmp_dir):
     assert lx.weight("custom") == 1  # unknown severity weighs 1
     assert [r[1:4] for r in lx.rows()] == [("keyword", "high_risk", "boom"), ("keyword", "custom", "zap"),
                                            ("pattern", "misc", "big bang")]
+
+
+def test_lexicon_round_trip_through_a_table(spark):
+    from riskscope.operators.rules import lexicon_from_frame
+    from riskscope.params import DEFAULT_LEXICON
+    lx = lexicon_from_frame(rules_frame(spark))
+    assert lx.keywords == DEFAULT_LEXICON.keywords and lx.patterns == DEFAULT_LEXICON.patterns
+    assert all(lx.weight(s) == DEFAULT_LEXICON.weight(s) for s, _ in lx.keywords)
+    a = _ruled(spark, list(SEED_PHRASES)).select("rule_terms", "rule_risk").collect()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(SEED_PHRASES)], "doc_id long, text string")
+    b = match_rules(df.withColumn("cleaned", clean("text")), "cleaned", lx).orderBy("doc_id").select(
+        "rule_terms", "rule_risk").collect()
+    assert a == b
