@@ -101,7 +101,10 @@ def keyword_tokens(cleaned: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Colum
     odd = [t for t in lexicon.all_keywords() if not _WORD.fullmatch(t.lower())]
     if not odd:
         return toks
-    extra = F.array_compact(F.array(*[F.when(cleaned.rlike(word_regex(t)), F.lit(t.lower())) for t in odd]))
+    # a word-boundary match needs the literal substring: test that first
+    # (byte search), so the regex only runs on the few texts that hold it
+    extra = F.array_compact(F.array(*[F.when(cleaned.contains(t.lower()) & cleaned.rlike(word_regex(t)),
+                                             F.lit(t.lower())) for t in odd]))
     return F.concat(toks, extra)
 
 
