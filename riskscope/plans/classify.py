@@ -14,16 +14,20 @@ from ..functions.text import clean, tokenize, truncate
 from ..operators.fusion import fuse
 from ..operators.rules import match_rules
 from ..operators.scoring import probabilities_map, score_probs
-from ..params import CHUNK_SIZE, DEFAULT_FUSION, DEFAULT_LEXICON, MAX_INPUT_CHARS, FusionParams, Lexicon
+from ..params import CHUNK_SIZE, DEFAULT_FUSION, DEFAULT_LEXICON, FusionParams, Lexicon
 
 
 def classify(df: DataFrame, text_col: str = "text", probs_col: str = "probs",
              lexicon: Lexicon = DEFAULT_LEXICON, params: FusionParams = DEFAULT_FUSION,
-             max_chars: int | None = MAX_INPUT_CHARS, guarded: bool = True) -> DataFrame:
+             max_chars: int | None = None, guarded: bool = True) -> DataFrame:
     """I1.  ``df`` holds ``text_col`` and ``probs_col`` (model probabilities,
     null = no model result).  Rules see the cleaned text; the model score
-    belongs to the raw (truncated) text.  Adds ``input``, ``was_truncated``,
-    ``cleaned``, rule, model and fused columns."""
+    belongs to the raw text.  Adds ``input``, ``was_truncated``, ``cleaned``,
+    rule, model and fused columns.
+
+    Whole texts are processed by default.  ``max_chars`` applies the
+    original service's input cut (B4, ``MAX_INPUT_CHARS`` = 10,000 code
+    points) first, for callers that want that behaviour."""
     if max_chars:
         df = df.withColumns({"input": truncate(text_col, max_chars),
                              "was_truncated": F.length(text_col) > max_chars})

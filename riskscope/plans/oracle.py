@@ -157,15 +157,17 @@ def fusion_sql(params: FusionParams = DEFAULT_FUSION) -> tuple[str, str, str]:
     return layer1, layer2, layer3
 
 
-def classified_ctes(source_sql: str | None = None, params: FusionParams = DEFAULT_FUSION, max_chars: int = 10_000,
+def classified_ctes(source_sql: str | None = None, params: FusionParams = DEFAULT_FUSION, max_chars: int | None = None,
                     probs_sql: str | None = None, key: str = "doc_id") -> str:
     """CTE chain ending in ``fused3``: the full classification per row."""
     src = source_sql or corpus_sql()
     probs = probs_sql or fixture_probs_sql(key)
     l1, l2, l3 = fusion_sql(params)
+    cut_sql = (f"substring(text, 1, {max_chars}) AS input, length(text) > {max_chars} AS was_truncated" if max_chars
+               else "text AS input, false AS was_truncated")
     return f"""
 src AS ({src}),
-cut AS (SELECT *, substring(text, 1, {max_chars}) AS input, length(text) > {max_chars} AS was_truncated FROM src),
+cut AS (SELECT *, {cut_sql} FROM src),
 cl AS (SELECT *, {clean_sql('input')} AS cleaned FROM cut),
 ru AS (SELECT *, {rules_select_sql('cleaned')} FROM cl),
 ru2 AS (SELECT *, {rule_derived_sql()} FROM ru),

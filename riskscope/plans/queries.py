@@ -20,7 +20,7 @@ from ..operators import metrics as M
 from ..operators import rules as R
 from ..operators import scoring as S
 from ..operators import validation as V
-from ..params import AS_CODED_FUSION, DEFAULT_FUSION, LABELS, SEVERITY_WEIGHTS
+from ..params import AS_CODED_FUSION, DEFAULT_FUSION, LABELS
 from . import oracle as O
 from .classify import (
     audit_view, batch_request_ids, chunk_request_ids, classify, csv_view, flat_result, raw_view, review_queue,
@@ -332,6 +332,15 @@ def q_classify_default(spark, sf_dir):
     return flat_result(classified_corpus(spark, sf_dir))
 
 
+@register("classify_truncated", _with(O.flat_result_select(), O.classified_ctes(max_chars=10_000)))
+def q_classify_truncated(spark, sf_dir):
+    """I1 with the original service's input cut: texts over 10,000 code
+    points are classified on their first 10,000 (B4).  The default
+    classification reads whole texts."""
+    docs = seeded_corpus(spark, sf_dir).withColumn("probs", fixture_probs(F.col("doc_id")))
+    return flat_result(classify(docs, max_chars=10_000))
+
+
 @register("classify_documents_raw", _with(
     O.flat_result_select(),
     O.classified_ctes(source_sql="SELECT doc_id, text, lang, source FROM documents")))

@@ -77,7 +77,7 @@ def test_flagship_matches_python_model(spark):
     got = {r["doc_id"]: r.asDict() for r in Q.REGISTRY["classify_default"][0](spark, SF_SMALL).collect()}
     assert set(got) == set(docs)
     for did, text in docs.items():
-        t = (text + " " + SEED_PHRASES[did % 16])[:10_000]
+        t = text + " " + SEED_PHRASES[did % 16]
         probs = None if did % 7 == 0 else FIXTURE_PROBS[did % 5]
         want = pymodel.fuse(pymodel.analyze(pymodel.clean(t)), probs)
         for k, v in want.items():
