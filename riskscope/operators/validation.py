@@ -68,8 +68,8 @@ def frame_checks(df: DataFrame, key: str, num_labels: int = 4, text_col: str = "
                  first_n: int = 15, max_bad_values: int = 100) -> DataFrame:
     """One summary row.  Required columns are checked on the schema
     (raises).  Then one aggregate counts null text, null labels,
-    non-integral labels and out-of-range labels; the sorted distinct bad
-    values (the smallest ``max_bad_values``) and the first ``first_n`` keys of each null kind come from a
+    non-integral labels and out-of-range labels; the number of distinct bad
+    values and the smallest ``max_bad_values`` of them, and the first ``first_n`` keys of each null kind come from a
     bounded top-k (``orderBy + limit`` keeps ``first_n`` rows per task)."""
     missing = [c for c in (text_col, label_col) if c not in df.columns]
     if missing:
@@ -86,8 +86,10 @@ def frame_checks(df: DataFrame, key: str, num_labels: int = 4, text_col: str = "
     )
     # the smallest distinct bad values: a distributed distinct, then a
     # bounded top-k (never every bad value in one task)
-    bad = (df.filter(bad_range).select(lab.cast("bigint").alias("v")).distinct().orderBy("v").limit(max_bad_values)
+    distinct_bad = df.filter(bad_range).select(lab.cast("bigint").alias("v")).distinct()
+    bad = (distinct_bad.orderBy("v").limit(max_bad_values)
            .agg(F.array_join(F.sort_array(F.collect_list("v")), ",").alias("bad_label_values")))
+    n_bad = distinct_bad.agg(F.count(F.lit(1)).alias("n_bad_label_values"))
 
     def first_keys(cond, name):
         top = df.filter(cond).select(F.col(key)).orderBy(key).limit(first_n)
@@ -97,6 +99,7 @@ def frame_checks(df: DataFrame, key: str, num_labels: int = 4, text_col: str = "
     b = first_keys(F.col(label_col).isNull(), "first_null_label_keys")
     one = F.lit(1)
     out = (summary.withColumn("__k", one).join(bad.withColumn("__k", one), "__k")
+           .join(n_bad.withColumn("__k", one), "__k")
            .join(a.withColumn("__k", one), "__k").join(b.withColumn("__k", one), "__k").drop("__k"))
     return out.withColumn("valid", (F.col("null_text") == 0) & (F.col("null_label") == 0)
                           & (F.col("non_integer_labels") == 0) & (F.col("out_of_range") == 0))

@@ -486,7 +486,8 @@ s AS (SELECT count(*) AS "rows", count(*) FILTER (WHERE text IS NULL) AS null_te
   count(*) FILTER (WHERE label IS NULL) AS null_label,
   count(*) FILTER (WHERE label IS NOT NULL AND label <> floor(label)) AS non_integer_labels,
   count(*) FILTER (WHERE label = floor(label) AND (label < 0 OR label >= 4)) AS out_of_range,
-  coalesce(array_to_string(list_sort(list_distinct(list(CAST(label AS BIGINT)) FILTER (WHERE label = floor(label) AND (label < 0 OR label >= 4))))[1:100], ','), '') AS bad_label_values
+  coalesce(array_to_string(list_sort(list_distinct(list(CAST(label AS BIGINT)) FILTER (WHERE label = floor(label) AND (label < 0 OR label >= 4))))[1:100], ','), '') AS bad_label_values,
+  count(DISTINCT CAST(label AS BIGINT)) FILTER (WHERE label = floor(label) AND (label < 0 OR label >= 4)) AS n_bad_label_values
   FROM lf),
 a AS (SELECT coalesce(array_to_string(list_sort(list(doc_id)), ','), '') AS first_null_text_keys
   FROM (SELECT doc_id FROM lf WHERE text IS NULL ORDER BY doc_id LIMIT 15)),
