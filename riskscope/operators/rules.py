@@ -257,6 +257,14 @@ def collect_hits(long_hits: DataFrame, key: str = "doc_id") -> DataFrame:
             .select(key, F.transform("__h", lambda x: x["term"]).alias("rule_terms")))
 
 
+def term_frequency(long_hits: DataFrame) -> DataFrame:
+    """D8 use: documents per rule term ``(ord, kind, group, term, docs)``.
+    Long hits hold one row per (document, rule), so a partial + final count
+    per term is exact; a term hit by a third of all documents is reduced
+    map-side."""
+    return long_hits.groupBy("ord", "kind", "group", "term").agg(F.count(F.lit(1)).alias("docs"))
+
+
 def rule_group_stats(long_hits: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per (kind, group): documents hit, hits and points.
     Long hits are distinct per (key, rule), so a plain count is exact."""

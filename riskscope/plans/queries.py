@@ -200,6 +200,13 @@ def q_rule_group_stats(spark, sf_dir):
     return R.rule_group_stats(long_, "doc_id")
 
 
+@register("term_frequency", LONG_SQL + """
+SELECT ord, kind, "group", term, count(*) AS docs FROM hits GROUP BY ord, kind, "group", term""")
+def q_term_frequency(spark, sf_dir):
+    long_ = R.rule_hits_long(cleaned_corpus(spark, sf_dir), R.rules_frame(spark), "doc_id", "cleaned")
+    return R.term_frequency(long_)
+
+
 @register("rule_terms_via_join", _with("doc_id, array_to_string(rule_terms, ', ') AS rule_terms", RULED_CTES, "ru2",
                                        "WHERE len(rule_terms) > 0"))
 def q_rule_terms_via_join(spark, sf_dir):
