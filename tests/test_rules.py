@@ -75,3 +75,25 @@ def test_lexicon_round_trip_through_a_table(spark):
     b = match_rules(df.withColumn("cleaned", clean("text")), "cleaned", lx).orderBy("doc_id").select(
         "rule_terms", "rule_risk").collect()
     assert a == b
+
+
+def test_random_phrases_match_python_model(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    words = st.sampled_from([
+        "kill", "killing", "holy", "war", "our", "people", "us", "versus", "them", "enemy", "rights", "rise",
+        "up", "must", "recruitment", "complicity", "they", "don't", "want", "you", "to", "know", "wake",
+        "new", "world", "order", "no", "quarter", "jihad", "faith", "'", "'s", " ", "  ", ",", "x",
+    ])
+    phrases = st.lists(st.lists(words, max_size=10).map(" ".join), min_size=200, max_size=200)
+
+    @settings(max_examples=5, deadline=None)
+    @given(phrases)
+    def check(batch):
+        rows = _ruled(spark, batch).collect()
+        for r, text in zip(rows, batch):
+            want = pymodel.analyze(pymodel.clean(text))
+            assert (r["rule_terms"], r["rule_risk"], r["high_terms"]) == (want["terms"], want["risk"], want["high"]), text
+
+    check()

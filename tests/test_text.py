@@ -54,3 +54,23 @@ def test_long_text_and_model_cut(spark):
 def test_ustrip_unicode_whitespace(spark):
     df = spark.createDataFrame([(" \t hi there 　\n",), (" ",), ("x",)], "t string")
     assert [r[0] for r in df.select(ustrip("t")).collect()] == ["hi there", "", "x"]
+
+
+def test_random_strings_match_python_model(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    pieces = st.sampled_from([
+        "a", "Z", "é", "İ", "ß", "5", "½", "_", "'", "’", "@", ".", ":", "/", "-", "#", "~", "?", "=",
+        " ", "  ", "\t", "\n", " ", " ", "　", "😀", "❤", "中", "http://", "https://", "HTTP://",
+        "kill", "our", "people", "holy", "war", "x.y", "a@b", "@c.d", "www",
+    ])
+    texts = st.lists(st.lists(pieces, max_size=12).map("".join), min_size=300, max_size=300)
+
+    @settings(max_examples=6, deadline=None)
+    @given(texts)
+    def check(batch):
+        got = _clean_all(spark, batch)
+        assert got == [pymodel.clean(t) for t in batch]
+
+    check()
