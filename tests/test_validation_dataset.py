@@ -107,3 +107,34 @@ def test_split_quotas_exact_for_huge_counts(spark):
     order = sorted(range(4), key=lambda i: (-rem[i], i))
     want = {i: base[i] + (1 if order.index(i) < t - sum(base) else 0) for i in range(4)}
     assert {i: q[i][0] for i in q} == want and sum(v[0] for v in q.values()) == t
+
+
+def _quotas_py(ns, frac):
+    total = sum(ns)
+    t = int(total * frac + 0.5)
+    base = [n * t // total for n in ns]
+    rem = [n * t % total for n in ns]
+    order = sorted(range(len(ns)), key=lambda i: (-rem[i], i))
+    extra = t - sum(base)
+    return [base[i] + (1 if order.index(i) < extra else 0) for i in range(len(ns))]
+
+
+def test_split_quotas_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=5, deadline=None)
+    @given(st.lists(st.integers(min_value=3, max_value=80), min_size=1, max_size=4))
+    def check(ns):
+        rows = [(i * 1000 + j, f"t{i}-{j}", i) for i, n in enumerate(ns) for j in range(n)]
+        df = spark.createDataFrame(rows, "k long, text string, label int")
+        sp = D.stratified_split(df, "k", "label", (0.7, 0.15, 0.15)).collect()
+        assert len(sp) == sum(ns) and len({r["k"] for r in sp}) == sum(ns)
+        test_q, val_q = _quotas_py(ns, 0.15), _quotas_py(ns, 0.15)
+        for i, n in enumerate(ns):
+            got = {s: sum(1 for r in sp if r["label"] == i and r["split"] == s) for s in ("train", "val", "test")}
+            assert got["test"] == test_q[i]
+            assert got["val"] == min(val_q[i], n - test_q[i])
+            assert got["train"] == n - got["test"] - got["val"]
+
+    check()
