@@ -40,21 +40,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the launcher sets it to shared storage and we only read
-    it.  Where it is unset (local tests) we create a fresh scratch folder
-    once and register it, so ``DataFrame.checkpoint()`` works.
+    it (Spark registers it with the context at start-up).  Where nothing is
+    set (local tests) we create one scratch folder and register it with
+    the context once, so ``DataFrame.checkpoint()`` works.  The setting
+    itself is never changed at runtime.
     """
+    global _FALLBACK_DIR
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = sc._jsc.sc().getCheckpointDir()
-        d = d.get() if d.isDefined() else None
+        try:
+            d = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # pragma: no cover
+            d = None
+    registered = sc._jsc.sc().getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="riskscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    sc.setCheckpointDir(d)
+        if _FALLBACK_DIR is None:
+            _FALLBACK_DIR = tempfile.mkdtemp(prefix="riskscope-ckpt-")
+        d = _FALLBACK_DIR
+    if not registered.isDefined():
+        sc.setCheckpointDir(d)
     return d
 
 
+_FALLBACK_DIR: str | None = None
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
