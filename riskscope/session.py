@@ -90,10 +90,14 @@ def balanced(df, factor: int = 2):
     """Spread a scan that has fewer partitions than the cluster has cores.
 
     A large input already arrives in many splits (one per file block /
-    row group) and is returned unchanged - no shuffle.  A small input stored
-    as one big row group would otherwise run every narrow stage in a single
-    task; it is round-robin repartitioned to ``factor`` x default
-    parallelism (a cheap shuffle of a small table)."""
+    row group) and is returned unchanged - no shuffle.  The rule fires only
+    when the scan yields at most half as many partitions as there are
+    cores, i.e. for at most ``maxPartitionBytes`` x cores / 2 of input
+    (unless a row group cannot be split, which is exactly the case that
+    needs it): the round-robin shuffle then moves little data per core,
+    while the text work it spreads costs far more CPU per byte than the
+    shuffle does.  Without it, a small input stored as one big row group
+    runs every narrow stage in a single task."""
     target = df.sparkSession.sparkContext.defaultParallelism * factor
     if df.rdd.getNumPartitions() * factor <= target // 2:
         return df.repartition(target)
