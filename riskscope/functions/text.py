@@ -70,13 +70,18 @@ def scrub_links(lowered: Column, by_token: bool = True) -> Column:
     anyway, so the cleaned text is identical.
     """
     x = F.regexp_replace(lowered, EMOJI_RE, " ")
-    x = F.regexp_replace(x, URL_RE, " ")
-    x = F.regexp_replace(x, MENTION_RE, " ")
     if not by_token:
+        x = F.regexp_replace(x, URL_RE, " ")
+        x = F.regexp_replace(x, MENTION_RE, " ")
         return F.regexp_replace(x, EMAIL_RE, " ")
-    toks = F.split(x, WS_RUN_RE)
-    return F.array_join(F.transform(toks, lambda t: F.when(t.contains("@") & t.rlike(EMAIL_TOKEN_RE), F.lit(" "))
-                                    .otherwise(t)), " ")
+    # Each rule runs only where it can match: URLs need "://", mentions and
+    # e-mails need "@" (earlier steps can remove an "@", never add one).
+    x = F.when(lowered.contains("://"), F.regexp_replace(x, URL_RE, " ")).otherwise(x)
+    m = F.regexp_replace(x, MENTION_RE, " ")
+    toks = F.split(m, WS_RUN_RE)
+    no_mail = F.array_join(F.transform(toks, lambda t: F.when(t.contains("@") & t.rlike(EMAIL_TOKEN_RE), F.lit(" "))
+                                       .otherwise(t)), " ")
+    return F.when(lowered.contains("@"), no_mail).otherwise(x)
 
 
 def clean(c: str | Column, guarded: bool = True) -> Column:
