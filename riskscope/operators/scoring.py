@@ -120,6 +120,10 @@ def score_with_model(df: DataFrame, text_col: str, load_model: Callable[[], Call
     ``texts: pandas.Series -> numpy array (n, n_labels)`` of logits.  Batches
     are Arrow record batches (``spark.sql.execution.arrow.maxRecordsPerBatch``);
     softmax and the label fields stay native in ``score_logits``.
+    ``load_model`` travels to the executors with the task: define it in an
+    installed module, locally, or in a module registered with
+    ``cloudpickle.register_pickle_by_value``; load weights from shared
+    storage inside it.
     """
     import numpy as np
 
