@@ -24,17 +24,23 @@ METRIC_PREFIX = "riskscope"
 
 def counters(results: DataFrame, label_col: str = "label", review_col: str = "requires_human_review") -> DataFrame:
     """``(metric, key, value)`` rows: requests, per label, per review
-    status.  One ``cube`` over (label, review): a single scan and a single
-    partial + final aggregate produce all three roll-ups (``grouping_id``
-    tells them apart; the (label, review) cells are dropped)."""
-    g = results.cube(label_col, review_col).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("__gid"))
-    gid = F.col("__gid")
-    status = F.when(F.col(review_col), F.lit("review_required")).otherwise(F.lit("no_review"))
-    return g.filter(gid != 0).select(
-        F.when(gid == 3, F.lit("requests_total")).when(gid == 1, F.lit("label_total"))
-        .otherwise(F.lit("review_total")).alias("metric"),
-        F.when(gid == 3, F.lit("")).when(gid == 1, F.col(label_col)).otherwise(status).alias("key"),
-        F.col("n").cast("bigint").alias("value"))
+    status.  Labels and review statuses are fixed sets, so this is one
+    global aggregate of conditional counts (partial per task, a one-row
+    final merge), exploded into rows.  Keys with no request are left out,
+    as in the original; an empty input still reports ``requests_total 0``."""
+    rev = F.col(review_col)
+    parts = [F.count(F.lit(1)).alias("n")]
+    parts += [F.count_if(F.col(label_col) == lab).alias(f"l{i}") for i, lab in enumerate(LABELS)]
+    parts += [F.count_if(rev).alias("r1"), F.count_if(~rev).alias("r0")]
+    a = results.agg(*parts)
+
+    def row(metric, key, value):
+        return F.struct(F.lit(metric).alias("metric"), F.lit(key).alias("key"), F.col(value).cast("bigint").alias("value"))
+
+    rows = ([row("requests_total", "", "n")] + [row("label_total", lab, f"l{i}") for i, lab in enumerate(LABELS)]
+            + [row("review_total", "review_required", "r1"), row("review_total", "no_review", "r0")])
+    out = a.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    return out.filter((F.col("metric") == "requests_total") | (F.col("value") > 0))
 
 
 def exposition_lines(counter_df: DataFrame, prefix: str = METRIC_PREFIX) -> DataFrame:

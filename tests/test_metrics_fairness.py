@@ -90,3 +90,8 @@ def test_equalized_odds(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 0, 0), ("b", 1, 0), ("b", 0, 1)], "g string, truth int, pred int")
     r = {x["g"]: x["equalized_odds_difference"] for x in FA.odds_by_group(df, "g", "a").collect()}
     assert r == {"a": 0.0, "b": 1.0}
+
+
+def test_counters_empty_input(spark):
+    empty = spark.createDataFrame([], "label string, requires_human_review boolean")
+    assert [tuple(r) for r in M.counters(empty).collect()] == [("requests_total", "", 0)]
