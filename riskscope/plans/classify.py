@@ -28,6 +28,8 @@ def classify(df: DataFrame, text_col: str = "text", probs_col: str = "probs",
     Whole texts are processed by default.  ``max_chars`` applies the
     original service's input cut (B4, ``MAX_INPUT_CHARS`` = 10,000 code
     points) first, for callers that want that behaviour."""
+    if probs_col not in df.columns:  # no model attached: every row takes the fallback score
+        df = df.withColumn(probs_col, F.lit(None).cast("array<double>"))
     if max_chars:
         df = df.withColumns({"input": truncate(text_col, max_chars),
                              "was_truncated": F.length(text_col) > max_chars})

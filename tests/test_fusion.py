@@ -73,3 +73,9 @@ def test_classify_texts_that_clean_to_nothing(spark):
     df = spark.createDataFrame([(1, "!!!"), (2, "😀😀"), (3, "@someone"), (4, "x")], "doc_id long, text string")
     rows = flat_result(classify(df.withColumn("probs", F.lit(None).cast("array<double>")))).collect()
     assert len(rows) == 4 and all(r["flagged_terms"] == "" and r["label"] == "Non-Radical" for r in rows)
+
+
+def test_classify_without_scores_uses_fallback(spark):
+    from riskscope.plans.classify import classify
+    r = classify(spark.createDataFrame([(1, "kill them all")], "doc_id long, text string")).first()
+    assert r["ml_missing"] and r["flagged_terms"] == ["kill"] and "ML model unavailable" in r["reasoning"]
