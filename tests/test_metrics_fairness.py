@@ -95,3 +95,44 @@ def test_equalized_odds(spark):
 def test_counters_empty_input(spark):
     empty = spark.createDataFrame([], "label string, requires_human_review boolean")
     assert [tuple(r) for r in M.counters(empty).collect()] == [("requests_total", "", 0)]
+
+
+def test_hot_key_cache_replay_and_dedupe(spark):
+    """One key / one text holds a large share of all rows; results stay exact."""
+    import random
+
+    from riskscope.operators import dataset as D
+    from riskscope.operators import scoring as S
+
+    rnd = random.Random(3)
+    rows, eid = [], 0
+    for user, n in ((1, 900), (2, 300), (3, 300)):  # user 1 holds 60% of the events
+        t = 0
+        for _ in range(n):
+            t += rnd.choice((5, 30, 200, 400, 1000))
+            rows.append((eid, user, "view", t))
+            eid += 1
+    ev = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, s long").withColumn(
+        "ts", F.timestamp_seconds("s"))
+    want = {}
+    for user in (1, 2, 3):
+        last, hits, misses = None, 0, 0
+        for _, u, _, t in rows:
+            if u != user:
+                continue
+            if last is not None and t - last <= 300:
+                hits += 1
+            else:
+                misses, last = misses + 1, t
+        want[user] = (hits, misses)
+    got = {r["user_id"]: (r["hits"], r["misses"])
+           for r in M.cache_replay(ev, ["user_id", "event_type"], "ts", "event_id", 300).collect()}
+    assert got == want
+
+    docs = spark.createDataFrame([(i, "same text" if i % 3 == 0 else f"t{i}") for i in range(3000)],
+                                 "doc_id long, text string").repartition(8)
+    kept = D.dedupe_text(docs, "doc_id").collect()
+    assert len(kept) == 2001 and min(r["doc_id"] for r in kept if r["text"] == "same text") == 0
+    scored = S.score_distinct(docs, "text", lambda u: u.withColumn("probs", F.array(F.length("text").cast("double"))))
+    assert scored.filter("text = 'same text'").select(F.countDistinct("probs")).first()[0] == 1
+    assert scored.count() == 3000
