@@ -116,6 +116,10 @@ def stratified_split(df: DataFrame, key: str, label_col: str = "label",
     rows of classes with fewer than ``min_class_rows`` rows get
     ``split = null`` and ``split_error`` set (the job should fail on them).
 
+    ``key`` must identify rows uniquely (``prepare`` uses a generated row
+    id): rows sharing a key share a hash, so they would tie in the ranking
+    and crowd one bucket.
+
     The input is read once for the bucket counts (per-class counts are sums
     of those; the bucket table is checkpointed, so this runs eagerly) and
     once per output branch (rows of whole buckets, rows of boundary
