@@ -112,3 +112,12 @@ def test_no_python_outside_the_plugin(spark):
         plan = _physical(fn(spark, SF_SMALL))
         has_py = any(x in plan for x in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "PythonUDF"))
         assert has_py == (name in allowed), name
+
+
+def test_same_result_for_1_and_8_partitions(spark):
+    from riskscope.plans.classify import classify, flat_result
+    from riskscope.plans.corpus import fixture_probs, seeded_corpus
+    docs = seeded_corpus(spark, SF_SMALL).withColumn("probs", fixture_probs(F.col("doc_id")))
+    one = flat_result(classify(docs.repartition(1))).collect()
+    eight = flat_result(classify(docs.repartition(8))).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, eight))
