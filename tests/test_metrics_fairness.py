@@ -136,3 +136,52 @@ def test_hot_key_cache_replay_and_dedupe(spark):
     scored = S.score_distinct(docs, "text", lambda u: u.withColumn("probs", F.array(F.length("text").cast("double"))))
     assert scored.filter("text = 'same text'").select(F.countDistinct("probs")).first()[0] == 1
     assert scored.count() == 3000
+
+
+def _fair_py(rows):
+    import math
+
+    def r4(x):
+        return math.floor(x * 10_000 + 0.5) / 10_000
+
+    total = len(rows)
+    flagged = sum(1 for lab, _ in rows if lab != "Non-Radical")
+    bias = sum(1 for _, cats in rows if cats)
+    ref = flagged / total if total else 0.0
+    stats = {}
+    for lab, cats in rows:
+        for c in cats:
+            t, p = stats.get(c, (0, 0))
+            stats[c] = (t + 1, p + (lab != "Non-Radical"))
+    concerns = {}
+    for c, (t, p) in stats.items():
+        pr = p / t
+        di = 0.0 if ref == 0 else pr / ref
+        if di < 0.8 or di > 1 / 0.8:
+            concerns[c] = "high" if di < 0.5 else "medium"
+    hi = sum(1 for s in concerns.values() if s == "high")
+    me = len(concerns) - hi
+    score = r4(max(0.0, 1.0 - (0.3 * hi + 0.1 * me) / max(1, len(concerns)))) if total else 1.0
+    return (total, flagged, r4(flagged / total) if total else 0.0, bias, score, hi > 0), concerns
+
+
+def test_fairness_property(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    labels = st.sampled_from(["Non-Radical", "Mildly Radical", "Highly Radical"])
+    cats = st.lists(st.sampled_from(["religion", "political", "identity"]), unique=True, max_size=3)
+
+    @settings(max_examples=6, deadline=None)
+    @given(st.lists(st.tuples(labels, cats), min_size=1, max_size=60))
+    def check(rows):
+        ordered = [(lab, [c for c in ("religion", "political", "identity") if c in cs]) for lab, cs in rows]
+        res = _results(spark, [(lab, (bool(cs), cs), "en") for lab, cs in ordered])
+        want_summary, want_concerns = _fair_py(ordered)
+        s = FA.summary(res).first()
+        got = (s["total_processed"], s["flagged_count"], s["flagged_rate"], s["bias_risk_count"],
+               s["fairness_score"], s["requires_fairness_review"])
+        assert got == want_summary
+        assert {r["category"]: r["severity"] for r in FA.concerns(res).collect()} == want_concerns
+
+    check()
