@@ -185,3 +185,42 @@ def test_fairness_property(spark):
         assert {r["category"]: r["severity"] for r in FA.concerns(res).collect()} == want_concerns
 
     check()
+
+
+def test_eval_metrics_property(spark):
+    import math
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    def r6(x):
+        return math.floor(x * 1_000_000 + 0.5) / 1_000_000
+
+    @settings(max_examples=6, deadline=None)
+    @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3)), min_size=1, max_size=80))
+    def check(pairs):
+        n = len(pairs)
+        per = []
+        for c in range(4):
+            tp = sum(1 for t, p in pairs if t == c and p == c)
+            fp = sum(1 for t, p in pairs if t != c and p == c)
+            fn = sum(1 for t, p in pairs if t == c and p != c)
+            prec = tp / (tp + fp) if tp + fp else 0.0
+            rec = tp / (tp + fn) if tp + fn else 0.0
+            f1 = 2.0 * prec * rec / (prec + rec) if prec + rec else 0.0
+            per.append((prec, rec, f1, tp + fn))
+        acc = sum(1 for t, p in pairs if t == p) / n
+
+        def wavg(i):
+            s = 0.0
+            for row in per:
+                s += row[i] * row[3]
+            return s / n
+        df = spark.createDataFrame(pairs, "y_true int, y_pred int")
+        m = M.eval_metrics(df, 4).first()
+        assert (m["accuracy"], m["precision"], m["recall"], m["f1"], m["support"]) == (
+            r6(acc), r6(wavg(0)), r6(wavg(1)), r6(wavg(2)), n)
+        pc = {r["label_id"]: (r["precision"], r["recall"], r["f1"], r["support"]) for r in M.per_class(df, 4).collect()}
+        assert pc == {c: per[c] for c in range(4)}
+
+    check()
