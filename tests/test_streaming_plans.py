@@ -121,3 +121,36 @@ def test_same_result_for_1_and_8_partitions(spark):
     one = flat_result(classify(docs.repartition(1))).collect()
     eight = flat_result(classify(docs.repartition(8))).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, eight))
+
+
+def test_cache_stream_state_across_batches(spark, tmp_dir):
+    import random
+    rnd = random.Random(11)
+    base = 1_704_067_200
+    rows, t = [], 0
+    for i in range(90):
+        t += rnd.choice((20, 120, 290, 310, 900))
+        rows.append((i, 1 + i % 2, "view", base + t))
+    src = os.path.join(tmp_dir, "ev")
+    for part in range(3):  # three files in time order -> three micro-batches
+        chunk = rows[part * 30:(part + 1) * 30]
+        (spark.createDataFrame(chunk, "event_id long, user_id long, event_type string, s long")
+         .withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1)
+         .write.mode("append").parquet(src))
+    schema = spark.read.parquet(src).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = scratch_path(spark, "cache-batches")
+    jobs.cache_stream(stream, ["user_id", "event_type"], "ts", "event_id", 300, "1 hour", out)
+    assert spark.read.parquet(out).select("batch_id").distinct().count() >= 3
+    got = {r["user_id"]: (r["hits"], r["misses"]) for r in jobs.latest(spark, out, ["user_id", "event_type"]).collect()}
+    want = {}
+    for user in (1, 2):
+        last, hits, misses = None, 0, 0
+        for _, u, _, s in rows:
+            if u == user:
+                if last is not None and s - last <= 300:
+                    hits += 1
+                else:
+                    misses, last = misses + 1, s
+        want[user] = (hits, misses)
+    assert got == want
