@@ -188,3 +188,20 @@ def run_batch(df: DataFrame, output_path: str, batch_col: str | None = None, key
     stats["elapsed_ms"] = round(elapsed, 2)
     stats["items_per_second"] = round(stats["processed"] / (elapsed / 1000.0), 2) if elapsed > 0 else 0.0
     return stats
+
+
+def classify_batches(df: DataFrame, batch_col: str = "batch_id", idx_col: str = "item_idx", text_col: str = "text",
+                     max_batch: int = 1_000, **classify_kw) -> tuple[DataFrame, DataFrame]:
+    """I2 with the batch check of B2: a batch with an empty item or more
+    than ``max_batch`` items is rejected as a whole; the items of the other
+    batches are classified with ids ``<batch>_<i>``.  Returns
+    ``(results, batch_rejects)``.  The verdicts are one row per batch
+    (a partial aggregate) joined back many-to-one; the filter sits below the
+    classification, on the joined verdict."""
+    from ..operators.validation import batch_verdicts
+
+    verdicts = batch_verdicts(df, batch_col, idx_col, text_col, max_batch)
+    gated = df.join(verdicts.select(batch_col, "verdict"), batch_col)
+    ok = gated.filter(F.col("verdict").isNull()).drop("verdict")
+    results = batch_request_ids(classify(ok, text_col=text_col, **classify_kw), batch_col, idx_col)
+    return results, verdicts.filter(F.col("verdict").isNotNull())

@@ -370,6 +370,26 @@ def q_classify_batch_ids(spark, sf_dir):
     return out.select("request_id", "label", "risk_score", "confidence")
 
 
+CONV_FAULT_SQL = ("SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 23 = 0 THEN '' ELSE text END AS text "
+                  "FROM conversations")
+
+
+@register("classify_valid_batches", f"""WITH {O.classified_ctes(
+    source_sql=CONV_FAULT_SQL + " WHERE conv_id NOT IN (SELECT conv_id FROM (" + CONV_FAULT_SQL + ") c WHERE text = '')",
+    probs_sql=O.probs_by_bucket_sql('length(text) % 5'), key='conv_id')}
+SELECT conv_id || '_' || turn AS request_id, label, risk_score FROM fused3""")
+def q_classify_valid_batches(spark, sf_dir):
+    """I2 + B2: conversations are batches; a conversation holding an empty
+    turn (injected by a fixed key rule) is rejected as a whole, the others
+    are classified."""
+    from .classify import classify_batches
+    c = read_table(spark, sf_dir, "conversations")
+    c = c.withColumn("text", F.when((F.col("conv_id") + F.col("turn")) % 23 == 0, F.lit("")).otherwise(F.col("text")))
+    c = c.withColumn("probs", text_fixture_probs(F.col("text")))
+    results, _rejects = classify_batches(c, "conv_id", "turn")
+    return results.select("request_id", "label", "risk_score")
+
+
 @register("classify_chunk_ids", _with(
     "conv_id || '_chunk_' || CAST(turn // 8 AS VARCHAR) || '_' || CAST(turn % 8 AS VARCHAR) AS request_id, "
     "CAST(turn // 8 AS BIGINT) AS chunk_id, CAST(turn % 8 AS BIGINT) AS chunk_pos, label",

@@ -79,3 +79,12 @@ def test_classify_without_scores_uses_fallback(spark):
     from riskscope.plans.classify import classify
     r = classify(spark.createDataFrame([(1, "kill them all")], "doc_id long, text string")).first()
     assert r["ml_missing"] and r["flagged_terms"] == ["kill"] and "ML model unavailable" in r["reasoning"]
+
+
+def test_classify_batches_rejects_whole_batches(spark):
+    from riskscope.plans.classify import classify_batches
+    df = spark.createDataFrame([(1, 0, "kill"), (1, 1, "fine"), (2, 0, "ok"), (2, 1, ""), (3, 0, "x"), (3, 1, "y"),
+                                (3, 2, "z")], "batch_id int, item_idx int, text string")
+    res, rej = classify_batches(df, max_batch=2)
+    assert sorted(r["request_id"] for r in res.collect()) == ["1_0", "1_1"]
+    assert {r["batch_id"]: r["verdict"] for r in rej.collect()} == {2: "empty_item", 3: "batch_too_large"}
