@@ -32,15 +32,24 @@ BROADCAST_MAX_CLASSES = 64
 
 
 def normalize(df: DataFrame, text_col: str = "text", drop_empty_text: bool = True,
-              max_text_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
+              max_text_chars: int | None = None, observation=None) -> tuple[DataFrame, DataFrame]:
     """``(rows, stats)``.  ``rows`` has the stripped, truncated text and
     no blank rows when ``drop_empty_text``; otherwise blank rows stay and
     the stats row reports them (the caller fails the job on
     ``blank_rows > 0``).  ``stats`` is one row: ``rows_in, blank_rows,
-    dropped_empty, truncated_rows, max_chars, rows_out``."""
+    dropped_empty, truncated_rows, max_chars, rows_out``.
+
+    With an ``Observation``, the counts ``rows_in, blank_rows,
+    truncated_rows`` are also collected while ``rows`` is computed, so a job
+    that writes ``rows`` needs no separate pass for the stats."""
     s = df.withColumn(text_col, ustrip(F.col(text_col).cast("string")))
     blank = F.length(text_col) == 0
     s = s.withColumn("__blank", blank)
+    limit0 = max_text_chars if (max_text_chars is not None and max_text_chars > 0) else None
+    if observation is not None:
+        long0 = ((F.length(text_col) > limit0) & ~F.col("__blank")) if limit0 else F.lit(False)
+        s = s.observe(observation, F.count(F.lit(1)).alias("rows_in"), F.count_if("__blank").alias("blank_rows"),
+                      F.count_if(long0).alias("truncated_rows"))
     kept = s.filter(~F.col("__blank")) if drop_empty_text else s
     limit = max_text_chars if (max_text_chars is not None and max_text_chars > 0) else None
     if limit:
