@@ -64,6 +64,24 @@ def reject_strict(df: DataFrame, batch_col: str = "batch_id", text_col: str = "t
     return out.drop("__n")
 
 
+def frame_summary(df: DataFrame, num_labels: int = 4, text_col: str = "text", label_col: str = "label") -> DataFrame:
+    """The counting part of B5 as one aggregate (one pass): ``rows,
+    null_text, null_label, non_integer_labels, out_of_range``.  Jobs check
+    this first and compute ``frame_checks`` details only on failure."""
+    missing = [c for c in (text_col, label_col) if c not in df.columns]
+    if missing:
+        raise ValueError(f"frame must contain columns {[text_col, label_col]}; missing: {missing}")
+    lab = F.col(label_col).cast("double")
+    integral = lab == F.floor(lab)
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col(text_col).isNull()).alias("null_text"),
+        F.count_if(F.col(label_col).isNull()).alias("null_label"),
+        F.count_if(F.col(label_col).isNotNull() & ~integral).alias("non_integer_labels"),
+        F.count_if(integral & ((lab < 0) | (lab >= num_labels))).alias("out_of_range"),
+    )
+
+
 def frame_checks(df: DataFrame, key: str, num_labels: int = 4, text_col: str = "text", label_col: str = "label",
                  first_n: int = 15, max_bad_values: int = 100) -> DataFrame:
     """One summary row.  Required columns are checked on the schema

@@ -53,7 +53,9 @@ def prepare(spark: SparkSession, input_csv: str, output_dir: str, opts: PrepareO
     io.require_columns(raw)
     keyed = raw.withColumn("__row", F.monotonically_increasing_id())
 
-    checks = _one(V.frame_checks(keyed, "__row", opts.num_labels))
+    checks = _one(V.frame_summary(keyed, opts.num_labels))   # one pass; details only on failure
+    if checks["null_text"] or checks["null_label"] or checks["non_integer_labels"] or checks["out_of_range"]:
+        checks = _one(V.frame_checks(keyed, "__row", opts.num_labels))
     if checks["null_text"]:
         raise ValueError(f"Column 'text' contains null values ({checks['null_text']} rows)")
     if checks["null_label"]:
