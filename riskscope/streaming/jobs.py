@@ -46,8 +46,12 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trig
               .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
     # Same rule as session.balanced: only when the files arrive in fewer
     # splits than there are cores is each micro-batch spread out.
-    target = spark.sparkContext.defaultParallelism * 2
-    if static.rdd.getNumPartitions() * 2 <= target // 2:
+    try:
+        target = spark.sparkContext.defaultParallelism * 2
+        parts = static.rdd.getNumPartitions()
+    except Exception:  # pragma: no cover - no RDD view (Spark Connect)
+        return stream
+    if parts * 2 <= target // 2:
         stream = stream.repartition(target)
     return stream
 
