@@ -236,7 +236,8 @@ def cache_replay(events: DataFrame, keys: list[str], ts_col: str, id_col: str, t
     nxt = _next_after(ev, keys, ttl, max(width, 1)).checkpoint()
     first = ev.groupBy(*keys).agg(F.min(F.struct("__t", "__id")).alias("__f")).select(F.col("__f.__id").alias("__id"))
     reach = first.checkpoint()
-    jump = nxt.select("__id", F.col("__next").alias("__to")).filter(F.col("__to").isNotNull()).checkpoint()
+    # a projection of the checkpointed pointers: no lineage to cut yet
+    jump = nxt.select("__id", F.col("__next").alias("__to")).filter(F.col("__to").isNotNull())
     n_reach = reach.count()
     for _ in range(max_rounds):
         new = reach.join(jump, "__id").select(F.col("__to").alias("__id"))
