@@ -97,3 +97,12 @@ def test_random_phrases_match_python_model(spark):
             assert (r["rule_terms"], r["rule_risk"], r["high_terms"]) == (want["terms"], want["risk"], want["high"]), text
 
     check()
+
+
+def test_literal_lexicon_size_guard(spark, monkeypatch):
+    import pytest
+
+    from riskscope.operators import rules as R
+    monkeypatch.setattr(R, "MAX_LITERAL_RULES", 10)
+    with pytest.raises(ValueError, match="too many"):
+        R.lexicon_from_frame(rules_frame(spark))
