@@ -1,19 +1,26 @@
 """Byte-level BPE encoding and decoding (operator 5): monoid tree reduction.
 
 A text is cut in halves down to leaves, each leaf is encoded, and neighbours
-are joined going up.  The join is associative, and works on two levels:
-
-* matches of the split pattern: the left part's last matches may change when
-  text follows, so the join scans again from the first match that could see
-  the end of the left part, over a window that doubles until a match boundary
-  of the scan meets one of the right part.  The pattern looks at most two
-  characters past a match's start for a contraction and one past its end, and
-  never back, so matches outside the window are final.
-* tokens inside one long match: the join encodes the window of tokens around
-  the seam again and grows it until, at both edges, the outer and the inner
-  token encode to themselves as a pair.  A sequence of tokens whose adjacent
-  pairs all encode to themselves is the encoding of the whole, so the tokens
-  outside are final.
+are joined going up.  The join is associative: it encodes a window around the
+seam again and grows it until both edges are proven, then keeps the tokens
+outside as they are.
+
+* With the standard split pattern, a space between two characters that are not
+  white space starts a match whatever stands around it: no match goes on from
+  such a character over a space, and none before it looks further ahead.  So a
+  window from the last such place left of the seam to the first one right of it
+  is encoded as it would be within the whole text.
+* Where a part has no such place, or with another pattern, matches are joined:
+  the left part's last matches may change when text follows, so the join scans
+  again from the first match that could see the end of the left part, over a
+  window that doubles until a match boundary of the scan meets one of the right
+  part.  The pattern looks at most two characters past a match's start for a
+  contraction and one past its end, and never back, so matches outside the
+  window are final.
+* Inside one long match, tokens are joined: the window around the seam grows
+  until, at both edges, the outer and the inner token encode to themselves as a
+  pair.  A sequence of tokens whose adjacent pairs all encode to themselves is
+  the encoding of the whole, so the tokens outside are final.
 
 Decoding maps ids to bytes in the leaves and concatenates up the same tree.
 
@@ -27,8 +34,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -38,6 +47,9 @@ LEAF_CHARS = 4096     # texts up to this long are one leaf
 LEAF_BYTES = 48       # matches up to this long are merged directly
 CACHE_MATCHES = 200_000
 LOOKAHEAD = 3         # characters from its start that decide where a match begins and ends
+# Fixed value: the split pattern whose seams are known.
+STANDARD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_SEAM = re.compile(r"(?<=\S) (?=\S)")
 
 
 def default_ranks_path() -> str:
@@ -52,10 +64,14 @@ class TreeCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS,
                  leaf_bytes: int = LEAF_BYTES):
         import regex
+        import tiktoken
 
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.split = regex.compile(pattern)
+        self.standard = pattern == STANDARD_PATTERN
+        self._leaf = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=ranks,
+                                       special_tokens={}).encode_ordinary
         self.leaf_chars, self.leaf_bytes = max(leaf_chars, 2 * LOOKAHEAD), max(leaf_bytes, 2)
         self._cache: dict[str, tuple[int, ...]] = {}
         self._pairs: dict[tuple[int, int], bool] = {}
@@ -191,12 +207,64 @@ class TreeCodec:
     # --- whole texts -------------------------------------------------------------
 
     def encode(self, text: str) -> list[int]:
+        if not self.standard:
+            return self._by_matches(text)
+        if len(text) <= self.leaf_chars:
+            return self._leaf(text)
+        mid = len(text) // 2
+        return self.join(text[:mid], self.encode(text[:mid]), text[mid:], self.encode(text[mid:]))
+
+    def _by_matches(self, text: str) -> list[int]:
         out: list[int] = []
         get, tokens = self._cache.get, self.match_tokens
         for m in self.matches(text):
             out += get(m) or tokens(m)
         return out
 
+    def join(self, left: str, left_ids: list[int], right: str, right_ids: list[int]) -> list[int]:
+        """The ids of two neighbouring parts of a text, from theirs."""
+        start, end = self._last_seam(left), self._first_seam(right)
+        if len(left) - start + end > 2 * self.leaf_chars:
+            inner = self._by_matches(left[start:] + right[:end])
+        else:
+            inner = self._leaf(left[start:] + right[:end])
+        return (left_ids[: self._tokens_before(left_ids, len(left[start:].encode()))] + inner
+                + right_ids[self._tokens_over(right_ids, len(right[:end].encode())):])
+
+    @staticmethod
+    def _last_seam(text: str) -> int:
+        """The last proven boundary, from windows that double; else the start."""
+        width = 32
+        while True:
+            at = max(0, len(text) - width)
+            found = [m.start() for m in _SEAM.finditer(text, at)]
+            if found or not at:
+                return found[-1] if found else 0
+            width *= 2
+
+    @staticmethod
+    def _first_seam(text: str) -> int:
+        found = _SEAM.search(text)
+        return found.start() if found else len(text)
+
+    def _tokens_before(self, ids: list[int], size: int) -> int:
+        """How many ids stand before the last ``size`` bytes."""
+        k = len(ids)
+        while size > 0:
+            k -= 1
+            size -= len(self.bytes_of[ids[k]])
+        assert size == 0, "a proven boundary lies between tokens"
+        return k
+
+    def _tokens_over(self, ids: list[int], size: int) -> int:
+        """How many ids make up the first ``size`` bytes."""
+        k = 0
+        while size > 0:
+            size -= len(self.bytes_of[ids[k]])
+            k += 1
+        assert size == 0, "a proven boundary lies between tokens"
+        return k
+
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= self.leaf_chars:
             return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -228,8 +296,10 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            ids = [c.encode(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], schema=schema)
+            ids = [np.array(c.encode(t.as_py() or ""), np.int32) for t in batch.column(1)]
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.zeros(0, np.int32)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], schema=schema)
 
     return keyed_text(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -245,11 +315,12 @@ def digest(encoded: DataFrame, path: str | None = None, pattern: str | None = No
         names = [str(i) for i in range(max(c.bytes_of) + 1)]
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
-            for ids in batch.column(1).to_pylist():
+            for row in batch.column(1):
+                ids = row.as_py() or []
                 out[0].append(len(ids))
                 out[1].append(hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest())
                 out[2].append(hashlib.sha256(c.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out)], schema=schema) \
-                if len(batch) else pa.RecordBatch.from_pylist([], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, f.type) for v, f in
+                                                                 zip(out, list(schema)[1:]))], schema=schema)
 
     return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -28,6 +28,13 @@ def test_long_matches_and_seams(text):
         assert c.encode(text) == LIBRARY.encode_ordinary(text)
 
 
+def test_matches_equal_the_library_without_the_seam_rule():
+    other = bpe.TreeCodec(CODEC.ranks, P.PATTERN, leaf_chars=6, leaf_bytes=2)
+    other.standard = False
+    for text in ("we're all here, they'll  say \n\n so!!  123", "x" * 500 + " y" * 300, "   a   b'll   "):
+        assert other.encode(text) == LIBRARY.encode_ordinary(text)
+
+
 def test_join_is_associative():
     parts = ["the", "reti", "tion", "ing"]
     enc = [list(TINY.match_tokens(p)) for p in parts]
