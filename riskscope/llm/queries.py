@@ -8,14 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskscope.llm import bpe, chat, decontaminate, sharding
+from riskscope.llm import bpe, chat, decontaminate, idcoder, jaccard, licenses, pii, quality, sharding
 from riskscope.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode_documents(table(spark, sf_dir, "documents")))
 
@@ -24,6 +32,18 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_id_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idcoder.read_ids(idcoder.write_ids(table(spark, sf_dir, "documents")))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     injected = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", injected), (-7, 1, "assistant", injected)],
@@ -33,7 +53,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_jump_sharding, op5_byte_bpe, op6_decontaminate, op10_chat_format)
+    f.__name__: f for f in (op1_license_scan, op2_jump_sharding, op4_quality_llr, op5_byte_bpe, op6_decontaminate, op7_id_coder,
+                            op8_personal_data, op9_jaccard_join, op10_chat_format)
 }
 
 # No operator here can be expressed in SQL over whole texts at a usable cost
