@@ -1,10 +1,11 @@
 """Quality rules (operator 4): hashed n-gram log-likelihood ratio.
 
-Words and word pairs of every document are hashed into ``BUCKETS`` buckets.
+A document's tokens are its words, with runs of ASCII punctuation set apart.
+Tokens and token pairs are hashed into ``BUCKETS`` buckets; a token that repeats
+the one before makes the same pair whatever the token is.
 Two multinomials over the buckets are estimated: the trusted target, from
 documents labelled good, and the raw corpus, from all documents.  A document's
-score is the sum of log(target / raw) over its n-grams, divided by their
-number; a document is kept if the score reaches ``THRESHOLD``.  Weights are
+score is the sum of log(target / raw) over its n-grams, divided by their number; a document is kept if the score reaches ``THRESHOLD``.  Weights are
 rounded to millionths, so sums are whole numbers and every document's verdict
 is the same in any order of work.
 
@@ -33,12 +34,14 @@ from riskscope.llm.common import keyed_text
 
 BUCKETS = 1 << 14
 TARGET_ROWS = 20_000
-THRESHOLD = -250_000     # millionths of a nat per n-gram
+THRESHOLD = -150_000     # millionths of a nat per n-gram
 SMOOTHING = 0.5
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
 _SPACE = r"[ \t-\r]+"
+_PUNCTUATION = r"[!-/:-@\[-`{-~]+"
+_SAME = 4711             # any number: the pair of a token and itself
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -51,13 +54,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), _SPACE), "")
 
 
+def tokens(text: Column) -> Column:
+    """Words, with runs of ASCII punctuation as tokens of their own."""
+    return words(F.regexp_replace(text, _PUNCTUATION, " $0 "))
+
+
 def _grams(hashes: Column) -> Column:
-    """Buckets of the words and of the word pairs, from word hashes."""
-    pairs = F.when(F.size(hashes) > 1, F.transform(
-        F.sequence(F.lit(0), F.size(hashes) - 2),
-        lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1)).bitwiseAND(BUCKETS - 1).cast("int")))
+    """Buckets of the tokens and of the token pairs, from token hashes; the
+    first token pairs with nothing."""
+
+    def two(h: Column, i: Column) -> Column:
+        before = F.get(hashes, i - 1)
+        return F.when(before == h, F.lit(_SAME)).otherwise(F.xxhash64(before, h)).bitwiseAND(BUCKETS - 1).cast("int")
+
     one = F.transform(hashes, lambda h: h.bitwiseAND(BUCKETS - 1).cast("int"))
-    return F.concat(one, F.coalesce(pairs, F.array().cast("array<int>")))
+    return F.concat(one, F.transform(hashes, two))
 
 
 def _hashes(ws: Column) -> Column:
@@ -69,7 +80,7 @@ def weights(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS)
     trusted = (labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("__good"))
                .distinct().orderBy(F.xxhash64("__good"), "__good").limit(target_rows))
     counts = (docs.join(F.broadcast(trusted), F.col("doc_id") == F.col("__good"), "left")  # target_rows ids
-              .select(F.explode(let(_hashes(words(F.col("text"))), _grams)).alias("bucket"), "__good")
+              .select(F.explode(let(_hashes(tokens(F.col("text"))), _grams)).alias("bucket"), "__good")
               .groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__good").alias("good")))
     total = counts.agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good")).first()
     if not total["all_good"]:
@@ -113,24 +124,24 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> Da
     lines = F.filter(F.split(text, "\n"), lambda s: F.trim(s, F.lit(" \t\n\x0b\x0c\r")) != "")
 
     def measure(ws: Column) -> Column:
-        def of(hashes: Column) -> Column:
-            score = let(_grams(hashes), lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda s, b: s + F.get(table, b)))
-            return F.struct(F.size(ws).cast("long").alias("n_words"),
-                            F.char_length(F.array_join(ws, "")).cast("long").alias("word_chars"),
-                            _repeated(hashes).cast("long").alias("n_repeat_words"), score.alias("score"))
+        return F.struct(F.size(ws).cast("long").alias("n_words"),
+                        F.char_length(F.array_join(ws, "")).cast("long").alias("word_chars"),
+                        let(_hashes(ws), _repeated).cast("long").alias("n_repeat_words"))
 
-        return let(_hashes(ws), of)
+    def rate(grams: Column) -> Column:
+        return F.struct(F.aggregate(grams, F.lit(0).cast("long"), lambda s, b: s + F.get(table, b)).alias("sum"),
+                        F.size(grams).cast("long").alias("n"))
 
     out = docs.select(
-        "doc_id", let(words(F.col("text")), measure).alias("m"),
+        "doc_id", let(words(text), measure).alias("m"),
+        let(let(_hashes(tokens(text)), _grams), rate).alias("llr"),
         F.char_length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"))
-    n, grams = F.col("n_words"), F.greatest(2 * F.col("n_words") - 1, F.lit(0))
     out = out.select("doc_id", "m.n_words", "m.word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words",
-                     F.col("m.score").alias("llr_micro"))
-    failed = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n)
+                     F.col("llr.sum").alias("llr_micro"), F.col("llr.n").alias("n_grams"))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("llr_micro") >= grams * threshold))
+        "kept", ~F.col("base_failed") & (F.col("llr_micro") >= F.col("n_grams") * threshold))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

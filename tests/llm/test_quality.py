@@ -45,7 +45,7 @@ def test_score_is_the_ratio_of_two_hashed_multinomials(spark, make_docs):
     lab = labels(spark, [(k, k % 2) for k in range(20)])
     docs = make_docs(pairs)
     table = quality.weights(quality.keyed_text(docs), lab)
-    grams = {r.doc_id: r.g for r in docs.select("doc_id", quality.let(quality._hashes(quality.words(docs.text)), quality._grams).alias("g")).collect()}
+    grams = {r.doc_id: r.g for r in docs.select("doc_id", quality.let(quality._hashes(quality.tokens(docs.text)), quality._grams).alias("g")).collect()}
     raw, trusted = {}, {}
     for i, g in grams.items():
         for b in g:
