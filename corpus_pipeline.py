@@ -1,25 +1,54 @@
-"""Corpus pipeline: from raw documents to token ids, one operator a stage."""
+"""Corpus pipeline: from raw documents to token ids, one operator a stage.
+
+quality        hashed n-gram likelihood ratio (operator 4): rejected documents go
+near_copies    n-gram Jaccard join (9): one document of each group stays
+decontaminate  winnowing against the benchmark (6): contaminated documents go
+personal_data  weak supervision (8): spans are replaced by their kind
+tokenize       byte-level BPE (5): doc_id and token ids
+
+All stages but the last return the columns of ``documents``.  Each takes what
+its predecessor kept, whole; statistics are taken on that input.  Null texts
+fail the quality rules, so later stages meet them only on their own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from riskscope.llm import bpe, decontaminate
+from riskscope.llm import bpe, decontaminate, jaccard, pii, quality
 from riskscope.llm.common import stored, table
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a window of words with the benchmark go."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and token ids."""
     return bpe.encode_documents(docs)
 
 
-STAGES = [("decontaminate", drop_contaminated), ("tokenize", tokenize)]
+STAGES = [
+    ("quality", keep_good),
+    ("near_copies", keep_one_of_each_group),
+    ("decontaminate", drop_contaminated),
+    ("personal_data", redact_personal_data),
+    ("tokenize", tokenize),
+]
+
+# Trained statistics, components and byte-pair merges are beyond SQL; tests
+# compare run() with a brute-force version instead.
 ORACLE_SQL = None
 
 

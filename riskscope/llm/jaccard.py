@@ -48,6 +48,7 @@ BINS = 1 << 18          # counters of the frequency table: a fixed 1 MB
 SLICES = 64
 RANGES = 16             # hash ranges of the suffix filter
 STAR_ROUNDS = 2
+BROADCAST_PAIRS = 1 << 20   # 16 MB of pairs
 
 
 def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -75,16 +76,48 @@ def _texts(batch: pa.RecordBatch, column: int = 1) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def frequency_table(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
-    """Counts of the distinct shingles of all documents in ``BINS`` counters."""
+_SET_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()),
+                         ("spread", pa.list_(pa.int32())), ("slice", pa.int32()), ("counts", pa.binary())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """One pass over the texts: a row (doc_id, n_shingles, s1, s2, spread) per
+    document, where spread has the set's counts by hash range for the suffix
+    filter; and, in rows with a slice, the task's counts of its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, np.int64)
+        edges = np.arange(1, RANGES, dtype=np.uint64) << np.uint64(60)
         for batch in batches:
-            for text in _texts(batch, 0):
-                total += 0 if not text else np.bincount(
-                    (shingles(text, size) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
-        yield _slices({k: part for k, part in enumerate(np.split(total, SLICES)) if part.any()})
+            n, one, two, spread, bins = [], [], [], [], []
+            for text in _texts(batch):
+                items = shingles(text, size)
+                a, b = name_of(items)
+                n.append(len(items))
+                one.append(a)
+                two.append(b)
+                cuts = np.concatenate(([0], np.searchsorted(items, edges), [len(items)]))
+                spread.append((cuts[1:] - cuts[:-1]).astype(np.int32))
+                bins.append((items & np.uint64(BINS - 1)).astype(np.int32))
+            if bins:
+                total += np.bincount(np.concatenate(bins), minlength=BINS)
+            k = len(n)
+            lists = pa.ListArray.from_arrays(np.arange(k + 1, dtype=np.int32) * RANGES,
+                                             np.concatenate([*spread, np.zeros(0, np.int32)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
+                                              pa.array(two, pa.int64()), lists, pa.nulls(k, pa.int32()),
+                                              pa.nulls(k, pa.binary())], schema=_SET_SCHEMA)
+        parts = {k: part.tobytes() for k, part in enumerate(np.split(total, SLICES)) if part.any()}
+        empty = [pa.nulls(len(parts), f.type) for f in list(_SET_SCHEMA)[:5]]
+        yield pa.RecordBatch.from_arrays([*empty, pa.array(list(parts), pa.int32()),
+                                          pa.array(list(parts.values()), pa.binary())], schema=_SET_SCHEMA)
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, spread array<int>, "
+                                "slice int, counts binary")
+
+
+def frequency_table(rows: DataFrame) -> np.ndarray:
+    """The ``BINS`` counters over all tasks, from the rows of ``_sets``."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -92,46 +125,18 @@ def frequency_table(docs: DataFrame, size: int = SHINGLE) -> np.ndarray:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 part = np.frombuffer(blob, np.int64)
                 sums[k] = sums[k] + part if k in sums else part
-        yield _slices(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()),
+                                          pa.array([v.tobytes() for v in sums.values()], pa.binary())],
+                                         names=["slice", "counts"])
 
-    rows = (docs.select("text").mapInArrow(count, "slice int, counts binary").repartition(SLICES, "slice")
-            .mapInArrow(add, "slice int, counts binary").collect())  # SLICES rows of BINS / SLICES counters
+    parts = (rows.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice")
+             .mapInArrow(add, "slice int, counts binary").collect())  # SLICES rows of BINS / SLICES counters
     total = np.zeros((SLICES, BINS // SLICES), np.int64)
-    for r in rows:
+    for r in parts:
         total[r.slice] = np.frombuffer(r.counts, np.int64)
     return total.ravel()
 
 
-def _slices(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()),
-                                       pa.array([v.tobytes() for v in parts.values()], pa.binary())],
-                                      names=["slice", "counts"])
-
-
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, spread) per row; spread: the set's counts
-    by hash range, for the suffix filter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()),
-                            ("spread", pa.list_(pa.int32()))])
-        for batch in batches:
-            n, one, two, spread = [], [], [], []
-            for text in _texts(batch):
-                items = shingles(text, size)
-                a, b = name_of(items)
-                n.append(len(items))
-                one.append(a)
-                two.append(b)
-                cuts = np.searchsorted(items >> np.uint64(60), np.arange(RANGES + 1))
-                spread.append(np.diff(cuts).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(v, f.type) for v, f in zip((n, one, two, spread), list(schema)[1:]))],
-                schema=schema)
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, spread array<int>")
-
-
 def _prefixes(docs: DataFrame, counts: np.ndarray, size: int) -> DataFrame:
     """(token, sp, s1): prefix shingles, each with size and position as one
     number.  Equal sets within a task are sent once."""
@@ -211,7 +216,6 @@ def _suffix_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """The pairs, with ``linked``: the exact comparison of the two sets."""
-    side = lambda c: texts.select(F.col("s1").alias(c), F.col("text").alias(f"text_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -235,28 +239,40 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())],
                                              names=["a", "b", "linked"])
 
-    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long, linked boolean")
+    side = lambda c: texts.select(F.col("s1").alias(c), F.col("text").alias(f"text_{c}"))
+    first, second = side("b"), side("a")
+    if pairs.count() <= BROADCAST_PAIRS:  # 16 bytes each: spare the texts a shuffle
+        first = first.join(F.broadcast(pairs), "b")
+        second = second.join(F.broadcast(pairs.select("a").distinct()), "a", "left_semi")
+    else:
+        first = first.join(pairs, "b")
+    return first.join(second, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id per document."""
     docs = keyed_text(docs)
-    rows = stored(_sets(docs, size), "jaccard-sets")
-    classes = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("spread").alias("spread"))
-    groups = stored(_groups(_prefixes(docs, frequency_table(docs, size), size)), "jaccard-groups")
+    scanned = stored(_sets(docs, size), "jaccard-sets")
+    rows = scanned.where("slice is null").select("doc_id", "n_shingles", "s1", "s2", "spread")
+    full = rows.where("n_shingles > 0")
+    groups = stored(_groups(_prefixes(docs, frequency_table(scanned), size)), "jaccard-groups")
     named = groups.select("s1").union(groups.select(F.col("c1").alias("s1"))).distinct()
+    classes = full.groupBy("s1", "s2").agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("spread").alias("spread"))
     classes = stored(classes.join(named, "s1", "left_semi"), "jaccard-classes")
-    texts = stored(
-        docs.join(classes.select(F.col("rep").alias("__rep"), "s1", "s2"), F.col("doc_id").eqNullSafe(F.col("__rep")))
-        .select("s1", "s2", "text").distinct().transform(lambda t: _own_text(t, size)), "jaccard-texts")
-
-    # One document may stand in several rows with different texts.
-    twice = rows.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(
-        F.min("s1").alias("a"), F.max("s1").alias("hi")).where("a <> hi")
-    links = stored(rows.where("n_shingles > 0").join(twice, "doc_id").select("a", F.col("s1").alias("b")).distinct(),
-                   "jaccard-links")
+
+    # A doc_id may stand in several rows: with one text, which is then taken
+    # once, or with several, which are then linked.
+    ids = full.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("s1").alias("a"), F.max("s1").alias("hi"))
+    ids = stored(ids.where("n > 1"), "jaccard-ids")
+    links = stored(full.join(ids.where("doc_id is not null and a <> hi"), "doc_id").select(
+        "a", F.col("s1").alias("b")).distinct(), "jaccard-links")
+    wanted = classes.join(ids.select(F.col("doc_id").alias("__many")), F.col("rep").eqNullSafe(F.col("__many")), "left")
+    wanted = wanted.select(F.col("rep").alias("__rep"), "s1", "s2",
+                           F.coalesce(F.col("__many").isNotNull() | F.col("rep").isNull(), F.lit(False)).alias("many"))
+    found = stored(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__rep"))).select("s1", "s2", "text", "many"),
+                   "jaccard-texts")
+    texts = found.where("not many").select("s1", "s2", "text").union(_own_text(found.where("many"), size))
     members = groups.select("token", "sp", "s1").union(
         groups.select("token", F.col("csp").alias("sp"), F.col("c1").alias("s1")).distinct())
     done, comps = None, None
@@ -280,10 +296,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
         checked = stored(_verified(_suffix_filter(pairs, classes), texts, size), "jaccard-pairs")
         done = checked if done is None else done.union(checked)
-        links = links.union(checked.where("linked").select("a", "b"))
-        comps = components(links)
+        new = checked.where("linked").select("a", "b")
+        comps = components((links if comps is None else comps.select("node", "root")).union(new).toDF("a", "b"))
 
-    named_rows = rows.where("n_shingles > 0").join(comps.withColumnRenamed("node", "s1"), "s1", "left").select(
+    named_rows = full.join(comps.withColumnRenamed("node", "s1"), "s1", "left").select(
         "s1", "doc_id", F.coalesce("root", "s1").alias("comp"))
     least = named_rows.groupBy("s1", "comp").agg(F.min("doc_id").alias("low"))
     label = least.select("s1", "comp").join(least.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select(
@@ -302,6 +318,7 @@ def _own_text(found: DataFrame, size: int) -> DataFrame:
                    zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch, 2))]
             yield batch.filter(pa.array(own, pa.bool_()))
 
+    found = found.select("s1", "s2", "text")
     return found.mapInArrow(run, "s1 long, s2 long, text string").dropDuplicates(["s1", "s2"])
 
 
