@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskscope.llm import bpe, chat, decontaminate, idcoder, jaccard, licenses, pii, quality, sharding
+from riskscope.llm import bpe, chat, decontaminate, idcoder, jaccard, licenses, pii, quality, repeats, sharding
 from riskscope.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_jump_sharding, op4_quality_llr, op5_byte_bpe, op6_decontaminate, op7_id_coder,
+    f.__name__: f for f in (op1_license_scan, op2_jump_sharding, op3_suffix_dedup, op4_quality_llr, op5_byte_bpe, op6_decontaminate, op7_id_coder,
                             op8_personal_data, op9_jaccard_join, op10_chat_format)
 }
 
