@@ -9,10 +9,11 @@ positional and suffix filters; each candidate pair is verified once.
 2. Two sets at the threshold share a shingle in their prefixes.  Prefix
    shingles meet by a shuffle on the shingle; equal sets count once.
 3. Groups around a prefix shingle are not expanded into all pairs.  First each
-   member meets the group's smallest one, then, where a group still spans
-   several components, one drawn by hash.  Links found so far join components,
-   and only members of different components can add anything.  The last round
-   compares all such members, so no link between components is missed,
+   member meets the group's smallest one; then, where groups still span several
+   components, one drawn by hash.  Links found so far join components, and only
+   members of different components can add anything.  The last round compares
+   all such members, a bounded block with a block at a time, and passes on only
+   those that the filters leave, so no link between components is missed,
    whatever the first rounds found.
 4. Candidates must pass the length and positional filters (from the prefix
    entry) and the suffix filter (counts by hash range bound the difference of
@@ -46,8 +47,9 @@ SHINGLE = 5
 NUM, DEN = 75, 100      # the threshold, as a fraction
 BINS = 1 << 18          # counters of the frequency table: a fixed 1 MB
 SLICES = 64
-RANGES = 16             # hash ranges of the suffix filter
+RANGES = 256            # hash ranges of the suffix filter
 STAR_ROUNDS = 2
+BLOCK = 1024            # members of a group that are compared with as many at a time
 BROADCAST_PAIRS = 1 << 20   # 16 MB of pairs
 
 
@@ -77,17 +79,16 @@ def _texts(batch: pa.RecordBatch, column: int = 1) -> list[bytes | None]:
 
 
 _SET_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()),
-                         ("spread", pa.list_(pa.int32())), ("slice", pa.int32()), ("counts", pa.binary())])
+                         ("spread", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     """One pass over the texts: a row (doc_id, n_shingles, s1, s2, spread) per
-    document, where spread has the set's counts by hash range for the suffix
-    filter; and, in rows with a slice, the task's counts of its shingles."""
+    document, where spread has the set's counts by hash range, a byte each, for
+    the suffix filter; and, in rows with a slice, the task's counts of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, np.int64)
-        edges = np.arange(1, RANGES, dtype=np.uint64) << np.uint64(60)
         for batch in batches:
             n, one, two, spread, bins = [], [], [], [], []
             for text in _texts(batch):
@@ -96,23 +97,21 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 n.append(len(items))
                 one.append(a)
                 two.append(b)
-                cuts = np.concatenate(([0], np.searchsorted(items, edges), [len(items)]))
-                spread.append((cuts[1:] - cuts[:-1]).astype(np.int32))
+                counts = np.bincount((items >> np.uint64(56)).astype(np.int64), minlength=RANGES)
+                spread.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
                 bins.append((items & np.uint64(BINS - 1)).astype(np.int32))
             if bins:
                 total += np.bincount(np.concatenate(bins), minlength=BINS)
             k = len(n)
-            lists = pa.ListArray.from_arrays(np.arange(k + 1, dtype=np.int32) * RANGES,
-                                             np.concatenate([*spread, np.zeros(0, np.int32)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
-                                              pa.array(two, pa.int64()), lists, pa.nulls(k, pa.int32()),
+                                              pa.array(two, pa.int64()), pa.array(spread, pa.binary()), pa.nulls(k, pa.int32()),
                                               pa.nulls(k, pa.binary())], schema=_SET_SCHEMA)
         parts = {k: part.tobytes() for k, part in enumerate(np.split(total, SLICES)) if part.any()}
         empty = [pa.nulls(len(parts), f.type) for f in list(_SET_SCHEMA)[:5]]
         yield pa.RecordBatch.from_arrays([*empty, pa.array(list(parts), pa.int32()),
                                           pa.array(list(parts.values()), pa.binary())], schema=_SET_SCHEMA)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, spread array<int>, "
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, spread binary, "
                                 "slice int, counts binary")
 
 
@@ -199,8 +198,75 @@ def _possible(sp_a: str, sp_b: str):
             & (F.least(*rest) * (DEN + NUM) >= (n[0] + n[1]) * NUM))
 
 
-def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
-    return rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _all_pairs(open_groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) for members of different components in a group that pass the
+    length, positional and suffix filters.  Groups are cut into blocks by hash;
+    a task holds two blocks."""
+    cuts = open_groups.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    members = open_groups.join(classes.select("s1", "spread"), "s1").join(cuts, "token")
+    own = members.withColumn("block", F.pmod(F.xxhash64("s1"), "k").cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
+        "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "s1", "sp",
+        "comp", "spread")
+
+    def pairs_of(s1, sp, comp, spread, left, right):
+        n, rest = sp >> 32, (sp >> 32) - (sp & 0xFFFFFFFF)
+        out = []
+        for lo in range(0, len(left), 128):
+            x, y = left[lo:lo + 128, None], right[None, :]
+            total, least = n[x] + n[y], np.minimum(n[x], n[y])
+            ok = ((s1[x] != s1[y]) & (comp[x] != comp[y]) & (least * DEN >= (total - least) * NUM)
+                  & (np.minimum(rest[x], rest[y]) * (DEN + NUM) >= total * NUM))
+            p, q = np.nonzero(ok)
+            p, q = left[lo:lo + 128][p], right[q]
+            for at in range(0, len(p), 1 << 15):
+                a, b = p[at:at + (1 << 15)], q[at:at + (1 << 15)]
+                near = _near(spread[a], spread[b], n[a] + n[b])
+                out.append((np.minimum(s1[a], s1[b])[near], np.maximum(s1[a], s1[b])[near]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def closed() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            s1, sp, comp, block = (t.column(c).to_numpy() for c in ("s1", "sp", "comp", "block"))
+            spread = np.frombuffer(b"".join(t.column("spread").to_pylist()), np.uint8).reshape(-1, RANGES)
+            i, j = now[1], now[2]
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            found = pairs_of(s1, sp, comp, spread, left, right)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)])) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = [batch.column(k).to_numpy() for k in range(3)]
+            cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            for lo, hi in zip([0, *cut], [*cut, len(batch)]):
+                key = tuple(int(k[lo]) for k in keys)
+                if key != now:
+                    if held:
+                        yield closed()
+                    held, now = [], key
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield closed()
+
+    return (dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+            .mapInArrow(run, "a long, b long").distinct())
+
+
+def _near(x: np.ndarray, y: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Suffix filter: two sets differ in at least the sum of the differences of
+    their counts by hash range."""
+    apart = np.abs(x.astype(np.int16) - y).sum(axis=1, dtype=np.int64)
+    return (total - apart) * (DEN + NUM) >= total * (2 * NUM)
 
 
 def _suffix_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -208,10 +274,15 @@ def _suffix_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     sets differ in at least the sum of the counts' differences."""
     side = lambda c: classes.select(F.col("s1").alias(c), F.col("n_shingles").alias(f"n_{c}"),
                                     F.col("spread").alias(f"spread_{c}"))
-    apart = F.aggregate(F.zip_with("spread_a", "spread_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    total = F.col("n_a") + F.col("n_b")
-    return (pairs.join(side("a"), "a").join(side("b"), "b")
-            .where((total - apart) * (DEN + NUM) >= total * (2 * NUM)).select("a", "b").distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, RANGES) for k in (4, 5))
+            yield batch.select([0, 1]).filter(pa.array(_near(x, y, total)))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "spread_a", "spread_b")
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -279,22 +350,19 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     for step in range(STAR_ROUNDS + 1):
         if step == 0:
             met = groups.where(_possible("csp", "sp")).select(F.col("c1").alias("a"), F.col("s1").alias("b"))
-        else:
+            near = _suffix_filter(_pairs(met), classes)
+        elif step < STAR_ROUNDS:
             open_groups = _open_groups(members, comps)
-            if step < STAR_ROUNDS:
-                drawn = open_groups.groupBy("token").agg(F.min_by(
-                    F.struct("s1", "sp", "comp"), F.xxhash64("token", "s1")).alias("c"))
-                met = open_groups.join(drawn, "token").where("comp <> c.comp").withColumn("csp", F.col("c.sp")).where(
-                    _possible("csp", "sp")).select(F.col("c.s1").alias("a"), F.col("s1").alias("b"))
-            else:
-                left = open_groups.select("token", F.col("s1").alias("a"), F.col("sp").alias("csp"),
-                                          F.col("comp").alias("of"))
-                met = left.join(open_groups, "token").where("a < s1 and of <> comp").where(
-                    _possible("csp", "sp")).select("a", F.col("s1").alias("b"))
-        pairs = _pairs(met, "a", "b")
+            drawn = open_groups.groupBy("token").agg(F.min_by(
+                F.struct("s1", "sp", "comp"), F.xxhash64("token", "s1", F.lit(step))).alias("c"))
+            met = open_groups.join(drawn, "token").where("comp <> c.comp").withColumn("csp", F.col("c.sp")).where(
+                _possible("csp", "sp")).select(F.col("c.s1").alias("a"), F.col("s1").alias("b"))
+            near = _suffix_filter(_pairs(met), classes)
+        else:
+            near = _all_pairs(_open_groups(members, comps), classes)
         if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        checked = stored(_verified(_suffix_filter(pairs, classes), texts, size), "jaccard-pairs")
+            near = near.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        checked = stored(_verified(stored(near, "jaccard-near"), texts, size), "jaccard-pairs")
         done = checked if done is None else done.union(checked)
         new = checked.where("linked").select("a", "b")
         comps = components((links if comps is None else comps.select("node", "root")).union(new).toDF("a", "b"))

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from riskscope.llm import jaccard
 from riskscope.llm.components import components
 
@@ -64,7 +66,9 @@ def test_edited_copies_chains_and_a_shared_passage(make_docs):
     check(make_docs, pairs)
 
 
-def test_hot_groups_of_near_copies_that_do_not_all_link(make_docs):
+@pytest.mark.parametrize("block", [7, 1024])
+def test_hot_groups_of_near_copies_that_do_not_all_link(make_docs, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = random.Random(8)
     words = [f"v{k}" for k in range(120)]
     pairs = [(k, " ".join(words)) for k in range(30)]
