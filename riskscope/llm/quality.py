@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskscope.llm.common import keyed_text
@@ -59,16 +59,27 @@ def tokens(text: Column) -> Column:
     return words(F.regexp_replace(text, _PUNCTUATION, " $0 "))
 
 
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(BUCKETS - 1).cast("int")
+
+
+def _pair(before: Column, h: Column) -> Column:
+    return F.when(before == h, F.lit(_SAME)).otherwise(F.xxhash64(before, h))
+
+
 def _grams(hashes: Column) -> Column:
     """Buckets of the tokens and of the token pairs, from token hashes; the
     first token pairs with nothing."""
+    return F.concat(F.transform(hashes, _bucket),
+                    F.transform(hashes, lambda h, i: _bucket(_pair(F.get(hashes, i - 1), h))))
 
-    def two(h: Column, i: Column) -> Column:
-        before = F.get(hashes, i - 1)
-        return F.when(before == h, F.lit(_SAME)).otherwise(F.xxhash64(before, h)).bitwiseAND(BUCKETS - 1).cast("int")
 
-    one = F.transform(hashes, lambda h: h.bitwiseAND(BUCKETS - 1).cast("int"))
-    return F.concat(one, F.transform(hashes, two))
+def _score(hashes: Column, table: Column) -> Column:
+    """The sum of the weights of ``_grams``, and how many there are."""
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(None).cast("long").alias("last"))
+    return F.struct(F.aggregate(hashes, start, lambda s, h: F.struct(
+        (s["sum"] + F.get(table, _bucket(h)) + F.get(table, _bucket(_pair(s["last"], h)))).alias("sum"), h.alias("last")),
+        lambda s: s["sum"]).alias("sum"), (2 * F.size(hashes)).cast("long").alias("n"))
 
 
 def _hashes(ws: Column) -> Column:
@@ -82,12 +93,10 @@ def weights(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS)
     counts = (docs.join(F.broadcast(trusted), F.col("doc_id") == F.col("__good"), "left")  # target_rows ids
               .select(F.explode(let(_hashes(tokens(F.col("text"))), _grams)).alias("bucket"), "__good")
               .groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__good").alias("good")))
-    total = counts.agg(F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good")).first()
-    if not total["all_good"]:
-        return [0] * BUCKETS
-    share = lambda n, of: (F.col(n) + SMOOTHING) / F.lit(float(of + SMOOTHING * BUCKETS))
-    scored = counts.select("bucket", F.round(1e6 * F.log(share("good", total["all_good"]) / share("raw", total["all_raw"])))
-                           .cast("long").alias("weight"))
+    every = Window.partitionBy()  # over at most BUCKETS rows
+    share = lambda n: (F.col(n) + SMOOTHING) / (F.sum(n).over(every) + F.lit(SMOOTHING * BUCKETS))
+    scored = counts.select("bucket", F.when(F.sum("good").over(every) > 0, F.round(1e6 * F.log(share("good") / share("raw"))))
+                           .otherwise(0).cast("long").alias("weight"))
     out = [0] * BUCKETS
     for r in scored.collect():  # at most BUCKETS rows
         out[r["bucket"]] = r["weight"]
@@ -128,13 +137,9 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> Da
                         F.char_length(F.array_join(ws, "")).cast("long").alias("word_chars"),
                         let(_hashes(ws), _repeated).cast("long").alias("n_repeat_words"))
 
-    def rate(grams: Column) -> Column:
-        return F.struct(F.aggregate(grams, F.lit(0).cast("long"), lambda s, b: s + F.get(table, b)).alias("sum"),
-                        F.size(grams).cast("long").alias("n"))
-
     out = docs.select(
         "doc_id", let(words(text), measure).alias("m"),
-        let(let(_hashes(tokens(text)), _grams), rate).alias("llr"),
+        let(_hashes(tokens(text)), lambda h: _score(h, table)).alias("llr"),
         F.char_length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"))
     out = out.select("doc_id", "m.n_words", "m.word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words",
