@@ -2,13 +2,16 @@
 ``spark-submit``):
 
     classify INPUT OUTPUT [--format json|jsonl|txt|parquet] [--text-col text] [--key doc_id] [--max-chars N]
+                          [--rules FILE.yaml] [--cut-points 25,50,75] [--view full|label|csv|raw]
+                          [--rejects DIR] [--logs DIR] [--strict]
     prepare  INPUT_CSV OUTPUT_DIR [--train .7 --val .15 --test .15 --seed 42 --num-labels 4
                                    --no-drop-empty-text --max-text-chars N --remove-duplicates --no-manifest]
     report   RESULTS OUTPUT [--group-col lang --reference-group en]
 
 ``classify`` reads texts (S2-S5) or a parquet table, classifies them (I1;
 rows without a ``probs`` column take the fallback score) and writes the
-results as JSON or parquet.  ``prepare`` is H3.  ``report`` reads a stored
+results as JSON, CSV or parquet; rejected rows go to OUTPUT_rejects or
+``--rejects``.  ``prepare`` is H3.  ``report`` reads a stored
 results table and writes the fairness summary, concerns, per-group rates
 and counters, each as one small JSON output.
 """
@@ -32,6 +35,12 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--text-col", default="text")
     c.add_argument("--key", default="doc_id")
     c.add_argument("--max-chars", type=int, default=None)
+    c.add_argument("--rules")
+    c.add_argument("--cut-points")
+    c.add_argument("--view", choices=["full", "label", "csv", "raw"], default="full")
+    c.add_argument("--rejects")
+    c.add_argument("--logs")
+    c.add_argument("--strict", action="store_true")
     r = sub.add_parser("prepare")
     r.add_argument("input_csv")
     r.add_argument("output_dir")
@@ -52,24 +61,49 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _classify(spark, a) -> None:
+    from dataclasses import replace
+
+    from .operators.validation import reject_single
+    from .params import DEFAULT_FUSION, DEFAULT_LEXICON, Lexicon
+    from .plans import classify as C
+    from .sources.io import write_json
+
+    table = a.format == "parquet" or (a.format is None and a.input.rstrip("/").endswith(".parquet"))
+    if table:
+        key = a.key
+        df = spark.read.parquet(a.input)
+        df = df.withColumnRenamed(a.text_col, "text") if a.text_col != "text" else df
+        items = reject_single(df)
+    else:
+        key = "item_idx"
+        items = C.file_items(spark, a.input, f".{a.format}" if a.format else None, a.strict)
+    params = DEFAULT_FUSION
+    if a.cut_points:
+        params = replace(params, cutpoints=tuple(int(x) for x in a.cut_points.split(",")))
+    lexicon = Lexicon.from_yaml(a.rules) if a.rules else DEFAULT_LEXICON
+    valid = items.filter(F.col("reject_reason").isNull()).drop("reject_reason", "malformed")
+    full = C.classify(valid, lexicon=lexicon, params=params, max_chars=a.max_chars)
+    view = {"full": lambda: C.result_view(full, key), "label": lambda: full.select(key, "label"),
+            "csv": lambda: C.csv_view(full, key), "raw": lambda: C.raw_view(full, key)}[a.view]()
+    if a.view == "csv":
+        view.write.mode("overwrite").option("header", True).option("escape", '"').csv(a.output)
+    elif table:
+        view.write.mode("overwrite").parquet(a.output)
+    else:
+        write_json(view, a.output)
+    rejects = items.filter(F.col("reject_reason").isNotNull())
+    write_json(rejects.select(key, "text", "reject_reason"), a.rejects or f"{a.output.rstrip('/')}_rejects")
+    if a.logs:
+        C.write_logs(full, a.logs, key)
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     a = _parser().parse_args(argv)
     from .session import build_session
     spark = spark or build_session()
     if a.cmd == "classify":
-        from .plans.classify import classify, classify_file, result_view
-        from .sources.io import write_json
-        if a.format == "parquet" or (a.format is None and a.input.rstrip("/").endswith(".parquet")):
-            df = spark.read.parquet(a.input)
-            if "probs" not in df.columns:
-                df = df.withColumn("probs", F.lit(None).cast("array<double>"))
-            df = df.withColumnRenamed(a.text_col, "text") if a.text_col != "text" else df
-            res = result_view(classify(df, max_chars=a.max_chars), key=a.key)
-            res.write.mode("overwrite").parquet(a.output)
-        else:
-            fmt = f".{a.format}" if a.format else None
-            res = classify_file(spark, a.input, None, fmt, max_chars=a.max_chars)
-            write_json(res, a.output)
+        _classify(spark, a)
     elif a.cmd == "prepare":
         from .plans.prepare import PrepareOptions, prepare
         opts = PrepareOptions(train=a.train, val=a.val, test=a.test, seed=a.seed, num_labels=a.num_labels,
@@ -77,7 +111,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
                               remove_duplicates=a.remove_duplicates)
         m = prepare(spark, a.input_csv, a.output_dir, opts, manifest=not a.no_manifest)
         r = m["rows"]
-        print(f"Wrote {r['train']} train, {r['val']} val, {r['test']} test rows to {a.output_dir}")
+        print(json.dumps({"output": a.output_dir, **{s: r[s] for s in ("train", "val", "test")}}))
     else:
         from .operators import fairness, metrics
         res = spark.read.parquet(a.results)

@@ -26,9 +26,6 @@ from ..session import checkpoint_dir
 SPLITS = ("train", "val", "test")
 #: Hex digits of the hash used for buckets: 16**4 = 65,536 buckets per class.
 BUCKET_HEX = 4
-#: Largest class count for which the bucket table is broadcast
-#: (65,536 rows per class).
-BROADCAST_MAX_CLASSES = 64
 
 
 def normalize(df: DataFrame, text_col: str = "text", drop_empty_text: bool = True,
@@ -71,10 +68,15 @@ def normalize(df: DataFrame, text_col: str = "text", drop_empty_text: bool = Tru
 
 
 def dedupe_text(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """One row per distinct text, the one with the smallest key."""
-    others = [c for c in df.columns if c not in (text_col,)]
-    agg = df.groupBy(text_col).agg(F.min_by(F.struct(*others), F.col(key)).alias("__r"))
-    return agg.select(*[F.col(f"__r.{c}").alias(c) for c in others], text_col).select(*df.columns)
+    """One row per distinct text, the one with the smallest key (which must
+    be unique).  Texts meet by their SHA-256 digest; the keys of the others,
+    usually few, are removed by an anti-join, so whole texts are neither
+    grouped nor sorted."""
+    h = F.coalesce(F.sha2(F.col(text_col), 256), F.lit(""))
+    digests = df.select(F.col(key).alias("__key"), h.alias("__h"))
+    first = digests.groupBy("__h").agg(F.min("__key").alias("__first"))
+    losers = digests.join(first, "__h").where("__key <> __first").select("__key")
+    return df.join(losers, df[key] == losers["__key"], "left_anti")
 
 
 def label_histogram(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -118,7 +120,7 @@ def split_hash(key: str, seed: int):
 
 def stratified_split(df: DataFrame, key: str, label_col: str = "label",
                      fractions: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 42,
-                     min_class_rows: int = 3, num_labels: int = 4) -> DataFrame:
+                     min_class_rows: int = 3, num_labels: int = 4, tie: str | None = None) -> DataFrame:
     """H1: adds ``split`` in {train, val, test}.  Exact per-class sizes; the
     same input and seed always give the same assignment, at any
     partitioning.  Rows whose label is outside ``[0, num_labels)`` and all
@@ -133,8 +135,11 @@ def stratified_split(df: DataFrame, key: str, label_col: str = "label",
     of those; the bucket table is checkpointed, so this runs eagerly) and
     once per output branch (rows of whole buckets, rows of boundary
     buckets); pass a stored table when the input is expensive to compute.  The bucket table has at
-    most 65,536 x ``num_labels`` rows by construction and is broadcast only
-    when ``num_labels <= BROADCAST_MAX_CLASSES``."""
+    most 65,536 x ``num_labels`` rows by construction; the planner chooses the
+    join from its measured size.
+
+    With ``tie``, rows may share a key: they tie in the hash and are told apart
+    by that column."""
     lab = F.col(label_col)
     in_range = lab.isNotNull() & (lab >= 0) & (lab < num_labels)
     rows = (df.withColumn("__h", split_hash(key, seed))
@@ -144,9 +149,8 @@ def stratified_split(df: DataFrame, key: str, label_col: str = "label",
     counts = buckets.groupBy(label_col).agg(F.sum("__bn").alias("n"))
     quotas = split_quotas(counts, fractions, label_col)
     w = Window.partitionBy(label_col).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    small = num_labels <= BROADCAST_MAX_CLASSES
     buckets = (buckets.withColumn("__start", F.coalesce(F.sum("__bn").over(w), F.lit(0)).cast("bigint"))
-               .join(F.broadcast(quotas) if small else quotas, label_col))
+               .join(quotas, label_col))
     t1 = F.col("n_test")
     t2 = F.col("n_test") + F.col("n_val")
     start, end = F.col("__start"), F.col("__start") + F.col("__bn")
@@ -158,11 +162,11 @@ def stratified_split(df: DataFrame, key: str, label_col: str = "label",
     # the shared checkpoint folder.
     checkpoint_dir(df.sparkSession)
     bt = buckets.select(label_col, "__b", "__start", "__whole", "__small", "n_test", "n_val").checkpoint(eager=True)
-    joined = rows.join(F.broadcast(bt) if small else bt, [label_col, "__b"], "left")
+    joined = rows.join(bt, [label_col, "__b"], "left")
 
     direct = joined.filter(F.col("__whole").isNotNull() | F.col("__b").isNull()).withColumn("split", F.col("__whole"))
     edge = joined.filter(F.col("__whole").isNull() & F.col("__b").isNotNull())
-    pos = F.col("__start") + F.row_number().over(Window.partitionBy(label_col, "__b").orderBy("__h", key)) - 1
+    pos = F.col("__start") + F.row_number().over(Window.partitionBy(label_col, "__b").orderBy("__h", tie or key)) - 1
     edge = edge.withColumn("__pos", pos).withColumn(
         "split", F.when(F.col("__pos") < F.col("n_test"), F.lit("test"))
         .when(F.col("__pos") < F.col("n_test") + F.col("n_val"), F.lit("val")).otherwise(F.lit("train"))).drop("__pos")
@@ -183,9 +187,9 @@ def split_counts(split_df: DataFrame, label_col: str = "label") -> DataFrame:
 
 def leak_check(split_df: DataFrame, text_col: str = "text") -> DataFrame:
     """Texts present in more than one split (must be empty after dedupe):
-    ``(text_hash, splits)``.  One partial aggregate on the text."""
-    return (split_df.groupBy(text_col).agg(F.countDistinct("split").alias("n_splits"))
-            .filter(F.col("n_splits") > 1).select(F.xxhash64(text_col).alias("text_hash"), "n_splits"))
+    ``(text_sha256, n_splits)``.  One partial aggregate on the digest."""
+    return (split_df.groupBy(F.sha2(F.col(text_col), 256).alias("text_sha256")).agg(F.countDistinct("split").alias("n_splits"))
+            .filter(F.col("n_splits") > 1))
 
 
 def manifest_counts(split_df: DataFrame, label_col: str = "label") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Counters, evaluation metrics, cache replay and rate limits.
+"""Counters, evaluation metrics and rate limits.
 
 Everything reduces a large frame with a partial aggregate first; the
 small per-class / per-label tables that remain (at most k*k rows for k
@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import LABELS
-from ..functions.time import as_utc_instant
-from ..session import checkpoint_dir
 from .fusion import round_half_up
 
 METRIC_PREFIX = "riskscope"
@@ -22,35 +20,51 @@ METRIC_PREFIX = "riskscope"
 # G9 / G10 counters
 # --------------------------------------------------------------------------
 
-def counters(results: DataFrame, label_col: str = "label", review_col: str = "requires_human_review") -> DataFrame:
+def counters(results: DataFrame, label_col: str = "label", review_col: str = "requires_human_review",
+             rejects: DataFrame | None = None, reason_col: str = "reject_reason") -> DataFrame:
     """``(metric, key, value)`` rows: requests, per label, per review
-    status.  Labels and review statuses are fixed sets, so this is one
-    global aggregate of conditional counts (partial per task, a one-row
-    final merge), exploded into rows.  Keys with no request are left out,
-    as in the original; an empty input still reports ``requests_total 0``."""
-    rev = F.col(review_col)
-    parts = [F.count(F.lit(1)).alias("n")]
-    parts += [F.count_if(F.col(label_col) == lab).alias(f"l{i}") for i, lab in enumerate(LABELS)]
-    parts += [F.count_if(rev).alias("r1"), F.count_if(~rev).alias("r0")]
-    a = results.agg(*parts)
-
-    def row(metric, key, value):
-        return F.struct(F.lit(metric).alias("metric"), F.lit(key).alias("key"), F.col(value).cast("bigint").alias("value"))
-
-    rows = ([row("requests_total", "", "n")] + [row("label_total", lab, f"l{i}") for i, lab in enumerate(LABELS)]
-            + [row("review_total", "review_required", "r1"), row("review_total", "no_review", "r0")])
-    out = a.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    return out.filter((F.col("metric") == "requests_total") | (F.col("value") > 0))
+    status and, given a rejects table, errors per reason.  Labels are counted
+    as they come (a null label under ``unknown``), so the labels add up to the
+    requests.  The input is reduced to one row per (label, review) once."""
+    by = results.groupBy(F.coalesce(F.col(label_col).cast("string"), F.lit("unknown")).alias("label"),
+                         F.col(review_col).alias("review")).agg(F.count(F.lit(1)).alias("n"))
+    review = F.when(F.col("review"), F.lit("review_required")).when(~F.col("review"), F.lit("no_review")).otherwise(
+        F.lit("unknown"))
+    row = lambda metric, key: F.struct(F.lit(metric).alias("metric"), key.alias("key"), F.col("n"))
+    parts = by.select(F.explode(F.array(row("requests_total", F.lit("")), row("label_total", F.col("label")),
+                                        row("review_total", review))).alias("r")).select("r.*")
+    zero = results.sparkSession.createDataFrame([("requests_total", "", 0)], "metric string, key string, n bigint")
+    parts = parts.unionByName(zero)
+    if rejects is not None:
+        parts = parts.unionByName(rejects.groupBy(F.col(reason_col).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+                                  .select(F.lit("errors_total").alias("metric"), "key", "n"))
+    return parts.groupBy("metric", "key").agg(F.sum("n").cast("bigint").alias("value"))
+
+
+#: Help text and value label of each counter.
+METRIC_HELP: dict[str, tuple[str, str]] = {
+    "requests_total": ("Requests classified", ""),
+    "label_total": ("Requests by label", "label"),
+    "review_total": ("Requests by review status", "status"),
+    "errors_total": ("Requests rejected by reason", "reason"),
+}
 
 
 def exposition_lines(counter_df: DataFrame, prefix: str = METRIC_PREFIX) -> DataFrame:
-    """Text exposition lines, e.g. ``<prefix>_label_total{label="X"} 5``;
-    sort by ``line`` when presenting (the counter table is tiny)."""
+    """``(ord, line)`` text exposition: per metric a HELP and a TYPE line,
+    then e.g. ``<prefix>_label_total{label="X"} 5``.  ``ord`` sorts the lines
+    (by metric, head lines first, then by key); keys are escaped."""
     name = F.concat(F.lit(prefix + "_"), F.col("metric"))
-    lbl = F.when(F.col("metric") == "label_total", F.lit("label")).otherwise(F.lit("status"))
-    line = F.when(F.col("key") == "", F.concat(name, F.lit(" "), F.col("value").cast("string"))).otherwise(
-        F.concat(name, F.lit("{"), lbl, F.lit('="'), F.col("key"), F.lit('"} '), F.col("value").cast("string")))
-    return counter_df.select(line.alias("line"))
+    pick = lambda j: F.coalesce(*[F.when(F.col("metric") == m, F.lit(v[j])) for m, v in METRIC_HELP.items()], F.lit(""))
+    key = F.replace(F.replace(F.replace(F.col("key"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    value = F.concat(F.when(F.col("key") == "", name).otherwise(
+        F.concat(name, F.lit("{"), pick(1), F.lit('="'), key, F.lit('"}'))), F.lit(" "), F.col("value").cast("string"))
+    lines = counter_df.select("metric", F.lit("2").alias("part"), "key", value.alias("line"))
+    heads = counter_df.select("metric").distinct().select("metric", F.explode(F.array(
+        F.struct(F.lit("0").alias("part"), F.concat(F.lit("# HELP "), name, F.lit(" "), pick(0)).alias("line")),
+        F.struct(F.lit("1").alias("part"), F.concat(F.lit("# TYPE "), name, F.lit(" counter")).alias("line")))).alias("h"))
+    heads = heads.select("metric", "h.part", F.lit("").alias("key"), "h.line")
+    return lines.unionByName(heads).select(F.concat_ws("|", "metric", "part", "key").alias("ord"), "line")
 
 
 # --------------------------------------------------------------------------
@@ -64,27 +78,40 @@ def confusion(pairs: DataFrame, true_col: str = "y_true", pred_col: str = "y_pre
 
 
 def confusion_dense(pairs: DataFrame, k: int = 4, true_col: str = "y_true", pred_col: str = "y_pred") -> DataFrame:
-    """G15 dense form: one row per true class, ``p0..p{k-1}`` counts."""
-    c = confusion(pairs, true_col, pred_col)
-    d = c.groupBy("y_true").pivot("y_pred", list(range(k))).agg(F.sum("n")).fillna(0)
-    return d.select("y_true", *[F.col(str(i)).cast("bigint").alias(f"p{i}") for i in range(k)])
+    """G15 dense form: one row per true class, ``p0..p{k-1}`` and ``p_other``
+    counts.  Every class of ``[0, k)`` has a row; truths outside it, and nulls,
+    share the row -1."""
+    zeros = pairs.sparkSession.range(k).select(F.col("id").cast("int").alias("y_true"), F.lit(-1).alias("y_pred"),
+                                               F.lit(0).cast("bigint").alias("n"))
+    inside = lambda c: F.when((F.col(c) >= 0) & (F.col(c) < k), F.col(c)).otherwise(F.lit(-1)).alias(c)
+    c = confusion(pairs, true_col, pred_col).select(inside("y_true"), inside("y_pred"), "n").unionByName(zeros)
+    count = lambda i, name: F.coalesce(F.sum(F.when(F.col("y_pred") == i, F.col("n"))), F.lit(0)).cast("bigint").alias(name)
+    return c.groupBy("y_true").agg(*[count(i, f"p{i}") for i in range(k)], count(-1, "p_other"))
 
 
 def _class_table(pairs: DataFrame, k: int, true_col: str, pred_col: str) -> DataFrame:
     """One row, column ``c``: the k per-class records (label order) with
-    tp, fp, fn, precision, recall, f1 and support.  Built from the k x k
-    confusion counts in one aggregate, so every report below is a single
-    branch over one scan of the input."""
+    tp, fp, fn, precision, recall, f1 and support, and a last one, ``other``
+    (-1), for labels outside ``[0, k)`` and nulls if there are any: no pair
+    leaves the totals.  Built from the confusion counts in one aggregate, so
+    every report below is a single branch over one scan of the input."""
     c = confusion(pairs, true_col, pred_col)
     t, p, n = F.col("y_true"), F.col("y_pred"), F.col("n")
-    stats = c.agg(*[
-        a for i in range(k) for a in (
-            F.coalesce(F.sum(F.when((t == i) & (p == i), n)), F.lit(0)).alias(f"tp{i}"),
-            F.coalesce(F.sum(F.when((t != i) & (p == i), n)), F.lit(0)).alias(f"fp{i}"),
-            F.coalesce(F.sum(F.when((t == i) & (p != i), n)), F.lit(0)).alias(f"fn{i}"))])
-    raw = F.array(*[F.struct(F.lit(i).alias("label_id"), F.lit(LABELS[i] if i < len(LABELS) else str(i)).alias("label"),
+    out_of = lambda x: x.isNull() | (x < 0) | (x >= k)
+    right = F.coalesce(t == p, F.lit(False))
+
+    def count(cond):
+        return F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+
+    sides = [(F.coalesce(t == i, F.lit(False)), F.coalesce(p == i, F.lit(False))) for i in range(k)] + [(out_of(t), out_of(p))]
+    stats = c.agg(*[a for i, (is_t, is_p) in enumerate(sides) for a in (
+        count(is_t & is_p & right).alias(f"tp{i}"), count(is_p & ~right).alias(f"fp{i}"),
+        count(is_t & ~right).alias(f"fn{i}"))])
+    names = [(i, LABELS[i] if i < len(LABELS) else str(i)) for i in range(k)] + [(-1, "other")]
+    raw = F.array(*[F.struct(F.lit(label).alias("label_id"), F.lit(name).alias("label"),
                              F.col(f"tp{i}").cast("bigint").alias("tp"), F.col(f"fp{i}").cast("bigint").alias("fp"),
-                             F.col(f"fn{i}").cast("bigint").alias("fn")) for i in range(k)])
+                             F.col(f"fn{i}").cast("bigint").alias("fn")) for i, (label, name) in enumerate(names)])
+    raw = F.filter(raw, lambda x: (x["label_id"] >= 0) | (x["tp"] + x["fp"] + x["fn"] > 0))
 
     def finish(x):
         prec = F.when(x["tp"] + x["fp"] == 0, F.lit(0.0)).otherwise(x["tp"] / (x["tp"] + x["fp"]))
@@ -142,7 +169,7 @@ def eval_report(pairs: DataFrame, k: int = 4, true_col: str = "y_true", pred_col
     """Per-class rows plus ``accuracy``, ``macro avg`` and
     ``weighted avg`` rows, each with its support (one branch, exploded)."""
     n, _tp, wsum, msum, div = _sums(digits, k)
-    kk = F.lit(k).cast("bigint")
+    kk = F.size("c").cast("bigint")
 
     def row(name, p, r, f, sup):
         return F.struct(name.alias("row"), p.cast("double").alias("precision"), r.cast("double").alias("recall"),
@@ -172,91 +199,6 @@ def batch_stats(df: DataFrame, batch_col: str = "batch_id", reason_col: str = "r
         F.count_if(F.col(reason_col).isNotNull()).alias("failed"))
 
 
-# --------------------------------------------------------------------------
-# G18 TTL cache replay
-# --------------------------------------------------------------------------
-
-def _next_after(events: DataFrame, keys: list[str], ttl: int, width: int) -> DataFrame:
-    """For every event, the first event of its key strictly later than
-    ``t + ttl`` (an as-of lookup), without ordering any key as a whole.
-
-    Time is cut into buckets of ``width``.  The probe ``p = t + ttl`` falls
-    in bucket ``floor(p / width)``; the answer is the earliest event of that
-    bucket later than ``p`` (running minimum over the one bucket, time
-    descending, probe before equal-time events) or else the first event of
-    the next non-empty bucket (running ``last(ignorenulls)`` over a per-key
-    summary with one row per non-empty or probed bucket).  A window task
-    holds one bucket of one key; the summary holds at most
-    ``2 * time span / width`` rows per key, whatever the event count."""
-    ev = events.withColumn("__b", F.floor(F.col("__t") / F.lit(width)).cast("bigint"))
-    probes = ev.select(*keys, F.floor((F.col("__t") + ttl) / F.lit(width)).cast("bigint").alias("__b"),
-                       (F.col("__t") + ttl).alias("__time"), F.lit(0).alias("__kind"), F.col("__id").alias("__src"),
-                       F.lit(None).cast("bigint").alias("__eid"), F.lit(None).cast("bigint").alias("__et"))
-    evrows = ev.select(*keys, "__b", F.col("__t").alias("__time"), F.lit(1).alias("__kind"),
-                       F.lit(None).cast("bigint").alias("__src"), F.col("__id").alias("__eid"),
-                       F.col("__t").alias("__et"))
-    w = (Window.partitionBy(*keys, "__b").orderBy(F.desc("__time"), F.asc("__kind"))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cand = F.min(F.when(F.col("__kind") == 1, F.struct(F.col("__et").alias("t"), F.col("__eid").alias("id")))).over(w)
-    inb = (probes.unionByName(evrows).withColumn("__c", cand).filter(F.col("__kind") == 0)
-           .select(*keys, F.col("__src").alias("__id"), "__b", F.col("__c.id").alias("__n1")))
-
-    firsts = (ev.groupBy(*keys, "__b").agg(F.min(F.struct(F.col("__t").alias("t"), F.col("__id").alias("id"))).alias("__f"))
-              .withColumn("__kind", F.lit(1)))
-    asked = inb.filter(F.col("__n1").isNull()).select(*keys, "__b").distinct().select(
-        *keys, "__b", F.lit(None).cast(firsts.schema["__f"].dataType).alias("__f"), F.lit(0).alias("__kind"))
-    ws = (Window.partitionBy(*keys).orderBy(F.desc("__b"), F.asc("__kind"))
-          .rowsBetween(Window.unboundedPreceding, -1))
-    nxt = (asked.unionByName(firsts).withColumn("__nf", F.last("__f", ignorenulls=True).over(ws))
-           .filter(F.col("__kind") == 0).select(*keys, "__b", F.col("__nf.id").alias("__n2")))
-    out = inb.join(nxt, [*keys, "__b"], "left").select(*keys, "__id", F.coalesce("__n1", "__n2").alias("__next"))
-    return out
-
-
-def cache_replay(events: DataFrame, keys: list[str], ts_col: str, id_col: str, ttl_seconds: int,
-                 max_rounds: int = 64, bucket_seconds: int | None = None) -> DataFrame:
-    """Replay a TTL result cache of unlimited size per key.
-
-    An event is a miss when no entry is stored or the stored time is more
-    than ``ttl`` before it; a miss stores its time, a hit does not refresh
-    it.  So misses are the chain ``m0 = first event``, ``m(i+1) = first
-    event later than m(i) + ttl``.  The chain is marked by pointer
-    doubling: after round r every key has its first 2^r misses marked and
-    every event knows its 2^r-th successor.  Each round is two equi-joins on
-    event ids (no key is ever gathered in one task) and is checkpointed to
-    the shared checkpoint folder.  Output per key: ``hits, misses, hit_rate``
-    (3 decimals).
-    """
-    spark = events.sparkSession
-    checkpoint_dir(spark)
-    ttl = int(ttl_seconds) * 1_000_000
-    ts = as_utc_instant(F.col(ts_col), events.schema[ts_col].dataType)
-    ev = events.select(*keys, F.unix_micros(ts).alias("__t"), F.col(id_col).cast("bigint").alias("__id"))
-    width = int(bucket_seconds if bucket_seconds else min(int(ttl_seconds), 60)) * 1_000_000
-    nxt = _next_after(ev, keys, ttl, max(width, 1)).checkpoint()
-    first = ev.groupBy(*keys).agg(F.min(F.struct("__t", "__id")).alias("__f")).select(F.col("__f.__id").alias("__id"))
-    reach = first.checkpoint()
-    # a projection of the checkpointed pointers: no lineage to cut yet
-    jump = nxt.select("__id", F.col("__next").alias("__to")).filter(F.col("__to").isNotNull())
-    n_reach = reach.count()
-    for _ in range(max_rounds):
-        new = reach.join(jump, "__id").select(F.col("__to").alias("__id"))
-        reach2 = reach.unionByName(new).distinct().checkpoint()
-        n2 = reach2.count()
-        if n2 == n_reach:
-            reach = reach2
-            break
-        a, b = jump.alias("a"), jump.alias("b")
-        jump = (a.join(b, F.col("a.__to") == F.col("b.__id"))
-                .select(F.col("a.__id").alias("__id"), F.col("b.__to").alias("__to")).checkpoint())
-        reach, n_reach = reach2, n2
-    marked = nxt.join(reach.withColumn("__miss", F.lit(True)), "__id", "left")
-    res = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("__miss").isNotNull()).alias("misses"))
-    res = res.withColumn("hits", F.col("events") - F.col("misses"))
-    return res.select(*keys, "hits", "misses",
-                      round_half_up(F.col("hits") / F.greatest(F.col("events"), F.lit(1)).cast("double"), 3).alias("hit_rate"))
-
-
 # --------------------------------------------------------------------------
 # T5 batch form: rate-limit flags
 # --------------------------------------------------------------------------

@@ -94,22 +94,20 @@ def attach_scores(df: DataFrame, scores: DataFrame, key: str = "doc_id", probs_c
 
 
 def score_distinct(df: DataFrame, text_col: str, scorer: Callable[[DataFrame], DataFrame],
-                   probs_col: str = "probs") -> DataFrame:
+                   probs_col: str = "probs", key: str = "doc_id") -> DataFrame:
     """Score every distinct text once and join the scores back.
 
     ``scorer`` maps a frame with ``text_col`` to the same frame plus
-    ``probs_col``.  Texts are identified by their SHA-256 digest: the
-    distinct step groups by the digest (partial aggregation, so a text
-    repeated in a third of all rows is reduced per map task before the
-    shuffle) and keeps one copy of the text to score; the scored side then
-    carries only ``(digest, probs)`` into the join back, which is
-    many-to-one on the digest (AQE splits a skewed side).
+    ``probs_col``.  Texts are identified by their SHA-256 digest.  One row a
+    digest is chosen by its smallest ``key`` (a narrow, partial aggregate), its
+    text is fetched by that key, and only ``(key, digest)`` and
+    ``(digest, probs)`` meet on the digest; the scores then join by key.
     """
     h = "__text_sha256"
-    keyed = df.withColumn(h, F.sha2(F.col(text_col), 256))
-    uniq = keyed.groupBy(h).agg(F.any_value(text_col).alias(text_col))
-    scored = scorer(uniq).select(h, probs_col)
-    return keyed.join(scored, h, "left").drop(h)
+    digests = df.select(key, F.sha2(F.col(text_col), 256).alias(h))
+    first = digests.groupBy(h).agg(F.min(key).alias(key))
+    scored = scorer(df.select(key, text_col).join(first, key)).select(h, probs_col)
+    return df.join(digests.join(scored, h).select(key, probs_col), key, "left")
 
 
 def score_with_model(df: DataFrame, text_col: str, load_model: Callable[[], Callable], n_labels: int = 4,

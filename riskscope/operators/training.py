@@ -19,58 +19,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, model_tokens, tokenize
-from ..params import MODEL_MAX_TOKENS
 
 
-ROWS_PER_PARTITION = 50_000
-
-
-def with_model_tokens(df: DataFrame, text_col: str = "text", out_col: str = "__tokens") -> DataFrame:
-    """Cleaned whitespace tokens, cut at the model input length."""
-    return df.withColumn(out_col, model_tokens(tokenize(clean(text_col)), MODEL_MAX_TOKENS))
+def with_model_tokens(df: DataFrame, text_col: str = "text", out_col: str = "__tokens",
+                      max_tokens: int | None = None) -> DataFrame:
+    """Cleaned whitespace tokens of the whole text; ``max_tokens`` (e.g.
+    ``MODEL_MAX_TOKENS``) applies the original model's input cut (C12)."""
+    tokens = tokenize(clean(text_col))
+    return df.withColumn(out_col, model_tokens(tokens, max_tokens) if max_tokens else tokens)
 
 
 def train_classifier(train: DataFrame, val: DataFrame, text_col: str = "text", label_col: str = "label",
                      reg_params: tuple[float, ...] = (0.0, 0.01, 0.1), max_iter: int = 50,
-                     num_features: int = 1 << 16) -> tuple[PipelineModel, float, float]:
-    """Fit one pipeline per ``regParam``; return (best model, its regParam,
-    its weighted F1 on ``val``)."""
-    # Iterative fitting runs one job per iteration and every partition ships
-    # a full gradient (classes x features): keep about ROWS_PER_PARTITION
-    # rows per partition, at most 4 per core (narrowing, no shuffle).
-    cap = train.sparkSession.sparkContext.defaultParallelism * 4
-    tr = with_model_tokens(train, text_col).withColumn("__y", F.col(label_col).cast("double"))
-    tr = tr.select("__tokens", "__y").persist(StorageLevel.MEMORY_AND_DISK)
-    want = max(1, min(cap, -(-tr.count() // ROWS_PER_PARTITION)))
-    if tr.rdd.getNumPartitions() > want:
-        narrowed = tr.coalesce(want).persist(StorageLevel.MEMORY_AND_DISK)
-        tr.unpersist()
-        tr = narrowed
-    va = with_model_tokens(val, text_col).withColumn("__y", F.col(label_col).cast("double")).select("__tokens", "__y")
-    va = va.persist(StorageLevel.MEMORY_AND_DISK)
+                     num_features: int = 1 << 16, max_tokens: int | None = None,
+                     partitions: int | None = None) -> tuple[PipelineModel, float, float]:
+    """Fit the features once and a regression per ``regParam``; return (best
+    model, its regParam, its weighted F1 on ``val``).  Every iteration ships a
+    gradient per partition: a caller with many small ones sets ``partitions``."""
+    features = Pipeline(stages=[HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=num_features),
+                                IDF(inputCol="__tf", outputCol="__features")])
+
+    def tokens(df: DataFrame) -> DataFrame:
+        return with_model_tokens(df, text_col, max_tokens=max_tokens).withColumn(
+            "__y", F.col(label_col).cast("double")).select("__tokens", "__y")
+
+    tr = tokens(train)
+    tr = (tr.repartition(partitions) if partitions else tr).persist(StorageLevel.MEMORY_AND_DISK)
+    va = tokens(val).persist(StorageLevel.MEMORY_AND_DISK)
     ev = MulticlassClassificationEvaluator(labelCol="__y", predictionCol="prediction", metricName="f1")
     best = None
     try:
+        prepared = features.fit(tr)
+        x, y = (prepared.transform(d).select("__features", "__y").persist(StorageLevel.MEMORY_AND_DISK) for d in (tr, va))
         for rp in reg_params:
-            pipe = Pipeline(stages=[
-                HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=num_features),
-                IDF(inputCol="__tf", outputCol="__features"),
-                LogisticRegression(featuresCol="__features", labelCol="__y", family="multinomial", regParam=rp,
-                                   maxIter=max_iter),
-            ])
-            model = pipe.fit(tr)
-            f1 = ev.evaluate(model.transform(va))
+            lr = LogisticRegression(featuresCol="__features", labelCol="__y", family="multinomial", regParam=rp,
+                                    maxIter=max_iter).fit(x)
+            f1 = ev.evaluate(lr.transform(y))
             if best is None or f1 > best[2]:
-                best = (model, rp, f1)
+                best = (PipelineModel(stages=[*prepared.stages, lr]), rp, f1)
+        x.unpersist()
+        y.unpersist()
     finally:
         tr.unpersist()
         va.unpersist()
     return best
 
 
+def save_classifier(model: PipelineModel, path: str) -> None:
+    """Keep a trained model in shared storage."""
+    model.write().overwrite().save(path)
+
+
+def load_classifier(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def evaluate_classifier(model: PipelineModel, test: DataFrame, predictions: str, key: str = "doc_id",
+                        text_col: str = "text", label_col: str = "label", k: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """E6 joined to G13-G16: score ``test``, store ``(key, y_true, y_pred)`` at
+    ``predictions``, and return the stored pairs, the metrics and the report."""
+    from .metrics import eval_metrics, eval_report
+    from .scoring import score_probs
+
+    scored = score_probs(score_with_pipeline(model, test.select(key, text_col, label_col), text_col), "probs")
+    scored.select(key, F.col(label_col).alias("y_true"), F.col("ml_label_id").alias("y_pred")).write.mode(
+        "overwrite").parquet(predictions)
+    pairs = test.sparkSession.read.parquet(predictions)
+    return pairs, eval_metrics(pairs, k), eval_report(pairs, k)
+
+
 def score_with_pipeline(model: PipelineModel, df: DataFrame, text_col: str = "text",
-                        out_col: str = "probs") -> DataFrame:
+                        out_col: str = "probs", max_tokens: int | None = None) -> DataFrame:
     """Batched scoring of a whole table; probabilities as an array."""
-    scored = model.transform(with_model_tokens(df, text_col))
+    scored = model.transform(with_model_tokens(df, text_col, max_tokens=max_tokens))
     keep = [c for c in df.columns]
     return scored.select(*keep, vector_to_array("probability").alias(out_col))

@@ -25,11 +25,6 @@ def reject_single(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("reject_reason", single_reject_reason(text_col))
 
 
-def split_valid(df: DataFrame, reason_col: str = "reject_reason") -> tuple[DataFrame, DataFrame]:
-    """Valid rows and rejects from one frame (persist it first if costly)."""
-    return df.filter(F.col(reason_col).isNull()), df.filter(F.col(reason_col).isNotNull())
-
-
 def batch_verdicts(df: DataFrame, batch_col: str = "batch_id", idx_col: str = "item_idx", text_col: str = "text",
                    max_batch: int = MAX_BATCH_TEXTS) -> DataFrame:
     """B2: one row per batch: size, first empty item index, verdict
@@ -55,13 +50,22 @@ def strict_reject_reason(text_col: str = "text", max_chars: int = MAX_INPUT_CHAR
 def reject_strict(df: DataFrame, batch_col: str = "batch_id", text_col: str = "text",
                   max_chars: int = MAX_INPUT_CHARS, max_batch: int = MAX_API_BATCH_TEXTS) -> DataFrame:
     """Item reasons plus ``batch_too_large`` for batches over
-    ``max_batch`` items.  Batch sizes come from one partial aggregate joined
-    back on the batch key (many-to-one; AQE handles a skewed batch)."""
+    ``max_batch`` items and ``no_batch`` for items without a batch.  Only the
+    keys of the large batches are joined back, so texts move only if there are
+    too many of those to broadcast."""
     sizes = df.groupBy(batch_col).agg(F.count(F.lit(1)).alias("__n"))
-    out = df.join(sizes, batch_col).withColumn(
-        "reject_reason", F.when(F.col("__n") > max_batch, F.lit("batch_too_large"))
+    large = sizes.where((F.col("__n") > max_batch) & F.col(batch_col).isNotNull()).select(
+        batch_col, F.lit(True).alias("__large"))
+    out = df.join(large, batch_col, "left").withColumn(
+        "reject_reason", F.when(F.col(batch_col).isNull(), F.lit("no_batch"))
+        .when(F.col("__large"), F.lit("batch_too_large"))
         .otherwise(strict_reject_reason(text_col, max_chars)))
-    return out.drop("__n")
+    return out.drop("__large")
+
+
+def _label_number(label_col: str):
+    """The label as a number; null for text that is none."""
+    return F.col(label_col).cast("string").try_cast("double")
 
 
 def frame_summary(df: DataFrame, num_labels: int = 4, text_col: str = "text", label_col: str = "label") -> DataFrame:
@@ -71,8 +75,8 @@ def frame_summary(df: DataFrame, num_labels: int = 4, text_col: str = "text", la
     missing = [c for c in (text_col, label_col) if c not in df.columns]
     if missing:
         raise ValueError(f"frame must contain columns {[text_col, label_col]}; missing: {missing}")
-    lab = F.col(label_col).cast("double")
-    integral = lab == F.floor(lab)
+    lab = _label_number(label_col)
+    integral = lab.isNotNull() & (lab == F.floor(lab))
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col(text_col).isNull()).alias("null_text"),
@@ -82,18 +86,26 @@ def frame_summary(df: DataFrame, num_labels: int = 4, text_col: str = "text", la
     )
 
 
+def bad_label_values(df: DataFrame, num_labels: int = 4, label_col: str = "label") -> DataFrame:
+    """Every label value that is no class index, as ``(value, n)``."""
+    lab = _label_number(label_col)
+    good = (lab == F.floor(lab)) & (lab >= 0) & (lab < num_labels)
+    bad = df.filter(F.col(label_col).isNotNull() & ~F.coalesce(good, F.lit(False)))
+    return bad.groupBy(F.col(label_col).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def frame_checks(df: DataFrame, key: str, num_labels: int = 4, text_col: str = "text", label_col: str = "label",
-                 first_n: int = 15, max_bad_values: int = 100) -> DataFrame:
+                 first_n: int = 15) -> DataFrame:
     """One summary row.  Required columns are checked on the schema
-    (raises).  Then one aggregate counts null text, null labels,
-    non-integral labels and out-of-range labels; the number of distinct bad
-    values and the smallest ``max_bad_values`` of them, and the first ``first_n`` keys of each null kind come from a
-    bounded top-k (``orderBy + limit`` keeps ``first_n`` rows per task)."""
+    (raises).  One aggregate counts null text, null labels, non-integral labels
+    and out-of-range labels; the first ``first_n`` keys of each null kind come
+    from a bounded top-k (``orderBy + limit`` keeps ``first_n`` rows per task).
+    The offending values are a table of their own: ``bad_label_values``."""
     missing = [c for c in (text_col, label_col) if c not in df.columns]
     if missing:
         raise ValueError(f"frame must contain columns {[text_col, label_col]}; missing: {missing}")
-    lab = F.col(label_col).cast("double")
-    integral = lab == F.floor(lab)
+    lab = _label_number(label_col)
+    integral = lab.isNotNull() & (lab == F.floor(lab))
     bad_range = integral & ((lab < 0) | (lab >= num_labels))
     summary = df.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -102,13 +114,6 @@ def frame_checks(df: DataFrame, key: str, num_labels: int = 4, text_col: str = "
         F.count_if(F.col(label_col).isNotNull() & ~integral).alias("non_integer_labels"),
         F.count_if(bad_range).alias("out_of_range"),
     )
-    # the smallest distinct bad values: a distributed distinct, then a
-    # bounded top-k (never every bad value in one task)
-    distinct_bad = df.filter(bad_range).select(lab.cast("bigint").alias("v")).distinct()
-    bad = (distinct_bad.orderBy("v").limit(max_bad_values)
-           .agg(F.array_join(F.sort_array(F.collect_list("v")), ",").alias("bad_label_values")))
-    n_bad = distinct_bad.agg(F.count(F.lit(1)).alias("n_bad_label_values"))
-
     def first_keys(cond, name):
         top = df.filter(cond).select(F.col(key)).orderBy(key).limit(first_n)
         return top.agg(F.array_join(F.sort_array(F.collect_list(F.col(key).cast("bigint"))), ",").alias(name))
@@ -116,8 +121,6 @@ def frame_checks(df: DataFrame, key: str, num_labels: int = 4, text_col: str = "
     a = first_keys(F.col(text_col).isNull(), "first_null_text_keys")
     b = first_keys(F.col(label_col).isNull(), "first_null_label_keys")
     one = F.lit(1)
-    out = (summary.withColumn("__k", one).join(bad.withColumn("__k", one), "__k")
-           .join(n_bad.withColumn("__k", one), "__k")
-           .join(a.withColumn("__k", one), "__k").join(b.withColumn("__k", one), "__k").drop("__k"))
+    out = (summary.withColumn("__k", one).join(a.withColumn("__k", one), "__k").join(b.withColumn("__k", one), "__k").drop("__k"))
     return out.withColumn("valid", (F.col("null_text") == 0) & (F.col("null_label") == 0)
                           & (F.col("non_integer_labels") == 0) & (F.col("out_of_range") == 0))

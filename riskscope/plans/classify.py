@@ -48,9 +48,12 @@ def result_view(df: DataFrame, key: str = "doc_id") -> DataFrame:
                      "bias_metadata", "reasoning", "rule_amplification")
 
 
-def with_audit_fields(df: DataFrame) -> DataFrame:
-    """Processing stamp and a random audit id per row."""
-    return df.withColumns({"processed_at": F.current_timestamp(), "audit_id": F.expr("uuid()")})
+def with_audit_fields(df: DataFrame, key: str = "doc_id", request_col: str | None = None) -> DataFrame:
+    """The request id (a column's, else the key), a processing stamp and a
+    random audit id per row."""
+    request = F.col(request_col) if request_col else F.col(key)
+    return df.withColumns({"request_id": request.cast("string"), "processed_at": F.current_timestamp(),
+                           "audit_id": F.expr("uuid()")})
 
 
 def flat_result(df: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -140,32 +143,59 @@ def in_input_order(df: DataFrame, batch_col: str = "batch_id", idx_col: str = "i
     return df.orderBy(F.col(batch_col), F.col(idx_col))
 
 
-def classify_file(spark, path: str, output_path: str | None = None, fmt: str | None = None,
-                  scorer=None, **classify_kw) -> DataFrame:
-    """I4: read ``.json`` / ``.jsonl`` / ``.txt`` texts (S2-S5), reject empty
-    items, classify the rest and, when ``output_path`` is given, write the
-    results as JSON (S7).  ``scorer`` adds a ``probs`` column (e.g.
-    ``operators.scoring.score_with_model``); without one every row takes the
-    fallback score.  Returns the result frame (``item_idx`` keeps the input
-    order)."""
-    from ..operators.validation import reject_single
-    from ..sources.io import read_texts, write_json
+def file_items(spark, path: str, fmt: str | None = None, strict: bool = False) -> DataFrame:
+    """The items of a text input (S2-S5) with ``reject_reason``: ``malformed``
+    (no JSON object), ``empty``, ``blank``, or null for a valid one."""
+    from ..operators.validation import single_reject_reason
+    from ..sources.io import read_texts
+
+    items = read_texts(spark, path, fmt, strict)
+    return items.withColumn("reject_reason", F.when(F.col("malformed").isNotNull(), F.lit("malformed"))
+                            .otherwise(single_reject_reason("text")))
+
 
-    items = reject_single(read_texts(spark, path, fmt))
-    valid = items.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+def write_logs(results: DataFrame, output: str, key: str) -> None:
+    """Append the results and their audit records to the logs under
+    ``output`` (JSON Lines)."""
+    from ..sources.io import write_json
+
+    write_json(with_audit_fields(result_view(results, key), key), f"{output}/result_log", mode="append")
+    write_json(audit_view(results, key), f"{output}/audit_log", mode="append")
+
+
+def classify_file(spark, path: str, output_path: str | None = None, fmt: str | None = None,
+                  scorer=None, rejects_path: str | None = None, log_path: str | None = None, strict: bool = False,
+                  **classify_kw) -> DataFrame:
+    """I4: read ``.json`` / ``.jsonl`` / ``.txt`` texts (S2-S5), classify the
+    valid ones and, when the paths are given, write the results as JSON (S7),
+    the rejected items with their reasons, and the result and audit logs (S9,
+    S10).  ``strict`` fails on a malformed record instead.  ``scorer`` adds a
+    ``probs`` column (e.g. ``operators.scoring.score_with_model``); without one
+    every row takes the fallback score.  Returns the result frame
+    (``item_idx`` keeps the input order)."""
+    from ..sources.io import write_json
+
+    items = file_items(spark, path, fmt, strict)
+    valid = items.filter(F.col("reject_reason").isNull()).select("item_idx", "text")
     scored = scorer(valid) if scorer else valid.withColumn("probs", F.lit(None).cast("array<double>"))
-    res = result_view(classify(scored, **classify_kw), key="item_idx")
+    full = classify(scored, **classify_kw)
+    res = result_view(full, key="item_idx")
     if output_path:
         write_json(res, output_path)
+    if rejects_path:
+        write_json(items.filter(F.col("reject_reason").isNotNull()), rejects_path)
+    if log_path:
+        write_logs(full, log_path, "item_idx")
     return res
 
 
 def run_batch(df: DataFrame, output_path: str, batch_col: str | None = None, key: str = "doc_id",
-              fmt: str = "parquet", **classify_kw) -> dict:
-    """Classify ``df`` (rows with empty or blank text are counted as
-    failed, not classified), write the results, and return the batch stats
-    ``total, processed, failed, elapsed_ms, items_per_second``.  The counts
-    come from an ``Observation`` on the same write - no second pass."""
+              fmt: str = "parquet", rejects_path: str | None = None, **classify_kw) -> dict:
+    """Classify ``df`` (rows with empty or blank text are rejected, not
+    classified, and written to ``rejects_path`` when that is given), write the
+    results, and return the batch stats ``total, processed, failed, elapsed_ms,
+    items_per_second``.  The counts come from an ``Observation`` on the write
+    of the results - no pass of their own."""
     import time
 
     from pyspark.sql import Observation
@@ -173,7 +203,8 @@ def run_batch(df: DataFrame, output_path: str, batch_col: str | None = None, key
     from ..operators.validation import reject_single
 
     obs = Observation("batch_stats")
-    checked = reject_single(df).observe(
+    rejected = reject_single(df)
+    checked = rejected.observe(
         obs, F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("reject_reason").isNull()).alias("processed"),
         F.count_if(F.col("reject_reason").isNotNull()).alias("failed"))
@@ -182,6 +213,9 @@ def run_batch(df: DataFrame, output_path: str, batch_col: str | None = None, key
     t0 = time.perf_counter()
     out.select(*cols, "label", "confidence", "risk_score", "flagged_terms", "requires_human_review",
                "bias_metadata", "reasoning", "rule_amplification").write.mode("overwrite").format(fmt).save(output_path)
+    if rejects_path:
+        (rejected.filter(F.col("reject_reason").isNotNull()).select(*cols, "text", "reject_reason")
+         .write.mode("overwrite").format(fmt).save(rejects_path))
     elapsed = (time.perf_counter() - t0) * 1000.0
     m = obs.get
     stats = {k: int(m.get(k, 0)) for k in ("total", "processed", "failed")}
@@ -194,14 +228,14 @@ def classify_batches(df: DataFrame, batch_col: str = "batch_id", idx_col: str =
                      max_batch: int = 1_000, **classify_kw) -> tuple[DataFrame, DataFrame]:
     """I2 with the batch check of B2: a batch with an empty item or more
     than ``max_batch`` items is rejected as a whole; the items of the other
-    batches are classified with ids ``<batch>_<i>``.  Returns
-    ``(results, batch_rejects)``.  The verdicts are one row per batch
-    (a partial aggregate) joined back many-to-one; the filter sits below the
-    classification, on the joined verdict."""
+    batches are classified with ids ``<batch>_<i>``.  Items without a batch are
+    rejected as ``no_batch``.  Returns ``(results, batch_rejects)``, one reject
+    row per batch.  Only the keys of rejected batches are joined (anti), so
+    texts move only if there are too many of those to broadcast."""
     from ..operators.validation import batch_verdicts
 
-    verdicts = batch_verdicts(df, batch_col, idx_col, text_col, max_batch)
-    gated = df.join(verdicts.select(batch_col, "verdict"), batch_col)
-    ok = gated.filter(F.col("verdict").isNull()).drop("verdict")
-    results = batch_request_ids(classify(ok, text_col=text_col, **classify_kw), batch_col, idx_col)
-    return results, verdicts.filter(F.col("verdict").isNotNull())
+    verdicts = batch_verdicts(df, batch_col, idx_col, text_col, max_batch).withColumn(
+        "verdict", F.when(F.col(batch_col).isNull(), F.lit("no_batch")).otherwise(F.col("verdict")))
+    rejects = verdicts.filter(F.col("verdict").isNotNull())
+    ok = df.filter(F.col(batch_col).isNotNull()).join(rejects.select(batch_col), batch_col, "left_anti")
+    return batch_request_ids(classify(ok, text_col=text_col, **classify_kw), batch_col, idx_col), rejects

@@ -1,13 +1,17 @@
 """H3: the whole dataset preparation as one Spark job graph.
 
-validate -> normalise -> (dedupe) -> stratified split -> write the three
-splits in one partitioned write -> manifest.  Counts for the manifest come
-from the written splits (read back) and from one-row stat frames, so the
-pipeline is never recomputed for them and nothing large reaches the driver.
+validate -> normalise -> (dedupe) -> decide -> stratified split -> one
+partitioned write -> manifest.  Everything that can refuse the input runs
+before anything is published: the splits go to a folder of their own below the
+output, and the manifest, written last, names it.
+
+A row is known by its content (the digest of all its columns), so the split
+does not depend on how the input's files are cut into tasks.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dataset as D
 from ..operators import validation as V
-from ..session import materialize
+from ..session import scratch_path
 from ..sources import io
 
 
@@ -40,58 +44,67 @@ def _one(df: DataFrame) -> dict:
     return df.first().asDict()
 
 
+def content_key(df: DataFrame):
+    """The digest of all columns of a row, each with its length before it."""
+    parts = [F.coalesce(F.concat(F.length(F.col(c)).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+             for c in df.columns]
+    return F.sha2(F.concat(*parts), 256)
+
+
 def prepare(spark: SparkSession, input_csv: str, output_dir: str, opts: PrepareOptions = PrepareOptions(),
-            manifest: bool = True, tool: str = "prepare_dataset") -> dict:
+            manifest: bool = True, tool: str = "prepare_dataset", multi_line: bool = True) -> dict:
     """Run the preparation; returns the manifest dict (also written as
-    ``<output_dir>/split_manifest`` unless ``manifest`` is False).  Raises
-    ``ValueError`` on invalid input, as the original scripts exit."""
+    ``<output_dir>/split_manifest`` unless ``manifest`` is False; only then is
+    the source digested).  Raises ``ValueError`` on invalid input, before an
+    earlier output is touched.  ``multi_line=False`` reads a CSV with one
+    record a line in splits."""
     total = opts.train + opts.val + opts.test
     if abs(total - 1.0) > 1e-6:
-        raise ValueError(f"train + val + test must sum to 1.0, got {total}")
-    digest = _one(io.dataset_digest(io.file_digests(spark, input_csv)))
-    raw = io.load_labeled_csv(spark, input_csv)
+        raise ValueError(f"the fractions add up to {total}, not 1")
+    raw = io.load_labeled_csv(spark, input_csv, multi_line=multi_line)
     io.require_columns(raw)
-    keyed = raw.withColumn("__row", F.monotonically_increasing_id())
-
-    checks = _one(V.frame_summary(keyed, opts.num_labels))   # one pass; details only on failure
-    if checks["null_text"] or checks["null_label"] or checks["non_integer_labels"] or checks["out_of_range"]:
-        checks = _one(V.frame_checks(keyed, "__row", opts.num_labels))
-    if checks["null_text"]:
-        raise ValueError(f"Column 'text' contains null values ({checks['null_text']} rows)")
-    if checks["null_label"]:
-        raise ValueError(f"Column 'label' contains null values ({checks['null_label']} rows)")
-    if checks["non_integer_labels"]:
-        raise ValueError("Column 'label' must be integer class indices (e.g. 0, 1, 2).")
-    if checks["out_of_range"]:
-        raise ValueError(f"Labels must be in [0, {opts.num_labels - 1}]; invalid values: [{checks['bad_label_values']}]")
-
-    typed = keyed.withColumn("label", F.col("label").cast("double").cast("int"))
+
+    checks = _one(V.frame_summary(raw, opts.num_labels))   # one pass; details only on failure
+    for name, what in (("null_text", "rows without text"), ("null_label", "rows without a label")):
+        if checks[name]:
+            raise ValueError(f"{input_csv}: {checks[name]} {what}")
+    if checks["non_integer_labels"] or checks["out_of_range"]:
+        bad = V.bad_label_values(raw, opts.num_labels).orderBy(F.desc("n"), "value").limit(5).collect()
+        some = ", ".join(f"{r['value']} ({r['n']} rows)" for r in bad)
+        raise ValueError(f"{checks['non_integer_labels'] + checks['out_of_range']} labels are no class from 0 to "
+                         f"{opts.num_labels - 1}, most often {some}")
+
+    typed = raw.withColumn("__row", content_key(raw)).withColumn("label", F.col("label").cast("double").cast("int"))
     # The normalisation counts are observed while the prepared rows are
     # written below: no separate pass over the input for them.
     obs = Observation("normalize")
     rows, _stats = D.normalize(typed, "text", drop_empty_text=opts.drop_empty_text,
                                max_text_chars=opts.max_text_chars, observation=obs)
-    data = D.dedupe_text(rows, "__row", "text") if opts.remove_duplicates else rows
-    data = materialize(data)  # the split reads its input more than once
+    rows = rows.withColumn("__id", F.monotonically_increasing_id())
+    stored = scratch_path(spark, "prepared")
+    rows.write.parquet(stored)
+    data = spark.read.parquet(stored)
     seen = obs.get
     blank = int(seen.get("blank_rows", 0))
-    stats = {"dropped_empty": blank if opts.drop_empty_text else 0,
-             "truncated_rows": int(seen.get("truncated_rows", 0)),
-             "rows_out": int(seen.get("rows_in", 0)) - (blank if opts.drop_empty_text else 0)}
     if blank and not opts.drop_empty_text:
-        raise ValueError("Column 'text' has empty or whitespace-only values after strip. "
-                         "Use drop_empty_text=True or fix the CSV.")
-    if stats["rows_out"] == 0:
-        raise ValueError("No rows left after filtering; nothing to split.")
-    split = D.stratified_split(data, "__row", "label", (opts.train, opts.val, opts.test), opts.seed)
-    out_cols = [c for c in raw.columns]
-    io.write_splits(split.select(*out_cols, "split", "split_error"), f"{output_dir}/splits")
-
-    written = io.read_splits(spark, f"{output_dir}/splits")
-    if written.filter(F.col("split_error").isNotNull()).limit(1).count():
-        raise ValueError("a class has fewer than 3 rows; cannot stratify")
+        raise ValueError(f"{blank} texts are blank, and dropping them is switched off")
+    after_normalize = int(seen.get("rows_in", 0)) - (blank if opts.drop_empty_text else 0)
+    if after_normalize == 0:
+        raise ValueError("no row is left to split")
+    if opts.remove_duplicates:
+        # Equal rows share their content key: the running number tells them apart.
+        keyed = data.withColumn("__one", F.concat_ws(":", "__row", F.format_string("%020d", "__id")))
+        data = D.dedupe_text(keyed, "__one", "text").drop("__one")
+    small = data.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n < 3").orderBy("label").first()
+    if small:
+        raise ValueError(f"class {small['label']} has {small['n']} rows; a split takes 3 at least")
+
+    split = D.stratified_split(data, "__row", "label", (opts.train, opts.val, opts.test), opts.seed,
+                               num_labels=opts.num_labels, tie="__id")
+    folder = f"{output_dir}/splits/{uuid.uuid4().hex}"
+    io.write_splits(split.select(*raw.columns, "split"), folder)
     counts = {(r["split"], int(r["label"])): int(r["n"])
-              for r in D.split_counts(written.withColumn("label", F.col("label").cast("int"))).collect()}
+              for r in D.split_counts(io.read_splits(spark, folder).withColumn("label", F.col("label").cast("int"))).collect()}
 
     def hist(s=None):
         out: dict[str, int] = {}
@@ -100,18 +113,23 @@ def prepare(spark: SparkSession, input_csv: str, output_dir: str, opts: PrepareO
                 out[str(lab)] = out.get(str(lab), 0) + n
         return out
 
-    after_normalize = int(stats["rows_out"])
     after_dedupe = sum(counts.values())
+    source = {"path": input_csv}
+    if manifest:
+        digest = _one(io.dataset_digest(io.file_digests(spark, input_csv)))
+        source |= {"sha256": digest["sha256"], "size_bytes": int(digest["size_bytes"])}
+    # The keys of the manifest, an output contract.
     result = {
         "schema_version": "1.0",
         "created_at": datetime.now(timezone.utc).isoformat(),
         "tool": tool,
-        "source": {"path": input_csv, "sha256": digest["sha256"], "size_bytes": int(digest["size_bytes"])},
+        "source": source,
+        "splits": folder,
         "options": asdict(opts),
         "rows": {
             "loaded": int(checks["rows"]),
-            "dropped_empty_text": int(stats["dropped_empty"]),
-            "truncated_text_rows": int(stats["truncated_rows"]),
+            "dropped_empty_text": blank if opts.drop_empty_text else 0,
+            "truncated_text_rows": int(seen.get("truncated_rows", 0)),
             "after_normalize": after_normalize,
             "duplicates_removed": after_normalize - after_dedupe,
             "after_dedupe": after_dedupe,

@@ -41,11 +41,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster the launcher sets it to shared storage and we only read
     it (Spark registers it with the context at start-up).  Where nothing is
-    set (local tests) we create one scratch folder and register it with
-    the context once, so ``DataFrame.checkpoint()`` works.  The setting
-    itself is never changed at runtime.
+    set, a local session gets one scratch folder, registered with the context
+    once, so ``DataFrame.checkpoint()`` works; any other master is refused.
+    The setting itself is never changed at runtime.
     """
-    global _FALLBACK_DIR
     try:
         sc = spark.sparkContext
     except Exception:  # pragma: no cover - Spark Connect: the server owns the checkpoint folder
@@ -56,12 +55,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
             d = spark.conf.get("spark.checkpoint.dir", None)
         except Exception:  # pragma: no cover
             d = None
-    registered = sc._jsc.sc().getCheckpointDir()
     if not d:
-        if _FALLBACK_DIR is None:
-            _FALLBACK_DIR = tempfile.mkdtemp(prefix="riskscope-ckpt-")
-        d = _FALLBACK_DIR
-    if not registered.isDefined():
+        d = _local_fallback(sc.master)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(d)
     return d
 
@@ -69,6 +65,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _FALLBACK_DIR: str | None = None
 
 
+def _local_fallback(master: str) -> str:
+    """A scratch folder of this machine, for local sessions alone: elsewhere
+    the driver and the executors would each see their own."""
+    global _FALLBACK_DIR
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir is not set: master {master} needs a folder that all executors share")
+    if _FALLBACK_DIR is None:
+        _FALLBACK_DIR = tempfile.mkdtemp(prefix="riskscope-ckpt-")
+    return _FALLBACK_DIR
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
@@ -87,25 +94,3 @@ def materialize(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def balanced(df, factor: int = 2):
-    """Spread a scan that has fewer partitions than the cluster has cores.
-
-    A large input already arrives in many splits (one per file block /
-    row group) and is returned unchanged - no shuffle.  The rule fires only
-    when the scan yields at most half as many partitions as there are
-    cores, i.e. for at most ``maxPartitionBytes`` x cores / 2 of input
-    (unless a row group cannot be split, which is exactly the case that
-    needs it): the round-robin shuffle then moves little data per core,
-    while the text work it spreads costs far more CPU per byte than the
-    shuffle does.  Without it, a small input stored as one big row group
-    runs every narrow stage in a single task."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism * factor
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # pragma: no cover - e.g. Spark Connect: no RDD view, leave the plan alone
-        return df
-    if parts * factor <= target // 2:
-        return df.repartition(target)
-    return df

@@ -38,13 +38,13 @@ def load_labeled_csv(spark: SparkSession, path: str, strict_utf8: bool = True, m
     ``"``-quoted with ``""`` escapes, all columns as strings, then the usual
     null tokens (``NA``, ``null``, ...) turned into nulls.
 
-    ``strict_utf8`` fails on any invalid byte sequence, naming UTF-8 (one
-    extra pass over the file).  ``multi_line`` allows quoted newlines; it
-    makes each file one split, so set it False for large single-line CSVs.
+    ``strict_utf8`` fails on any invalid byte sequence (one extra pass over
+    the file).  ``multi_line`` allows quoted newlines; it makes each file one
+    split, so set it False for large CSVs with one record a line.
     """
     if strict_utf8 and invalid_utf8_lines(spark, path).limit(1).count() > 0:
-        raise ValueError(f"Failed to read {path} as UTF-8 (strict): invalid byte sequence. "
-                         "Re-encode the file as UTF-8 or fix invalid bytes.")
+        n = invalid_utf8_lines(spark, path).count()
+        raise ValueError(f"{path}: {n} lines hold bytes that are not UTF-8")
     df = (spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"')
           .option("escape", '"').option("encoding", "UTF-8").csv(path))
     tokens = list(null_tokens)
@@ -55,34 +55,42 @@ def load_labeled_csv(spark: SparkSession, path: str, strict_utf8: bool = True, m
 def require_columns(df: DataFrame, required=REQUIRED_COLUMNS) -> None:
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"CSV must contain columns {list(required)}; missing: {missing}. Found columns: {df.columns}")
+        raise ValueError(f"no column {', '.join(missing)} among {', '.join(df.columns)}")
 
 
 # --------------------------------------------------------------------------
 # S2-S5 text inputs
 # --------------------------------------------------------------------------
 
-_JSON_SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("content", T.StringType())])
+_CORRUPT = "_corrupt_record"
+_JSON_SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("content", T.StringType()),
+                             T.StructField(_CORRUPT, T.StringType())])
 
 
-def read_texts(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """``(item_idx, text)`` from ``.json`` (array of objects),
+def read_texts(spark: SparkSession, path: str, fmt: str | None = None, strict: bool = False) -> DataFrame:
+    """``(item_idx, text, malformed)`` from ``.json`` (array of objects),
     ``.jsonl`` or ``.txt`` (one text per line, stripped, blank lines
     dropped).  For JSON the text is ``text``, else ``content``, else ``''``
     (an explicit ``"text": null`` also falls through to ``content``).
     ``item_idx`` orders the items as in the input (increasing, not dense).
+    ``malformed`` holds the source of a record that is no JSON object, whose
+    text is null; with ``strict`` such a record fails the read.
     Other suffixes are an error."""
     suffix = fmt or PurePosixPath(path.rstrip("/")).suffix
     if suffix not in TEXT_FORMATS:
-        raise ValueError(f"Unsupported file format: {suffix}. Allowed: {set(TEXT_FORMATS)}")
+        raise ValueError(f"cannot read {suffix or path!r}: known formats are {', '.join(TEXT_FORMATS)}")
     if suffix == ".txt":
         df = spark.read.text(path).select(ustrip("value").alias("text")).filter(F.length("text") > 0)
+        df = df.withColumn("malformed", F.lit(None).cast("string"))
     else:
-        reader = spark.read.schema(_JSON_SCHEMA)
+        reader = spark.read.schema(_JSON_SCHEMA).option("mode", "FAILFAST" if strict else "PERMISSIVE")
+        reader = reader.option("columnNameOfCorruptRecord", _CORRUPT)
         if suffix == ".json":
             reader = reader.option("multiLine", True)
-        df = reader.json(path).select(F.coalesce("text", "content", F.lit("")).alias("text"))
-    return df.select(F.monotonically_increasing_id().alias("item_idx"), "text")
+        df = reader.json(path).select(
+            F.when(F.col(_CORRUPT).isNull(), F.coalesce("text", "content", F.lit(""))).alias("text"),
+            F.col(_CORRUPT).alias("malformed"))
+    return df.select(F.monotonically_increasing_id().alias("item_idx"), "text", "malformed")
 
 
 # --------------------------------------------------------------------------
@@ -94,17 +102,16 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def write_results_csv(results: DataFrame, path: str, key: str | None = None) -> None:
-    """``label, confidence, risk_score, flagged_terms, reasoning`` with
-    the terms joined by ``', '`` and a header."""
-    cols = ([key] if key else []) + ["label", "confidence", "risk_score"]
-    out = results.select(*cols, F.array_join("flagged_terms", ", ").alias("flagged_terms"), "reasoning")
-    out.write.mode("overwrite").option("header", True).csv(path)
+def write_results_csv(results: DataFrame, path: str, key: str = "doc_id") -> None:
+    """The CSV view of results, with a header."""
+    from ..plans.classify import csv_view
+    csv_view(results, key).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_splits(split_df: DataFrame, path: str) -> None:
     """One write partitioned by ``split`` instead of three passes."""
     (split_df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .partitionBy("split").csv(path))
 
 
@@ -118,29 +125,42 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
 # S12 digests, S13 manifest
 # --------------------------------------------------------------------------
 
-MAX_BINARY_FILE_BYTES = 2**31 - 1
-
-
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, sha256, size_bytes)`` per file under ``path``.
-    ``binaryFile`` holds one whole file per row, so files over 2 GB are
-    rejected up front (the check reads only file lengths: the content
-    column is pruned)."""
-    b = spark.read.format("binaryFile").load(path)
-    too_big = b.filter(F.col("length") > MAX_BINARY_FILE_BYTES).select("path").limit(1).collect()
-    if too_big:
-        raise ValueError(f"file too large to digest as one row (> 2 GB): {too_big[0]['path']}")
-    return b.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"))
+#: ``binaryFile`` holds a file as one value, which Spark bounds at 2 GB.
+WHOLE_FILE_BYTES = 2**31 - 1
+
+
+def file_digests(spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
+    """``(path, sha256, size_bytes, kind)`` per file under ``path``.  Up to
+    ``whole_file_bytes`` the digest is the file's own (kind ``file``).  A larger
+    file is read by lines, splittably (kind ``lines``): the digest is that of
+    the number of its lines and the sums of their digests' parts, which does
+    not depend on how the file is cut."""
+    files = spark.read.format("binaryFile").load(path)
+    # The length alone is read for files that are too large as one value.
+    small = files.filter(F.col("length") <= whole_file_bytes).select(
+        "path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes"), F.lit("file").alias("kind"))
+    large = files.filter(F.col("length") > whole_file_bytes).select("path", F.col("length").alias("size_bytes"))
+    names = [r["path"] for r in large.select("path").limit(1).collect()]
+    if not names:
+        return small
+    lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.sha2(F.col("value"), 256).alias("h"))
+    part = lambda k: F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")).cast("string")
+    sums = lines.groupBy("path").agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *[part(k) for k in range(8)]).alias("s"))
+    same = F.regexp_replace(sums["path"], "^file:/+", "/") == F.regexp_replace(large["path"], "^file:/+", "/")
+    return small.unionByName(large.join(sums, same).select(
+        large["path"], F.sha2("s", 256).alias("sha256"), "size_bytes", F.lit("lines").alias("kind")))
 
 
 def dataset_digest(digests: DataFrame) -> DataFrame:
-    """One row: SHA-256 over the sorted ``path:sha256`` lines, total size,
-    file count.  For a single file the file's own digest is returned."""
-    lines = F.sort_array(F.collect_list(F.concat_ws(":", "path", "sha256")))
+    """One row: total size, file count and a digest.  For a single file it is
+    the file's own; for several, that of the sums of the parts of each
+    ``path:sha256`` digest, so no list of paths is gathered."""
+    h = F.sha2(F.concat_ws(":", "path", "sha256"), 256)
+    parts = [F.sum(F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(8)]
     return digests.agg(
         F.count(F.lit(1)).alias("files"),
         F.sum("size_bytes").alias("size_bytes"),
-        F.when(F.count(F.lit(1)) == 1, F.first("sha256")).otherwise(F.sha2(F.array_join(lines, "\n"), 256)).alias("sha256"),
+        F.when(F.count(F.lit(1)) == 1, F.first("sha256")).otherwise(F.sha2(F.concat_ws(":", *parts), 256)).alias("sha256"),
     )
 
 

@@ -1,18 +1,18 @@
 """Structured Streaming forms of the service state.
 
-The original keeps running counters, a TTL result cache and rate limits in
-process memory.  Here each is a streaming query with its state in Spark's
+The original keeps running counters and rate limits in process memory.  Here each is a streaming query with its state in Spark's
 state store (checkpointed, so it survives executor loss):
 
 * T1 ``classify_stream``: stateless classification, append to files.
 * T2 ``label_counts_stream``: counts per (event-time window, label), with a
   watermark so old windows' state is dropped.
 * T3 ``category_counts_stream``: running counts per sensitive category.
-* T4 ``cache_stream``: TTL cache hits / misses per key with
-  ``applyInPandasWithState``; state is ``(last_miss, hits, misses)``.
 * T5 ``rate_limit_stream``: requests per client per window.
-* T6 ``ingest_stream``: ``foreachBatch`` writes valid rows and rejects
-  from one persisted micro-batch.
+* T6 ``ingest_stream``: ``foreachBatch`` writes normalised valid rows and
+  rejects from one persisted micro-batch.
+
+Every job takes its checkpoint location, one per output: called again with the
+same pair, it goes on where it stopped, with its state and its batch numbers.
 
 Aggregations run in ``update`` mode into an upsert log (``foreachBatch``
 writes the updated rows of batch n to its own ``batch_id=n`` directory,
@@ -24,43 +24,30 @@ key.  That keeps the sink idempotent per batch id and works with
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.time import as_utc_instant
+from ..operators import dataset as D
 from ..operators import validation as V
 from ..plans.classify import classify
 from ..session import checkpoint_dir, scratch_path
 
 
+def folder_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int = 1) -> DataFrame:
+    """A file stream over the Parquet files that arrive in a folder."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int = 1) -> DataFrame:
     """A file stream over one table of ``sf_dir`` (schema from the table)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    static = spark.read.parquet(path)
-    stream = (spark.readStream.schema(static.schema).option("pathGlobFilter", f"{name}.parquet")
-              .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
-    # Same rule as session.balanced: only when the files arrive in fewer
-    # splits than there are cores is each micro-batch spread out.
-    try:
-        target = spark.sparkContext.defaultParallelism * 2
-        parts = static.rdd.getNumPartitions()
-    except Exception:  # pragma: no cover - no RDD view (Spark Connect)
-        return stream
-    if parts * 2 <= target // 2:
-        stream = stream.repartition(target)
-    return stream
-
-
-def _run(writer, name: str, spark: SparkSession) -> str:
-    ck = scratch_path(spark, f"{name}-ckpt")
-    q = writer.option("checkpointLocation", ck).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return ck
+    static = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return (spark.readStream.schema(static.schema).option("pathGlobFilter", f"{name}.parquet")
+            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
+
+
+def _run(writer, checkpoint: str) -> None:
+    """Work off what has arrived since the last call with this checkpoint."""
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def _batch_dir(out: str, batch_id: int) -> str:
@@ -91,116 +78,64 @@ def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
 # T1
 # --------------------------------------------------------------------------
 
-def classify_stream(stream: DataFrame, out: str, **classify_kw) -> str:
+def classify_stream(stream: DataFrame, out: str, checkpoint: str, **classify_kw) -> None:
     """Classify arriving rows, append them to parquet files at ``out``."""
-    spark = stream.sparkSession
     res = classify(stream, **classify_kw)
-    return _run(res.writeStream.outputMode("append").format("parquet").option("path", out), "classify", spark)
+    _run(res.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint)
 
 
 # --------------------------------------------------------------------------
 # T2, T3, T5 windowed / keyed counters
 # --------------------------------------------------------------------------
 
-def label_counts_stream(results: DataFrame, ts_col: str, window: str, watermark: str, out: str) -> str:
+def label_counts_stream(results: DataFrame, ts_col: str, window: str, watermark: str, out: str,
+                        checkpoint: str) -> None:
     """``(window_start, label, review, n)`` per event-time window."""
     agg = (results.withWatermark(ts_col, watermark)
            .groupBy(F.window(ts_col, window).alias("w"), "label", "requires_human_review")
            .agg(F.count(F.lit(1)).alias("n"))
            .select(F.col("w.start").alias("window_start"), "label", "requires_human_review", "n"))
-    return _run(_upsert_sink(agg, out), "labelcounts", results.sparkSession)
+    _run(_upsert_sink(agg, out), checkpoint)
 
 
-def category_counts_stream(results: DataFrame, out: str) -> str:
+def category_counts_stream(results: DataFrame, out: str, checkpoint: str) -> None:
     """Running ``(category, total, positive)``; state is one row per
     category (a handful)."""
     agg = (results.select(F.explode("bias_metadata.detected_categories").alias("category"),
                           (F.col("label") != "Non-Radical").alias("pos"))
            .groupBy("category").agg(F.count(F.lit(1)).alias("total"), F.count_if("pos").alias("positive")))
-    return _run(_upsert_sink(agg, out), "categories", results.sparkSession)
+    _run(_upsert_sink(agg, out), checkpoint)
 
 
 def rate_limit_stream(events: DataFrame, client_col: str, ts_col: str, window: str, watermark: str,
-                      out: str) -> str:
+                      out: str, checkpoint: str) -> None:
     """T5: requests per client per epoch-aligned tumbling window; the flag
     is ``n > limit`` on the latest counts."""
     agg = (events.withWatermark(ts_col, watermark).groupBy(F.window(ts_col, window).alias("w"), F.col(client_col))
            .agg(F.count(F.lit(1)).alias("n"))
            .select(F.col("w.start").alias("window_start"), client_col, "n"))
-    return _run(_upsert_sink(agg, out), "ratelimit", events.sparkSession)
-
-
-# --------------------------------------------------------------------------
-# T4 TTL cache with applyInPandasWithState
-# --------------------------------------------------------------------------
-
-CACHE_STATE = T.StructType([
-    T.StructField("last_miss", T.LongType()),
-    T.StructField("hits", T.LongType()),
-    T.StructField("misses", T.LongType()),
-])
-
-
-def _cache_fn(ttl_us: int, key_names: list[str]):
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last, hits, misses = state.get if state.exists else (None, 0, 0)
-        frames = [b[["__t", "__id"]] for b in batches]
-        ev = pd.concat(frames).sort_values(["__t", "__id"]) if frames else None
-        if ev is not None:
-            for t in ev["__t"].to_numpy():
-                if last is not None and t - last <= ttl_us:
-                    hits += 1
-                else:
-                    misses += 1
-                    last = int(t)
-        state.update((last, hits, misses))
-        # the entry can only serve hits until last_miss + ttl
-        state.setTimeoutTimestamp(int(last // 1000) + ttl_us // 1000 + 1)
-        row = dict(zip(key_names, key))
-        row.update({"hits": hits, "misses": misses})
-        yield pd.DataFrame([row])
-    return step
-
-
-def cache_stream(events: DataFrame, keys: list[str], ts_col: str, id_col: str, ttl_seconds: int,
-                 watermark: str, out: str) -> str:
-    """T4: TTL cache replay per key as a stateful stream.  Rows of one key
-    inside one micro-batch are replayed in time order; the state holds the
-    last miss, so later batches continue the chain.  Rows later than the
-    watermark are dropped (a late row could otherwise change an emitted
-    verdict).  A key's group in a batch is bounded by the trigger size
-    (``maxFilesPerTrigger`` / ``maxBytesPerTrigger``)."""
-    ttl_us = int(ttl_seconds) * 1_000_000
-    kf = [f for f in events.schema.fields if f.name in keys]
-    out_schema = T.StructType([T.StructField(f.name, f.dataType) for f in kf] + [
-        T.StructField("hits", T.LongType()), T.StructField("misses", T.LongType())])
-    ts = as_utc_instant(F.col(ts_col), events.schema[ts_col].dataType)
-    ev = events.withColumn("__ts", ts).withWatermark("__ts", watermark).select(
-        *keys, "__ts", F.unix_micros("__ts").alias("__t"), F.col(id_col).cast("bigint").alias("__id"))
-    res = ev.groupBy(*keys).applyInPandasWithState(
-        _cache_fn(ttl_us, keys), out_schema, CACHE_STATE, "update", GroupStateTimeout.EventTimeTimeout)
-    return _run(_upsert_sink(res, out), "cache", events.sparkSession)
+    _run(_upsert_sink(agg, out), checkpoint)
 
 
 # --------------------------------------------------------------------------
 # T6 ingest
 # --------------------------------------------------------------------------
 
-def ingest_stream(stream: DataFrame, text_col: str, valid_out: str, rejects_out: str) -> str:
-    """Each micro-batch is persisted once, then its valid rows and its
-    rejects (with the reason) are appended to two outputs."""
+def ingest_stream(stream: DataFrame, text_col: str, valid_out: str, rejects_out: str, checkpoint: str,
+                  max_text_chars: int | None = None) -> None:
+    """Each micro-batch is persisted once; its rejects (with the reason) and
+    its valid rows, normalised as by B6 (stripped, optionally truncated), go to
+    two outputs."""
     def write(batch: DataFrame, batch_id: int) -> None:
         b = V.reject_single(batch, text_col).persist()
         try:
-            (b.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-             .write.mode("overwrite").parquet(_batch_dir(valid_out, batch_id)))
-            b.filter(F.col("reject_reason").isNotNull()).write.mode("overwrite").parquet(_batch_dir(rejects_out, batch_id))
+            valid, _ = D.normalize(b.filter(F.col("reject_reason").isNull()).drop("reject_reason"), text_col,
+                                   max_text_chars=max_text_chars)
+            write_batch(valid, valid_out, batch_id)
+            write_batch(b.filter(F.col("reject_reason").isNotNull()), rejects_out, batch_id)
         finally:
             b.unpersist()
-    return _run(stream.writeStream.foreachBatch(write), "ingest", stream.sparkSession)
+    _run(stream.writeStream.foreachBatch(write), checkpoint)
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

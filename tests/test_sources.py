@@ -36,7 +36,7 @@ def test_read_texts_formats(spark, tmp_dir):
     assert [r["text"] for r in io.read_texts(spark, j).orderBy("item_idx").collect()] == ["one", "two", ""]
     assert [r["text"] for r in io.read_texts(spark, jl).orderBy("item_idx").collect()] == ["one", "two"]
     assert [r["text"] for r in io.read_texts(spark, t).orderBy("item_idx").collect()] == ["one", "two"]
-    with pytest.raises(ValueError, match="Unsupported file format"):
+    with pytest.raises(ValueError, match="known formats"):
         io.read_texts(spark, os.path.join(tmp_dir, "a.csv"))
 
 
@@ -69,13 +69,13 @@ def test_prepare_end_to_end(spark, tmp_dir):
 
 def test_prepare_failures(spark, tmp_dir):
     bad = _write(os.path.join(tmp_dir, "bad.csv"), b"text,label\nx,4\n")
-    with pytest.raises(ValueError, match="Labels must be in"):
+    with pytest.raises(ValueError, match="no class from 0 to 3"):
         prepare(spark, bad, os.path.join(tmp_dir, "o1"))
     blank = _write(os.path.join(tmp_dir, "blank.csv"), b"text,label\n\"   \",1\nx,1\n")
-    with pytest.raises(ValueError, match="whitespace"):
+    with pytest.raises(ValueError, match="texts are blank"):
         prepare(spark, blank, os.path.join(tmp_dir, "o2"), PrepareOptions(drop_empty_text=False))
     nolabel = _write(os.path.join(tmp_dir, "nl.csv"), b"text\nx\n")
-    with pytest.raises(ValueError, match="missing"):
+    with pytest.raises(ValueError, match="no column label"):
         prepare(spark, nolabel, os.path.join(tmp_dir, "o3"))
 
 
@@ -102,7 +102,7 @@ def test_append_only_logs_and_result_projection(spark, tmp_dir):
     res = with_audit_fields(result_view(classify(df)))
     assert res.columns == ["doc_id", "input", "label", "confidence", "risk_score", "flagged_terms",
                            "requires_human_review", "bias_metadata", "reasoning", "rule_amplification",
-                           "processed_at", "audit_id"]
+                           "request_id", "processed_at", "audit_id"]
     rows = res.collect()
     assert len({r["audit_id"] for r in rows}) == 2 and all(r["processed_at"] is not None for r in rows)
     log = os.path.join(tmp_dir, "results_log")
@@ -113,3 +113,46 @@ def test_append_only_logs_and_result_projection(spark, tmp_dir):
     io.write_json(audit_view(classify(df)), audit, mode="append")
     assert set(spark.read.json(audit).columns) >= {"request_id", "label", "risk_score", "confidence",
                                                    "requires_human_review", "bias_risk", "preview"}
+
+
+def test_malformed_json_is_rejected_not_lost(spark, tmp_dir):
+    from riskscope.plans.classify import classify_file
+    p = _write(os.path.join(tmp_dir, "m.jsonl"), b'{"text": "fine"}\n{"text": broken\n{"other": 1}\n{"text": "  "}\n')
+    rej = os.path.join(tmp_dir, "rej")
+    assert classify_file(spark, p, rejects_path=rej).count() == 1
+    got = {r["reject_reason"]: r["malformed"] if "malformed" in r else None for r in spark.read.json(rej).collect()}
+    assert set(got) == {"malformed", "empty", "blank"} and "broken" in got["malformed"]
+    with pytest.raises(Exception):
+        io.read_texts(spark, p, strict=True).collect()
+
+
+def test_large_file_digest_ignores_the_cut(spark, tmp_dir):
+    p = _write(os.path.join(tmp_dir, "big.csv"), b"".join(b"line %d\n" % (k % 700) for k in range(20000)))
+    one = io.file_digests(spark, p, whole_file_bytes=100).first()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        many = io.file_digests(spark, p, whole_file_bytes=100).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert one["kind"] == "lines" and one["sha256"] == many["sha256"] and one["size_bytes"] == os.path.getsize(p)
+
+
+def test_prepare_keeps_good_output_and_ignores_file_layout(spark, tmp_dir):
+    rows = [(f"text {i % 90}  ", i % 4) for i in range(120)]
+    splits = []
+    for k, parts in enumerate((1, 5)):
+        src = os.path.join(tmp_dir, f"src{k}")
+        (spark.createDataFrame(rows, "text string, label int").repartition(parts).write.option("header", True)
+         .option("ignoreTrailingWhiteSpace", False).csv(src))
+        m = prepare(spark, src, os.path.join(tmp_dir, f"out{k}"))
+        splits.append(sorted((r["text"], r["label"], r["split"]) for r in io.read_splits(spark, m["splits"]).collect()))
+    assert splits[0] == splits[1] and len(splits[0]) == 120
+    bad = _write(os.path.join(tmp_dir, "bad.csv"), b"text,label\n" + b"x,0\n" * 9 + b"y,1\n")
+    with pytest.raises(ValueError, match="class 1 has 1 rows"):
+        prepare(spark, bad, os.path.join(tmp_dir, "out0"))
+    assert io.read_splits(spark, json.loads("".join(r["value"] for r in spark.read.text(
+        os.path.join(tmp_dir, "out0", "split_manifest")).collect()))["splits"]).count() == 120
+    text = _write(os.path.join(tmp_dir, "abc.csv"), b"text,label\nx,abc\ny,1\n")
+    with pytest.raises(ValueError, match="abc"):
+        prepare(spark, text, os.path.join(tmp_dir, "out9"))

@@ -3,6 +3,7 @@ a brute-force comparison of the flagship query on the small tables."""
 import os
 
 import pymodel
+import pytest
 from pyspark.sql import functions as F
 
 from riskscope.plans import queries as Q
@@ -12,22 +13,6 @@ from riskscope.streaming import jobs
 
 from conftest import SF_SMALL
 
-TTL_CASE = [0, 100, 250, 301, 500, 601, 602]
-
-
-def test_cache_stream_reference_case(spark, tmp_dir):
-    src = os.path.join(tmp_dir, "events")
-    base = 1_704_067_200  # same gaps; an event at epoch 0 would sit on the initial watermark
-    df = spark.createDataFrame([(i, 1, "view", base + t) for i, t in enumerate(TTL_CASE)],
-                               "event_id long, user_id long, event_type string, s long")
-    df.withColumn("ts", F.timestamp_seconds("s")).drop("s").write.parquet(src)
-    stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
-    out = scratch_path(spark, "cache-test")
-    jobs.cache_stream(stream, ["user_id", "event_type"], "ts", "event_id", 300, "1 hour", out)
-    r = jobs.latest(spark, out, ["user_id", "event_type"]).first()
-    assert (r["hits"], r["misses"]) == (4, 3)
-
-
 def test_stream_equals_batch(spark):
     a = Q.REGISTRY["stream_classify"][0](spark, SF_SMALL)
     b = Q.REGISTRY["classify_default"][0](spark, SF_SMALL)
@@ -35,7 +20,7 @@ def test_stream_equals_batch(spark):
 
 
 def test_stream_ingest_equals_batch(spark):
-    a = Q.REGISTRY["stream_ingest"][0](spark, SF_SMALL)
+    a = Q.REGISTRY["stream_ingest"][0](spark, SF_SMALL).select("doc_id", "reject_reason")
     b = Q.REGISTRY["reject_single"][0](spark, SF_SMALL)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
 
@@ -52,11 +37,7 @@ def test_classify_is_narrow_and_native(spark):
     assert "Exchange" not in plan
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
     assert "WholeStageCodegen" in plan or "*(" in plan
-    # the registered builder only adds the round-robin spread of the
-    # single-row-group test file (session.balanced), nothing keyed
-    built = _physical(Q.classified_corpus(spark, SF_SMALL))
-    exchanges = [ln for ln in built.split("\n") if "Exchange" in ln]
-    assert exchanges and all("RoundRobinPartitioning" in ln for ln in exchanges)
+    assert "Exchange" not in _physical(Q.classified_corpus(spark, SF_SMALL))
 
 
 def test_scan_prunes_columns(spark):
@@ -105,7 +86,8 @@ def test_batch_writes_are_idempotent(spark):
 def test_no_python_outside_the_plugin(spark):
     """Only the E6 plug-in scorer may run Python in a batch plan."""
     allowed = {"model_scoring_plugin"}
-    skip = {"train_and_score", "prepare_manifest_rows", "labeled_csv_scan"}  # ML fits / file jobs at build time
+    skip = {"train_and_score", "evaluate_saved_model", "prepare_manifest_rows", "prepare_rows",
+            "labeled_csv_scan"}  # ML fits / file jobs at build time
     for name, (fn, _sql) in Q.REGISTRY.items():
         if name in skip or name.startswith("stream_"):
             continue
@@ -123,34 +105,47 @@ def test_same_result_for_1_and_8_partitions(spark):
     assert sorted(map(tuple, one)) == sorted(map(tuple, eight))
 
 
-def test_cache_stream_state_across_batches(spark, tmp_dir):
-    import random
-    rnd = random.Random(11)
-    base = 1_704_067_200
-    rows, t = [], 0
-    for i in range(90):
-        t += rnd.choice((20, 120, 290, 310, 900))
-        rows.append((i, 1 + i % 2, "view", base + t))
-    src = os.path.join(tmp_dir, "ev")
-    for part in range(3):  # three files in time order -> three micro-batches
-        chunk = rows[part * 30:(part + 1) * 30]
-        (spark.createDataFrame(chunk, "event_id long, user_id long, event_type string, s long")
-         .withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1)
-         .write.mode("append").parquet(src))
-    schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out = scratch_path(spark, "cache-batches")
-    jobs.cache_stream(stream, ["user_id", "event_type"], "ts", "event_id", 300, "1 hour", out)
-    assert spark.read.parquet(out).select("batch_id").distinct().count() >= 3
-    got = {r["user_id"]: (r["hits"], r["misses"]) for r in jobs.latest(spark, out, ["user_id", "event_type"]).collect()}
-    want = {}
-    for user in (1, 2):
-        last, hits, misses = None, 0, 0
-        for _, u, _, s in rows:
-            if u == user:
-                if last is not None and s - last <= 300:
-                    hits += 1
-                else:
-                    misses, last = misses + 1, s
-        want[user] = (hits, misses)
-    assert got == want
+def _arriving(spark, tmp_dir, frames, job):
+    """Feed a job from a folder that gets one frame's files before each run."""
+    src = os.path.join(tmp_dir, "arriving")
+    for df in frames:
+        df.repartition(2).write.mode("append").parquet(src)
+        job(jobs.folder_stream(spark, src, df.schema))
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_dir):
+    """Two runs with files added between equal the batch."""
+    from riskscope.operators import validation as V
+    from riskscope.plans.classify import classify, flat_result
+    docs = Q._corpus_frame(spark, SF_SMALL)
+    halves = [docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")]
+    out, ck = os.path.join(tmp_dir, "t1"), os.path.join(tmp_dir, "t1-ck")
+    _arriving(spark, os.path.join(tmp_dir, "a"), halves, lambda s: jobs.classify_stream(s, out, ck))
+    got = flat_result(spark.read.parquet(out))
+    want = flat_result(classify(docs))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+    valid, rejects, ck6 = (os.path.join(tmp_dir, n) for n in ("valid", "rejects", "t6-ck"))
+    faulty = Q.faulty_documents(spark, SF_SMALL)
+    _arriving(spark, os.path.join(tmp_dir, "b"), [faulty.where("doc_id < 90"), faulty.where("doc_id >= 90")],
+              lambda s: jobs.ingest_stream(s, "text", valid, rejects, ck6))
+    n = {r["r"]: r["n"] for r in V.reject_single(faulty).groupBy(F.col("reject_reason").alias("r")).agg(F.count("*").alias("n")).collect()}
+    assert spark.read.parquet(valid).count() == n[None]
+    assert spark.read.parquet(rejects).count() == n["empty"] + n["blank"]
+    assert spark.read.parquet(valid).where("text <> trim(text)").count() == 0
+    assert spark.read.parquet(valid).select("batch_id").distinct().count() >= 4
+
+
+def test_registered_streams_equal_their_batch_forms(spark):
+    for name, batch in (("stream_rate_limit", "rate_limit_flags"), ("stream_categories", "fairness_categories")):
+        a, b = (Q.REGISTRY[n][0](spark, SF_SMALL) for n in (name, batch))
+        assert sorted(map(tuple, a.select(*b.columns).collect())) == sorted(map(tuple, b.collect())), name
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from riskscope import session
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session._local_fallback("yarn")
+    with pytest.raises(ValueError):
+        session._local_fallback("local-cluster[2,1,1024]")
+    assert os.path.isdir(session._local_fallback("local[2]"))
