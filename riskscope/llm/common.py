@@ -14,6 +14,7 @@ from riskscope.session import scratch_path
 _RADIX = 0x9E3779B97F4A7C15
 _RADIX_INV = pow(_RADIX, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,10 +29,16 @@ def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: cuts
-    the lineage, and survives the loss of executors."""
+    the lineage, and survives the loss of executors.  The shuffle files of the
+    write are of no more use and go at once."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

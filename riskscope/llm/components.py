@@ -14,8 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     smallest node of the component.  The smallest nodes themselves are left out."""
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                    .distinct(), "edges")
-    before = None
-    while True:
+    while not _stars(edges):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -24,7 +23,10 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         edges = stored(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                        .union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points to one root and no root points on."""
+    n, nodes = edges.agg(F.count("*"), F.countDistinct("u")).first()
+    return n == nodes and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()

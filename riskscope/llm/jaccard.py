@@ -213,50 +213,47 @@ def _all_pairs(open_groups: DataFrame, classes: DataFrame) -> DataFrame:
         "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "s1", "sp",
         "comp", "spread")
 
-    def pairs_of(s1, sp, comp, spread, left, right):
+    def pairs_of(t: pa.Table) -> pa.RecordBatch:
+        """Rows of whole groups, in order: each row meets the one ``lag`` rows
+        on for as long as that is in its group, all groups side by side."""
+        keys = [t.column(c).to_numpy() for c in ("token", "i", "j")]
+        s1, sp, comp, block = (t.column(c).to_numpy() for c in ("s1", "sp", "comp", "block"))
+        spread = np.frombuffer(b"".join(t.column("spread").to_pylist()), np.uint8).reshape(-1, RANGES)
         n, rest = sp >> 32, (sp >> 32) - (sp & 0xFFFFFFFF)
-        out = []
-        for lo in range(0, len(left), 128):
-            x, y = left[lo:lo + 128, None], right[None, :]
+        m = len(s1)
+        new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+        ends = np.append(np.flatnonzero(new) + 1, m)
+        left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(m)  # rows to the end of the group
+        across = keys[1] != keys[2]
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        live, lag = np.arange(m), 1
+        while len(live := live[left[live] > lag]):
+            x, y = live, live + lag
             total, least = n[x] + n[y], np.minimum(n[x], n[y])
             ok = ((s1[x] != s1[y]) & (comp[x] != comp[y]) & (least * DEN >= (total - least) * NUM)
-                  & (np.minimum(rest[x], rest[y]) * (DEN + NUM) >= total * NUM))
-            p, q = np.nonzero(ok)
-            p, q = left[lo:lo + 128][p], right[q]
-            for at in range(0, len(p), 1 << 15):
-                a, b = p[at:at + (1 << 15)], q[at:at + (1 << 15)]
-                near = _near(spread[a], spread[b], n[a] + n[b])
-                out.append((np.minimum(s1[a], s1[b])[near], np.maximum(s1[a], s1[b])[near]))
-        return out
+                  & (np.minimum(rest[x], rest[y]) * (DEN + NUM) >= total * NUM) & (~across[x] | (block[x] != block[y])))
+            x, y = x[ok], y[ok]
+            near = _near(spread[x], spread[y], n[x] + n[y])
+            x, y = x[near], y[near]
+            out.append((np.minimum(s1[x], s1[y]), np.maximum(s1[x], s1[y])))
+            lag += 1
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(f[k] for f in out)]))
+                                           for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
-
-        def closed() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            s1, sp, comp, block = (t.column(c).to_numpy() for c in ("s1", "sp", "comp", "block"))
-            spread = np.frombuffer(b"".join(t.column("spread").to_pylist()), np.uint8).reshape(-1, RANGES)
-            i, j = now[1], now[2]
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            found = pairs_of(s1, sp, comp, spread, left, right)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)])) for k in (0, 1)], names=["a", "b"])
-
+        held: list[pa.RecordBatch] = []  # rows of the group that may go on
         for batch in batches:
             if not len(batch):
                 continue
-            keys = [batch.column(k).to_numpy() for k in range(3)]
-            cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            for lo, hi in zip([0, *cut], [*cut, len(batch)]):
-                key = tuple(int(k[lo]) for k in keys)
-                if key != now:
-                    if held:
-                        yield closed()
-                    held, now = [], key
-                held.append(batch.slice(lo, hi - lo))
+            t = pa.Table.from_batches([*held, batch]).combine_chunks()
+            keys = [t.column(c).to_numpy() for c in ("token", "i", "j")]
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0))
+            cut = int(new[-1]) + 1 if len(new) else 0
+            if cut:
+                yield pairs_of(t.slice(0, cut))
+            held = t.slice(cut).to_batches()
         if held:
-            yield closed()
+            yield pairs_of(pa.Table.from_batches(held))
 
     return (dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
             .mapInArrow(run, "a long, b long").distinct())

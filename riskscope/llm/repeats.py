@@ -17,8 +17,9 @@ which also starts in a document with a smaller doc_id is removed.
    several, whose sorted windows are then merged by binary search.
 5. The answers return to the documents, where windows become removed bytes.
 
-Strings are judged on the input and never cross documents.  A segment is known
-by two 64-bit hashes together (of the anchor and of the whole).
+Strings are judged on the input and never cross documents.  What goes depends
+on the doc_id and the segment alone, so rows that share a doc_id share answers.
+A segment is known by 96 bits of hashes (64 of the whole, 32 of its anchor).
 
 Nulls and empty texts have no bytes.  A null doc_id is smaller than all others;
 rows with equal ids do not remove from each other.  Repeated rows give a row
@@ -43,7 +44,7 @@ GRAM = 16
 REACH = SPAN - GRAM             # bytes on either side that a window through an anchor can reach
 CHUNK = 1 << 20                 # bytes of a text that are worked on at a time
 BUCKET_BYTES = 12 << 20         # text whose anchors meet in one bucket
-SHARD_SEGMENTS = 16_000
+SHARD_SEGMENTS = 4_000          # small enough for a processor's cache
 MERGE_WINDOWS = 200_000
 SAMPLE_DOCS = 4000              # documents that show which anchors are very common
 COMMON = 0.02                   # share of them that makes an anchor so
@@ -52,8 +53,8 @@ _NULL = -(1 << 63)              # stands for a null doc_id
 
 
 def anchors(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor hash, segment hash, anchor place, segment start, segment end),
-    chunk by chunk; a place near a seam may come twice."""
+    """(anchor hash of 32 bits, segment hash, anchor place, segment start, segment
+    end), chunk by chunk; a place near a seam may come twice."""
     for chunk in range(0, len(data) - SPAN + 1, CHUNK):
         last = min(chunk + CHUNK, len(data) - SPAN + 1)  # window starts of this chunk end here
         lo, hi = max(0, chunk - REACH), min(len(data), last + 2 * SPAN)
@@ -68,15 +69,13 @@ def anchors(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
         at = np.flatnonzero(own == sliding(np.concatenate((edge, least, edge)), REACH + 1, np.maximum)) + chunk - lo
         begin, end = np.maximum(at + lo - REACH, 0), np.minimum(at + lo + SPAN, len(data))
         segment = RangeHash(part).of(begin - lo, end - lo) + (at + lo - begin).astype(np.uint64)
-        yield grams[at], segment, at + lo, begin, end
+        yield grams[at] >> np.uint64(32), segment, at + lo, begin, end
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id (nulls by their stand-in), the text's bytes and their hash: rows
-    that agree in both have the same outcome."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), F.xxhash64(text).alias("th"),
-                       F.encode(text, "UTF-8").alias("text"))
+    """doc_id (nulls by their stand-in) and the text's bytes."""
+    return docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"),
+                       F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
 
 
 def _common_anchors(rows: DataFrame, n: int) -> np.ndarray:
@@ -98,12 +97,12 @@ def _common_anchors(rows: DataFrame, n: int) -> np.ndarray:
 
 
 def _meet(rows: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
-    """(doc_id, th, at, anchor, seg, whole): ``whole`` says that the segment
-    goes from the row; otherwise it is to be asked for."""
-    entry = np.dtype([("anchor", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("at", "<u4")])
+    """(doc_id, at, anchor, seg, whole): ``whole`` says that the segment goes
+    from the document; otherwise it is to be asked for."""
+    entry = np.dtype([("seg", "<u8"), ("anchor", "<u4"), ("doc", "<i8"), ("at", "<u4")])
     spread = rows.sparkSession.sparkContext.broadcast(common)  # bounded by the sample
-    out = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()),
-                     ("seg", pa.int64()), ("whole", pa.bool_())])
+    out = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("seg", pa.int64()),
+                     ("whole", pa.bool_())])
 
     def first_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Entries by (seg, anchor, doc), and where each segment begins."""
@@ -114,12 +113,12 @@ def _meet(rows: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
             run = np.cumsum(new)
             own = np.flatnonzero(np.isin(run, run[many]))
             own_e = e[own]
-            e[own] = own_e[np.lexsort((own_e["th"], own_e["doc"], own_e["anchor"], run[own]))]
+            e[own] = own_e[np.lexsort((own_e["doc"], own_e["anchor"], run[own]))]
             new[1:] |= e["anchor"][1:] != e["anchor"][:-1]
         return e, new
 
     def rows_of(e: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
-        cols = [e["doc"], e["th"], e["at"].astype(np.int64), e["anchor"].view(np.int64), e["seg"].view(np.int64)]
+        cols = [e["doc"], e["at"].astype(np.int64), e["anchor"].astype(np.int64), e["seg"].view(np.int64)]
         return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in cols), pa.array(whole)], schema=out)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,17 +126,17 @@ def _meet(rows: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
         schema = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
         for batch in batches:
             parts = []
-            for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for anchor, seg, at, _, _ in anchors(text.as_py()):
                     _, one = np.unique(seg, return_index=True)  # a segment counts once a row
                     e = np.empty(len(one), entry)
-                    e["anchor"], e["seg"], e["doc"], e["th"], e["at"] = anchor[one], seg[one], doc, th, at[one]
+                    e["anchor"], e["seg"], e["doc"], e["at"] = anchor[one], seg[one], doc, at[one]
                     parts.append(e)
             if not parts:
                 continue
             e = np.concatenate(parts)
             del parts
-            where = e["anchor"].copy()
+            where = e["anchor"].astype(np.uint64)
             if len(known):
                 hot = known[np.minimum(np.searchsorted(known, where), len(known) - 1)] == where
                 where[hot] ^= mix(e["seg"][hot])
@@ -180,33 +179,40 @@ def _meet(rows: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
 
     dealt = rows.mapInArrow(deal, "bucket int, entries binary")
     return (dealt.repartition("bucket").sortWithinPartitions("bucket")
-            .mapInArrow(gather, "doc_id long, th long, at long, anchor long, seg long, whole boolean"))
+            .mapInArrow(gather, "doc_id long, at long, anchor long, seg long, whole boolean"))
 
 
 def _segments(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """The bytes of the segments that are asked for."""
-    schema = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()),
-                        ("bytes", pa.binary())])
-    wanted = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "anchor", "seg")).alias("of"))
+    """The bytes of the segments that are asked for.  Where several rows share a
+    doc_id, the segment's hash tells whose it is."""
+    schema = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("doc_id", pa.int64()), ("bytes", pa.binary())])
+    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor", "seg")).alias("of"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, th, text, of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2),
-                                         batch.column(3)):
+            for doc, text, of in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 data, of = text.as_py(), of.values
-                at = of.field("at").to_pylist()
-                pieces = [data[max(0, p - REACH):p + SPAN] for p in at]
+                at = of.field("at").to_numpy()
+                begin, end = np.maximum(at - REACH, 0), np.minimum(at + SPAN, len(data))
+                own = begin + SPAN <= end
+                seg = of.field("seg").to_numpy().view(np.uint64)
+                pieces = [data[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+                sizes = np.array([len(x) for x in pieces], np.int64)
+                ends = np.cumsum(sizes)
+                own &= RangeHash(b"".join(pieces)).of(ends - sizes, ends) + (at - begin).astype(np.uint64) == seg
+                keep = pa.array(own)
                 yield pa.RecordBatch.from_arrays(
-                    [of.field("anchor"), of.field("seg"), pa.array([doc] * len(at), pa.int64()),
-                     pa.array([th] * len(at), pa.int64()), pa.array(pieces, pa.binary())], schema=schema)
+                    [of.field("anchor"), of.field("seg"), pa.array(np.full(len(at), doc)), pa.array(pieces, pa.binary())],
+                    schema=schema).filter(keep)
 
-    return rows.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "of").mapInArrow(run, "anchor long, seg long, doc_id long, th long, bytes binary")
+    return rows.join(wanted, "doc_id").select("doc_id", "text", "of").mapInArrow(
+        run, "anchor long, seg long, doc_id long, bytes binary")
 
 
-ANSWER = "doc_id long, th long, seg long, windows long"
-_ANSWER = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("seg", pa.int64()), ("windows", pa.int64())])
+ANSWER = "doc_id long, seg long, windows long"
+_ANSWER = pa.schema([("doc_id", pa.int64()), ("seg", pa.int64()), ("windows", pa.int64())])
 _SHARD = pa.schema([*_ANSWER, ("anchor", pa.int64()), ("piece", pa.int32()), ("run", pa.binary())])
-_RUN = np.dtype([("window", f"S{SPAN}"), ("doc", "<i8"), ("th", "<i8"), ("seg", "<i8"), ("j", "<i4")])
+_RUN = np.dtype([("window", f"S{SPAN}"), ("doc", "<i8"), ("seg", "<i8"), ("j", "<i4")])
 
 
 def search_shard(table: pa.Table, pieces: int) -> pa.Table:
@@ -235,7 +241,7 @@ def search_shard(table: pa.Table, pieces: int) -> pa.Table:
     found = np.flatnonzero(bits)
     take = lambda name, k: table.column(name).take(pa.array(k)).combine_chunks()
     none = lambda kind, k: pa.nulls(k, kind)
-    parts = [[take("doc_id", found), take("th", found), take("seg", found), pa.array(bits[found]),
+    parts = [[take("doc_id", found), take("seg", found), pa.array(bits[found]),
               none(pa.int64(), len(found)), none(pa.int32(), len(found)), none(pa.binary(), len(found))]]
     wide = table.column("wide").to_numpy(zero_copy_only=False)
     least = np.flatnonzero(wide[owner] & ~gone)
@@ -243,7 +249,7 @@ def search_shard(table: pa.Table, pieces: int) -> pa.Table:
         run = np.empty(len(least), _RUN)
         run["window"] = np.lib.stride_tricks.sliding_window_view(data, SPAN)[order[least]].copy().view(f"S{SPAN}")[:, 0]
         own = owner[least]
-        run["doc"], run["th"], run["seg"] = docs[own], table.column("th").to_numpy()[own], table.column("seg").to_numpy()[own]
+        run["doc"], run["seg"] = docs[own], table.column("seg").to_numpy()[own]
         run["j"] = offset[least]
         anchor = table.column("anchor").to_numpy()[own]
         place = (RangeHash(data.tobytes()).of(order[least], order[least] + SPAN) % np.uint64(pieces)).astype(np.int32)
@@ -251,7 +257,7 @@ def search_shard(table: pa.Table, pieces: int) -> pa.Table:
         cuts = np.flatnonzero(np.concatenate(([True], (np.diff(anchor[split]) != 0) | (np.diff(place[split]) != 0), [True])))
         heads = split[cuts[:-1]]
         k = len(heads)
-        parts.append([none(pa.int64(), k)] * 4 + [pa.array(anchor[heads]), pa.array(place[heads]),
+        parts.append([none(pa.int64(), k)] * 3 + [pa.array(anchor[heads]), pa.array(place[heads]),
                                                   pa.array([run[split[a:b]].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())])
     return pa.Table.from_batches([pa.RecordBatch.from_arrays(p, schema=_SHARD) for p in parts])
 
@@ -278,7 +284,7 @@ def _merge_group(table: pa.Table) -> pa.Table:
     for run, low in zip(runs, merge_runs(runs)):
         gone = run[run["doc"] > low]
         out.append(pa.RecordBatch.from_arrays(
-            [pa.array(np.ascontiguousarray(gone[c])) for c in ("doc", "th", "seg")]
+            [pa.array(np.ascontiguousarray(gone[c])) for c in ("doc", "seg")]
             + [pa.array(np.int64(1) << gone["j"].astype(np.int64))], schema=_ANSWER))
     return pa.Table.from_batches(out, schema=_ANSWER)
 
@@ -293,13 +299,13 @@ def _search(segments: DataFrame) -> DataFrame:
     pieces = max(1, -(-n_wide * (REACH + 1) // MERGE_WINDOWS))
     salted = F.xxhash64("anchor", F.pmod("seg", "parts"))
     keyed = segments.join(wide, "anchor", "left").select(
-        "anchor", "seg", "doc_id", "th", "bytes", F.col("parts").isNotNull().alias("wide"),
+        "anchor", "seg", "doc_id", "bytes", F.col("parts").isNotNull().alias("wide"),
         F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(salted).alias("shard"))
     fields = [f"{f.name} {'binary' if f.type == pa.binary() else 'int' if f.type == pa.int32() else 'long'}" for f in _SHARD]
     found = stored(keyed.groupBy("shard", "wide").applyInArrow(lambda t: search_shard(t, pieces), ", ".join(fields)),
                    "repeats-shards")
     merged = found.where("run is not null").groupBy("anchor", "piece").applyInArrow(_merge_group, ANSWER)
-    return found.where("run is null").select("doc_id", "th", "seg", "windows").unionByName(merged)
+    return found.where("run is null").select("doc_id", "seg", "windows").unionByName(merged)
 
 
 def _apply(data: bytes, segs: np.ndarray, windows: np.ndarray) -> tuple[int, int, str]:
@@ -329,7 +335,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def _finish(rows: DataFrame, answers: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                         ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-    of = answers.groupBy("doc_id", "th", "seg").agg(F.bit_or("windows").alias("windows")).groupBy("doc_id", "th").agg(
+    of = answers.groupBy("doc_id", "seg").agg(F.bit_or("windows").alias("windows")).groupBy("doc_id").agg(
         F.collect_list("seg").alias("segs"), F.collect_list("windows").alias("windows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,16 +352,16 @@ def _finish(rows: DataFrame, answers: DataFrame) -> DataFrame:
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([ids, *out], schema)], schema=schema)
 
-    return rows.join(of, ["doc_id", "th"], "left").select("doc_id", "text", "segs", "windows").mapInArrow(run, RESULT)
+    return rows.join(of, "doc_id", "left").select("doc_id", "text", "segs", "windows").mapInArrow(run, RESULT)
 
 
 def _once(rows: DataFrame) -> DataFrame:
-    """Each distinct row once; only rows that do repeat are shuffled for it."""
-    twice = stored(rows.groupBy("doc_id", "th").count().where("count > 1").select("doc_id", "th"), "repeats-twice")
+    """Each distinct row once; only rows whose doc_id repeats are shuffled for it."""
+    twice = stored(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeats-twice")
     if twice.isEmpty():
         return rows
-    same = ["doc_id", "th"]
-    return rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(same))
+    return rows.join(twice, "doc_id", "left_anti").unionByName(
+        rows.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -364,7 +370,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     common = _common_anchors(rows, n)
     met = stored(_meet(rows, common, max(8, -(-size // BUCKET_BYTES))), "repeats-met")
-    asked = met.where("not whole").select("doc_id", "th", "at", "anchor", "seg").distinct()
+    asked = met.where("not whole").select("doc_id", "at", "anchor", "seg").distinct()
     segments = stored(_segments(_once(rows), asked), "repeats-segments")
-    whole = met.where("whole").select("doc_id", "th", "seg", F.lit(FULL).alias("windows"))
+    whole = met.where("whole").select("doc_id", "seg", F.lit(FULL).alias("windows"))
     return _finish(rows, whole.unionByName(_search(segments)))

@@ -55,7 +55,7 @@ def test_suffix_array_and_common_prefixes(alphabet):
 
 
 def test_runs_merge_by_binary_search():
-    make = lambda rows: np.array([(w.ljust(50, b"."), d, 0, 0, 0) for w, d in sorted(rows)], repeats._RUN)
+    make = lambda rows: np.array([(w.ljust(50, b"."), d, 0, 0) for w, d in sorted(rows)], repeats._RUN)
     runs = [make([(b"a", 5), (b"c", 2)]), make([(b"a", 3), (b"b", 9)]), make([(b"b", 1), (b"b", 4), (b"c", 7)])]
     assert [list(x) for x in repeats.merge_runs(runs)] == [[3, 2], [3, 1], [1, 1, 2]]
 
