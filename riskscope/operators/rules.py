@@ -15,7 +15,7 @@ Two physical plans with the same result:
   it has regex syntax).  Narrow, no shuffle, whole-stage codegen.
 * ``rule_hits_long``: relational form for large lexicons - n-grams of the
   cleaned text inside apostrophe-free runs, exploded and equi-joined with the
-  keyword table (broadcast when its row count is below a checked bound).
+  keyword table.
 """
 
 from __future__ import annotations
@@ -39,10 +39,6 @@ RULES_SCHEMA = T.StructType([
     T.StructField("weight", T.IntegerType(), False),
 ])
 
-#: Broadcast the rules table only up to this many rows.
-BROADCAST_RULES_MAX_ROWS = 1_000_000
-
-
 def regex_escape(s: str) -> str:
     """Escape regex metacharacters (same result for Java regex and RE2)."""
     return "".join("\\" + ch if ch in _META else ch for ch in s)
@@ -205,48 +201,44 @@ MAX_LITERAL_FIRST_WORDS = 256
 def rule_hits_long(df: DataFrame, rules: DataFrame, key: str = "doc_id", cleaned_col: str = "cleaned") -> DataFrame:
     """Hits in long form ``(key, ord, kind, group, term, weight)``.
 
-    Keywords: n-gram explode + equi-join on the term; the rules side is
-    broadcast only when its counted size is below ``BROADCAST_RULES_MAX_ROWS``,
-    otherwise both sides shuffle on the term.  Keywords holding an apostrophe
-    (never an n-gram) and patterns (unanchored, so no join key) are literal
-    expressions; both lists come from the small lexicon and are bounded by
-    the same row check.
+    One pass over the texts: a row's n-grams and its literal hits are exploded
+    together; the n-grams then meet the keywords on the term (the planner picks
+    the join from the rules' size).  Keywords holding an apostrophe (never an
+    n-gram) and patterns (unanchored, so no join key) are literal expressions,
+    of which a plan holds ``MAX_LITERAL_RULES`` at most.
     """
-    kw = rules.filter(F.col("kind") == "keyword").withColumn("term", F.lower("term"))
-    n_rules = rules.count()
-    max_n = kw.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
-    firsts = kw.filter(F.size(F.split("term", " ")) > 1).select(F.split("term", " ")[0].alias("w")).distinct()
+    kw = rules.filter(F.col("kind") == "keyword").withColumn("__term", F.lower("term"))
+    lens = F.size(F.split("__term", " "))
+    max_n = kw.agg(F.max(lens)).first()[0] or 1
+    firsts = kw.filter(lens > 1).select(F.split("__term", " ")[0].alias("w")).distinct()
     first_words = None
     if firsts.limit(MAX_LITERAL_FIRST_WORDS + 1).count() <= MAX_LITERAL_FIRST_WORDS:
         first_words = sorted(r["w"] for r in firsts.collect())
-    grams = df.select(F.col(key), F.explode(F.array_distinct(
-        ngrams_in_runs(F.col(cleaned_col), max_n, first_words))).alias("term"))
-    kw_side = F.broadcast(kw) if n_rules <= BROADCAST_RULES_MAX_ROWS else kw
-    parts = [grams.join(kw_side, "term").select(key, "ord", "kind", "group", "term", "weight")]
-
     literal = rules.filter((F.col("kind") == "pattern") | F.col("term").contains("'"))
-    if n_rules > BROADCAST_RULES_MAX_ROWS and literal.count() > BROADCAST_RULES_MAX_ROWS:
-        raise ValueError("too many pattern rules for literal matching")
-    lit_rows = literal.orderBy("ord").collect()
+    lit_rows = literal.orderBy("ord").limit(MAX_LITERAL_RULES + 1).collect()
+    if len(lit_rows) > MAX_LITERAL_RULES:
+        raise ValueError(f"over {MAX_LITERAL_RULES} patterns: too many for literal matching")
+    c = F.col(cleaned_col)
+
+    def test(r):
+        t = r["term"]
+        if r["kind"] == "keyword":
+            return c.rlike(word_regex(t))
+        return c.contains(t.lower()) if is_plain(t) else c.rlike("(?i)" + t)
+
+    hit = lambda gram, no: F.struct(gram.alias("gram"), no.cast("int").alias("no"))
+    found = F.transform(F.array_distinct(ngrams_in_runs(c, max_n, first_words)), lambda g: hit(g, F.lit(None)))
     if lit_rows:
-        c = F.col(cleaned_col)
-
-        def test(r):
-            t = r["term"]
-            if r["kind"] == "keyword":
-                return c.rlike(word_regex(t))
-            return c.contains(t.lower()) if is_plain(t) else c.rlike("(?i)" + t)
-
-        arr = F.array_compact(F.array(*[
-            F.when(test(r), F.struct(F.lit(r["ord"]).alias("ord"), F.lit(r["kind"]).alias("kind"),
-                                     F.lit(r["group"]).alias("group"), F.lit(r["term"]).alias("term"),
-                                     F.lit(r["weight"]).alias("weight")))
-            for r in lit_rows]))
-        parts.append(df.select(F.col(key), F.explode(arr).alias("h")).select(key, "h.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        found = F.concat(found, F.array_compact(F.array(*[
+            F.when(test(r), hit(F.lit(None).cast("string"), F.lit(r["ord"]))) for r in lit_rows])))
+    rows = df.select(F.col(key), F.explode(found).alias("h")).select(key, "h.gram", "h.no")
+    # Each hit names its rule, by term or by number: one join, no second scan.
+    by = F.concat(F.lit("g"), F.col("gram"))
+    named = rows.withColumn("__by", F.coalesce(by, F.concat(F.lit("n"), F.col("no").cast("string"))))
+    apostrophe = F.col("term").contains("'") | (F.col("kind") == "pattern")
+    rule = rules.withColumn("__by", F.when(apostrophe, F.concat(F.lit("n"), F.col("ord").cast("string")))
+                            .otherwise(F.concat(F.lit("g"), F.lower("term"))))
+    return named.join(rule, "__by").select(key, "ord", "kind", "group", "term", "weight")
 
 
 def collect_hits(long_hits: DataFrame, key: str = "doc_id") -> DataFrame:
