@@ -44,6 +44,7 @@ GRAM = 16
 REACH = SPAN - GRAM             # bytes on either side that a window through an anchor can reach
 CHUNK = 1 << 20                 # bytes of a text that are worked on at a time
 BUCKET_BYTES = 12 << 20         # text whose anchors meet in one bucket
+SEND_ENTRIES = 400_000          # entries that a task holds before it deals them out
 SHARD_SEGMENTS = 4_000          # small enough for a processor's cache
 MERGE_WINDOWS = 200_000
 SAMPLE_DOCS = 4000              # documents that show which anchors are very common
@@ -122,31 +123,32 @@ def _meet(rows: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in cols), pa.array(whole)], schema=out)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = spread.value
         schema = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
         for batch in batches:
-            parts = []
+            parts, held = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for anchor, seg, at, _, _ in anchors(text.as_py()):
                     _, one = np.unique(seg, return_index=True)  # a segment counts once a row
                     e = np.empty(len(one), entry)
                     e["anchor"], e["seg"], e["doc"], e["at"] = anchor[one], seg[one], doc, at[one]
                     parts.append(e)
-            if not parts:
-                continue
-            e = np.concatenate(parts)
-            del parts
-            where = e["anchor"].astype(np.uint64)
-            if len(known):
-                hot = known[np.minimum(np.searchsorted(known, where), len(known) - 1)] == where
-                where[hot] ^= mix(e["seg"][hot])
-            bucket = (mix(where) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            e, bucket = e[order], bucket[order]
-            cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[cuts[:-1]]), pa.array([e[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
-                schema=schema)
+                    held += len(e)
+                if held >= SEND_ENTRIES:
+                    yield pa.RecordBatch.from_arrays(by_bucket(np.concatenate(parts)), schema=schema)
+                    parts, held = [], 0
+            if parts:
+                yield pa.RecordBatch.from_arrays(by_bucket(np.concatenate(parts)), schema=schema)
+
+    def by_bucket(e: np.ndarray) -> list[pa.Array]:
+        known, where = spread.value, e["anchor"].astype(np.uint64)
+        if len(known):
+            hot = known[np.minimum(np.searchsorted(known, where), len(known) - 1)] == where
+            where[hot] ^= mix(e["seg"][hot])
+        bucket = (mix(where) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        e, bucket = e[order], bucket[order]
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        return [pa.array(bucket[cuts[:-1]]), pa.array([e[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
