@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import DI_HIGH_BELOW, DI_THRESHOLD, LABELS
+from ..session import materialize
 from .fusion import round_half_up
 
 NON = LABELS[0]
@@ -62,15 +63,6 @@ def _table(results: DataFrame) -> DataFrame:
                           "severity": F.when(di < DI_HIGH_BELOW, F.lit("high")).otherwise(F.lit("medium"))})
 
 
-def overall(results: DataFrame) -> DataFrame:
-    """Totals used by G1/G3: one row ``total, flagged_count, bias_risk_count``."""
-    return results.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(_flagged()).alias("flagged_count"),
-        F.count_if(F.col("bias_metadata.high_bias_risk")).alias("bias_risk_count"),
-    )
-
-
 def category_metrics(results: DataFrame) -> DataFrame:
     """``(category, total, positive)``; positive = label other than
     Non-Radical."""
@@ -131,13 +123,12 @@ def summary(results: DataFrame) -> DataFrame:
 
 def group_rates(results: DataFrame, group_col: str, reference_group: str) -> DataFrame:
     """G6/G7 by a column (e.g. language): positive rate per group against
-    the rate of ``reference_group`` (attached by a window over the grouped
-    table, so the input is scanned once)."""
+    the rate of ``reference_group``.  The grouped table is stored, so the input
+    is scanned once, and no task needs all groups."""
     g = results.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"), F.count_if(_flagged()).alias("positive"))
-    g = g.withColumn("rate", _rate(F.col("positive"), F.col("n")))
-    everything = Window.partitionBy(F.lit(1))
-    ref = F.max(F.when(F.col(group_col) == reference_group, F.col("rate"))).over(everything)
-    j = g.withColumn("reference_rate", F.coalesce(ref, F.lit(0.0)))
+    g = materialize(g.withColumn("rate", _rate(F.col("positive"), F.col("n"))))
+    ref = g.filter(F.col(group_col) == reference_group).first()
+    j = g.withColumn("reference_rate", F.lit(float(ref["rate"]) if ref else 0.0))
     return j.select(
         group_col, "n", "positive",
         round_half_up(F.col("rate"), 4).alias("positive_rate"),
@@ -155,12 +146,10 @@ def odds_by_group(scored: DataFrame, group_col: str, reference_group: str, truth
     g = scored.groupBy(group_col).agg(
         F.count_if(t & p).alias("tp"), F.count_if(t & ~p).alias("fn"),
         F.count_if(~t & p).alias("fp"), F.count_if(~t & ~p).alias("tn"))
-    g = g.withColumns({"tpr": _rate(F.col("tp"), F.col("tp") + F.col("fn")),
-                       "fpr": _rate(F.col("fp"), F.col("fp") + F.col("tn"))})
-    everything = Window.partitionBy(F.lit(1))
-    is_ref = F.col(group_col) == reference_group
-    j = g.withColumns({"ref_tpr": F.coalesce(F.max(F.when(is_ref, F.col("tpr"))).over(everything), F.lit(0.0)),
-                       "ref_fpr": F.coalesce(F.max(F.when(is_ref, F.col("fpr"))).over(everything), F.lit(0.0))})
+    g = materialize(g.withColumns({"tpr": _rate(F.col("tp"), F.col("tp") + F.col("fn")),
+                                   "fpr": _rate(F.col("fp"), F.col("fp") + F.col("tn"))}))
+    ref = g.filter(F.col(group_col) == reference_group).first()
+    j = g.withColumns({f"ref_{c}": F.lit(float(ref[c]) if ref else 0.0) for c in ("tpr", "fpr")})
     return j.select(
         group_col, "tp", "fn", "fp", "tn",
         round_half_up(F.col("tpr"), 4).alias("tpr"), round_half_up(F.col("fpr"), 4).alias("fpr"),

@@ -89,7 +89,6 @@ FALLBACK_PROBS: tuple[float, ...] = (0.5, 0.2, 0.2, 0.1)
 # Reasoning sentences.
 REASON_HIGH_TERMS = "High-risk terms detected: "
 REASON_TERMS = "Flagged keywords found: "
-REASON_ML = "ML model classified as '{label}' with {pct}% confidence"
 REASON_AMPLIFIED = "Rule engine applied amplification due to high-risk content"
 REASON_BIAS = "Potential context-sensitive bias detected (sensitive categories)"
 REASON_REVIEW = "Flagged for human review due to ambiguity or potential bias"

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, model_tokens, tokenize, truncate, ustrip
+from ..functions.text import clean, model_tokens, preprocess, tokenize, truncate, ustrip
 from ..operators import dataset as D
 from ..operators import fairness as FA
 from ..operators import metrics as M
@@ -1294,6 +1294,17 @@ def q_ingest_rows_whole(spark, sf_dir):
     return rows.select("doc_id", F.length("text").alias("text_chars"), F.md5("text").alias("text_md5"))
 
 
+@register("preprocess", f"""WITH src AS ({O.corpus_sql()}),
+cl AS (SELECT doc_id, text, {O.clean_sql('text')} AS cleaned FROM src)
+SELECT doc_id, md5(text) AS original_md5, md5(cleaned) AS cleaned_md5, CAST(len({O.tokens_sql('cleaned')}) AS INTEGER) AS token_count,
+  md5(array_to_string({O.tokens_sql('cleaned')}, '|')) AS tokens_md5 FROM cl""")
+def q_preprocess(spark, sf_dir):
+    """Original, cleaned, tokens and their count."""
+    p = preprocess(seeded_corpus(spark, sf_dir))
+    return p.select("doc_id", F.md5("pre.original").alias("original_md5"), F.md5("pre.cleaned").alias("cleaned_md5"),
+                    "pre.token_count", F.md5(F.array_join("pre.tokens", "|")).alias("tokens_md5"))
+
+
 @register("classify_raw_fields", _with(
     "doc_id, cleaned, CAST(len(" + O.tokens_sql("cleaned") + ") AS INTEGER) AS token_count, rule_risk, rule_flagged AS flagged, "
     "has_high_risk, array_to_string(rule_terms, '|') AS terms, ml_label_id AS label_id"))
