@@ -4,8 +4,9 @@ A document's tokens are its words, with runs of ASCII punctuation set apart.
 Tokens and token pairs are hashed into ``BUCKETS`` buckets; a token that repeats
 the one before makes the same pair whatever the token is.
 Two multinomials over the buckets are estimated: the trusted target, from
-documents labelled good, and the raw corpus, from all documents.  A document's
-score is the sum of log(target / raw) over its n-grams, divided by their number; a document is kept if the score reaches ``THRESHOLD``.  Weights are
+documents labelled good, and the raw corpus, from all documents, scaled to the
+target's size.  Both are smoothed alike, so an n-gram that the target is too
+small to have seen says little.  A document's score is the sum of log(target / raw) over its n-grams, divided by their number; a document is kept if the score reaches ``THRESHOLD``.  Weights are
 rounded to millionths, so sums are whole numbers and every document's verdict
 is the same in any order of work.
 
@@ -35,7 +36,7 @@ from riskscope.llm.common import keyed_text
 BUCKETS = 1 << 14
 TARGET_ROWS = 20_000
 THRESHOLD = -150_000     # millionths of a nat per n-gram
-SMOOTHING = 0.5
+SMOOTHING = 8.0          # added to each bucket of both, at the target's size
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 REPEAT_WINDOW = 8
@@ -94,9 +95,9 @@ def weights(docs: DataFrame, labels: DataFrame, target_rows: int = TARGET_ROWS)
               .select(F.explode(let(_hashes(tokens(F.col("text"))), _grams)).alias("bucket"), "__good")
               .groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__good").alias("good")))
     every = Window.partitionBy()  # over at most BUCKETS rows
-    share = lambda n: (F.col(n) + SMOOTHING) / (F.sum(n).over(every) + F.lit(SMOOTHING * BUCKETS))
-    scored = counts.select("bucket", F.when(F.sum("good").over(every) > 0, F.round(1e6 * F.log(share("good") / share("raw"))))
-                           .otherwise(0).cast("long").alias("weight"))
+    expected = F.col("raw") * F.sum("good").over(every) / F.sum("raw").over(every)
+    scored = counts.select("bucket", F.round(1e6 * F.log((F.col("good") + SMOOTHING) / (expected + SMOOTHING)))
+                           .cast("long").alias("weight"))
     out = [0] * BUCKETS
     for r in scored.collect():  # at most BUCKETS rows
         out[r["bucket"]] = r["weight"]
@@ -125,35 +126,44 @@ def _repeated(hashes: Column) -> Column:
     return F.when(F.size(hashes) < width, F.lit(0)).otherwise(let(wins, covered))
 
 
+def _measures(text: Column, table: list[int]) -> Column:
+    """A struct of the rules' measures and the score of a text."""
+    text = F.coalesce(text, F.lit(""))
+    weight = F.split(F.lit(",".join(map(str, table))), ",").cast("array<long>")
+
+    def of(ws: Column, score: Column) -> Column:
+        return F.struct(F.size(ws).cast("long").alias("n_words"),
+                        F.char_length(F.array_join(ws, "")).cast("long").alias("word_chars"),
+                        let(_hashes(ws), _repeated).cast("long").alias("n_repeat_words"),
+                        score["sum"].alias("llr_micro"), score["n"].alias("n_grams"))
+
+    return let(let(_hashes(tokens(text)), lambda h: _score(h, weight)), lambda s: let(words(text), lambda ws: of(ws, s)))
+
+
+def _failed(m) -> Column:
+    return (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+
+
+def _kept(m, threshold: int) -> Column:
+    return ~_failed(m) & (m["llr_micro"] >= m["n_grams"] * threshold)
+
+
 def assess(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The rules' measures, the score and the verdict per document."""
     docs = keyed_text(docs)
-    table = F.split(F.lit(",".join(map(str, weights(docs, labels)))), ",").cast("array<long>")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda s: F.trim(s, F.lit(" \t\n\x0b\x0c\r")) != "")
-
-    def measure(ws: Column) -> Column:
-        return F.struct(F.size(ws).cast("long").alias("n_words"),
-                        F.char_length(F.array_join(ws, "")).cast("long").alias("word_chars"),
-                        let(_hashes(ws), _repeated).cast("long").alias("n_repeat_words"))
-
     out = docs.select(
-        "doc_id", let(words(text), measure).alias("m"),
-        let(_hashes(tokens(text)), lambda h: _score(h, table)).alias("llr"),
+        "doc_id", _measures(F.col("text"), weights(docs, labels)).alias("m"),
         F.char_length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"))
-    out = out.select("doc_id", "m.n_words", "m.word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words",
-                     F.col("llr.sum").alias("llr_micro"), F.col("llr.n").alias("n_grams"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("llr_micro") >= F.col("n_grams") * threshold))
-
-
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, all columns kept.  Rows are judged one by
-    one (by a shared id, rows would answer for each other), so the measures are
-    taken on the rows themselves."""
-    rejected = assess(docs, labels).groupBy(F.col("doc_id").alias("__id")).agg(
-        F.min("kept").alias("__all"), F.max("kept").alias("__any"))
-    kept = docs.join(rejected.where("not __any"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
-    return kept
+    m = F.col("m")
+    return out.select("doc_id", "m.n_words", "m.word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words",
+                      "m.llr_micro", "m.n_grams", _failed(m).alias("base_failed"), _kept(m, threshold).alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that pass, each judged by itself, all columns kept:
+    a filter, so nothing is shuffled."""
+    table = weights(keyed_text(docs), labels)
+    return docs.where(let(_measures(F.col("text").cast("string"), table), lambda m: _kept(m, threshold)))
