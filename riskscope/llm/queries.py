@@ -61,6 +61,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                             op8_personal_data, op9_jaccard_join, op10_chat_format)
 }
 
-# No operator here can be expressed in SQL over whole texts at a usable cost
-# unless its query is listed.
-ORACLE_SQL: dict[str, str] = {}
+# SQL for the queries that SQL can express on the small tables the oracle runs on.
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BENCH_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TEXT_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+_OP6 = f"""WITH b AS (SELECT item_id, {_BENCH_WORDS} AS ws FROM benchmark),
+bl AS (SELECT item_id, ws, least(len(ws), 10) AS n FROM b WHERE len(ws) > 0),
+bw AS (SELECT DISTINCT item_id, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: array_to_string(ws[i:i + n - 1], ' '))) AS g FROM bl),
+d AS (SELECT doc_id, coalesce({_BENCH_WORDS}, []) AS ws FROM documents),
+dw AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS i, ws FROM d, (SELECT DISTINCT n FROM bw) WHERE len(ws) >= n),
+hit AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.n = bw.n AND array_to_string(ws[i:i + dw.n - 1], ' ') = bw.g),
+cov AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS t FROM hit) GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+_OP9 = f"""WITH RECURSIVE w AS (SELECT doc_id, coalesce({_TEXT_WORDS}, []) AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id WHERE r.root < e.y)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(r.root), w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY w.doc_id"""
+
+_ESCAPED = (r"regexp_replace(regexp_replace(replace(text, '\', '\\'), '\[(/?SYS\]|/?INST\]|OUT\]|/?ROLE\]|/TURN\])', '[\\\1', 'g'), "
+            r"'<(/?s>)', '<\\\1', 'g')")
+_OP10 = f"""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f AS (SELECT *, length({_ESCAPED}) + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 ELSE 10 END AS chars,
+  lag(role, 1, '') OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+  lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS NULL AS is_last FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  bool_and(CASE role WHEN 'system' THEN before = '' WHEN 'user' THEN before IN ('', 'system', 'assistant')
+    WHEN 'assistant' THEN before = 'user' ELSE false END) AND bool_or(is_last AND role = 'assistant') AS valid
+FROM f GROUP BY conv_id"""
+
+ORACLE_SQL: dict[str, str] = {op6_decontaminate.__name__: _OP6, op9_jaccard_join.__name__: _OP9,
+                              op10_chat_format.__name__: _OP10}
