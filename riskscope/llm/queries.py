@@ -105,5 +105,18 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     WHEN 'assistant' THEN before = 'user' ELSE false END) AND bool_or(is_last AND role = 'assistant') AS valid
 FROM f GROUP BY conv_id"""
 
-ORACLE_SQL: dict[str, str] = {op6_decontaminate.__name__: _OP6, op9_jaccard_join.__name__: _OP9,
+_OP3 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 100)) AS k FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS p FROM d)),
+m AS (SELECT k, min(doc_id) AS lo FROM g GROUP BY k),
+x AS (SELECT g.doc_id, g.p, lag(g.p) OVER (PARTITION BY g.doc_id ORDER BY g.p) AS q FROM g JOIN m USING (k) WHERE m.lo < g.doc_id),
+r AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM x),
+sp AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM r GROUP BY doc_id, run),
+gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM sp),
+cut AS (SELECT doc_id, count(*) AS n, CAST(sum(b - a) AS BIGINT) AS gone, max(b) AS last,
+  string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {op3_suffix_dedup.__name__: _OP3, op6_decontaminate.__name__: _OP6, op9_jaccard_join.__name__: _OP9,
                               op10_chat_format.__name__: _OP10}
