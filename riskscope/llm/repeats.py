@@ -15,11 +15,13 @@ which also starts in a document with a smaller doc_id is removed.
    and it goes from all documents but its smallest.
 4. Merging.  An anchor with too many segments for a shard is spread over
    several, whose sorted windows are then merged by binary search.
-5. The answers return to the documents, where windows become removed bytes.
+5. The answers return to the documents by the anchor's place, where windows
+   become removed bytes.
 
-Strings are judged on the input and never cross documents.  What goes depends
-on the doc_id and the segment alone, so rows that share a doc_id share answers.
-A segment is known by 96 bits of hashes (64 of the whole, 32 of its anchor).
+Strings are judged on the input and never cross documents.  Answers are kept by
+doc_id, place and segment; rows that share a doc_id are told apart by the
+segment's hash.  A segment is known by 112 bits of hashes (64 of the whole, 48
+of its anchor).
 
 Nulls and empty texts have no bytes.  A null doc_id is smaller than all others;
 rows with equal ids do not remove from each other.  Repeated rows give a row
@@ -51,11 +53,12 @@ SAMPLE_DOCS = 4000              # documents that show which anchors are very com
 COMMON = 0.02                   # share of them that makes an anchor so
 FULL = (1 << 63) - 1            # all windows of a segment
 _NULL = -(1 << 63)              # stands for a null doc_id
+_ANCHOR_BITS = np.uint64((1 << 48) - 1)
 
 
-def anchors(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor hash of 32 bits, segment hash, anchor place, segment start, segment
-    end), chunk by chunk; a place near a seam may come twice."""
+def anchors(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(anchor hash of 48 bits, segment hash, anchor place), chunk by chunk; a
+    place near a seam may come twice."""
     for chunk in range(0, len(data) - SPAN + 1, CHUNK):
         last = min(chunk + CHUNK, len(data) - SPAN + 1)  # window starts of this chunk end here
         lo, hi = max(0, chunk - REACH), min(len(data), last + 2 * SPAN)
@@ -68,9 +71,22 @@ def anchors(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
         least = sliding(own, REACH + 1)
         edge = np.zeros(REACH, np.uint64)
         at = np.flatnonzero(own == sliding(np.concatenate((edge, least, edge)), REACH + 1, np.maximum)) + chunk - lo
-        begin, end = np.maximum(at + lo - REACH, 0), np.minimum(at + lo + SPAN, len(data))
-        segment = RangeHash(part).of(begin - lo, end - lo) + (at + lo - begin).astype(np.uint64)
-        yield grams[at] >> np.uint64(32), segment, at + lo, begin, end
+        yield grams[at] & _ANCHOR_BITS, segment_hash(grams, at, lo, len(data)), at + lo
+
+
+def bounds(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the segments of anchors begin and end in a text of ``size`` bytes."""
+    return np.maximum(at - REACH, 0), np.minimum(at + SPAN, size)
+
+
+def segment_hash(grams: np.ndarray, at: np.ndarray, lo: int, size: int) -> np.ndarray:
+    """Hashes of segments from those of the 16-byte strings that cover them, the
+    anchor's place and the length; ``grams`` starts at byte ``lo`` of the text."""
+    begin, end = bounds(at + lo, size)
+    h = ((at + lo - begin) * 128 + (end - begin)).astype(np.uint64)
+    for offset in range(0, REACH + SPAN, GRAM):
+        h = mix((h + np.uint64(0x9E3779B97F4A7C15)) ^ grams[np.minimum(begin + offset, end - GRAM) - lo])
+    return h
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -100,26 +116,26 @@ def _common_anchors(rows: DataFrame, n: int) -> np.ndarray:
 def _meet(rows: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
     """(doc_id, at, anchor, seg, whole): ``whole`` says that the segment goes
     from the document; otherwise it is to be asked for."""
-    entry = np.dtype([("seg", "<u8"), ("anchor", "<u4"), ("doc", "<i8"), ("at", "<u4")])
+    entry = np.dtype([("seg", "<u8"), ("low", "<u4"), ("high", "<u2"), ("doc", "<i8"), ("at", "<u4")])
+    anchor_of = lambda e: e["low"].astype(np.uint64) | (e["high"].astype(np.uint64) << np.uint64(32))
     spread = rows.sparkSession.sparkContext.broadcast(common)  # bounded by the sample
     out = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("seg", pa.int64()),
                      ("whole", pa.bool_())])
 
-    def first_of(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entries by (seg, anchor, doc), and where each segment begins."""
+    def in_order(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries by (seg, anchor), their anchors, and where each segment begins."""
         e = e[np.argsort(e["seg"], kind="stable")]
-        new = np.concatenate((np.ones(min(len(e), 1), bool), (e["seg"][1:] != e["seg"][:-1])))
-        many = np.flatnonzero(~new)
-        if len(many):  # order the runs of equal segments by anchor and document
-            run = np.cumsum(new)
-            own = np.flatnonzero(np.isin(run, run[many]))
-            own_e = e[own]
-            e[own] = own_e[np.lexsort((own_e["doc"], own_e["anchor"], run[own]))]
-            new[1:] |= e["anchor"][1:] != e["anchor"][:-1]
-        return e, new
-
-    def rows_of(e: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
-        cols = [e["doc"], e["at"].astype(np.int64), e["anchor"].astype(np.int64), e["seg"].view(np.int64)]
+        anchor = anchor_of(e)
+        new = np.concatenate((np.ones(min(len(e), 1), bool), e["seg"][1:] != e["seg"][:-1]))
+        mixed = np.flatnonzero(~new)
+        if len(mixed) and (anchor[mixed] != anchor[mixed - 1]).any():  # hashes of unlike segments agree
+            order = np.lexsort((anchor, e["seg"]))
+            e, anchor = e[order], anchor[order]
+        new[1:] = (e["seg"][1:] != e["seg"][:-1]) | (anchor[1:] != anchor[:-1])
+        return e, anchor, new
+
+    def rows_of(e: np.ndarray, anchor: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+        cols = [e["doc"], e["at"].astype(np.int64), anchor.astype(np.int64), e["seg"].view(np.int64)]
         return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c)) for c in cols), pa.array(whole)], schema=out)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +143,10 @@ def _meet(rows: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
         for batch in batches:
             parts, held = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for anchor, seg, at, _, _ in anchors(text.as_py()):
-                    _, one = np.unique(seg, return_index=True)  # a segment counts once a row
-                    e = np.empty(len(one), entry)
-                    e["anchor"], e["seg"], e["doc"], e["at"] = anchor[one], seg[one], doc, at[one]
+                for anchor, seg, at in anchors(text.as_py()):
+                    e = np.empty(len(at), entry)
+                    e["low"], e["high"] = anchor & np.uint64(0xFFFFFFFF), anchor >> np.uint64(32)
+                    e["seg"], e["doc"], e["at"] = seg, doc, at
                     parts.append(e)
                     held += len(e)
                 if held >= SEND_ENTRIES:
@@ -140,7 +156,7 @@ def _meet(rows: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(by_bucket(np.concatenate(parts)), schema=schema)
 
     def by_bucket(e: np.ndarray) -> list[pa.Array]:
-        known, where = spread.value, e["anchor"].astype(np.uint64)
+        known, where = spread.value, anchor_of(e)
         if len(known):
             hot = known[np.minimum(np.searchsorted(known, where), len(known) - 1)] == where
             where[hot] ^= mix(e["seg"][hot])
@@ -164,30 +180,45 @@ def _meet(rows: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
 
     def decide(e: np.ndarray) -> pa.RecordBatch:
         known = spread.value
-        e, new = first_of(e)
+        e, anchor, new = in_order(e)
         starts = np.flatnonzero(new)
-        low = e["doc"][starts][np.cumsum(new) - 1]
-        whole = e["doc"] > low
-        # Distinct segments of every anchor.
-        heads = np.sort(e["anchor"][starts])
-        lone = np.concatenate(([True], heads[1:] != heads[:-1])) & np.concatenate((heads[1:] != heads[:-1], [True]))
-        single = heads[lone]
-        alone = single[np.minimum(np.searchsorted(single, e["anchor"]), max(len(single) - 1, 0))] == e["anchor"] \
-            if len(single) else np.zeros(len(e), bool)
-        if len(known):
-            alone &= known[np.minimum(np.searchsorted(known, e["anchor"]), len(known) - 1)] != e["anchor"]
+        low = np.minimum.reduceat(e["doc"], starts)
+        whole = e["doc"] > np.repeat(low, np.diff(np.append(starts, len(e))))
+        # Anchors with one segment only: nothing but its copies can match.
+        heads = np.sort(anchor[starts])
+        last, first = np.append(heads[1:] != heads[:-1], True), np.insert(heads[1:] != heads[:-1], 0, True)
+        alone = _among(anchor, heads[first & last]) & ~_among(anchor, known)
         keep = whole | ~alone
-        return rows_of(e[keep], whole[keep])
+        return rows_of(e[keep], anchor[keep], whole[keep])
 
     dealt = rows.mapInArrow(deal, "bucket int, entries binary")
     return (dealt.repartition("bucket").sortWithinPartitions("bucket")
             .mapInArrow(gather, "doc_id long, at long, anchor long, seg long, whole boolean"))
 
 
-def _segments(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """The bytes of the segments that are asked for.  Where several rows share a
-    doc_id, the segment's hash tells whose it is."""
-    schema = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("doc_id", pa.int64()), ("bytes", pa.binary())])
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _is_at(data: bytes, at: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    """Which of the segments stand at their places in this text: a doc_id may
+    stand in several rows."""
+    words = words_at(np.frombuffer(data, np.uint8))
+    n = max(len(data) - GRAM + 1, 0)
+    grams = mix(words[:n] * np.uint64(0x9E3779B97F4A7C15) ^ mix(words[GRAM - WORD:GRAM - WORD + n]))
+    begin, end = bounds(at, len(data))
+    inside = np.flatnonzero(end - begin >= SPAN)
+    out = np.zeros(len(at), bool)
+    out[inside] = segment_hash(grams, at[inside], 0, len(data)) == seg[inside]
+    return out
+
+
+def _segments(rows: DataFrame, asked: DataFrame, several: bool) -> DataFrame:
+    """The bytes of the segments that are asked for."""
+    schema = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()),
+                        ("bytes", pa.binary())])
     wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("at", "anchor", "seg")).alias("of"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,26 +226,23 @@ def _segments(rows: DataFrame, asked: DataFrame) -> DataFrame:
             for doc, text, of in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 data, of = text.as_py(), of.values
                 at = of.field("at").to_numpy()
-                begin, end = np.maximum(at - REACH, 0), np.minimum(at + SPAN, len(data))
-                own = begin + SPAN <= end
-                seg = of.field("seg").to_numpy().view(np.uint64)
+                begin, end = bounds(at, len(data))
                 pieces = [data[a:b] for a, b in zip(begin.tolist(), end.tolist())]
-                sizes = np.array([len(x) for x in pieces], np.int64)
-                ends = np.cumsum(sizes)
-                own &= RangeHash(b"".join(pieces)).of(ends - sizes, ends) + (at - begin).astype(np.uint64) == seg
-                keep = pa.array(own)
-                yield pa.RecordBatch.from_arrays(
-                    [of.field("anchor"), of.field("seg"), pa.array(np.full(len(at), doc)), pa.array(pieces, pa.binary())],
-                    schema=schema).filter(keep)
+                found = pa.RecordBatch.from_arrays(
+                    [of.field("anchor"), of.field("seg"), pa.array(np.full(len(at), doc)), of.field("at"),
+                     pa.array(pieces, pa.binary())], schema=schema)
+                if several:
+                    found = found.filter(pa.array(_is_at(data, at, of.field("seg").to_numpy().view(np.uint64))))
+                yield found
 
     return rows.join(wanted, "doc_id").select("doc_id", "text", "of").mapInArrow(
-        run, "anchor long, seg long, doc_id long, bytes binary")
+        run, "anchor long, seg long, doc_id long, at long, bytes binary")
 
 
-ANSWER = "doc_id long, seg long, windows long"
-_ANSWER = pa.schema([("doc_id", pa.int64()), ("seg", pa.int64()), ("windows", pa.int64())])
+ANSWER = "doc_id long, at long, seg long, windows long"
+_ANSWER = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("seg", pa.int64()), ("windows", pa.int64())])
 _SHARD = pa.schema([*_ANSWER, ("anchor", pa.int64()), ("piece", pa.int32()), ("run", pa.binary())])
-_RUN = np.dtype([("window", f"S{SPAN}"), ("doc", "<i8"), ("seg", "<i8"), ("j", "<i4")])
+_RUN = np.dtype([("window", f"S{SPAN}"), ("doc", "<i8"), ("at", "<i8"), ("seg", "<i8"), ("j", "<i4")])
 
 
 def search_shard(table: pa.Table, pieces: int) -> pa.Table:
@@ -243,7 +271,7 @@ def search_shard(table: pa.Table, pieces: int) -> pa.Table:
     found = np.flatnonzero(bits)
     take = lambda name, k: table.column(name).take(pa.array(k)).combine_chunks()
     none = lambda kind, k: pa.nulls(k, kind)
-    parts = [[take("doc_id", found), take("seg", found), pa.array(bits[found]),
+    parts = [[take("doc_id", found), take("at", found), take("seg", found), pa.array(bits[found]),
               none(pa.int64(), len(found)), none(pa.int32(), len(found)), none(pa.binary(), len(found))]]
     wide = table.column("wide").to_numpy(zero_copy_only=False)
     least = np.flatnonzero(wide[owner] & ~gone)
@@ -251,7 +279,7 @@ def search_shard(table: pa.Table, pieces: int) -> pa.Table:
         run = np.empty(len(least), _RUN)
         run["window"] = np.lib.stride_tricks.sliding_window_view(data, SPAN)[order[least]].copy().view(f"S{SPAN}")[:, 0]
         own = owner[least]
-        run["doc"], run["seg"] = docs[own], table.column("seg").to_numpy()[own]
+        run["doc"], run["at"], run["seg"] = docs[own], table.column("at").to_numpy()[own], table.column("seg").to_numpy()[own]
         run["j"] = offset[least]
         anchor = table.column("anchor").to_numpy()[own]
         place = (RangeHash(data.tobytes()).of(order[least], order[least] + SPAN) % np.uint64(pieces)).astype(np.int32)
@@ -259,7 +287,7 @@ def search_shard(table: pa.Table, pieces: int) -> pa.Table:
         cuts = np.flatnonzero(np.concatenate(([True], (np.diff(anchor[split]) != 0) | (np.diff(place[split]) != 0), [True])))
         heads = split[cuts[:-1]]
         k = len(heads)
-        parts.append([none(pa.int64(), k)] * 3 + [pa.array(anchor[heads]), pa.array(place[heads]),
+        parts.append([none(pa.int64(), k)] * 4 + [pa.array(anchor[heads]), pa.array(place[heads]),
                                                   pa.array([run[split[a:b]].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())])
     return pa.Table.from_batches([pa.RecordBatch.from_arrays(p, schema=_SHARD) for p in parts])
 
@@ -286,7 +314,7 @@ def _merge_group(table: pa.Table) -> pa.Table:
     for run, low in zip(runs, merge_runs(runs)):
         gone = run[run["doc"] > low]
         out.append(pa.RecordBatch.from_arrays(
-            [pa.array(np.ascontiguousarray(gone[c])) for c in ("doc", "seg")]
+            [pa.array(np.ascontiguousarray(gone[c])) for c in ("doc", "at", "seg")]
             + [pa.array(np.int64(1) << gone["j"].astype(np.int64))], schema=_ANSWER))
     return pa.Table.from_batches(out, schema=_ANSWER)
 
@@ -301,31 +329,26 @@ def _search(segments: DataFrame) -> DataFrame:
     pieces = max(1, -(-n_wide * (REACH + 1) // MERGE_WINDOWS))
     salted = F.xxhash64("anchor", F.pmod("seg", "parts"))
     keyed = segments.join(wide, "anchor", "left").select(
-        "anchor", "seg", "doc_id", "bytes", F.col("parts").isNotNull().alias("wide"),
+        "anchor", "seg", "doc_id", "at", "bytes", F.col("parts").isNotNull().alias("wide"),
         F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(salted).alias("shard"))
     fields = [f"{f.name} {'binary' if f.type == pa.binary() else 'int' if f.type == pa.int32() else 'long'}" for f in _SHARD]
     found = stored(keyed.groupBy("shard", "wide").applyInArrow(lambda t: search_shard(t, pieces), ", ".join(fields)),
                    "repeats-shards")
     merged = found.where("run is not null").groupBy("anchor", "piece").applyInArrow(_merge_group, ANSWER)
-    return found.where("run is null").select("doc_id", "seg", "windows").unionByName(merged)
+    return found.where("run is null").select("doc_id", "at", "seg", "windows").unionByName(merged)
 
 
-def _apply(data: bytes, segs: np.ndarray, windows: np.ndarray) -> tuple[int, int, str]:
+def _apply(data: bytes, at: np.ndarray, windows: np.ndarray) -> tuple[int, int, str]:
     """Removed bytes, removed runs, and the digest of the rest."""
-    order = np.argsort(segs)
-    segs, windows = segs[order], windows[order]
     edge = np.zeros(len(data) + 1, np.int64)
-    for _, seg, _, begin, end in anchors(data):
-        at = np.minimum(np.searchsorted(segs, seg), len(segs) - 1)
-        hit = np.flatnonzero(segs[at] == seg)
-        mask, begin, end = windows[at[hit]], begin[hit], end[hit]
-        whole = mask == FULL
-        np.add.at(edge, begin[whole], 1)
-        np.add.at(edge, end[whole], -1)
-        mask, begin = mask[~whole], begin[~whole]
-        row, j = np.nonzero((mask[:, None] >> np.arange(REACH + 1)) & 1)
-        np.add.at(edge, begin[row] + j, 1)
-        np.add.at(edge, begin[row] + j + SPAN, -1)
+    begin, end = bounds(at, len(data))
+    whole = windows == FULL
+    np.add.at(edge, begin[whole], 1)
+    np.add.at(edge, end[whole], -1)
+    begin = begin[~whole]
+    row, j = np.nonzero((windows[~whole][:, None] >> np.arange(REACH + 1)) & 1)
+    np.add.at(edge, begin[row] + j, 1)
+    np.add.at(edge, begin[row] + j + SPAN, -1)
     gone = np.cumsum(edge[:-1]) > 0
     runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
     return int(gone.sum()), runs, hashlib.sha256(np.frombuffer(data, np.uint8)[~gone].tobytes()).hexdigest()
@@ -334,45 +357,43 @@ def _apply(data: bytes, segs: np.ndarray, windows: np.ndarray) -> tuple[int, int
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _finish(rows: DataFrame, answers: DataFrame) -> DataFrame:
+def _finish(rows: DataFrame, answers: DataFrame, several: bool) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                         ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-    of = answers.groupBy("doc_id", "seg").agg(F.bit_or("windows").alias("windows")).groupBy("doc_id").agg(
-        F.collect_list("seg").alias("segs"), F.collect_list("windows").alias("windows"))
+    of = answers.groupBy("doc_id").agg(F.collect_list(F.struct("at", "seg", "windows")).alias("of"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
             ids = [None if d == _NULL else d for d in batch.column(0).to_pylist()]
-            for text, segs, windows in zip(*(batch.column(k) for k in range(1, 4))):
-                data = text.as_py()
-                if segs.is_valid:
-                    got = _apply(data, segs.values.to_numpy().view(np.uint64), windows.values.to_numpy())
-                else:
-                    got = 0, 0, hashlib.sha256(data).hexdigest()
+            for text, of in zip(batch.column(1), batch.column(2)):
+                data, got = text.as_py(), None
+                if of.is_valid:
+                    at, seg, windows = (of.values.field(c).to_numpy() for c in ("at", "seg", "windows"))
+                    own = _is_at(data, at, seg.view(np.uint64)) if several else slice(None)
+                    if len(at[own]):
+                        got = _apply(data, at[own], windows[own])
+                got = got or (0, 0, hashlib.sha256(data).hexdigest())
                 for column, v in zip(out, (len(data), *got)):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([ids, *out], schema)], schema=schema)
 
-    return rows.join(of, "doc_id", "left").select("doc_id", "text", "segs", "windows").mapInArrow(run, RESULT)
-
-
-def _once(rows: DataFrame) -> DataFrame:
-    """Each distinct row once; only rows whose doc_id repeats are shuffled for it."""
-    twice = stored(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeats-twice")
-    if twice.isEmpty():
-        return rows
-    return rows.join(twice, "doc_id", "left_anti").unionByName(
-        rows.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return rows.join(of, "doc_id", "left").select("doc_id", "text", "of").mapInArrow(run, RESULT)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per document."""
     rows = _rows(keyed_text(docs))
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    twice = stored(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeats-twice")
+    several = not twice.isEmpty()
+    once = rows
+    if several:  # a row that stands twice is asked once; only rows whose doc_id repeats are shuffled for it
+        once = rows.join(twice, "doc_id", "left_anti").unionByName(
+            rows.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     common = _common_anchors(rows, n)
-    met = stored(_meet(rows, common, max(8, -(-size // BUCKET_BYTES))), "repeats-met")
-    asked = met.where("not whole").select("doc_id", "at", "anchor", "seg").distinct()
-    segments = stored(_segments(_once(rows), asked), "repeats-segments")
-    whole = met.where("whole").select("doc_id", "seg", F.lit(FULL).alias("windows"))
-    return _finish(rows, whole.unionByName(_search(segments)))
+    met = stored(_meet(once, common, max(8, -(-size // BUCKET_BYTES))), "repeats-met")
+    asked = met.where("not whole").select("doc_id", "at", "anchor", "seg")
+    segments = stored(_segments(once, asked, several), "repeats-segments")
+    whole = met.where("whole").select("doc_id", "at", "seg", F.lit(FULL).alias("windows"))
+    return _finish(rows, whole.unionByName(_search(segments)), several)
