@@ -72,14 +72,14 @@ def category_metrics(results: DataFrame) -> DataFrame:
 def concerns(results: DataFrame) -> DataFrame:
     """Categories whose positive rate is below 0.8x or above 1/0.8x the
     overall rate; ``high`` below 0.5x, else ``medium`` (over-representation
-    is always medium)."""
+    is always medium).  High ones come first."""
     return _table(results).filter("is_concern").select(
         "category",
         round_half_up(F.col("positive_rate"), 4).alias("positive_rate"),
         round_half_up(F.col("reference_rate"), 4).alias("reference_rate"),
         round_half_up(F.col("di"), 4).alias("disparate_impact_ratio"),
         "severity",
-    )
+    ).orderBy(F.when(F.col("severity") == "high", 0).otherwise(1), "category")
 
 
 def _score(n_high: Column, n_medium: Column, n_concerns: Column) -> Column:

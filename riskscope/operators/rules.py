@@ -104,6 +104,11 @@ def keyword_tokens(cleaned: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Colum
     return F.concat(toks, extra)
 
 
+def _spelling(written: dict[str, str]):
+    names = F.create_map(*[F.lit(x) for pair in written.items() for x in pair])
+    return lambda t: F.coalesce(F.try_element_at(names, t), t)
+
+
 def match_rules(df: DataFrame, cleaned_col: str = "cleaned", lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """D1-D7.  Adds:
 
@@ -123,7 +128,11 @@ def match_rules(df: DataFrame, cleaned_col: str = "cleaned", lexicon: Lexicon =
     for sev, terms in lexicon.keywords:
         name = f"__kw_{len(sev_cols)}"
         sev_cols.append((sev, name))
-        df = df.withColumn(name, F.array_intersect(_lit_array(dict.fromkeys(t.lower() for t in terms)), F.col("__kw_all")))
+        hits = F.array_intersect(_lit_array(dict.fromkeys(t.lower() for t in terms)), F.col("__kw_all"))
+        written = {t.lower(): t for t in reversed(terms) if t != t.lower()}
+        if written:  # report terms as the lexicon writes them
+            hits = F.transform(hits, _spelling(written))
+        df = df.withColumn(name, hits)
 
     pat_exprs = []
     for cat, pats in lexicon.patterns:

@@ -106,3 +106,10 @@ def test_literal_lexicon_size_guard(spark, monkeypatch):
     monkeypatch.setattr(R, "MAX_LITERAL_RULES", 10)
     with pytest.raises(ValueError, match="too many"):
         R.lexicon_from_frame(rules_frame(spark))
+
+
+def test_terms_are_reported_as_written(spark):
+    from riskscope.params import Lexicon
+    lexicon = Lexicon(keywords=(("low", ("Enemy", "calm")), ("high", ("O'Hara",))), patterns=(), severity_weights={"low": 1, "high": 9})
+    df = spark.createDataFrame([(1, "the enemy and o'hara stay calm")], "doc_id long, cleaned string")
+    assert match_rules(df, "cleaned", lexicon).first()["rule_terms"] == ["Enemy", "calm", "O'Hara"]
