@@ -6,7 +6,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from riskscope.llm import bpe, chat, decontaminate, idcoder, jaccard, licenses, pii, quality, repeats, sharding
 from riskscope.llm.common import table
