@@ -241,4 +241,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document has no hit, all columns kept.  Rows
     that share an id go together if one of them is hit."""
     bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    bad = stored(bad, "contaminated")  # usually few: the table's size decides the join
     return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")

@@ -207,11 +207,11 @@ def _all_pairs(open_groups: DataFrame, classes: DataFrame) -> DataFrame:
     length, positional and suffix filters.  Groups are cut into blocks by hash;
     a task holds two blocks."""
     cuts = open_groups.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    members = open_groups.join(classes.select("s1", "spread"), "s1").join(cuts, "token")
-    own = members.withColumn("block", F.pmod(F.xxhash64("s1"), "k").cast("int"))
+    own = open_groups.join(cuts, "token").withColumn("block", F.pmod(F.xxhash64("s1"), "k").cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
-        "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "s1", "sp",
-        "comp", "spread")
+        "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "s1", "sp", "comp")
+    # The counts join last, so that one shuffle alone carries them.
+    dealt = dealt.join(classes.select("s1", "spread"), "s1").select("token", "i", "j", "block", "s1", "sp", "comp", "spread")
 
     def pairs_of(t: pa.Table) -> pa.RecordBatch:
         """Rows of whole groups, in order: each row meets the one ``lag`` rows
@@ -401,6 +401,11 @@ def keep_one(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     found = near_duplicates(docs, size).where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(
         F.max(F.col("doc_id") == F.col("component_id")).alias("__stays"), F.count("*").alias("__n"))
     found = stored(found, "jaccard-found")
-    once = docs.join(found.where("not __stays or __n > 1").select("__id"), docs["doc_id"] == F.col("__id"), "left_anti")
-    more = docs.join(found.where("__stays and __n > 1").select("__id"), docs["doc_id"] == F.col("__id"), "left_semi")
+    # Ids to remove, usually few, as a table of their own: its size decides the join.
+    removed = stored(found.where("not __stays or __n > 1").select("__id"), "jaccard-removed")
+    once = docs.join(removed, docs["doc_id"] == removed["__id"], "left_anti")
+    twice = stored(found.where("__stays and __n > 1").select("__id"), "jaccard-twice")
+    if twice.isEmpty():
+        return once
+    more = docs.join(twice, docs["doc_id"] == twice["__id"], "left_semi")
     return once.unionByName(more.dropDuplicates(["doc_id"]))
