@@ -248,8 +248,14 @@ _RUN = np.dtype([("window", f"S{SPAN}"), ("doc", "<i8"), ("at", "<i8"), ("seg",
 def search_shard(table: pa.Table, pieces: int) -> pa.Table:
     """One shard: for each segment, the windows that start in a smaller document
     too, as bits; for anchors spread over shards, also the sorted windows."""
-    docs = table.column("doc_id").to_numpy()
+    docs, wide = table.column("doc_id").to_numpy(), table.column("wide").to_numpy(zero_copy_only=False)
     blobs = table.column("bytes").to_pylist()
+    if not wide.any():  # a segment that stands in a document several times is searched once
+        name = table.column("seg").to_numpy().view(np.uint64) ^ mix(table.column("anchor").to_numpy().view(np.uint64))
+        _, first, places = np.unique(name, return_index=True, return_inverse=True)
+        docs, wide, blobs = docs[first], wide[first], [blobs[k] for k in first]
+    else:
+        places = np.arange(len(blobs))
     sizes = np.array([len(b) for b in blobs], np.int64)
     begin = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
     # The separator is no byte of UTF-8; windows never reach over one anyway.
@@ -268,12 +274,12 @@ def search_shard(table: pa.Table, pieces: int) -> pa.Table:
     gone = doc > low
     bits = np.zeros(len(blobs), np.int64)
     np.bitwise_or.at(bits, owner[gone], np.int64(1) << offset[gone])
-    found = np.flatnonzero(bits)
+    bits_at = bits[places]
+    found = np.flatnonzero(bits_at)
     take = lambda name, k: table.column(name).take(pa.array(k)).combine_chunks()
     none = lambda kind, k: pa.nulls(k, kind)
-    parts = [[take("doc_id", found), take("at", found), take("seg", found), pa.array(bits[found]),
+    parts = [[take("doc_id", found), take("at", found), take("seg", found), pa.array(bits_at[found]),
               none(pa.int64(), len(found)), none(pa.int32(), len(found)), none(pa.binary(), len(found))]]
-    wide = table.column("wide").to_numpy(zero_copy_only=False)
     least = np.flatnonzero(wide[owner] & ~gone)
     if len(least):
         run = np.empty(len(least), _RUN)
