@@ -40,7 +40,6 @@ BLOCK = 1024
 LANES = 2048             # blocks coded side by side
 SEGMENT_IDS = BLOCK * LANES
 END_ID = 2               # fixed by the contract
-LOT = 128                # documents that are encoded together
 
 _SLOTS = 512             # contexts remembered per order and block
 _CACHE = 256             # recent ids of order 0
@@ -298,25 +297,45 @@ def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return [int(i) if h else None for i, h in zip(keys, has)], sizes, ids
 
 
-def _library(path: str):
-    import os
-
-    from tokenizers import Tokenizer
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
-    return Tokenizer.from_file(path)
-
-
-def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+class Tokenizer:
+    """Ids by the tokenizers library.  The library's split pattern is applied
+    here, so that each distinct match is encoded by it once; texts that hold an
+    added token go to the library whole."""
+
+    def __init__(self, path: str, pattern: str, cache: int = 200_000):
+        import regex
+        from tokenizers import Tokenizer as Library
+
+        self.library, self.split, self.limit = Library.from_file(path), regex.compile(pattern), cache
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.known: dict[str, list[int]] = {}
+
+    def encode(self, text: str) -> list[int]:
+        if any(a in text for a in self.added):
+            return self.library.encode(text, add_special_tokens=False).ids
+        known, out = self.known, []
+        for m in self.split.findall(text):
+            ids = known.get(m)
+            if ids is None:
+                ids = self.library.encode(m, add_special_tokens=False).ids
+                if len(m) <= 32:
+                    if len(known) >= self.limit:
+                        known.clear()
+                    known[m] = ids
+            out += ids
+        return out
+
+
+def write_ids(docs: DataFrame, path: str | None = None, pattern: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Encode all documents in ascending doc_id order and write segments; the
     stored table of (part, seq, n_ids, segment)."""
     import public_tokenizers
 
-    path = path or public_tokenizers.path("byte_bpe_50k.json")
+    path, pattern = path or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("segment", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, part, seq = _library(path), TaskContext.get().partitionId(), 0
+        tokenizer, part, seq = Tokenizer(path, pattern), TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
         ids: list[np.ndarray] = []
         held = 0
@@ -326,16 +345,14 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
 
         for batch in batches:
-            for lo in range(0, len(batch), LOT):
-                lot = batch.slice(lo, LOT)
-                texts = [t or "" for t in lot.column(1).to_pylist()]
-                for key, own in zip(lot.column(0).to_pylist(), library.encode_batch_fast(texts, add_special_tokens=False)):
-                    keys.append(key)
-                    ids.append(np.array([*own.ids, end_id], np.uint32))
-                    held += len(ids[-1])
-                    if held >= SEGMENT_IDS:
-                        yield segment()
-                        seq, keys, ids, held = seq + 1, [], [], 0
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.array(tokenizer.encode(text or "") + [end_id], np.uint32)
+                keys.append(key)
+                ids.append(own)
+                held += len(own)
+                if held >= SEGMENT_IDS:
+                    yield segment()
+                    seq, keys, ids, held = seq + 1, [], [], 0
         if keys:
             yield segment()
 
