@@ -2,11 +2,24 @@
 templates by Dice coefficient over word bigrams.
 
 Units of a document are its lines, its paragraphs (runs of lines between blank
-ones) and the whole text.  For sets of sizes a and b the coefficient is at most
+ones), the whole text, and runs of adjacent pieces: lines cut after sentences.
+Comment markers and blank lines hold no words, so a run crosses
+them, and a licence is a unit wherever it stands in a document.  Templates are
+short notices and the full texts in ``license_texts``.
+
+For sets of sizes a and b the coefficient is at most
 2 min(a, b) / (a + b), so for a threshold t only templates with
 a t / (2 - t) <= b <= a (2 - t) / t can match: templates are sorted by size and
 the others are never compared.  Bigrams count as often as they occur, so the
-word count alone rules out most units.
+word count alone rules out most units.  A unit that matches shares at least
+b t / (2 - t) bigrams with the template; where the whole text shares fewer, no
+unit of it can match, which settles most documents at once.
+
+Of the runs that start at one piece the best for a template is taken, of those
+that overlap the best.  A run is not counted where a matching unit with as many
+common bigrams overlaps it and that unit's template has half of its bigrams; nor
+for a template that is part of a longer one of another licence, half of whose
+rest stands around the run: that is the longer licence, changed too much.
 
 Per document: the best licence and its score, the number of matching units, and
 all licences found.  Ties go to the licence that comes first by name.
@@ -22,6 +35,9 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from itertools import accumulate
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,6 +99,14 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 
 _OTHER = re.compile(rb"[^a-z0-9\x80-\xff]+")
 _BLANK = re.compile(r"\n[ \t\r\f\v]*\n")
+_PIECE = re.compile(r"(?:[^\n.!?]|[.!?](?![ \t\r\n]))*+[^\n]?\n?")
+
+
+@cache
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """(licence, text) of the files in ``license_texts``, read on the driver."""
+    return tuple((path.name.removesuffix(".txt").removesuffix(".notice"), path.read_text(encoding="utf-8"))
+                 for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
 
 
 def normalised(text: str) -> list[bytes]:
@@ -98,14 +122,23 @@ class Templates:
         self.threshold, self.ratio = threshold, threshold / (2 - threshold)
         rows = sorted((len(w) - 1, name, w) for name, text in templates if len(w := normalised(text)) > 1)
         self.sizes, self.names = [r[0] for r in rows], [r[1] for r in rows]
+        self.counts = [Counter(zip(w, w[1:])) for _, _, w in rows]
+        self.parts: dict[int, list[int]] = {}
         self.having: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
-        for k, (_, _, w) in enumerate(rows):
-            for pair, n in Counter(zip(w, w[1:])).items():
+        for k, own in enumerate(self.counts):
+            for pair, n in own.items():
                 self.having.setdefault(pair, []).append((k, n))
 
-    def matches(self, unit: str) -> list[tuple[float, str]]:
-        """(score, licence) of the templates that reach the threshold."""
-        words = normalised(unit)
+    def possible(self, words: list[bytes]) -> list[int]:
+        """Templates that some run of the words could match."""
+        most: Counter[int] = Counter()
+        for pair in self.having.keys() & set(zip(words, words[1:])):
+            for k, m in self.having[pair]:
+                most[k] += m
+        return [k for k, c in most.items() if c >= self.sizes[k] * self.ratio - 1e-9]
+
+    def matches(self, words: list[bytes]) -> list[tuple[float, int]]:
+        """(score, template) of the templates that reach the threshold."""
         size = len(words) - 1
         lo = bisect_left(self.sizes, size * self.ratio - 1e-9)
         hi = bisect_right(self.sizes, size / self.ratio + 1e-9)
@@ -116,17 +149,123 @@ class Templates:
             for k, m in self.having.get(pair, ()):
                 if lo <= k < hi:
                     common[k] += min(n, m)
-        return [(2 * c / (size + self.sizes[k]), self.names[k]) for k, c in common.items()
+        return [(2 * c / (size + self.sizes[k]), k) for k, c in common.items()
                 if 2 * c >= self.threshold * (size + self.sizes[k])]
 
+    def runs(self, k: int, words: list[bytes], at: list[int]) -> list[tuple[int, int, int]]:
+        """(common bigrams, start, end) of the runs of pieces that match template
+        k: the best from each start, and of those that overlap the best.  ``at``
+        holds the place of each piece's first word, and the number of words."""
+        own, b, pairs = self.counts[k], self.sizes[k], list(zip(words, words[1:]))
+        known = [0, *accumulate(pair in own for pair in pairs)]
+        longest, found, top = int(b / self.ratio + 1e-9), [], (0.0, 0)
+        for piece, start in enumerate(at[:-1]):
+            last = min(start + longest, len(pairs))
+            # The best run does not start with a piece that has nothing in common.
+            if known[last] - known[start] < b * self.ratio - 1e-9 or \
+                    known[min(at[piece + 1], len(pairs))] == known[start]:
+                continue
+            # Nor does one count that begins within a run it cannot beat.
+            reach = min(known[last] - known[start], b)
+            if start < top[1] and 2 * reach / (reach + b) <= top[0]:
+                continue
+            left, common, done, best = dict(own), 0, start, (0.0, 0, 0)
+            for place in range(piece + 1, len(at)):
+                if (end := at[place]) - 1 > last:
+                    break
+                for pair in pairs[done:end - 1]:
+                    if n := left.get(pair, 0):
+                        left[pair] = n - 1
+                        common += 1
+                done = max(done, end - 1)
+                best = max(best, (2 * common / (end - start - 1 + b), common, end))
+            if 2 * best[1] >= self.threshold * (best[2] - start - 1 + b) and best[1]:
+                found.append((best[0], best[1], start, best[2]))
+                if start >= top[1] or best[0] > top[0]:
+                    top = best[0], best[2]
+        out: list[tuple[int, int, int]] = []
+        taken: list[tuple[int, int]] = []  # in order, and apart
+        for _, common, start, end in sorted(found, key=lambda r: (-r[0], -r[1], r[2])):
+            place = bisect_left(taken, (start, end))
+            if (place == 0 or taken[place - 1][1] <= start) and (place == len(taken) or end <= taken[place][0]):
+                taken.insert(place, (start, end))
+                out.append((common, start, end))
+        return out
+
+    def _longer(self, k: int) -> list[int]:
+        """Templates of other licences that hold nearly all of template k."""
+        if k not in self.parts:
+            self.parts[k] = [j for j in range(k + 1, len(self.sizes)) if self.names[j] != self.names[k] and
+                             sum((self.counts[k] & self.counts[j]).values()) >= 0.9 * self.sizes[k]]
+        return self.parts[k]
+
+    def _is_part(self, k: int, words: list[bytes], start: int, end: int) -> bool:
+        """Whether the run is rather a piece of a longer template."""
+        def common(t: int, a: int, b: int) -> int:
+            return sum((self.counts[t] & Counter(zip(words[a:b], words[a + 1:b]))).values())
+
+        return any((more := self.sizes[j] - self.sizes[k]) and
+                   2 * (common(j, max(0, start - more), end + more) - common(k, start, end)) >= more
+                   for j in self._longer(k))
+
+    def found(self, text: str) -> list[list[tuple[float, str]]]:
+        """(score, licence) of the matching templates, per matching unit."""
+        words = normalised(text)
+        possible = self.possible(words)
+        if not possible:
+            return []
+        seen = {unit: m for unit in units(text) if (m := self.matches(normalised(unit)))}
+        found = list(seen.values())
+        # Pieces end at white space, so their words are those of the text.
+        pieces = [m[0] for m in _PIECE.finditer(text)]
+        starts = [0, *accumulate(map(len, pieces))]
+        before = [0, *accumulate(len(normalised(p)) for p in pieces)]
+        runs = sorted(((c, s, e) for k in possible for c, s, e in self.runs(k, words, sorted(set(before)))),
+                      key=lambda r: (-r[0], r[2] - r[1], r[1]))
+        if not runs:
+            return found
+        # What matches already: (common bigrams, start, end, templates), by words.
+        taken = [(round(max(s * (e - b + self.sizes[k] - 1) / 2 for s, k in seen[unit])), b, e, {k for _, k in seen[unit]})
+                 for unit, b, e in _places(text, starts, before) if unit in seen]
+        whole: set[tuple[bytes, ...]] = set()
+        spans = {(b, e) for _, b, e, _ in taken}
+        for common, start, end in runs:
+            if (start, end) in spans:
+                continue
+            pairs = list(zip(words[start:end], words[start + 1:end]))
+            if any(b < end and start < e and n >= common and
+                   any(2 * sum(pair in self.counts[k] for pair in pairs) >= len(pairs) for k in ks)
+                   for n, b, e, ks in taken):
+                continue
+            m = [(score, k) for score, k in self.matches(words[start:end]) if not self._is_part(k, words, start, end)]
+            taken.append((common, start, end, {k for _, k in m}))
+            if m and (key := tuple(words[start:end])) not in whole:
+                whole.add(key)
+                found.append(m)
+        return [[(score, self.names[k]) for score, k in m] for m in found]
+
 
 def units(text: str) -> set[str]:
     """Distinct lines and paragraphs, and the whole text."""
     return {*text.split("\n"), *_BLANK.split(text), text}
 
 
-def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license, score, n_matches, licenses per document."""
+def _places(text: str, starts: list[int], before: list[int]) -> Iterator[tuple[str, int, int]]:
+    """(unit, first word, end) of every line, every paragraph and the whole
+    text, from the places of the pieces and the words before each."""
+    for pattern in (re.compile("\n"), _BLANK):
+        at = 0
+        for m in [*pattern.finditer(text), None]:
+            end = m.start() if m else len(text)
+            yield text[at:end], before[bisect_left(starts, at)], before[bisect_left(starts, end)]
+            at = m.end() if m else end
+    yield text, 0, before[-1]
+
+
+def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, license, score, n_matches, licenses per document; by default with
+    the notices and the full texts."""
+    templates = (*TEMPLATES, *full_texts()) if templates is None else templates
     schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("score", pa.float64()),
                         ("n_matches", pa.int64()), ("licenses", pa.string())])
 
@@ -135,7 +274,7 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, th
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for text in batch.column(1).to_pylist():
-                hits = [m for u in units(text or "") if (m := known.matches(u))]
+                hits = known.found(text or "")
                 best = min((h for m in hits for h in m), key=lambda h: (-h[0], h[1]), default=None)
                 names = sorted({name for m in hits for _, name in m})
                 for column, v in zip(out, (best and best[1], best and best[0], len(hits), ",".join(names))):

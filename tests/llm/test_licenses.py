@@ -51,3 +51,30 @@ def test_full_text_over_several_lines(make_docs):
     text = "prose first\n\n" + licenses._GRANT.replace(". ", ".\n").replace(", ", ",\n") + "\n\nprose after"
     row = licenses.scan(make_docs([(1, text)])).collect()[0]
     assert row.license == "MIT" and row.score == 1.0 and row.n_matches == 2  # the paragraph and, with little else, the whole
+
+
+def commented(text, mark):
+    return "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
+
+
+def test_ordinary_license_files(make_docs):
+    own = dict(licenses.full_texts())
+    notice = next(t for n, t in licenses.full_texts() if n == "Apache-2.0" and len(t) < 1000)
+    code = "import os\n\n\ndef run(a, b):\n    return a + b  # sum of both\n\n\n" * 20
+    texts = [("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2020, A. Person\n\n" + own["BSD-2-Clause"] + "\n" + code),
+             ("Apache-2.0", "#!/usr/bin/env python\n# Copyright 2020 Example Inc.\n#\n" + commented(notice, "#") + "\n" + code),
+             ("MIT", "/*\n * Copyright (c) 2020 A. Person\n *\n" + commented(own["MIT"], " *") + "\n */\n\n" + code),
+             ("Apache-2.0", "See the file of that name for more on it, and ask us. Licensed under the Apache License, Version 2.0."),
+             *((name, "Some words before.\n\n" + own[name] + "\n\nSome words after it.") for name in
+               ("GPL-2.0", "MPL-2.0", "LGPL-3.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "ISC", "Unlicense")),
+             (None, code), (None, "The licence of this software has not been settled, and no permission is granted.")]
+    rows = {r.doc_id: r for r in licenses.scan(make_docs([(k, t) for k, (_, t) in enumerate(texts)])).collect()}
+    assert [rows[k].license for k in range(len(texts))] == [name for name, _ in texts]
+    assert all(r.score > 0.9 for r in rows.values() if r.license and r.doc_id < 3)
+
+
+def test_two_licenses_in_one_text(make_docs):
+    own = dict(licenses.full_texts())
+    text = "prose here\n\n" + own["MIT"] + "\n\n" + "more prose about it\n\n" + own["ISC"] + "\nThe pictures: Licensed under CC BY 4.0.\n"
+    row = licenses.scan(make_docs([(1, text)])).collect()[0]
+    assert set(row.licenses.split(",")) >= {"MIT", "ISC", "CC-BY-4.0"}
