@@ -49,8 +49,11 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOOSE_PHONE = re.compile(r"(?<![\w.+])[+(]?[0-9][0-9 ().-]{5,22}[0-9](?!\w)")
 _DISGUISED = re.compile(r"\((?:at|AT)\)|\[(?:at|AT)\]| @ ")
 _DOMAIN_LOOSE = re.compile(r" ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{2,24}){1,4}")
-_SECRET = re.compile(r"\b(token|secret|password|passwd|pwd|api[_-]?key|key)\b[ \t]{0,3}[=:][ \t]{0,3}[\"']?"
-                     r"([A-Za-z0-9_+/.~-]{8,128})", re.I)
+# The name may follow a prefix (client_secret, db.password, accessToken) and be
+# quoted.  The value runs to its end, in quotes up to the closing one.
+_SECRET = re.compile(r"(?:(?<![^\W_])|(?-i:(?<=[a-z])(?=[A-Z])))(?P<name>token|secret|password|passwd|pwd|api[_-]?key|key)\b"
+                     r"(?:\\?[\"'])?[ \t]{0,3}[=:][ \t]{0,3}(?:\\?(?P<quote>[\"']))?"
+                     r"(?P<value>[A-Za-z0-9_+/.~-]{8,}+(?(quote)[^\s\"'\\]*+|={0,2}))", re.I)
 
 # Gazetteers and context words: fixed values.
 _CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47",
@@ -170,7 +173,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
                 found.append(("email", start, d.end(), ""))
     found += [("email", s, e, "") for k, s, e in base if k == "email"]
     if "=" in text or ":" in text:
-        found += [("secret", m.start(2), m.end(2), m[1]) for m in _SECRET.finditer(text)]
+        found += [("secret", *m.span("value"), m["name"]) for m in _SECRET.finditer(text)]
     out = []
     spans = {(k, s, e) for k, s, e in base}
     for kind, s, e, name in found:

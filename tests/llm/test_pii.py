@@ -77,3 +77,33 @@ def test_redaction_keeps_columns(make_docs):
     assert out.columns == docs.columns
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got == {1: ("write to <EMAIL> now", 20), 2: (None, None), 3: ("clean words", 11), 4: ("", 0)}
+
+
+LONG = "eyJhbGciOiJIUzI1NiJ9." + "aZ09_-xQ7b" * 40
+SECRETS = [(f'token = "{LONG}"', LONG), (f"token={LONG} and more", LONG), ("access_token=9f86d081884c7d659a2f", "9f86d081884c7d659a2f"),
+           ("client_secret: 'Zx81-kk20.Qm37_aa'", "Zx81-kk20.Qm37_aa"), ("export DB_PASSWORD=hunter2hunter2XY99", "hunter2hunter2XY99"),
+           ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG+bPxRfiCYEX", "wJalrXUtnFEMI/K7MDENG+bPxRfiCYEX"),
+           ('{"token": "9f86d081884c7d659a2f", "n": 1}', "9f86d081884c7d659a2f"), ('{"accessToken":"9f86d081884c7d659a2f"}', "9f86d081884c7d659a2f"),
+           ('{\\"api_key\\": \\"9f86d081884c7d659a2f\\"}', "9f86d081884c7d659a2f"), ("auth.token: YWJjZGVmZ2hpamts12==", "YWJjZGVmZ2hpamts12=="),
+           ('password="hunter2hunter2!XY$99"', "hunter2hunter2!XY$99")]
+
+
+def test_secrets_are_proposed_whole():
+    for text, value in SECRETS:
+        found = [text[s:e] for kind, s, e, _ in pii.candidates(text, pii.base_spans(text)) if kind == "secret"]
+        assert found == [value], text
+    for text in ("monkey=9f86d081884c7d659a2f", "keyboard: mechanical-one", "tokens=9f86d081884c7d659a2f", "a token of esteem"):
+        assert not [c for c in pii.candidates(text, []) if c[0] == "secret"], text
+
+
+def test_redaction_leaves_no_rest_of_a_secret(make_docs):
+    rng = random.Random(3)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
+    pairs = [(k, f'config: token = "{h}" end') for k, h in enumerate(hexes)]
+    pairs += [(100, f'config: token = "{LONG}" end'), (101, f'config: client_secret = "{hexes[0]}" end'),
+              (102, f'config: {{"token": "{hexes[1]}"}} end')]
+    got = {r.doc_id: r.text for r in pii.redact(make_docs(pairs)).collect()}
+    assert got[0] == 'config: token = "<SECRET>" end'
+    assert got[100] == got[0]
+    assert got[101] == 'config: client_secret = "<SECRET>" end'
+    assert got[102] == 'config: {"token": "<SECRET>"} end'
