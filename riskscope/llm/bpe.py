@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 
 from riskscope.llm.common import keyed_text
 
-LEAF_CHARS = 4096     # texts up to this long are one leaf
+LEAF_CHARS = 1024     # texts up to this long are one leaf
 LEAF_BYTES = 48       # matches up to this long are merged directly
 CACHE_MATCHES = 200_000
 LOOKAHEAD = 3         # characters from its start that decide where a match begins and ends

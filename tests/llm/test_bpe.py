@@ -53,3 +53,15 @@ def test_query_on_odd_rows_and_real_texts(spark, make_docs, odd_texts, small_sf)
             want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
                          hashlib.sha256((t or "").encode()).hexdigest()))
         assert sorted(map(tuple, rows), key=str) == sorted(want, key=str)
+
+
+def test_typical_documents_are_joined(spark, small_sf, monkeypatch):
+    texts = [r.text for r in spark.read.parquet(f"{small_sf}/documents.parquet").select("text").collect() if r.text]
+    joins, join = [], bpe.TreeCodec.join
+    monkeypatch.setattr(bpe.TreeCodec, "join", lambda self, *parts: joins.append(1) or join(self, *parts))
+    joined = 0
+    for text in texts:
+        joins.clear()
+        assert CODEC.encode(text) == LIBRARY.encode_ordinary(text)
+        joined += bool(joins)
+    assert 2 * joined > len(texts)
