@@ -1115,16 +1115,16 @@ def q_classify_file_rejects(spark, sf_dir):
 
 @register("read_json_array", f"""SELECT md5({_JSONISH}) AS text_md5, count(*) AS n FROM documents GROUP BY 1""")
 def q_read_json_array(spark, sf_dir):
-    """JSON arrays, one a source, of objects with a text."""
+    """Files that each hold one JSON array of objects with a text."""
     from ..sources.io import read_texts
-    d = read_table(spark, sf_dir, "documents").select("source", F.regexp_replace("text", "[^a-zA-Z0-9 .,]+", " ").alias("text"))
     from ..streaming.jobs import fresh_dir
+    d = _plain_text(spark, sf_dir)
     path = fresh_dir(spark, "json-array")
-    one = F.to_json(F.struct("text"))
-    # An array a row and file: what the format is; its size is one document's.
-    (d.select(F.concat(F.lit("["), one, F.lit("]")).alias("value")).repartition(64)
-     .write.option("lineSep", "\n").text(path))
-    return read_texts(spark, path, ".jsonl").groupBy(F.md5("text").alias("text_md5")).agg(F.count(F.lit(1)).alias("n"))
+    # Groups of about 250 documents; an array a row, and a row a file.
+    group = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-d.count() // 250))))
+    (d.groupBy(group).agg(F.to_json(F.collect_list(F.struct("text"))).alias("value")).select("value")
+     .write.option("maxRecordsPerFile", 1).text(path))
+    return read_texts(spark, path, ".json").groupBy(F.md5("text").alias("text_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("read_text_lines", f"""SELECT md5(trim({_JSONISH})) AS text_md5, count(*) AS n FROM documents

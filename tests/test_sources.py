@@ -156,3 +156,20 @@ def test_prepare_keeps_good_output_and_ignores_file_layout(spark, tmp_dir):
     text = _write(os.path.join(tmp_dir, "abc.csv"), b"text,label\nx,abc\ny,1\n")
     with pytest.raises(ValueError, match="abc"):
         prepare(spark, text, os.path.join(tmp_dir, "out9"))
+
+
+def test_json_array_query_reads_arrays_of_several_documents(spark, monkeypatch):
+    import json
+
+    from riskscope.plans import queries
+    from riskscope.sources import io
+
+    seen, read = [], io.read_texts
+    monkeypatch.setattr(io, "read_texts", lambda s, path, fmt=None, strict=False: seen.append((path, fmt)) or read(s, path, fmt, strict))
+    sf = "/root/testdata/sf0.001"
+    rows = queries.q_read_json_array(spark, sf).collect()
+    (path, fmt), = seen
+    arrays = [json.loads(r.value) for r in spark.read.option("wholetext", True).text(path).collect()]
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert fmt == ".json" and min(map(len, arrays)) > 1
+    assert sum(map(len, arrays)) == sum(r.n for r in rows) == n
