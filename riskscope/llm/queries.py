@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskscope.llm import bpe, chat, decontaminate, idcoder, jaccard, licenses, pii, quality, repeats, sharding
+from riskscope.llm import (bpe, chat, decontaminate, idcoder, jaccard, licenses, merkle, pii, quality, repair, repeats,
+                           sharding, simhash)
 from riskscope.llm.common import table
 
 
@@ -55,9 +56,22 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_digest(repair.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_jump_sharding, op3_suffix_dedup, op4_quality_llr, op5_byte_bpe, op6_decontaminate, op7_id_coder,
-                            op8_personal_data, op9_jaccard_join, op10_chat_format)
+                            op8_personal_data, op9_jaccard_join, op10_chat_format, op11_merkle_manifest, op12_simhash_balls,
+                            op13_structure_repair)
 }
 
 # SQL for the queries that SQL can express on the small tables the oracle runs on.
@@ -117,5 +131,84 @@ SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(gone, 0) AS n_
   sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN cut USING (doc_id)"""
 
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of an ASCII string."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    chars = f"list_transform(string_split({text}, ''), lambda ch: CAST(ord(ch) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {chars}), lambda c, b: {bits}))"
+
+
+_PART = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF = "sha256(" + " || ".join(_PART.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+_PAIRS = "list_transform(range(1, len({0}) + 1, 2), lambda i: sha256({0}[i] || coalesce({0}[i + 1], '')))"
+# Levels are lists; a leaf at i (from 0) has its sibling of level l at (i >> l) ^ 1.
+_OP11 = f"""WITH RECURSIVE d AS (SELECT doc_id, lang, {_LEAF.format("n_chars")} AS leaf, CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0
+    THEN {_LEAF.format("(n_chars + 1)")} ELSE {_LEAF.format("n_chars")} END AS seen FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS i FROM d),
+lv AS (SELECT lang, 0 AS l, list(leaf ORDER BY i) AS h FROM r GROUP BY lang
+  UNION ALL SELECT lang, l + 1, {_PAIRS.format("h")} FROM lv WHERE len(h) > 1),
+sub AS (SELECT lang, h[1] AS subroot, l AS top, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k FROM lv WHERE len(h) = 1),
+up AS (SELECT 0 AS l, list(subroot ORDER BY k) AS h FROM sub UNION ALL SELECT l + 1, {_PAIRS.format("h")} FROM up WHERE len(h) > 1),
+st AS (SELECT r.doc_id, r.leaf, l, h[xor(i >> l, 1) + 1] AS sib, (i >> l) & 1 AS odd FROM r JOIN lv ON lv.lang IS NOT DISTINCT FROM r.lang AND len(h) > 1
+  UNION ALL SELECT r.doc_id, r.leaf, top + l, h[xor(k >> l, 1) + 1], (k >> l) & 1 FROM r JOIN sub ON sub.lang IS NOT DISTINCT FROM r.lang, up WHERE len(h) > 1),
+fo AS (SELECT doc_id, leaf, 0 AS l, seen AS acc FROM r
+  UNION ALL SELECT fo.doc_id, fo.leaf, fo.l + 1, sha256(CASE WHEN odd = 1 THEN sib || acc ELSE acc || coalesce(sib, '') END)
+  FROM fo JOIN st ON st.doc_id = fo.doc_id AND st.leaf = fo.leaf AND st.l = fo.l),
+pr AS (SELECT doc_id, leaf, count(*) AS steps, sha256(string_agg(coalesce(sib, ''), '' ORDER BY l)) AS proof FROM st GROUP BY 1, 2)
+SELECT r.doc_id, r.leaf, subroot, up.h[1] AS root, coalesce(proof, sha256('')) AS proof_sha256, acc AS folded_root, acc = up.h[1] AS verified
+FROM r JOIN sub ON sub.lang IS NOT DISTINCT FROM r.lang JOIN up ON len(up.h) = 1 LEFT JOIN pr ON pr.doc_id = r.doc_id AND pr.leaf = r.leaf
+JOIN fo ON fo.doc_id = r.doc_id AND fo.leaf = r.leaf AND fo.l = coalesce(steps, 0)"""
+
+def _edit(path: str, cost: str, letter: str, line: str = "") -> str:
+    """SQL for a path (cost, audit, text) with one more edit."""
+    said = f"[{line}]" if line else "[]::VARCHAR[]"
+    return (f"CASE WHEN {path} IS NOT NULL THEN {{'c': {path}.c + {cost}, 'a': {path}.a || '{letter}', "
+            f"'t': list_concat({path}.t, {said})}} END")
+
+
+def _least(*paths: str) -> str:
+    return f"list_min(list_filter([{', '.join(paths)}], lambda x: x IS NOT NULL))"
+
+
+def _insert(path: str, role: str) -> str:
+    return _edit(path, "3", "I", f"'{role}:'")
+
+
+def _reached(path: str, role: str) -> list[str]:
+    """Paths that read the row as ``role`` after ``path``."""
+    keep = _edit(path, "late", "K", "role || ':' || text")
+    return [f"CASE WHEN stays AND initial = '{role[0]}' THEN {keep} END",
+            f"CASE WHEN stays THEN {_edit(path, '3 + late', 'R', repr(role + ':') + ' || text')} END"]
+
+
+# Paths by the role read last (none, system, user, assistant); the inserts that follow a row are taken next.
+_OP13 = f"""WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS hit FROM conversations),
+e AS (SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g')
+  ELSE text END AS text FROM d, range(2) AS c(copy) WHERE hit <> 0 AND (copy = 0 OR hit = 3)),
+f AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS tail FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f2 AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again FROM f),
+g AS (SELECT *, left(role, 1) AS initial, tail = '' AS blank, tail <> '' AND again AS dup, tail <> '' AND NOT again AND tail NOT IN ('.', '!', '?') AS cut,
+  i > 1 AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS bad, tail <> '' AND NOT again AS stays FROM f2),
+z AS (SELECT *, CASE WHEN cut THEN 3 ELSE 0 END AS late FROM g),
+p AS (SELECT DISTINCT conv_id, 0 AS i, {{'c': 0, 'a': '', 't': []::VARCHAR[]}} AS n, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR[]) AS s,
+    {{'c': 3, 'a': 'I', 't': ['user:']}} AS u, {{'c': 6, 'a': 'II', 't': ['user:', 'assistant:']}} AS v FROM conversations
+  UNION ALL SELECT conv_id, i, n, s, u, {_least("v", _insert("u", "assistant"))} AS v FROM (
+    SELECT conv_id, i, n, s, {_least("u", _insert("n", "user"), _insert("s", "user"), _insert("v", "user"))} AS u, v FROM (
+      SELECT p.conv_id, z.i, {_edit("n", "4", "D")} AS n,
+        {_least(_edit("s", "4", "D"), "CASE WHEN stays AND initial = 's' THEN " + _edit("n", "late", "K", "role || ':' || text") + " END")} AS s,
+        {_least(_edit("u", "4", "D"), *_reached("n", "user"), *_reached("s", "user"), *_reached("v", "user"))} AS u,
+        {_least(_edit("v", "4", "D"), *_reached("u", "assistant"))} AS v
+      FROM p JOIN z ON z.conv_id = p.conv_id AND z.i = p.i + 1))),
+m AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+  count(*) FILTER (WHERE dup) AS duplicate, count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE bad) AS illegal FROM z GROUP BY conv_id),
+b AS (SELECT conv_id, arg_max({_least("n", "v")}, i) AS best FROM p GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(array_to_string(best.t, chr(10))) AS repaired_sha256
+FROM b LEFT JOIN m USING (conv_id)"""
+
 ORACLE_SQL: dict[str, str] = {op3_suffix_dedup.__name__: _OP3, op6_decontaminate.__name__: _OP6, op9_jaccard_join.__name__: _OP9,
-                              op10_chat_format.__name__: _OP10}
+                              op10_chat_format.__name__: _OP10, op11_merkle_manifest.__name__: _OP11,
+                              op13_structure_repair.__name__: _OP13}
