@@ -11,7 +11,7 @@ from riskscope.plans.corpus import FIXTURE_PROBS, SEED_PHRASES
 from riskscope.session import scratch_path
 from riskscope.streaming import jobs
 
-from conftest import SF_SMALL
+SF_SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def test_stream_equals_batch(spark):
     a = Q.REGISTRY["stream_classify"][0](spark, SF_SMALL)
