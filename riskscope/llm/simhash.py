@@ -113,7 +113,9 @@ def links(marks: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id per document."""
     rows = stored(fingerprints(docs), "simhash-rows")
-    marks = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-marks")
+    # Small rows that become 66 each: as many files as shuffle partitions.
+    files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marks = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).repartition(files, "fp"), "simhash-marks")
     roots = stored(components(links(marks)), "simhash-roots")
     placed = marks.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     labels = placed.groupBy("root").agg(F.min("least").alias("component_id"))
