@@ -13,9 +13,9 @@ Two physical plans with the same result:
   ``'`` as a boundary); keywords with a space or apostrophe get one literal
   ``rlike`` each; each pattern is one literal ``contains`` (or ``rlike`` if
   it has regex syntax).  Narrow, no shuffle, whole-stage codegen.
-* ``rule_hits_long``: relational form for large lexicons - n-grams of the
-  cleaned text inside apostrophe-free runs, exploded and equi-joined with the
-  keyword table.
+* ``rule_hits_long``: relational form for large lexicons - each term is looked
+  up by its rarest word, each pattern by its rarest q-gram, and candidates are
+  verified on the text.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..params import DEFAULT_LEXICON, Lexicon
+from ..session import scratch_path
 
 _META = set(".^$*+?{}[]\\|()")
 _WORD = re.compile(r"[a-z0-9]+")
@@ -175,79 +176,110 @@ def match_rules(df: DataFrame, cleaned_col: str = "cleaned", lexicon: Lexicon =
     return df.drop("__kw_all", *[n for _, n in sev_cols])
 
 
-def ngrams_in_runs(cleaned: Column, max_n: int, first_words: list[str] | None = None) -> Column:
-    """All word n-grams (n <= max_n) that lie inside one apostrophe-free run.
-
-    ``\\bour people\\b`` needs a real space between the words, so n-grams never
-    cross an apostrophe, while ``enemy's`` still yields ``enemy``.  With
-    ``first_words`` (the first words of the multi-word terms) only n-grams
-    (n >= 2) starting with one of them are built: the others cannot match.
-    """
-    runs = F.filter(F.transform(F.split(cleaned, "'"), lambda r: F.filter(F.split(r, " "), lambda w: w != "")),
-                    lambda ws: F.size(ws) > 0)
-    starts = F.array(*[F.lit(w) for w in first_words]) if first_words else None
-
-    def grams_of(n):
-        def per_run(ws):
-            # sequence(1, 0) counts down, so short runs get an empty index list
-            idx = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - n + 1)).otherwise(F.array().cast("array<int>"))
-            if n > 1 and starts is not None:
-                idx = F.filter(idx, lambda i: F.array_contains(starts, F.element_at(ws, i)))
-            return F.transform(idx, lambda i: F.array_join(F.slice(ws, i, n), " "))
-        return per_run
-
-    if max_n > 1 and first_words is not None and not first_words:
-        max_n = 1
-    grams = [F.flatten(F.transform(runs, grams_of(n))) for n in range(1, max_n + 1)]
-    return F.flatten(F.array(*grams))
-
-
-#: Largest number of distinct first words of multi-word terms that is
-#: inlined as a literal filter for n-gram start positions.
-MAX_LITERAL_FIRST_WORDS = 256
-
-
-def rule_hits_long(df: DataFrame, rules: DataFrame, key: str = "doc_id", cleaned_col: str = "cleaned") -> DataFrame:
-    """Hits in long form ``(key, ord, kind, group, term, weight)``.
-
-    One pass over the texts: a row's n-grams and its literal hits are exploded
-    together; the n-grams then meet the keywords on the term (the planner picks
-    the join from the rules' size).  Keywords holding an apostrophe (never an
-    n-gram) and patterns (unanchored, so no join key) are literal expressions,
-    of which a plan holds ``MAX_LITERAL_RULES`` at most.
+#: Plain patterns up to this many are tested as literals; more are found by
+#: their q-grams.
+LITERAL_PATTERNS = 256
+#: Characters of the piece by which a pattern is looked up.
+PATTERN_GRAM = 4
+_GRAM = "\x01"     # marks q-grams: no cleaned text has it
+_FILTER_BITS = 1 << 22
+
+
+def signatures(rules: DataFrame, literal_patterns: int = LITERAL_PATTERNS) -> tuple[DataFrame, list]:
+    """The lookup table of a lexicon, and the rules that need a literal test.
+
+    Every keyword is looked up by its rarest word, every plain pattern by the
+    rarest q-gram of its words (after a mark); rare within the lexicon, then the
+    longer, then the first by name.  ``needle`` is what a candidate's text must
+    contain; null where the lookup settles it.  Keywords with an apostrophe and regex patterns have no such
+    key: they are literal rules, ``MAX_LITERAL_RULES`` at most."""
+    low = rules.withColumn("__low", F.lower("term"))
+    pattern = F.col("kind") == "pattern"
+    plain = pattern & ~F.col("term").rlike(r"[.^$*+?{}\[\]\\|()]") & F.col("__low").rlike("[^ ]")
+    few = low.where(plain).limit(literal_patterns + 1).count() <= literal_patterns
+    by_gram = plain if not few else F.lit(False)
+    by_word = ~pattern & ~F.col("term").contains("'") & F.col("__low").rlike("[^ ]")
+    literal = low.where(~(by_gram | by_word)).drop("__low").orderBy("ord").limit(MAX_LITERAL_RULES + 1).collect()
+    if len(literal) > MAX_LITERAL_RULES:
+        raise ValueError(f"over {MAX_LITERAL_RULES} regex patterns and terms with an apostrophe: too many for literal matching")
+
+    words = F.filter(F.split("__low", " "), lambda w: w != "")
+    pieces = F.when(pattern, _word_grams(words, F.least(F.lit(PATTERN_GRAM), F.array_max(F.transform(words, F.length))))).otherwise(words)
+    keys = low.where(by_gram | by_word).select("ord", F.explode(F.array_distinct(pieces)).alias("gram"))
+    often = keys.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    best = keys.join(often, "gram").groupBy("ord").agg(F.min_by("gram", F.struct("n", -F.length("gram"), "gram")).alias("gram"))
+    needle = F.when(pattern, F.col("__low")).when(F.size(words) > 1, F.concat(F.lit(" "), "__low", F.lit(" ")))
+    found = low.join(best, "ord").select("gram", needle.alias("needle"), "ord", "kind", "group", "term", "weight")
+    if literal:
+        sure = low.where(~(by_gram | by_word)).select(F.concat(F.lit("="), F.col("ord").cast("string")).alias("gram"),
+                                                      F.lit(None).cast("string").alias("needle"), "ord", "kind", "group", "term", "weight")
+        found = found.unionByName(sure)
+    return found, literal
+
+
+def _word_grams(words: Column, width: Column) -> Column:
+    """A mark and each run of ``width`` characters of the words.  Long words are cut
+    into overlapping pieces first, so the work stays in proportion."""
+    piece = 256
+
+    def grams(w: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.length(w) - width + 1, F.lit(1)))
+        whole = F.transform(at, lambda i: F.concat(F.lit(_GRAM), F.substring(w, i, width)))
+        return F.when(F.length(w) >= width, whole).otherwise(F.array().cast("array<string>"))
+
+    def pieces(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / piece).cast("int")),
+                           lambda c: F.substring(w, c * piece + 1, F.lit(piece) + width - 1))
+
+    return F.flatten(F.transform(F.flatten(F.transform(words, pieces)), grams))
+
+
+def _lookup_filter(grams: DataFrame):
+    """A test for arrays of grams: whether one may be in the lookup table, by
+    a literal of at most ``_FILTER_BITS`` bits."""
+    n = grams.count()
+    bits = 1 << 10
+    while bits < 16 * n and bits < _FILTER_BITS:
+        bits *= 2
+    words = [0] * (bits // 64)
+    for r in grams.select(F.expr(f"pmod(xxhash64(gram), {bits})").alias("at")).groupBy(F.expr("at div 64").alias("w")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("b")).collect():
+        words[r.w] = r.b
+    table = F.from_json(F.lit(str(words)), "array<bigint>")
+    test = lambda g: F.getbit(F.get(table, F.floor(F.pmod(F.xxhash64(g), F.lit(bits)) / 64).cast("int")),
+                              F.pmod(F.xxhash64(g), F.lit(64)).cast("int")) == 1
+    return test
+
+
+def rule_hits_long(df: DataFrame, rules: DataFrame, key: str = "doc_id", cleaned_col: str = "cleaned",
+                   literal_patterns: int = LITERAL_PATTERNS) -> DataFrame:
+    """Hits in long form ``(key, ord, kind, group, term, weight)``, for a
+    lexicon of any size.
+
+    A text's distinct words (and, with many patterns, their q-grams) that may
+    be in the lookup table (``signatures``) become rows and meet it on equality;
+    candidates are then verified on the text.  One pass over the texts; the
+    planner picks the join from the table's size.
     """
-    kw = rules.filter(F.col("kind") == "keyword").withColumn("__term", F.lower("term"))
-    lens = F.size(F.split("__term", " "))
-    max_n = kw.agg(F.max(lens)).first()[0] or 1
-    firsts = kw.filter(lens > 1).select(F.split("__term", " ")[0].alias("w")).distinct()
-    first_words = None
-    if firsts.limit(MAX_LITERAL_FIRST_WORDS + 1).count() <= MAX_LITERAL_FIRST_WORDS:
-        first_words = sorted(r["w"] for r in firsts.collect())
-    literal = rules.filter((F.col("kind") == "pattern") | F.col("term").contains("'"))
-    lit_rows = literal.orderBy("ord").limit(MAX_LITERAL_RULES + 1).collect()
-    if len(lit_rows) > MAX_LITERAL_RULES:
-        raise ValueError(f"over {MAX_LITERAL_RULES} patterns: too many for literal matching")
+    table, literal = signatures(rules, literal_patterns)
     c = F.col(cleaned_col)
-
-    def test(r):
-        t = r["term"]
-        if r["kind"] == "keyword":
-            return c.rlike(word_regex(t))
-        return c.contains(t.lower()) if is_plain(t) else c.rlike("(?i)" + t)
-
-    hit = lambda gram, no: F.struct(gram.alias("gram"), no.cast("int").alias("no"))
-    found = F.transform(F.array_distinct(ngrams_in_runs(c, max_n, first_words)), lambda g: hit(g, F.lit(None)))
-    if lit_rows:
-        found = F.concat(found, F.array_compact(F.array(*[
-            F.when(test(r), hit(F.lit(None).cast("string"), F.lit(r["ord"]))) for r in lit_rows])))
-    rows = df.select(F.col(key), F.explode(found).alias("h")).select(key, "h.gram", "h.no")
-    # Each hit names its rule, by term or by number: one join, no second scan.
-    by = F.concat(F.lit("g"), F.col("gram"))
-    named = rows.withColumn("__by", F.coalesce(by, F.concat(F.lit("n"), F.col("no").cast("string"))))
-    apostrophe = F.col("term").contains("'") | (F.col("kind") == "pattern")
-    rule = rules.withColumn("__by", F.when(apostrophe, F.concat(F.lit("n"), F.col("ord").cast("string")))
-                            .otherwise(F.concat(F.lit("g"), F.lower("term"))))
-    return named.join(rule, "__by").select(key, "ord", "kind", "group", "term", "weight")
+    path = scratch_path(df.sparkSession, "rule-signatures")
+    table.write.parquet(path)
+    table = df.sparkSession.read.parquet(path)
+    sizes = [r[0] for r in table.where(F.col("gram").startswith(_GRAM)).select(F.length("gram") - 1).distinct().collect()]
+    words = F.array_distinct(F.split(F.translate(c, "'", " "), " "))
+    # Pattern words are split by spaces alone, as the text is for them.
+    runs = F.array_distinct(F.split(c, " "))
+    grams = F.concat(words, *(F.array_distinct(_word_grams(runs, F.lit(q))) for q in sorted(sizes)))
+    found = F.filter(grams, _lookup_filter(table.select("gram").distinct()))
+    if literal:
+        test = lambda r: (c.rlike(word_regex(r["term"])) if r["kind"] == "keyword" else
+                          c.contains(r["term"].lower()) if is_plain(r["term"]) else c.rlike("(?i)" + r["term"]))
+        found = F.concat(found, F.array_compact(F.array(*[F.when(test(r), F.lit(f"={r['ord']}")) for r in literal])))
+    spaced = F.concat(F.lit(" "), F.replace(F.col("__text"), F.lit("'"), F.lit(" ' ")), F.lit(" "))
+    holds = F.when(F.col("kind") == "pattern", F.col("__text")).otherwise(spaced).contains(F.col("needle"))
+    rows = df.select(F.col(key), c.alias("__text"), F.explode(found).alias("gram"))
+    return rows.join(table, "gram").where(F.col("needle").isNull() | holds).select(key, "ord", "kind", "group", "term", "weight")
 
 
 def collect_hits(long_hits: DataFrame, key: str = "doc_id") -> DataFrame:

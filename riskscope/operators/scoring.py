@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..params import FALLBACK_PROBS, LABELS
+from ..session import scratch_path
+from .membership import FILTER_BYTES, cascade, key_pair
 
 
 def _col(c: str | Column) -> Column:
@@ -94,20 +96,51 @@ def attach_scores(df: DataFrame, scores: DataFrame, key: str = "doc_id", probs_c
 
 
 def score_distinct(df: DataFrame, text_col: str, scorer: Callable[[DataFrame], DataFrame],
-                   probs_col: str = "probs", key: str = "doc_id") -> DataFrame:
-    """Score every distinct text once and join the scores back.
-
-    ``scorer`` maps a frame with ``text_col`` to the same frame plus
-    ``probs_col``.  Texts are identified by their SHA-256 digest.  One row a
-    digest is chosen by its smallest ``key`` (a narrow, partial aggregate), its
-    text is fetched by that key, and only ``(key, digest)`` and
-    ``(digest, probs)`` meet on the digest; the scores then join by key.
+                   probs_col: str = "probs", key: str = "doc_id", max_filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """Score every distinct text once; adds ``probs_col`` to every row.
+
+    ``scorer`` maps a frame to the same frame plus ``probs_col``; it must depend
+    on ``text_col`` alone.  ``key`` need not be unique and may be null.
+
+    A text is known by its SHA-256 digest.  Digests are counted on a narrow
+    table; exact filters (``membership.cascade``) of the digests that occur
+    twice and of each one's first key go to the tasks.  A text that occurs once
+    is scored where it is, a repeated one where it has its first key, and only
+    (digest, probs) meets the other repeats.  So the operator moves no text: of
+    repeated rows the join takes the columns that its user reads.  Rows that
+    share their text's first key too are each scored.  Where the filters would
+    outgrow ``max_filter_bytes``, first keys join the rows instead.
     """
-    h = "__text_sha256"
-    digests = df.select(key, F.sha2(F.col(text_col), 256).alias(h))
-    first = digests.groupBy(h).agg(F.min(key).alias(key))
-    scored = scorer(df.select(key, text_col).join(first, key)).select(h, probs_col)
-    return df.join(digests.join(scored, h).select(key, probs_col), key, "left")
+    spark = df.sparkSession
+    h, k = F.coalesce(F.sha2(F.col(text_col), 256), F.lit("")), F.col(key).cast("string")
+    path = scratch_path(spark, "digests")
+    df.select(h.alias("h"), k.alias("k")).write.parquet(path)
+    digests = spark.read.parquet(path)
+    path = scratch_path(spark, "digest-groups")
+    (digests.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k")).alias("first"))
+     .select("h", "n", F.col("first.k").alias("first")).write.parquet(path))
+    groups = spark.read.parquet(path)
+    twice = groups.where("n > 1")
+    if twice.isEmpty():
+        return scorer(df)
+    pair = lambda a, b: key_pair(a, F.coalesce(F.concat(F.lit("="), b), F.lit("")))
+    later = digests.join(twice, "h").where(~F.col("k").eqNullSafe(F.col("first"))).select("h", "k").distinct()
+    cols = df.columns
+    rows = df.withColumns({"__h": h, "__k": k})
+    repeated = cascade(twice.select(*key_pair(F.col("h"))), groups.where("n = 1").select(*key_pair(F.col("h"))), max_filter_bytes)
+    leading = repeated and cascade(twice.select(*pair(F.col("h"), F.col("first"))), later.select(*pair(F.col("h"), F.col("k"))),
+                                   max_filter_bytes)
+    if leading:
+        rows = rows.withColumn("__twice", repeated.test(spark, *key_pair(F.col("__h"))))
+        rows = rows.withColumn("__lead", F.col("__twice") & leading.test(spark, *pair(F.col("__h"), F.col("__k"))))
+    else:
+        known = groups.select(F.col("h").alias("__h"), (F.col("n") > 1).alias("__twice"), "first")
+        rows = rows.join(known, "__h").withColumn("__lead", F.col("__twice") & F.col("first").eqNullSafe(F.col("__k"))).drop("first")
+    alone = scorer(rows.where("not __twice").select(*cols))
+    scores = (scorer(rows.where("__lead")).select("__h", probs_col).groupBy("__h")
+              .agg(F.first(probs_col).alias(probs_col)))
+    shared = rows.where("__twice").select(*cols, "__h").join(scores, "__h")
+    return alone.select(*cols, probs_col).unionByName(shared.select(*cols, probs_col))
 
 
 def score_with_model(df: DataFrame, text_col: str, load_model: Callable[[], Callable], n_labels: int = 4,

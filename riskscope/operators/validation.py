@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ustrip
 from ..params import MAX_API_BATCH_TEXTS, MAX_BATCH_TEXTS, MAX_INPUT_CHARS
+from ..sources.io import require_columns
 
 
 def single_reject_reason(text_col: str = "text"):
@@ -72,9 +73,7 @@ def frame_summary(df: DataFrame, num_labels: int = 4, text_col: str = "text", la
     """The counting part of B5 as one aggregate (one pass): ``rows,
     null_text, null_label, non_integer_labels, out_of_range``.  Jobs check
     this first and compute ``frame_checks`` details only on failure."""
-    missing = [c for c in (text_col, label_col) if c not in df.columns]
-    if missing:
-        raise ValueError(f"frame must contain columns {[text_col, label_col]}; missing: {missing}")
+    require_columns(df, (text_col, label_col))
     lab = _label_number(label_col)
     integral = lab.isNotNull() & (lab == F.floor(lab))
     return df.agg(
@@ -101,9 +100,7 @@ def frame_checks(df: DataFrame, key: str, num_labels: int = 4, text_col: str = "
     and out-of-range labels; the first ``first_n`` keys of each null kind come
     from a bounded top-k (``orderBy + limit`` keeps ``first_n`` rows per task).
     The offending values are a table of their own: ``bad_label_values``."""
-    missing = [c for c in (text_col, label_col) if c not in df.columns]
-    if missing:
-        raise ValueError(f"frame must contain columns {[text_col, label_col]}; missing: {missing}")
+    require_columns(df, (text_col, label_col))
     lab = _label_number(label_col)
     integral = lab.isNotNull() & (lab == F.floor(lab))
     bad_range = integral & ((lab < 0) | (lab >= num_labels))

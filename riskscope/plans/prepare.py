@@ -52,16 +52,16 @@ def content_key(df: DataFrame):
 
 
 def prepare(spark: SparkSession, input_csv: str, output_dir: str, opts: PrepareOptions = PrepareOptions(),
-            manifest: bool = True, tool: str = "prepare_dataset", multi_line: bool = True) -> dict:
+            manifest: bool = True, tool: str = "prepare_dataset", splittable: bool = True) -> dict:
     """Run the preparation; returns the manifest dict (also written as
     ``<output_dir>/split_manifest`` unless ``manifest`` is False; only then is
     the source digested).  Raises ``ValueError`` on invalid input, before an
-    earlier output is touched.  ``multi_line=False`` reads a CSV with one
-    record a line in splits."""
+    earlier output is touched.  ``splittable=False`` reads a CSV with quotes
+    inside unquoted fields, one task a file."""
     total = opts.train + opts.val + opts.test
     if abs(total - 1.0) > 1e-6:
         raise ValueError(f"the fractions add up to {total}, not 1")
-    raw = io.load_labeled_csv(spark, input_csv, multi_line=multi_line)
+    raw = io.load_labeled_csv(spark, input_csv, splittable=splittable)
     io.require_columns(raw)
 
     checks = _one(V.frame_summary(raw, opts.num_labels))   # one pass; details only on failure
@@ -102,9 +102,13 @@ def prepare(spark: SparkSession, input_csv: str, output_dir: str, opts: PrepareO
     split = D.stratified_split(data, "__row", "label", (opts.train, opts.val, opts.test), opts.seed,
                                num_labels=opts.num_labels, tie="__id")
     folder = f"{output_dir}/splits/{uuid.uuid4().hex}"
-    io.write_splits(split.select(*raw.columns, "split"), folder)
-    counts = {(r["split"], int(r["label"])): int(r["n"])
-              for r in D.split_counts(io.read_splits(spark, folder).withColumn("label", F.col("label").cast("int"))).collect()}
+    # The rows of each class and split are counted as they are written.
+    written = Observation("splits")
+    cells = [(s, c) for s in ("train", "val", "test") for c in range(opts.num_labels)]
+    io.write_splits(split.select(*raw.columns, "split").observe(written, *(
+        F.count_if((F.col("split") == s) & (F.col("label") == c)).alias(f"{s}_{c}") for s, c in cells)), folder)
+    counted = written.get
+    counts = {(s, c): int(counted.get(f"{s}_{c}", 0)) for s, c in cells if counted.get(f"{s}_{c}", 0)}
 
     def hist(s=None):
         out: dict[str, int] = {}

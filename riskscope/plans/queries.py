@@ -283,6 +283,15 @@ def q_distinct_scoring(spark, sf_dir):
     return S.score_probs(scored, "probs").select("doc_id", "ml_label", "ml_confidence")
 
 
+@register("distinct_scoring_by_conversation", f"""WITH m AS (SELECT conv_id, turn, {O.ml_select_sql(O.probs_by_bucket_sql('length(text) % 5'))} FROM conversations),
+m2 AS (SELECT *, {O.ml_derived_sql()} FROM m) SELECT conv_id, turn, ml_label, ml_confidence FROM m2""")
+def q_distinct_scoring_by_conversation(spark, sf_dir):
+    """E7 on a key that repeats: the turns of conversations, by conv_id."""
+    d = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    scored = S.score_distinct(d, "text", lambda u: u.withColumn("probs", text_fixture_probs(F.col("text"))), key="conv_id")
+    return S.score_probs(scored, "probs").select("conv_id", "turn", "ml_label", "ml_confidence")
+
+
 # --------------------------------------------------------------------------
 # F: fusion
 # --------------------------------------------------------------------------
@@ -1056,9 +1065,6 @@ def q_stream_ingest(spark, sf_dir):
 # Sources and sinks written and read back
 # --------------------------------------------------------------------------
 
-_JSONISH = "regexp_replace(text, '[^a-zA-Z0-9 .,]+', ' ', 'g')"
-
-
 def _written(spark, name: str, df: DataFrame) -> str:
     """Lines of text (a column ``value``) as files in the shared folder."""
     from ..streaming.jobs import fresh_dir
@@ -1067,75 +1073,132 @@ def _written(spark, name: str, df: DataFrame) -> str:
     return path
 
 
-def _plain_text(spark, sf_dir) -> DataFrame:
-    """Every document's text without characters that JSON or lines would need
-    to escape: the formats are checked here, not the texts."""
-    d = read_table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.regexp_replace("text", "[^a-zA-Z0-9 .,]+", " ").alias("text"))
-
-
-def _json_line(kind):
+def _json_object(kind, broken: str):
+    """A document's text as a JSON object, under one of two names; every
+    twentieth is ``broken`` and another has neither."""
     body = F.to_json(F.struct(F.col("text").alias("text")))
-    return (F.when(kind == 1, F.to_json(F.struct(F.col("text").alias("content")))).when(kind == 2, F.lit('{"text": broken'))
+    return (F.when(kind == 1, F.to_json(F.struct(F.col("text").alias("content")))).when(kind == 2, F.lit(broken))
             .when(kind == 3, F.lit('{"other": 1}')).otherwise(body))
 
 
-_JSONL_SQL = f"""src AS (SELECT doc_id % 20 AS kind, {_JSONISH} AS text FROM documents),
-it AS (SELECT CASE WHEN kind = 2 THEN NULL WHEN kind = 3 THEN '' ELSE text END AS text, kind = 2 AS malformed FROM src)"""
+def _json_lines(spark, sf_dir) -> str:
+    d = read_table(spark, sf_dir, "documents")
+    return _written(spark, "jsonl", d.select(_json_object(F.col("doc_id") % 20, '{"text": broken').alias("value")))
+
+
+_JSON_SQL = """src AS (SELECT doc_id, doc_id % 20 AS kind, text FROM documents),
+it AS (SELECT doc_id, CASE WHEN kind = 2 THEN NULL WHEN kind = 3 THEN '' ELSE text END AS text, kind = 2 AS malformed FROM src)"""
 
 
-@register("read_jsonl", f"""WITH {_JSONL_SQL}
+@register("read_jsonl", f"""WITH {_JSON_SQL}
 SELECT md5(text) AS text_md5, malformed, count(*) AS n FROM it GROUP BY 1, 2""")
 def q_read_jsonl(spark, sf_dir):
-    """JSON Lines with texts, contents, broken lines and other objects;
-    a broken line is kept as ``malformed``."""
+    """Whole texts as JSON Lines, with contents, broken lines and other
+    objects; a broken line is kept as ``malformed``."""
     from ..sources.io import read_texts
-    d = _plain_text(spark, sf_dir)
-    path = _written(spark, "jsonl", d.select(_json_line(F.col("doc_id") % 20).alias("value")))
-    got = read_texts(spark, path, ".jsonl")
+    got = read_texts(spark, _json_lines(spark, sf_dir), ".jsonl")
     return got.groupBy(F.md5("text").alias("text_md5"), F.col("malformed").isNotNull().alias("malformed")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
-@register("classify_file_rejects", f"""WITH {_JSONL_SQL}
+@register("classify_file_rejects", f"""WITH {_JSON_SQL}
 SELECT reason AS reject_reason, count(*) AS n FROM (SELECT CASE WHEN malformed THEN 'malformed' WHEN text = '' THEN 'empty'
-  WHEN trim(text) = '' THEN 'blank' ELSE 'classified' END AS reason FROM it) GROUP BY 1""")
+  WHEN {O.ustrip_sql('text')} = '' THEN 'blank' ELSE 'classified' END AS reason FROM it) GROUP BY 1""")
 def q_classify_file_rejects(spark, sf_dir):
     """I4: a file's items are either classified or in the rejects, none lost."""
     from ..streaming.jobs import fresh_dir
     from .classify import classify_file
-    d = _plain_text(spark, sf_dir)
-    path = _written(spark, "jsonl", d.select(_json_line(F.col("doc_id") % 20).alias("value")))
     out, rej = fresh_dir(spark, "file-results"), fresh_dir(spark, "file-rejects")
-    classify_file(spark, path, out, ".jsonl", rejects_path=rej)
+    classify_file(spark, _json_lines(spark, sf_dir), out, ".jsonl", rejects_path=rej)
     done = spark.read.json(out).select(F.lit("classified").alias("reject_reason"))
     return done.unionByName(spark.read.json(rej).select("reject_reason")).groupBy("reject_reason").agg(
         F.count(F.lit(1)).alias("n"))
 
 
-@register("read_json_array", f"""SELECT md5({_JSONISH}) AS text_md5, count(*) AS n FROM documents GROUP BY 1""")
+@register("read_json_array", f"""WITH {_JSON_SQL}
+SELECT md5(text) AS text_md5, malformed, count(*) AS n FROM it GROUP BY 1, 2""")
 def q_read_json_array(spark, sf_dir):
-    """Files that each hold one JSON array of objects with a text."""
+    """Files that each hold one JSON array of whole texts; an element that
+    is no object is one malformed item."""
     from ..sources.io import read_texts
     from ..streaming.jobs import fresh_dir
-    d = _plain_text(spark, sf_dir)
+    d = read_table(spark, sf_dir, "documents")
     path = fresh_dir(spark, "json-array")
     # Groups of about 250 documents; an array a row, and a row a file.
     group = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-d.count() // 250))))
-    (d.groupBy(group).agg(F.to_json(F.collect_list(F.struct("text"))).alias("value")).select("value")
+    items = F.array_join(F.collect_list(_json_object(F.col("doc_id") % 20, "17")), ",")
+    (d.groupBy(group).agg(F.concat(F.lit("["), items, F.lit("]")).alias("value")).select("value")
      .write.option("maxRecordsPerFile", 1).text(path))
-    return read_texts(spark, path, ".json").groupBy(F.md5("text").alias("text_md5")).agg(F.count(F.lit(1)).alias("n"))
+    got = read_texts(spark, path, ".json")
+    return got.groupBy(F.md5("text").alias("text_md5"), F.col("malformed").isNotNull().alias("malformed")).agg(
+        F.count(F.lit(1)).alias("n"))
+
 
+_LINE = r"regexp_replace(text, '[\r\n]+', ' ', 'g')"
 
-@register("read_text_lines", f"""SELECT md5(trim({_JSONISH})) AS text_md5, count(*) AS n FROM documents
-WHERE trim({_JSONISH}) <> '' GROUP BY 1""")
+
+@register("read_text_lines", f"""SELECT md5({O.ustrip_sql(_LINE)}) AS text_md5, count(*) AS n FROM documents
+WHERE {O.ustrip_sql(_LINE)} <> '' GROUP BY 1""")
 def q_read_text_lines(spark, sf_dir):
-    """One stripped text a line, blank lines dropped."""
+    """One stripped text a line, blank lines dropped; of the whole texts
+    only the line breaks are replaced."""
     from ..sources.io import read_texts
-    path = _written(spark, "lines", _plain_text(spark, sf_dir).select(F.col("text").alias("value")))
+    d = read_table(spark, sf_dir, "documents")
+    path = _written(spark, "lines", d.select(F.regexp_replace("text", "[\r\n]+", " ").alias("value")))
     return read_texts(spark, path, ".txt").groupBy(F.md5("text").alias("text_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Documents a file where queries write files whose content SQL must know.
+FILE_DOCS = 256
+
+
+def _text_files(spark, sf_dir) -> str:
+    """Whole texts, a line break after each, as files of ``FILE_DOCS``
+    neighbouring ids in order: as many files as the table needs."""
+    from ..streaming.jobs import fresh_dir
+    path = fresh_dir(spark, "text files")
+    d = read_table(spark, sf_dir, "documents").withColumn("part", F.floor(F.col("doc_id") / FILE_DOCS).cast("int"))
+    d.select("part", "doc_id", "text").repartition("part").sortWithinPartitions("part", "doc_id").select(
+        "part", F.col("text").alias("value")).write.partitionBy("part").text(path)
+    return path
+
+
+_WHOLE_BYTES = 700_000
+_TREE = ("list_transform(range(0, CAST(ceil(len(h) / 4096.0) AS BIGINT)), "
+         "lambda k: sha256(array_to_string(h[k * 4096 + 1:(k + 1) * 4096], '')))")
+
+
+@register("source_digest", f"""WITH RECURSIVE f AS (SELECT CAST(doc_id // {FILE_DOCS} AS INTEGER) AS part, string_agg(text || chr(10), '' ORDER BY doc_id) AS body
+  FROM documents GROUP BY 1),
+l AS (SELECT part, CAST(strlen(body) AS BIGINT) AS size_bytes, sha256(body) AS whole, list_transform(string_split(body, chr(10))[:-2], lambda x: sha256(x)) AS h FROM f),
+t AS (SELECT part, len(h) AS n, h FROM l UNION ALL SELECT part, n, {_TREE} FROM t WHERE len(h) > 1)
+SELECT part, size_bytes, CASE WHEN size_bytes > {_WHOLE_BYTES} THEN 'lines' ELSE 'file' END AS kind,
+  CASE WHEN size_bytes > {_WHOLE_BYTES} THEN sha256(size_bytes || ':' || n || ':' || t.h[1]) ELSE whole END AS sha256
+FROM l JOIN t USING (part) WHERE len(t.h) = 1""")
+def q_source_digest(spark, sf_dir):
+    """S12 over many files of whole texts: their own digests, and those of the
+    larger ones (here from ``_WHOLE_BYTES`` on) by the tree of their lines."""
+    from ..sources.io import file_digests
+    got = file_digests(spark, _text_files(spark, sf_dir), whole_file_bytes=_WHOLE_BYTES)
+    return got.select(F.regexp_extract("path", r"part=(\d+)", 1).cast("int").alias("part"), "size_bytes", "kind", "sha256")
+
+
+@register("file_item_numbers", f"""WITH s AS (SELECT doc_id, doc_id // {FILE_DOCS} AS part, {O.ustrip_sql(_LINE)} AS t FROM documents),
+i AS (SELECT t, row_number() OVER (ORDER BY CAST(part AS VARCHAR), doc_id) - 1 AS item_idx FROM s WHERE t <> '')
+SELECT item_idx, md5(t) AS text_md5, 'req_chunk_' || item_idx // 8 || '_' || item_idx % 8 AS request_id FROM i""")
+def q_file_item_numbers(spark, sf_dir):
+    """I3 on files: items numbered from 0 in input order (files by path, then
+    lines), and the chunk ids that follow from it."""
+    from ..sources.io import read_texts
+    from ..streaming.jobs import fresh_dir
+    path = fresh_dir(spark, "numbered")
+    d = read_table(spark, sf_dir, "documents").withColumn("part", F.floor(F.col("doc_id") / FILE_DOCS).cast("int"))
+    d.repartition("part").sortWithinPartitions("part", "doc_id").select(
+        "part", F.regexp_replace("text", "[\r\n]+", " ").alias("value")).write.partitionBy("part").text(path)
+    items = read_texts(spark, path, ".txt").withColumn("batch_id", F.lit("req"))
+    return chunk_request_ids(items).select("item_idx", F.md5("text").alias("text_md5"), "request_id")
+
+
 @register("json_sink", _with("doc_id, label, confidence, risk_score"))
 def q_json_sink(spark, sf_dir):
     """Results written as JSON and read back."""
@@ -1172,18 +1235,6 @@ def q_append_logs(spark, sf_dir):
     return r.join(a, "doc_id").select("doc_id", "n_results", "n_audits", "label")
 
 
-_DIGEST_PARTS = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * k}, 8) AS BIGINT)) AS VARCHAR)" for k in range(8))
-
-
-@register("source_digest", f"""WITH l AS (SELECT sha256({_JSONISH}) AS h FROM documents)
-SELECT 'lines' AS kind, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {_DIGEST_PARTS})) AS sha256 FROM l""")
-def q_source_digest(spark, sf_dir):
-    """S12 for a file beyond the size of one value: the digest by lines."""
-    from ..sources.io import file_digests
-    path = _written(spark, "digest", _plain_text(spark, sf_dir).select(F.col("text").alias("value")).coalesce(1))
-    return file_digests(spark, path, whole_file_bytes=1000).where("size_bytes > 1000").select("kind", "sha256")
-
-
 @register("lexicon_file", _with("doc_id, array_to_string(rule_terms, ', ') AS rule_terms, rule_risk", RULED_CTES, "ru2"))
 def q_lexicon_file(spark, sf_dir):
     """The rules written as a table, read back, and applied."""
