@@ -196,11 +196,13 @@ def signatures(rules: DataFrame, literal_patterns: int = LITERAL_PATTERNS) -> tu
     low = rules.withColumn("__low", F.lower("term"))
     pattern = F.col("kind") == "pattern"
     plain = pattern & ~F.col("term").rlike(r"[.^$*+?{}\[\]\\|()]") & F.col("__low").rlike("[^ ]")
-    few = low.where(plain).limit(literal_patterns + 1).count() <= literal_patterns
-    by_gram = plain if not few else F.lit(False)
     by_word = ~pattern & ~F.col("term").contains("'") & F.col("__low").rlike("[^ ]")
-    literal = low.where(~(by_gram | by_word)).drop("__low").orderBy("ord").limit(MAX_LITERAL_RULES + 1).collect()
-    if len(literal) > MAX_LITERAL_RULES:
+    n_plain, n_other = low.agg(F.count_if(plain), F.count_if(~plain & ~by_word)).first()
+    by_gram = plain if n_plain > literal_patterns else F.lit(False)
+    literal = []
+    if n_other <= MAX_LITERAL_RULES:
+        literal = low.where(~(by_gram | by_word)).drop("__low").orderBy("ord").collect()   # few: counted
+    else:
         raise ValueError(f"over {MAX_LITERAL_RULES} regex patterns and terms with an apostrophe: too many for literal matching")
 
     words = F.filter(F.split("__low", " "), lambda w: w != "")
@@ -234,10 +236,9 @@ def _word_grams(words: Column, width: Column) -> Column:
     return F.flatten(F.transform(F.flatten(F.transform(words, pieces)), grams))
 
 
-def _lookup_filter(grams: DataFrame):
+def _lookup_filter(grams: DataFrame, n: int):
     """A test for arrays of grams: whether one may be in the lookup table, by
     a literal of at most ``_FILTER_BITS`` bits."""
-    n = grams.count()
     bits = 1 << 10
     while bits < 16 * n and bits < _FILTER_BITS:
         bits *= 2
@@ -266,19 +267,23 @@ def rule_hits_long(df: DataFrame, rules: DataFrame, key: str = "doc_id", cleaned
     path = scratch_path(df.sparkSession, "rule-signatures")
     table.write.parquet(path)
     table = df.sparkSession.read.parquet(path)
-    sizes = [r[0] for r in table.where(F.col("gram").startswith(_GRAM)).select(F.length("gram") - 1).distinct().collect()]
+    n, sizes = table.agg(F.count_distinct("gram"), F.collect_set(
+        F.when(F.col("gram").startswith(_GRAM), F.length("gram") - 1))).first()
     words = F.array_distinct(F.split(F.translate(c, "'", " "), " "))
     # Pattern words are split by spaces alone, as the text is for them.
     runs = F.array_distinct(F.split(c, " "))
     grams = F.concat(words, *(F.array_distinct(_word_grams(runs, F.lit(q))) for q in sorted(sizes)))
-    found = F.filter(grams, _lookup_filter(table.select("gram").distinct()))
+    found = F.filter(grams, _lookup_filter(table.select("gram"), n))
     if literal:
         test = lambda r: (c.rlike(word_regex(r["term"])) if r["kind"] == "keyword" else
                           c.contains(r["term"].lower()) if is_plain(r["term"]) else c.rlike("(?i)" + r["term"]))
         found = F.concat(found, F.array_compact(F.array(*[F.when(test(r), F.lit(f"={r['ord']}")) for r in literal])))
-    spaced = F.concat(F.lit(" "), F.replace(F.col("__text"), F.lit("'"), F.lit(" ' ")), F.lit(" "))
-    holds = F.when(F.col("kind") == "pattern", F.col("__text")).otherwise(spaced).contains(F.col("needle"))
-    rows = df.select(F.col(key), c.alias("__text"), F.explode(found).alias("gram"))
+    # Below the explode, so that a text is padded once and not once a candidate;
+    # outer, since for an inner one Catalyst filters by the whole expression first.
+    spaced = F.concat(F.lit(" "), F.replace(c, F.lit("'"), F.lit(" ' ")), F.lit(" "))
+    texts = df.select(F.col(key), c.alias("__text"), spaced.alias("__spaced"), found.alias("__grams"))
+    holds = F.when(F.col("kind") == "pattern", F.col("__text")).otherwise(F.col("__spaced")).contains(F.col("needle"))
+    rows = texts.select(key, "__text", "__spaced", F.explode_outer("__grams").alias("gram"))
     return rows.join(table, "gram").where(F.col("needle").isNull() | holds).select(key, "ord", "kind", "group", "term", "weight")
 
 

@@ -55,14 +55,14 @@ def load_labeled_csv(spark: SparkSession, path: str, strict_utf8: bool = True, s
         df = (spark.read.option("header", True).option("multiLine", True).option("quote", '"')
               .option("escape", '"').option("encoding", "UTF-8").csv(path))
     tokens = list(null_tokens)
-    return df.select(*[F.when(F.col(c).isin(tokens), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c)
-                       for c in df.columns])
+    quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in df.columns}
+    return df.select(*[F.when(v.isin(tokens), F.lit(None).cast("string")).otherwise(v).alias(c) for c, v in quoted.items()])
 
 
 def require_columns(df: DataFrame, required=REQUIRED_COLUMNS) -> None:
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"no column {', '.join(missing)} among {', '.join(df.columns)}")
+        raise ValueError(f"no column {', '.join(missing)} among {', '.join(df.columns)}: {len(missing)} missing")
 
 
 # --------------------------------------------------------------------------
@@ -188,13 +188,15 @@ def file_digests(spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_F
     before = per_file.orderBy(SPLIT).rowsBetween(Window.unboundedPreceding, -1)
     first = first.select(FILE, SPLIT, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("add"),
                          F.sum("n").over(per_file).alias("lines"))
-    nodes = lines.join(first, [FILE, SPLIT]).select(FILE, "lines", (F.col("add") + F.col(ROW)).alias("pos"), "sha256")
+    nodes = lines.join(first, [FILE, SPLIT]).select(FILE, "lines", (F.col("add") + F.col(ROW)).alias("pos"), F.col("lines").alias("left"), "sha256")
     most = first.agg(F.max("lines")).first()[0]
     while most > 1:
         path_ = scratch_path(spark, "digest-tree")
-        (nodes.groupBy(FILE, "lines", F.expr(f"pos div {fanout}").alias("up"))
+        node = F.sha2(F.array_join(F.col("below.sha256"), ""), 256)
+        (nodes.groupBy(FILE, "lines", "left", F.expr(f"pos div {fanout}").alias("up"))
          .agg(F.sort_array(F.collect_list(F.struct("pos", "sha256"))).alias("below"))
-         .select(FILE, "lines", F.col("up").alias("pos"), F.sha2(F.array_join(F.col("below.sha256"), ""), 256).alias("sha256"))
+         .select(FILE, "lines", F.col("up").alias("pos"), F.expr(f"(left + {fanout - 1}) div {fanout}").alias("left"),
+                 F.when(F.col("left") > 1, node).otherwise(F.col("below.sha256")[0]).alias("sha256"))
          .write.parquet(path_))
         nodes, most = spark.read.parquet(path_), -(-most // fanout)
     roots = nodes.select(FILE, "lines", F.col("sha256").alias("root"))

@@ -3,6 +3,7 @@ import pymodel
 from pyspark.sql import functions as F
 
 from riskscope.functions.text import clean
+from riskscope.operators import rules as R
 from riskscope.operators.rules import collect_hits, match_rules, rule_group_stats, rule_hits_long, rules_frame
 from riskscope.params import Lexicon
 from riskscope.plans.corpus import SEED_PHRASES
@@ -113,3 +114,50 @@ def test_terms_are_reported_as_written(spark):
     lexicon = Lexicon(keywords=(("low", ("Enemy", "calm")), ("high", ("O'Hara",))), patterns=(), severity_weights={"low": 1, "high": 9})
     df = spark.createDataFrame([(1, "the enemy and o'hara stay calm")], "doc_id long, cleaned string")
     assert match_rules(df, "cleaned", lexicon).first()["rule_terms"] == ["Enemy", "calm", "O'Hara"]
+
+
+def _long(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_many_patterns_by_q_grams_equal_literals(spark):
+    """Patterns looked up by their rarest q-gram give what literal tests give:
+    short ones, with spaces and apostrophes, over word ends, in long words."""
+    import random
+    rng = random.Random(2)
+    letters = "abcde"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randint(1, 9))) for _ in range(rng.randint(0, 60))) for _ in range(120)]
+    texts += ["", "a", "they're here", "x" * 3000 + "needle" + "y" * 700, "don't stop", "recruitment drive"]
+    patterns = sorted({"".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(400)} | {
+        "a b", "b", "y're h", "recruit", "needle", "xxneedley", "n't st", "t d", "Needle"})
+    rules = spark.createDataFrame([(i, "pattern", "g", p, 2) for i, p in enumerate(patterns)] + [
+        (9000, "pattern", "g", "a+b", 2), (9001, "keyword", "k", "don't", 1)], R.RULES_SCHEMA)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, cleaned string")
+    got = _long(R.rule_hits_long(df, rules, literal_patterns=5))
+    assert got == _long(R.rule_hits_long(df, rules, literal_patterns=10000))
+    want = sorted((i, n, "pattern", "g", p, 2) for i, t in enumerate(texts) for n, p in enumerate(patterns) if p.lower() in t)
+    assert [r for r in got if r[1] < 9000] == want
+
+
+def test_long_terms_by_their_rarest_word(spark):
+    """Terms of up to eight words, sharing words, against a regex each."""
+    import random
+    import re
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)] + ["a", "b"]
+    texts = [rng.choice([" ", "'"]).join(rng.choices(words, k=rng.randint(0, 80))) for _ in range(60)]
+    texts += [" ".join(rng.choices(words, k=200)) for _ in range(40)] + ["a b", "a  b", "a'b", "'a b'", "xa b"]
+    terms = sorted({" ".join(rng.choices(words, k=rng.randint(1, 8))) for _ in range(300)} | {
+        " ".join(t.replace("'", " ").split()[3:9]) or "a" for t in texts[60:100]} | {"a b", "A B", "W1"})
+    rules = spark.createDataFrame([(i, "keyword", "k", t, 1) for i, t in enumerate(terms)], R.RULES_SCHEMA)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, cleaned string")
+    want = sorted((i, n, "keyword", "k", t, 1) for i, x in enumerate(texts) for n, t in enumerate(terms)
+                  if re.search(r"\b" + re.escape(t.lower()) + r"\b", x))
+    assert _long(R.rule_hits_long(df, rules)) == want and want
+
+
+def test_empty_lexicon_and_odd_terms(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, None), (3, "")], "doc_id long, cleaned string")
+    assert R.rule_hits_long(df, spark.createDataFrame([], R.RULES_SCHEMA)).collect() == []
+    rules = spark.createDataFrame([(0, "pattern", "g", " ", 1), (1, "keyword", "k", "#b", 1), (2, "keyword", "k", "b", 1)], R.RULES_SCHEMA)
+    assert _long(R.rule_hits_long(df, rules)) == [(1, 0, "pattern", "g", " ", 1), (1, 2, "keyword", "k", "b", 1)]

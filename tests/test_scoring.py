@@ -51,3 +51,54 @@ def test_keyed_scores_fallback_and_distinct(spark):
     assert got[1] == got[3] == [0.0, 1.0, 0.0, 0.0] and got[2] is None
     fg = S.fine_grained_scores(S.score_probs(docs.withColumn("probs", F.lit(None).cast("array<double>"))))
     assert fg.count() == 12 and fg.filter("label_id = 0").first()["prob"] == 0.5
+
+
+def test_distinct_scoring_with_repeated_and_null_keys(spark):
+    """Keys that repeat, keys that are null, equal texts under several keys: every
+    row has its own text's score, once."""
+    rows = [(1, "a"), (1, "bb"), (2, "a"), (3, None), (None, "a"), (None, "ccc"), (4, None)] + [(7, "hot")] * 200
+    rows += [(100 + i, f"text number {i}" * (i % 5 + 1)) for i in range(300)] + [(900 + i, f"twice {i % 40}") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    scorer = lambda u: u.withColumn("probs", F.array(F.length("text").cast("double")))
+    for limit in (1 << 20, 0):   # by exact filters, and by a join
+        got = S.score_distinct(df, "text", scorer, max_filter_bytes=limit).collect()
+        key = lambda r: repr((r[0], r[1]))
+        assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(rows, key=key)
+        assert all((r.probs == [None] if r.text is None else r.probs == [float(len(r.text))]) for r in got)
+    once = S.score_distinct(df, "text", scorer).where("text like 'text number%'")
+    assert once.count() == 300
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert S.score_distinct(empty, "text", scorer).collect() == []
+
+
+def test_distinct_scoring_moves_no_text(spark):
+    df = spark.createDataFrame([(i, f"text {i % 70}") for i in range(100)], "doc_id long, text string")
+    out = S.score_distinct(df, "text", lambda u: u.withColumn("probs", F.array(F.length("text").cast("double")))).select("doc_id", "probs")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    inputs = [line for line in plan.split("\n") if "Exchange" in line]
+    assert inputs
+    tree = out._jdf.queryExecution().sparkPlan()
+
+    def exchanges(node):
+        if "Exchange" in node.nodeName():
+            yield [a.name() for a in map(node.output().apply, range(node.output().size()))]
+        for i in range(node.children().size()):
+            yield from exchanges(node.children().apply(i))
+
+    prepared = out._jdf.queryExecution().executedPlan()
+    prepared = prepared.initialPlan() if prepared.nodeName().startswith("AdaptiveSparkPlan") else prepared
+    carried = [names for names in exchanges(prepared)]
+    assert carried and not any("text" in names for names in carried), carried
+    assert tree is not None
+
+
+def test_exact_filter(spark):
+    from riskscope.operators.membership import cascade, key_pair
+    ids = spark.range(20000)
+    members, others = ids.where("id % 3 = 0"), ids.where("id % 3 <> 0")
+    pair = lambda d: d.select(*key_pair(F.col("id")))
+    test = cascade(pair(members), pair(others))
+    assert 1 < len(test.levels) < 10
+    found = ids.withColumn("m", test.test(spark, *key_pair(F.col("id"))))
+    assert found.where("m <> (id % 3 = 0)").count() == 0
+    assert cascade(pair(members), pair(others), max_bytes=10) is None
