@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from riskscope.llm.common import keyed_text
+from riskscope.llm.common import keyed_text, pieces
 
 LEAF_CHARS = 1024     # texts up to this long are one leaf
 LEAF_BYTES = 48       # matches up to this long are merged directly
@@ -295,7 +295,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, 1)):
             ids = [np.array(c.encode(t.as_py() or ""), np.int32) for t in batch.column(1)]
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(ends, np.concatenate([*ids, np.zeros(0, np.int32)]))

@@ -3,7 +3,11 @@ scratch tables, and vectorised hashes of word windows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ from riskscope.session import scratch_path
 _RADIX = 0x9E3779B97F4A7C15
 _RADIX_INV = pow(_RADIX, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
+PIECE_BYTES = 2 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -95,3 +100,19 @@ def sliding(values: np.ndarray, width: int, pick=np.minimum) -> np.ndarray:
         acc = pick(acc[:-span], acc[span:])
         span *= 2
     return pick(acc[:n], acc[width - span:width - span + n])
+
+
+def pieces(batch: pa.RecordBatch, column: int, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``limit`` bytes of one string column, so that
+    what a task makes of its rows is never as large as a whole batch's."""
+    values = batch.column(column)
+    if len(batch) < 2 or values.nbytes <= limit:
+        yield batch
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(values.cast(pa.binary())), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(batch):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop

@@ -16,12 +16,14 @@ A-Z.  Null or empty texts have no words and hit nothing; items without words
 never occur.  Repeated documents give a row each; repeated item rows count as
 one item per id.  Empty tables are fine on either side.  Other columns are
 ignored.
+
+Windows and fingerprints are compared by 64-bit hashes; words are not compared
+again, so a chance meeting of two hashes would count as a hit.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskscope.llm.common import RangeHash, keyed_text, sliding, stored, word_bounds
+from riskscope.llm.common import RangeHash, keyed_text, pieces, sliding, stored, word_bounds
 
 SPAN = 10      # fixed by the contract: words that make a window
 K = 5          # words in a fingerprint
@@ -98,19 +100,18 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, "item_id long, words int, window long, mark long").distinct()
 
 
-class _Index:
-    """A benchmark of bounded size: sorted fingerprints, and items by window."""
-
-    def __init__(self, rows):
-        self.by_window: dict[tuple[int, int], set[int]] = defaultdict(set)
-        marks: set[int] = set()
-        short: dict[int, set[int]] = defaultdict(set)
-        for item, words, window, mark in rows:
-            self.by_window[words, window].add(item)
-            (marks.add(mark) if words == SPAN else short[words].add(window))
-        as_array = lambda s: np.sort(np.array(sorted(s), np.int64).view(np.uint64))
-        self.marks = as_array(marks)
-        self.short = {w: as_array(s) for w, s in short.items()}
+def _index(rows) -> tuple[dict, np.ndarray, dict]:
+    """A benchmark of bounded size: items by (words, window), sorted
+    fingerprints, and sorted windows by words for short items.  Plain types,
+    since a broadcast is pickled by reference."""
+    by_window: dict[tuple[int, int], set[int]] = {}
+    marks: set[int] = set()
+    short: dict[int, set[int]] = {}
+    for item, words, window, mark in rows:
+        by_window.setdefault((words, window), set()).add(item)
+        (marks.add(mark) if words == SPAN else short.setdefault(words, set()).add(window))
+    as_array = lambda s: np.sort(np.array(sorted(s), np.int64).view(np.uint64))
+    return by_window, as_array(marks), {w: as_array(s) for w, s in short.items()}
 
 
 def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -147,25 +148,25 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _by_broadcast(docs: DataFrame, index: _Index) -> DataFrame:
+def _by_broadcast(docs: DataFrame, index: tuple[dict, np.ndarray, dict]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for batch in batches:
+        by_window, known_marks, shorts = shared.value
+        for batch in (p for b in batches for p in pieces(b, 1)):
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
                 words = Words(text)
                 hits, items = [], set()
                 at, marks = words.fingerprints()
-                at = at[_member(marks, index.marks)]
+                at = at[_member(marks, known_marks)]
                 found = [(s, SPAN, words.windows(SPAN)) for s in [_around(at, words.n - SPAN + 1)] if len(s)]
-                for width, known in index.short.items():
+                for width, known in shorts.items():
                     win = words.windows(width)
                     found.append((np.flatnonzero(_member(win, known)), width, win))
                 for starts, width, win in found:
                     for s in starts.tolist():
-                        got = index.by_window.get((width, int(win[s].view(np.int64))))
+                        got = by_window.get((width, int(win[s].view(np.int64))))
                         if got:
                             hits.append((s, width))
                             items |= got
@@ -233,7 +234,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     # About 200 bytes of Python objects a window.
     if windows.count() * 200 <= broadcast_bytes:
         rows = ((r.item_id, r.words, r.window, r.mark) for r in windows.toLocalIterator())
-        return _by_broadcast(docs, _Index(rows))
+        return _by_broadcast(docs, _index(rows))
     return _by_shuffle(docs, windows)
 
 
@@ -242,4 +243,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     that share an id go together if one of them is hit."""
     bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
     bad = stored(bad, "contaminated")  # usually few: the table's size decides the join
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")

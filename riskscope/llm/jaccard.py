@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskscope.llm.common import RangeHash, keyed_text, mix, stored, word_bounds
+from riskscope.llm.common import RangeHash, keyed_text, mix, pieces, stored, word_bounds
 from riskscope.llm.components import components
 
 SHINGLE = 5
@@ -89,7 +89,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, np.int64)
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, 1)):
             n, one, two, spread, bins = [], [], [], [], []
             for text in _texts(batch):
                 items = shingles(text, size)
@@ -143,7 +143,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, sent = known.value, set()
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, 0)):
             tokens, places, names = [], [], []
             for text in _texts(batch, 0):
                 items = shingles(text, size)
@@ -297,7 +297,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                     recent.popitem(last=False)
             return recent[name]
 
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, 2)):
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             linked = []
             for p, q, s, t in zip(a, b, _texts(batch, 2), _texts(batch, 3)):
@@ -378,7 +378,7 @@ def _own_text(found: DataFrame, size: int) -> DataFrame:
     may stand in several rows), one a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, 2)):
             own = [name_of(shingles(t, size)) == (a, b) for a, b, t in
                    zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch, 2))]
             yield batch.filter(pa.array(own, pa.bool_()))

@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskscope.llm.common import keyed_text, stored
+from riskscope.llm.common import keyed_text, pieces, stored
 
 BASE_KINDS = ("email", "ip", "card", "phone")       # fixed: the order of the contract
 ADDED_KINDS = ("phone", "email", "secret")          # kinds of candidates
@@ -154,6 +155,26 @@ def _decode(cell: int) -> tuple[int, list[int], int]:
     return cell, votes[::-1], bucket
 
 
+def _merged(spans) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of spans, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for s, e in sorted(spans):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def _overlaps(merged: tuple[list[int], list[int]], s: int, e: int) -> bool:
+    """Whether [s, e) meets one of the spans."""
+    starts, ends = merged
+    k = bisect_right(ends, s)
+    return k < len(starts) and starts[k] < e
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, cell) of the loose candidates.  Those that are base
     spans show the labelers what strict matches look like; those that overlap a
@@ -175,9 +196,10 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
     if "=" in text or ":" in text:
         found += [("secret", *m.span("value"), m["name"]) for m in _SECRET.finditer(text)]
     out = []
-    spans = {(k, s, e) for k, s, e in base}
+    spans = set(base)
+    others = {kind: _merged((s, e) for k, s, e in base if k != kind) for kind in {f[0] for f in found}}
     for kind, s, e, name in found:
-        if any(k != kind and a < e and s < b for k, a, b in base):
+        if _overlaps(others[kind], s, e):
             continue
         strict = (kind, s, e) in spans or bool(name) and text[s - 1:s] in "\"'"
         votes, bucket = _votes(kind, text[s:e], text[max(0, s - 32):s], strict, name)
@@ -226,11 +248,12 @@ def spans_of(text: str, accepted: frozenset[int]) -> tuple[list, list]:
 
 
 def _with_added(base, found, accepted):
-    taken, added = sorted((s, e) for _, s, e in base), []
+    taken, added, last = _merged((s, e) for _, s, e in base), [], 0
     for kind, s, e, cell in sorted(found, key=lambda c: (c[1], -c[2])):
-        if cell in accepted and all(e <= a or s >= b for a, b in taken):
+        # Added spans stand in order: only the last one can overlap the next.
+        if cell in accepted and s >= last and not _overlaps(taken, s, e):
             added.append((kind, s, e))
-            taken.append((s, e))
+            last = e
     return sorted([*base, *added], key=lambda x: (KIND_ORDER.index(x[0]), x[1], x[2]))
 
 
@@ -246,7 +269,7 @@ def _scan(docs: DataFrame) -> DataFrame:
     kinds = (pa.list_(pa.struct(span)), pa.list_(pa.struct([*span, ("cell", pa.int32())])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, 1)):
             base, found = [], []
             for text in batch.column(1).to_pylist():
                 b = base_spans(text or "")
@@ -303,13 +326,14 @@ def redact(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Data
         return "".join([*out, value[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = batch.schema.get_field_index("text")
+        k = names.index("text")
+        for batch in (p for b in batches for p in pieces(b, k)):
             yield batch.set_column(k, batch.schema.field(k),
                                    pa.array([clean(t) for t in batch.column(k).to_pylist()], batch.schema.field(k).type))
 
     if text != "text":
         raise ValueError("redact works on the column 'text'")
+    names = docs.columns
     out = docs.mapInArrow(run, docs.schema)
     if length in docs.columns:
         out = out.withColumn(length, F.char_length("text").cast(docs.schema[length].dataType))
