@@ -7,6 +7,8 @@ table there is one join on the key.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,13 +156,32 @@ def file_items(spark, path: str, fmt: str | None = None, strict: bool = False) -
                             .otherwise(single_reject_reason("text")))
 
 
-def write_logs(results: DataFrame, output: str, key: str) -> None:
+def write_logs(results: DataFrame, output: str, key: str, run_id: str | None = None) -> str:
     """Append the results and their audit records to the logs under
-    ``output`` (JSON Lines)."""
+    ``output`` (JSON Lines), as one run; returns its id.
+
+    Both logs are written to folders of this attempt's own, then one commit
+    record, which names the attempt, is published.  ``read_log`` takes the last
+    committed attempt of each run, so a run that died between the two logs shows
+    nothing, and one that is repeated under its ``run_id`` replaces itself."""
     from ..sources.io import write_json
 
-    write_json(with_audit_fields(result_view(results, key), key), f"{output}/result_log", mode="append")
-    write_json(audit_view(results, key), f"{output}/audit_log", mode="append")
+    attempt = f"a-{uuid.uuid4().hex}"
+    run = run_id or attempt
+    write_json(with_audit_fields(result_view(results, key), key), f"{output}/result_log/attempt={attempt}")
+    write_json(audit_view(results, key), f"{output}/audit_log/attempt={attempt}")
+    commit = results.sparkSession.range(1).select(
+        F.lit(run).alias("run_id"), F.lit(attempt).alias("attempt"), F.current_timestamp().cast("double").alias("committed_at"))
+    write_json(commit, f"{output}/commits", mode="append")
+    return run
+
+
+def read_log(spark, output: str, name: str) -> DataFrame:
+    """The rows of ``result_log`` or ``audit_log`` whose run is committed, one
+    attempt a run, with its ``run_id``."""
+    commits = spark.read.schema("run_id string, attempt string, committed_at double").json(f"{output}/commits")
+    last = commits.groupBy("run_id").agg(F.max_by("attempt", F.struct("committed_at", "attempt")).alias("attempt"))
+    return spark.read.json(f"{output}/{name}").join(last, "attempt").drop("attempt")
 
 
 def classify_file(spark, path: str, output_path: str | None = None, fmt: str | None = None,

@@ -1223,15 +1223,16 @@ def q_csv_sink(spark, sf_dir):
 
 @register("append_logs", _with("doc_id, CAST(2 AS BIGINT) AS n_results, CAST(2 AS BIGINT) AS n_audits, label"))
 def q_append_logs(spark, sf_dir):
-    """Two runs append to the result and audit logs."""
+    """Two runs append to the result and audit logs, and one of them is
+    repeated: each counts once."""
     from ..streaming.jobs import fresh_dir
-    from .classify import write_logs
+    from .classify import read_log, write_logs
     path = fresh_dir(spark, "logs")
     res = classified_corpus(spark, sf_dir)
-    for _ in range(2):
-        write_logs(res, path, "doc_id")
-    r = spark.read.json(f"{path}/result_log").groupBy("doc_id", "label").agg(F.count("audit_id").alias("n_results"))
-    a = spark.read.json(f"{path}/audit_log").groupBy("doc_id").agg(F.count("request_id").alias("n_audits"))
+    for run in ("first", "second", "second"):
+        write_logs(res, path, "doc_id", run)
+    r = read_log(spark, path, "result_log").groupBy("doc_id", "label").agg(F.count("audit_id").alias("n_results"))
+    a = read_log(spark, path, "audit_log").groupBy("doc_id").agg(F.count("request_id").alias("n_audits"))
     return r.join(a, "doc_id").select("doc_id", "n_results", "n_audits", "label")
 
 
