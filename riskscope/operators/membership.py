@@ -24,6 +24,9 @@ BITS_PER_KEY = 10
 PROBES = 7
 #: A cascade's filters together; larger ones are not built.
 FILTER_BYTES = 32 << 20
+#: 64-bit words that go into the plan as literals, tested in the JVM; larger
+#: filters are broadcast and tested on Arrow batches.
+LITERAL_WORDS = 1 << 16
 _MAX_LEVELS = 40
 
 
@@ -67,13 +70,30 @@ def _member(levels, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _literal_hit(words: np.ndarray, a: Column, b: Column) -> Column:
+    size = len(words) * 64
+    table = F.from_json(F.lit(str(words.view(np.int64).tolist())), "array<bigint>")
+    at, step = F.pmod(a, F.lit(size)), F.pmod(b, F.lit(size - 1)) + 1
+    places = [(at + i * step) % size for i in range(PROBES)]
+    bits = [F.getbit(F.get(table, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1 for p in places]
+    out = bits[0]
+    for bit in bits[1:]:
+        out = out & bit
+    return out
+
+
 class Cascade:
     """Filters, outermost first, as a test on (a, b) columns."""
 
     def __init__(self, levels: list[np.ndarray]):
         self.levels = levels
 
-    def test(self, spark, a: Column, b: Column) -> Column:
+    def test(self, spark, a: Column, b: Column, literal_words: int = LITERAL_WORDS) -> Column:
+        if sum(map(len, self.levels)) <= literal_words:
+            out = F.lit(False)
+            for words in reversed(self.levels):
+                out = _literal_hit(words, a, b) & ~out
+            return out
         shared = spark.sparkContext.broadcast(self.levels)
 
         @F.pandas_udf("boolean")

@@ -114,25 +114,27 @@ def score_distinct(df: DataFrame, text_col: str, scorer: Callable[[DataFrame], D
     spark = df.sparkSession
     h, k = F.coalesce(F.sha2(F.col(text_col), 256), F.lit("")), F.col(key).cast("string")
     path = scratch_path(spark, "digests")
-    df.select(h.alias("h"), k.alias("k")).write.parquet(path)
+    # The filters know a text by two cheap hashes of it: tasks test every row.
+    ab = key_pair(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
+    df.select(h.alias("h"), k.alias("k"), *ab).write.parquet(path)
     digests = spark.read.parquet(path)
     path = scratch_path(spark, "digest-groups")
-    (digests.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k")).alias("first"))
-     .select("h", "n", F.col("first.k").alias("first")).write.parquet(path))
+    (digests.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k")).alias("first"), F.first("a").alias("a"),
+                              F.first("b").alias("b"))
+     .select("h", "n", "a", "b", F.col("first.k").alias("first")).write.parquet(path))
     groups = spark.read.parquet(path)
     twice = groups.where("n > 1")
     if twice.isEmpty():
         return scorer(df)
-    pair = lambda a, b: key_pair(a, F.coalesce(F.concat(F.lit("="), b), F.lit("")))
-    later = digests.join(twice, "h").where(~F.col("k").eqNullSafe(F.col("first"))).select("h", "k").distinct()
+    pair = lambda a, b, c: key_pair(F.col(a), F.col(b), F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")))
+    later = digests.join(twice.select("h", "first"), "h").where(~F.col("k").eqNullSafe(F.col("first"))).select("a", "b", "k").distinct()
     cols = df.columns
-    rows = df.withColumns({"__h": h, "__k": k})
-    repeated = cascade(twice.select(*key_pair(F.col("h"))), groups.where("n = 1").select(*key_pair(F.col("h"))), max_filter_bytes)
-    leading = repeated and cascade(twice.select(*pair(F.col("h"), F.col("first"))), later.select(*pair(F.col("h"), F.col("k"))),
-                                   max_filter_bytes)
+    rows = df.withColumns({"__h": h, "__k": k, "__a": ab[0], "__b": ab[1]})
+    repeated = cascade(twice.select("a", "b"), groups.where("n = 1").select("a", "b"), max_filter_bytes)
+    leading = repeated and cascade(twice.select(*pair("a", "b", "first")), later.select(*pair("a", "b", "k")), max_filter_bytes)
     if leading:
-        rows = rows.withColumn("__twice", repeated.test(spark, *key_pair(F.col("__h"))))
-        rows = rows.withColumn("__lead", F.col("__twice") & leading.test(spark, *pair(F.col("__h"), F.col("__k"))))
+        rows = rows.withColumn("__twice", repeated.test(spark, F.col("__a"), F.col("__b")))
+        rows = rows.withColumn("__lead", F.col("__twice") & leading.test(spark, *pair("__a", "__b", "__k")))
     else:
         known = groups.select(F.col("h").alias("__h"), (F.col("n") > 1).alias("__twice"), "first")
         rows = rows.join(known, "__h").withColumn("__lead", F.col("__twice") & F.col("first").eqNullSafe(F.col("__k"))).drop("first")

@@ -100,7 +100,6 @@ MAX_BATCH_TEXTS = 1_000
 MAX_API_BATCH_TEXTS = 100
 MODEL_MAX_TOKENS = 256
 CHUNK_SIZE = 8
-CACHE_TTL_SECONDS = 300
 RATE_LIMIT_SINGLE = 60
 RATE_LIMIT_BATCH = 30
 # Review: confidence threshold and inclusive borderline bands of the risk.

@@ -38,13 +38,6 @@ def folder_stream(spark: SparkSession, path: str, schema, max_files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(path)
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """A file stream over one table of ``sf_dir`` (schema from the table)."""
-    static = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return (spark.readStream.schema(static.schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
-
-
 def _run(writer, checkpoint: str) -> None:
     """Work off what has arrived since the last call with this checkpoint."""
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
