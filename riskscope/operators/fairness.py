@@ -41,18 +41,23 @@ def odds_difference(g_tpr: Column, r_tpr: Column, g_fpr: Column, r_fpr: Column)
     return (F.abs(g_tpr - r_tpr) + F.abs(g_fpr - r_fpr)) / F.lit(2.0)
 
 
-def _table(results: DataFrame) -> DataFrame:
-    """One tiny aggregate for every fairness figure: a row per category
-    plus one row with ``category = null`` for all results.  Each result is
-    exploded into ``[null] + detected_categories`` (at most 4 rows), so one
-    scan and one partial + final aggregate give the overall counts and the
-    per-category counts together.  The overall positive rate is attached to
-    every row by a window over this (few-row) table."""
+def category_counts(results: DataFrame) -> DataFrame:
+    """``(category, total, positive, bias_count)``: a row per category plus one
+    with ``category = null`` for all results.  Each result is exploded into
+    ``[null] + detected_categories`` (at most 4 rows), so one scan and one
+    partial + final aggregate give the overall counts and the per-category
+    counts together.  Counts of several inputs may be added up."""
     cats = F.concat(F.array(F.lit(None).cast("string")), F.col("bias_metadata.detected_categories"))
-    t = (results.select(F.explode(cats).alias("category"), _flagged().alias("pos"),
-                        F.col("bias_metadata.high_bias_risk").alias("bias"))
-         .groupBy("category").agg(F.count(F.lit(1)).alias("total"), F.count_if("pos").alias("positive"),
-                                  F.count_if("bias").alias("bias_count")))
+    return (results.select(F.explode(cats).alias("category"), _flagged().alias("pos"),
+                           F.col("bias_metadata.high_bias_risk").alias("bias"))
+            .groupBy("category").agg(F.count(F.lit(1)).alias("total"), F.count_if("pos").alias("positive"),
+                                     F.count_if("bias").alias("bias_count")))
+
+
+def _table(results: DataFrame) -> DataFrame:
+    """The counts and rates behind every fairness figure; the overall positive
+    rate is attached to every row by a window over this (few-row) table."""
+    t = category_counts(results)
     everything = Window.partitionBy(F.lit(1))
     ref = F.max(F.when(F.col("category").isNull(), _rate(F.col("positive"), F.col("total")))).over(everything)
     t = t.withColumn("reference_rate", F.coalesce(ref, F.lit(0.0)))

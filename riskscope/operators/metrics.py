@@ -203,8 +203,20 @@ def batch_stats(df: DataFrame, batch_col: str = "batch_id", reason_col: str = "r
 # T5 batch form: rate-limit flags
 # --------------------------------------------------------------------------
 
-def rate_limit_flags(events: DataFrame, client_col: str, ts_col: str, window: str, limit: int) -> DataFrame:
+def over_limit(counts: DataFrame, limit: int | dict[str, int], kind_col: str | None = None) -> DataFrame:
+    """The counts ``n`` above the limit.  Limits by kind come as a dict; a kind
+    that is not in it, or null, has no limit."""
+    if isinstance(limit, dict):
+        of_kind = F.create_map(*[F.lit(x) for pair in limit.items() for x in pair])
+        return counts.filter(F.col("n") > F.try_element_at(of_kind, F.col(kind_col))) if limit else counts.limit(0)
+    return counts.filter(F.col("n") > limit)
+
+
+def rate_limit_flags(events: DataFrame, client_col: str, ts_col: str, window: str, limit: int | dict[str, int],
+                     kind_col: str | None = None) -> DataFrame:
     """Clients over ``limit`` requests in an epoch-aligned tumbling window:
-    ``(window_start, client, n)``.  Partial aggregation per (window, client)."""
-    g = events.groupBy(F.window(ts_col, window).alias("w"), F.col(client_col)).agg(F.count(F.lit(1)).alias("n"))
-    return g.filter(F.col("n") > limit).select(F.col("w.start").alias("window_start"), client_col, "n")
+    ``(window_start, client, n)``, with ``kind_col`` counted and limited by kind
+    (``params.RATE_LIMITS``).  Partial aggregation per (window, client, kind)."""
+    keys = [client_col] + ([kind_col] if kind_col else [])
+    g = events.groupBy(F.window(ts_col, window).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return over_limit(g, limit, kind_col).select(F.col("w.start").alias("window_start"), *keys, "n")

@@ -100,8 +100,7 @@ MAX_BATCH_TEXTS = 1_000
 MAX_API_BATCH_TEXTS = 100
 MODEL_MAX_TOKENS = 256
 CHUNK_SIZE = 8
-RATE_LIMIT_SINGLE = 60
-RATE_LIMIT_BATCH = 30
+RATE_LIMITS = {"single": 60, "batch": 30, "file": 30}  # requests a minute and client
 # Review: confidence threshold and inclusive borderline bands of the risk.
 REVIEW_CONFIDENCE = 0.7
 REVIEW_BANDS: tuple[tuple[int, int], ...] = ((20, 30), (45, 55), (70, 80))

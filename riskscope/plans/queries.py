@@ -717,6 +717,22 @@ def q_fairness_categories(spark, sf_dir):
     return FA.category_metrics(results_table(spark, sf_dir))
 
 
+@register("fairness_history", f"""WITH {FAIR_CTES}, kept AS (SELECT * FROM fused3 WHERE doc_id % 4 <> 0)
+SELECT category, CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE label <> 'Non-Radical') AS BIGINT) AS positive
+FROM (SELECT unnest(detected_categories) AS category, label FROM kept UNION ALL SELECT NULL, label FROM kept) GROUP BY category""")
+def q_fairness_history(spark, sf_dir):
+    """Four runs are recorded, with a reset after the first; one is recorded
+    under its id a second time."""
+    from ..streaming.jobs import fresh_dir
+    from . import history as H
+    res, path = results_table(spark, sf_dir), fresh_dir(spark, "history")
+    for part in (0, 1, 2, 1, 3):
+        H.record(res.filter(F.col("doc_id") % 4 == part), path, f"run-{part}")
+        if part == 0:
+            H.reset(spark, path)
+    return H.history(spark, path)
+
+
 @register("fairness_concerns", f"WITH {FAIR_CTES}\nSELECT * FROM con")
 def q_fairness_concerns(spark, sf_dir):
     return FA.concerns(results_table(spark, sf_dir))
@@ -890,6 +906,19 @@ def q_rate_limit_flags(spark, sf_dir):
     return f.select(F.to_date("window_start").alias("window_day"), "user_id", "n")
 
 
+LIMITS_BY_KIND = {"view": 1, "click": 2, "purchase": 1}
+_OVER_KIND = " OR ".join(f"(event_type = '{k}' AND count(*) > {n})" for k, n in LIMITS_BY_KIND.items())
+
+
+@register("rate_limit_by_kind", f"""SELECT CAST(date_trunc('day', ts) AS DATE) AS window_day, user_id, event_type, count(*) AS n
+FROM events GROUP BY 1, 2, 3 HAVING {_OVER_KIND}""")
+def q_rate_limit_by_kind(spark, sf_dir):
+    """T5 with a limit for each kind of request; kinds without one are never over it."""
+    ev = read_table(spark, sf_dir, "events")
+    f = M.rate_limit_flags(ev, "user_id", "ts", "1 day", LIMITS_BY_KIND, "event_type")
+    return f.select(F.to_date("window_start").alias("window_day"), "user_id", "event_type", "n")
+
+
 # --------------------------------------------------------------------------
 # Training and plug-in scoring (rows-only checks)
 # --------------------------------------------------------------------------
@@ -973,16 +1002,17 @@ def q_prepare_manifest_rows(spark, sf_dir):
 # streaming
 # --------------------------------------------------------------------------
 
-def staged_runs(spark, df, name: str, job) -> None:
+def staged_runs(spark, df, name: str, job, go: Column | None = None, files_per_batch: int | None = 1) -> None:
     """Feed ``job(stream)`` from a folder that gets files in two goes, with a run
-    after each: several micro-batches a run, and a restart between."""
+    after each and a restart between.  ``go`` (0 or 1, by default a hash of the key)
+    says when a row arrives; a run takes one file a micro-batch, or all at once."""
     from ..streaming.jobs import folder_stream, fresh_dir
     src = fresh_dir(spark, f"{name}-arriving")
-    key = df.columns[0]
+    go = F.pmod(F.xxhash64(df.columns[0]), F.lit(2)) if go is None else go
     for part in (0, 1):
-        half = df.where(F.pmod(F.xxhash64(key), F.lit(2)) == part)
+        half = df.where(go == part)
         half.repartition(2).write.mode("append").parquet(src)
-        job(folder_stream(spark, src, df.schema))
+        job(folder_stream(spark, src, df.schema, files_per_batch))
 
 
 def _corpus_frame(spark, sf_dir) -> DataFrame:
@@ -1044,10 +1074,36 @@ def q_stream_rate_limit(spark, sf_dir):
     out, ck = fresh_dir(spark, "stream-ratelimit"), fresh_dir(spark, "stream-ratelimit-ckpt")
     staged_runs(spark, ev.select("event_id", "user_id", "ts"), "ratelimit",
                 lambda s: rate_limit_stream(s, "user_id", "ts", "1 day", "36500 days", out, ck))
-    res = latest(spark, out, ["window_start", "user_id"]).filter(F.col("n") > RATE_LIMIT_PER_DAY)
+    res = M.over_limit(latest(spark, out, ["window_start", "user_id"]), RATE_LIMIT_PER_DAY)
     return res.select(utc_date(F.col("window_start")).alias("window_day"), "user_id", "n")
 
 
+@register("stream_late_rows", """WITH e AS (SELECT event_id % 2 AS go, event_type, epoch_us(ts) AS us,
+  epoch_us(date_trunc('hour', ts)) // 1000000 AS window_start FROM events),
+m AS (SELECT max(us) - 86400000000 AS mark FROM e WHERE go = 0),
+p AS (SELECT e.*, go = 1 AND (window_start + 3600) * 1000000 <= mark AS late FROM e, m)
+SELECT window_start, event_type, count(*) FILTER (WHERE NOT late) AS n_counted, count(*) FILTER (WHERE late) AS n_late
+FROM p GROUP BY ALL""")
+def q_stream_late_rows(spark, sf_dir):
+    """T5 / T2 with a watermark of one day: the odd events arrive after the even
+    ones, so most are late.  Hourly counts whose state has expired, and the late
+    rows kept aside, add up to the input."""
+    from ..functions.time import as_utc_instant
+    from ..streaming.jobs import fresh_dir, latest, rate_limit_stream
+    ev = read_table(spark, sf_dir, "events")
+    ev = ev.withColumn("ts", as_utc_instant(F.col("ts"), ev.schema["ts"].dataType)).select("event_id", "user_id", "event_type", "ts")
+    out, late, ck = (fresh_dir(spark, f"stream-late-{n}") for n in ("counts", "rows", "ckpt"))
+    staged_runs(spark, ev, "late", lambda s: rate_limit_stream(s, "user_id", "ts", "1 hour", "1 day", out, ck, "event_type", late),
+                go=F.col("event_id") % 2, files_per_batch=None)
+    counts = latest(spark, out, ["window_start", "user_id", "event_type"])
+    zero = F.lit(0).cast("long")
+    both = counts.select("window_start", "event_type", F.col("n").alias("n_counted"), zero.alias("n_late")).unionByName(
+        spark.read.parquet(late).select(F.window("ts", "1 hour")["start"].alias("window_start"), "event_type",
+                                        zero.alias("n_counted"), F.lit(1).cast("long").alias("n_late")))
+    return both.groupBy(F.unix_seconds("window_start").alias("window_start"), "event_type").agg(
+        F.sum("n_counted").alias("n_counted"), F.sum("n_late").alias("n_late"))
+
+
 @register("stream_ingest", f"""WITH f AS (SELECT doc_id, {FAULTY_SQL} AS t FROM documents)
 SELECT doc_id, {_reason_sql('t')} AS reject_reason,
   CASE WHEN {_reason_sql('t')} IS NULL THEN md5({O.ustrip_sql('t')}) END AS text_md5 FROM f""")

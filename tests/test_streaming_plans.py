@@ -111,7 +111,7 @@ def _arriving(spark, tmp_dir, frames, job):
     src = os.path.join(tmp_dir, "arriving")
     for df in frames:
         df.repartition(2).write.mode("append").parquet(src)
-        job(jobs.folder_stream(spark, src, df.schema))
+        job(jobs.folder_stream(spark, src, df.schema, max_files_per_trigger=1))
 
 
 def test_streams_go_on_after_a_restart(spark, tmp_dir):
