@@ -3,16 +3,21 @@
 Ids are cut into blocks of ``BLOCK`` that are coded on their own: each starts
 with fresh models and carries a checksum.  For every id the order-2 and order-1
 contexts name the id that last followed them; a small mixer weighs how far each
-has been right, and how often any was (order 0), into the probability that the
-named id comes, which drives a carry-less range coder.  Other ids are coded by
-an order-0 cache of recent ids, or else in full.  All model arithmetic is in
-whole numbers, so any machine decodes the same.
+has been right, and how often any was, into the probability that the named id
+comes, which drives a carry-less range coder.  Other ids are coded by the order-0
+model: 256 slots whose counts adapt within the block, then the id within its
+slot.  A block's counts start from how often ids occur in the segment, which its
+header tells; the most frequent ids have a slot each, the others are dealt over
+the rest.  All model arithmetic is in whole numbers, so any machine decodes the
+same.  Ids are any unsigned 32-bit integers.
 
 Blocks are coded side by side: numpy takes one step in every block at once.
 
 File format: a segment holds whole documents.
-    b"IDS1", u32 block length, u64 documents, u64 ids, u64 blocks,
+    b"IDS2", u32 block length, u64 documents, u64 ids, u64 blocks, u32 distinct
+    ids, u32 bytes and u32 crc32 of the id table,
     i64 doc_id[documents], u8 has_id[documents], u64 ids[documents],
+    the id table: zlib of u32 steps between the ascending ids, u32 frequencies,
     per block: u32 ids, u32 words, u32 crc32 of the block's words,
     the blocks' u16 words; all little-endian.
 Segments are rows of a Parquet table, in document order by (part, seq).
@@ -42,7 +47,9 @@ SEGMENT_IDS = BLOCK * LANES
 END_ID = 2               # fixed by the contract
 
 _SLOTS = 512             # contexts remembered per order and block
-_CACHE = 256             # recent ids of order 0
+_ALONE = 128             # ids of order 0 with a slot of their own, of 256 slots
+_SEED, _GAIN = 4096, 16  # order-0 counts at the start of a block; what an id adds to its slot
+_MOST = 1 << 24          # frequencies of a segment add up to about this at most
 _TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,17 +65,43 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 _SQUASH, _STRETCH = _tables()
 
 
+class _Ids:
+    """The ids of a segment as symbols 0, 1, ...: by slot of the order-0 model, a
+    slot's most frequent first.  ``ids`` ascend; frequencies are at least 1."""
+
+    def __init__(self, ids: np.ndarray, freq: np.ndarray):
+        n = len(ids)
+        place = np.empty(n, np.int64)
+        place[np.lexsort((ids, -freq))] = np.arange(n)
+        slot = np.where(place < _ALONE, place, _ALONE + (place - _ALONE) % (256 - _ALONE))
+        order = np.lexsort((place, slot))
+        self.known, self.symbol = ids, np.empty(n, np.int64)
+        self.symbol[order] = np.arange(n)
+        self.ids, self.freq, self.slot = ids[order].astype(np.int64), freq[order].astype(np.uint64), slot[order]
+        self.before = np.cumsum(self.freq) - self.freq
+        self.members = np.bincount(slot, minlength=256)
+        self.first = np.cumsum(self.members) - self.members
+        self.total = np.bincount(self.slot, self.freq, 256).astype(np.uint64)
+        self.base = np.cumsum(self.total) - self.total
+        # A block's first counts; a slot without ids has none.
+        self.seed = np.where(self.total > 0, np.maximum(1, self.total.astype(np.int64) * _SEED // max(1, int(self.total.sum()))), 0)
+
+    def symbols(self, ids: np.ndarray) -> np.ndarray:
+        return self.symbol[np.searchsorted(self.known, ids)]
+
+
 class _Models:
     """The adaptive state of ``n`` blocks; every method works on the first
     ``m`` of them, those that still have ids."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, ids: _Ids):
         self.base = np.arange(n, dtype=np.int64)
-        self.follow = [np.zeros(n * _SLOTS, np.uint32) for _ in range(2)]  # id << 4 | times right
-        self.recent = np.zeros(n * _CACHE, np.int32) - 1
+        self.follow = [np.zeros(n * _SLOTS, np.uint32) for _ in range(2)]  # symbol << 4 | times right
+        self.counts = np.tile(ids.seed.astype(np.int32).reshape(1, 16, 16), (n, 1, 1))
+        self.sums = self.counts.sum(2, dtype=np.int32)
+        self.total = self.sums.sum(1, dtype=np.int64)
         self.chance = [np.full((n, w), 1 << 15, np.int64) for w in (16, 32, 1)]
         self.weight = np.full((3, n), 1 << 15, np.int64)
-        self.cached = np.full(n, 1 << 15, np.int64)
         self.one = np.zeros(n, np.uint64)
         self.two = np.zeros(n, np.uint64)
 
@@ -98,27 +131,49 @@ class _Models:
             flat = self.chance[k].ravel()
             old = flat[self.cells[k]]
             flat[self.cells[k]] = old + ((goal - old) >> 4)
-        new = ids.astype(np.uint32)
+        new, four, one = ids.astype(np.uint32), np.uint32(4), np.uint32(1)
         for t, a, v in zip(self.follow, self.at, self.seen):
             times = v & np.uint32(15)
-            same = (v >> np.uint32(4) == new) & (times > 0)
-            t[a] = np.where(same, v + (times < 15), np.where(times > 1, v - (times >> np.uint32(1)), (new << np.uint32(4)) | np.uint32(1)))
+            same = (v >> four == new) & (times > 0)
+            t[a] = np.where(same, v + (times < 15), np.where(times > 1, v - (times >> one), (new << four) | one))
         self.two[:m] = self.one[:m]
-        self.one[:m] = ids.astype(np.uint64) + np.uint64(1)
-
-    def slot(self, ids: np.ndarray) -> np.ndarray:
-        return (ids.astype(np.uint64) * _K >> np.uint64(56)).astype(np.int64)
+        self.one[:m] = new.astype(np.uint64) + np.uint64(1)
+
+    def interval(self, at: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order 0: where the slot's count lies among the block's counts."""
+        hi, lo, each = slot >> 4, slot & 15, self.base[:len(at)]
+        sums, inner = self.sums[at], self.counts[at, hi]
+        size = inner[each, lo]
+        low = sums.cumsum(1, np.int32)[each, hi] - sums[each, hi] + inner.cumsum(1, np.int32)[each, lo] - size
+        return low.astype(np.uint64), size.astype(np.uint64)
+
+    def slot(self, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Order 0: the slot whose count covers the place, and where it lies."""
+        each, sums, place = self.base[:len(at)], self.sums[at], place.astype(np.int32)
+        upper = sums.cumsum(1, np.int32)
+        hi = (upper <= place[:, None]).sum(1)
+        start = upper[each, hi] - sums[each, hi]
+        counts = self.counts[at, hi]
+        inner = counts.cumsum(1, np.int32)
+        lo = (inner <= (place - start)[:, None]).sum(1)
+        size = counts[each, lo]
+        return hi * 16 + lo, (start + inner[each, lo] - size).astype(np.uint64), size.astype(np.uint64)
+
+    def count(self, at: np.ndarray, slot: np.ndarray) -> None:
+        self.counts[at, slot >> 4, slot & 15] += _GAIN
+        self.sums[at, slot >> 4] += _GAIN
+        self.total[at] += _GAIN
 
 
 class _Coder:
     """Range coder state of ``n`` blocks: 64-bit low and range, 16-bit words."""
 
     def __init__(self, n: int):
+        self.every = np.arange(n)
         self.low = np.zeros(n, np.uint64)
         self.range = np.full(n, (1 << 64) - 1, np.uint64)
 
-    def narrow(self, at, start, size, bits: int) -> None:
-        step = self.range[at] >> np.uint64(bits)
+    def narrow(self, at, start, size, step) -> None:
         low = self.low[at] + step * start
         rng = step * size
         todo = None
@@ -144,14 +199,13 @@ class _Writer(_Coder):
         self.size = np.zeros(n, np.int64)
 
     def shift(self, at, todo, low) -> None:
-        lane = np.arange(len(self.low))[at][todo]
+        lane = self.every[at][todo]
         self.words[lane, self.size[lane]] = (low[todo] >> np.uint64(48)).astype(np.uint16)
         self.size[lane] += 1
 
     def flush(self) -> None:
-        every = np.arange(len(self.low))
         for k in range(4):
-            self.words[every, self.size] = (self.low >> np.uint64(48 - 16 * k)).astype(np.uint16)
+            self.words[self.every, self.size] = (self.low >> np.uint64(48 - 16 * k)).astype(np.uint16)
             self.size += 1
 
 
@@ -165,118 +219,113 @@ class _Reader(_Coder):
             self.next += 1
 
     def shift(self, at, todo, low) -> None:
-        lane = np.arange(len(self.low))[at][todo]
+        lane = self.every[at][todo]
         self.code[lane] = (self.code[lane] << np.uint64(16)) | self.words[self.next[lane]]
         self.next[lane] += 1
 
-    def peek(self, at, bits: int) -> np.ndarray:
-        step = self.range[at] >> np.uint64(bits)
-        return np.minimum((self.code[at] - self.low[at]) // step, np.uint64((1 << bits) - 1)).astype(np.int64)
+    def peek(self, at, step, total) -> np.ndarray:
+        return np.minimum((self.code[at] - self.low[at]) // step, total - np.uint64(1)).astype(np.int64)
 
 
-def _bit(p: np.ndarray, hit: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    return (np.where(hit, 0, p).astype(np.uint64), np.where(hit, p, total - p).astype(np.uint64))
+_BITS, _UNIT = np.uint64(12), np.uint64(4096)
 
 
-def _step_misses(models: _Models, lanes: np.ndarray, p: np.ndarray, cached: np.ndarray) -> None:
-    models.cached[lanes] = p + ((cached.astype(np.int64) * 65535 - p) >> 4)
+def _bit(p: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.where(hit, 0, p).astype(np.uint64), np.where(hit, p, 4096 - p).astype(np.uint64)
 
 
-def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-    """Words of each block; ``ids`` is (blocks, BLOCK), sizes do not increase."""
-    n = len(ids)
-    models, out = _Models(n), _Writer(n, 2 * BLOCK + 64)
-    one = np.uint64(1)
+def encode_blocks(symbols: np.ndarray, sizes: np.ndarray, ids: _Ids) -> list[np.ndarray]:
+    """Words of each block; ``symbols`` is (blocks, BLOCK), sizes do not increase."""
+    n = len(symbols)
+    models, out = _Models(n, ids), _Writer(n, 4 * BLOCK + 64)
     for t in range(int(sizes[0])):
         m = int(np.searchsorted(-sizes, -t, "left"))
-        now = ids[:m, t].astype(np.int64)
+        now = symbols[:m, t]
         named, p = models.predict(m)
         hit = named == now
-        out.narrow(slice(0, m), *_bit(p, hit, 4096), 12)
+        out.narrow(slice(0, m), *_bit(p, hit), out.range[:m] >> _BITS)
         miss = np.flatnonzero(~hit)
         if len(miss):
-            slot = models.slot(now[miss])
-            place = miss * _CACHE + slot
-            cached = models.recent[place] == now[miss]
-            chance = models.cached[miss]
-            out.narrow(miss, *_bit((chance >> 4).clip(1, 4095), cached, 4096), 12)
-            known, rest = miss[cached], miss[~cached]
-            if len(known):
-                out.narrow(known, slot[cached].astype(np.uint64), one, 8)
-            if len(rest):
-                out.narrow(rest, now[rest].astype(np.uint64), one, 16)
-            _step_misses(models, miss, chance, cached)
-            models.recent[place] = now[miss]
+            symbol = now[miss]
+            slot = ids.slot[symbol]
+            out.narrow(miss, *models.interval(miss, slot), out.range[miss] // models.total[miss].astype(np.uint64))
+            models.count(miss, slot)
+            shared = np.flatnonzero(ids.members[slot] > 1)
+            if len(shared):
+                at, symbol, slot = miss[shared], symbol[shared], slot[shared]
+                out.narrow(at, ids.before[symbol] - ids.base[slot], ids.freq[symbol], out.range[at] // ids.total[slot])
         models.update(m, hit, now)
     out.flush()
     return [out.words[k, : out.size[k]] for k in range(n)]
 
 
-def decode_blocks(words: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(blocks, BLOCK) ids from the words, each block's starting at ``first``."""
+def decode_blocks(words: np.ndarray, first: np.ndarray, sizes: np.ndarray, ids: _Ids) -> np.ndarray:
+    """(blocks, BLOCK) symbols from the words, each block's starting at ``first``."""
     n = len(sizes)
-    models, coder = _Models(n), _Reader(words, first)
-    ids = np.zeros((n, BLOCK), np.int64)
-    one = np.uint64(1)
+    models, coder = _Models(n, ids), _Reader(words, first)
+    symbols = np.zeros((n, BLOCK), np.int64)
     for t in range(int(sizes[0])):
         m = int(np.searchsorted(-sizes, -t, "left"))
         named, p = models.predict(m)
         here = slice(0, m)
-        hit = coder.peek(here, 12) < p
-        coder.narrow(here, *_bit(p, hit, 4096), 12)
+        step = coder.range[:m] >> _BITS
+        hit = coder.peek(here, step, _UNIT) < p
+        coder.narrow(here, *_bit(p, hit), step)
         now = named.copy()
         miss = np.flatnonzero(~hit)
         if len(miss):
-            chance = models.cached[miss]
-            q = (chance >> 4).clip(1, 4095)
-            cached = coder.peek(miss, 12) < q
-            coder.narrow(miss, *_bit(q, cached, 4096), 12)
-            known, rest = miss[cached], miss[~cached]
-            if len(known):
-                slot = coder.peek(known, 8)
-                coder.narrow(known, slot.astype(np.uint64), one, 8)
-                now[known] = models.recent[known * _CACHE + slot]
-            if len(rest):
-                now[rest] = coder.peek(rest, 16)
-                coder.narrow(rest, now[rest].astype(np.uint64), one, 16)
-            _step_misses(models, miss, chance, cached)
-            models.recent[miss * _CACHE + models.slot(now[miss])] = now[miss]
+            total = models.total[miss].astype(np.uint64)
+            step = coder.range[miss] // total
+            slot, *place = models.slot(miss, coder.peek(miss, step, total))
+            coder.narrow(miss, *place, step)
+            models.count(miss, slot)
+            now[miss] = ids.first[slot]
+            shared = np.flatnonzero(ids.members[slot] > 1)
+            if len(shared):
+                at, slot = miss[shared], slot[shared]
+                step = coder.range[at] // ids.total[slot]
+                found = ids.base[slot] + coder.peek(at, step, ids.total[slot]).astype(np.uint64)
+                symbol = np.searchsorted(ids.before, found, "right") - 1
+                coder.narrow(at, ids.before[symbol] - ids.base[slot], ids.freq[symbol], step)
+                now[at] = symbol
         models.update(m, hit, now)
-        ids[:m, t] = now
-    return ids
+        symbols[:m, t] = now
+    return symbols
 
 
 def write_segment(doc_ids: list[int | None], docs: list[np.ndarray]) -> bytes:
     """One segment with the ids of whole documents."""
     sizes = np.array([len(d) for d in docs], np.uint64)
     ids = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
-    if len(ids) and int(ids.max()) >= 1 << 16:
-        raise ValueError("ids must be below 65,536")
+    known, freq = np.unique(ids, return_counts=True)
+    freq = np.maximum(1, freq >> max(0, len(ids).bit_length() - _MOST.bit_length()))
+    model = _Ids(known, freq)
+    words = zlib.compress(np.diff(known, prepend=known[:0].dtype.type(0)).astype("<u4").tobytes() + freq.astype("<u4").tobytes(), 9)
     n = -(-len(ids) // BLOCK)
-    padded = np.zeros(n * BLOCK, np.uint32)
-    padded[: len(ids)] = ids
+    padded = np.zeros(n * BLOCK, np.int64)
+    padded[: len(ids)] = model.symbols(ids)
     padded = padded.reshape(n, BLOCK)
     counts = np.full(n, BLOCK, np.int64)
     if n:
         counts[-1] = len(ids) - (n - 1) * BLOCK
     blocks: list[np.ndarray] = []
     for k in range(0, n, LANES):
-        blocks += encode_blocks(padded[k:k + LANES], counts[k:k + LANES])
+        blocks += encode_blocks(padded[k:k + LANES], counts[k:k + LANES], model)
     payload = [b.astype("<u2").tobytes() for b in blocks]
     table = np.array([(c, len(p) // 2, zlib.crc32(p)) for c, p in zip(counts, payload)], "<u4").reshape(n, 3)
-    return b"".join([b"IDS1", struct.pack("<IQQQ", BLOCK, len(docs), len(ids), n),
+    return b"".join([b"IDS2", struct.pack("<IQQQIII", BLOCK, len(docs), len(ids), n, len(known), len(words), zlib.crc32(words)),
                      np.array([i or 0 for i in doc_ids], "<i8").tobytes(),
                      np.array([i is not None for i in doc_ids], "u1").tobytes(), sizes.astype("<u8").tobytes(),
-                     table.tobytes(), *payload])
+                     words, table.tobytes(), *payload])
 
 
 def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(doc ids, their sizes, all ids) of a segment; a block that fails its
     checksum is an error."""
-    if data[:4] != b"IDS1":
+    if data[:4] != b"IDS2":
         raise ValueError("not a segment of token ids")
-    block, n_docs, n_ids, n = struct.unpack_from("<IQQQ", data, 4)
-    at = 4 + struct.calcsize("<IQQQ")
+    block, n_docs, n_ids, n, n_known, n_bytes, crc = struct.unpack_from("<IQQQIII", data, 4)
+    at = 4 + struct.calcsize("<IQQQIII")
     take = lambda kind, count: np.frombuffer(data, kind, count, at)
     keys = take("<i8", n_docs)
     at += keys.nbytes
@@ -284,6 +333,12 @@ def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     at += has.nbytes
     sizes = take("<u8", n_docs).astype(np.int64)
     at += 8 * n_docs
+    packed = data[at:at + n_bytes]
+    if zlib.crc32(packed) != crc:
+        raise ValueError("the table of ids fails its checksum")
+    known = np.frombuffer(zlib.decompress(packed), "<u4").reshape(2, n_known).astype(np.int64)
+    model = _Ids(np.cumsum(known[0]), known[1])
+    at += n_bytes
     table = take("<u4", 3 * n).reshape(n, 3).astype(np.int64)
     at += 12 * n
     words = take("<u2", (len(data) - at) // 2)
@@ -292,8 +347,8 @@ def read_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
         if zlib.crc32(words[first[k]:first[k + 1]].tobytes()) != table[k, 2]:
             raise ValueError(f"block {k} fails its checksum")
     words = np.concatenate((words, np.zeros(8, np.uint16)))
-    parts = [decode_blocks(words, first[k:min(k + LANES, n)], table[k:k + LANES, 0]) for k in range(0, n, LANES)]
-    ids = np.concatenate(parts).ravel()[:n_ids] if parts else np.zeros(0, np.int64)
+    parts = [decode_blocks(words, first[k:min(k + LANES, n)], table[k:k + LANES, 0], model) for k in range(0, n, LANES)]
+    ids = model.ids[np.concatenate(parts).ravel()[:n_ids]] if parts else np.zeros(0, np.int64)
     return [int(i) if h else None for i, h in zip(keys, has)], sizes, ids
 
 

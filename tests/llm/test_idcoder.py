@@ -27,12 +27,38 @@ def test_checksums_and_bounds():
     data[-3] ^= 1
     with pytest.raises(ValueError, match="checksum"):
         idcoder.read_segment(bytes(data))
-    with pytest.raises(ValueError):
-        idcoder.write_segment([1], [np.array([70000], np.uint32)])
+    table = bytearray(idcoder.write_segment([1], [np.arange(3000, dtype=np.uint32)]))
+    table[4 + 40 + 8 + 1 + 8 + 5] ^= 1
+    with pytest.raises(ValueError, match="table of ids"):
+        idcoder.read_segment(bytes(table))
     with pytest.raises(ValueError):
         idcoder.read_segment(b"nope" + bytes(40))
 
 
+def test_any_unsigned_id():
+    rng = np.random.default_rng(5)
+    wide = rng.integers(0, 1 << 32, 3000).astype(np.uint32)
+    docs = [np.array([70000, (1 << 32) - 1, 0, 65535, 65536], np.uint32), wide, np.concatenate((wide[:500], wide[:500]))]
+    _, sizes, ids = idcoder.read_segment(idcoder.write_segment([1, 2, 3], docs))
+    assert (ids == np.concatenate(docs)).all() and sizes.tolist() == [5, 3000, 1000]
+
+
+def test_few_lanes_of_many_ids_keep_frequencies_bounded(monkeypatch):
+    monkeypatch.setattr(idcoder, "_MOST", 1 << 8)  # as for a document of more than 2^24 ids
+    ids = np.minimum(np.random.default_rng(3).geometric(0.02, 9000), 900).astype(np.uint32)
+    assert (idcoder.read_segment(idcoder.write_segment([1], [ids]))[2] == ids).all()
+
+
+def test_order_0_adapts_and_beats_the_frequencies():
+    """Blocks that differ in their ids cost less than the frequencies of all."""
+    rng = np.random.default_rng(4)
+    docs = [(rng.zipf(1.3, 1024).clip(1, 300) * 7 + 1000 * (k % 5)).astype(np.uint32) for k in range(40)]
+    ids = np.concatenate(docs)
+    _, n = np.unique(ids, return_counts=True)
+    entropy = -(n * np.log2(n / len(ids))).sum() / 8
+    assert len(idcoder.write_segment(list(range(40)), docs)) < entropy
+
+
 def test_repeats_are_coded_short():
     data = idcoder.write_segment([1], [np.tile(np.arange(50, dtype=np.uint32), 400)])
     assert len(data) < 20000 * 2 / 5
