@@ -39,6 +39,7 @@ from functools import cache
 from itertools import accumulate
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -124,10 +125,12 @@ class Templates:
         self.sizes, self.names = [r[0] for r in rows], [r[1] for r in rows]
         self.counts = [Counter(zip(w, w[1:])) for _, _, w in rows]
         self.parts: dict[int, list[int]] = {}
+        self.times: dict[int, np.ndarray] = {}
         self.having: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
         for k, own in enumerate(self.counts):
             for pair, n in own.items():
                 self.having.setdefault(pair, []).append((k, n))
+        self.number = {pair: i for i, pair in enumerate(self.having)}
 
     def possible(self, words: list[bytes]) -> list[int]:
         """Templates that some run of the words could match."""
@@ -152,12 +155,34 @@ class Templates:
         return [(2 * c / (size + self.sizes[k]), k) for k, c in common.items()
                 if 2 * c >= self.threshold * (size + self.sizes[k])]
 
-    def runs(self, k: int, words: list[bytes], at: list[int]) -> list[tuple[int, int, int]]:
+    def numbered(self, words: list[bytes]) -> np.ndarray:
+        """The number of each bigram among those of the templates, else -1."""
+        return np.array([self.number.get(pair, -1) for pair in zip(words, words[1:])], np.int64)
+
+    def _fresh_from(self, k: int, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a bigram is template k's, and the least start from which it
+        counts: template k's share of it (say m times) is used up from any start
+        at or before its m-th last occurrence."""
+        if k not in self.times:
+            own = np.zeros(len(self.number) + 1, np.int64)  # the last is for -1
+            own[[self.number[pair] for pair in self.counts[k]]] = list(self.counts[k].values())
+            self.times[k] = own
+        m = self.times[k][pairs]
+        order = np.argsort(pairs, kind="stable")
+        same, back = pairs[order], np.arange(len(order)) - m[order]
+        start = np.full(len(order), len(order) + 1)
+        used = (back >= 0) & (same[back.clip(0)] == same)
+        start[order] = np.where(used, order[back.clip(0)] + 1, 0)
+        return m > 0, np.where(m > 0, start, len(order) + 1)
+
+    def runs(self, k: int, pairs: np.ndarray, at: list[int]) -> list[tuple[int, int, int]]:
         """(common bigrams, start, end) of the runs of pieces that match template
-        k: the best from each start, and of those that overlap the best.  ``at``
-        holds the place of each piece's first word, and the number of words."""
-        own, b, pairs = self.counts[k], self.sizes[k], list(zip(words, words[1:]))
-        known = [0, *accumulate(pair in own for pair in pairs)]
+        k: the best from each start, and of those that overlap the best.  ``pairs``
+        are the bigrams of the text by number, ``at`` holds the place of each
+        piece's first word, and the number of words."""
+        b = self.sizes[k]
+        own, fresh = self._fresh_from(k, pairs)
+        known, places = [0, *np.cumsum(own).tolist()], np.array(at)
         longest, found, top = int(b / self.ratio + 1e-9), [], (0.0, 0)
         for piece, start in enumerate(at[:-1]):
             last = min(start + longest, len(pairs))
@@ -169,20 +194,17 @@ class Templates:
             reach = min(known[last] - known[start], b)
             if start < top[1] and 2 * reach / (reach + b) <= top[0]:
                 continue
-            left, common, done, best = dict(own), 0, start, (0.0, 0, 0)
-            for place in range(piece + 1, len(at)):
-                if (end := at[place]) - 1 > last:
-                    break
-                for pair in pairs[done:end - 1]:
-                    if n := left.get(pair, 0):
-                        left[pair] = n - 1
-                        common += 1
-                done = max(done, end - 1)
-                best = max(best, (2 * common / (end - start - 1 + b), common, end))
-            if 2 * best[1] >= self.threshold * (best[2] - start - 1 + b) and best[1]:
-                found.append((best[0], best[1], start, best[2]))
-                if start >= top[1] or best[0] > top[0]:
-                    top = best[0], best[2]
+            sizes = places[piece + 1:bisect_right(at, last + 1)] - start - 1
+            if not len(sizes):
+                continue
+            common = np.concatenate(([0], np.cumsum(fresh[start:last] <= start)))[sizes]
+            scores = 2 * common / (sizes + b)
+            best = len(scores) - 1 - int(scores[::-1].argmax())  # the longest of equals
+            score, n, end = float(scores[best]), int(common[best]), start + 1 + int(sizes[best])
+            if n and 2 * n >= self.threshold * (end - start - 1 + b):
+                found.append((score, n, start, end))
+                if start >= top[1] or score > top[0]:
+                    top = score, end
         out: list[tuple[int, int, int]] = []
         taken: list[tuple[int, int]] = []  # in order, and apart
         for _, common, start, end in sorted(found, key=lambda r: (-r[0], -r[1], r[2])):
@@ -220,7 +242,8 @@ class Templates:
         pieces = [m[0] for m in _PIECE.finditer(text)]
         starts = [0, *accumulate(map(len, pieces))]
         before = [0, *accumulate(len(normalised(p)) for p in pieces)]
-        runs = sorted(((c, s, e) for k in possible for c, s, e in self.runs(k, words, sorted(set(before)))),
+        pairs, at = self.numbered(words), sorted(set(before))
+        runs = sorted(((c, s, e) for k in possible for c, s, e in self.runs(k, pairs, at)),
                       key=lambda r: (-r[0], r[2] - r[1], r[1]))
         if not runs:
             return found
