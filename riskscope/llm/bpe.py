@@ -7,10 +7,12 @@ outside as they are.
 
 * With the standard split pattern, a space between two characters that are not
   white space starts a match whatever stands around it: no match goes on from
-  such a character over a space, and none before it looks further ahead.  So a
-  window from the last such place left of the seam to the first one right of it
-  is encoded as it would be within the whole text.
-* Where a part has no such place, or with another pattern, matches are joined:
+  such a character over a space, and none before it looks further ahead.  So the
+  window grows from the seam, token by token to either side, until such a place
+  lies between its outermost token and the next one outside; it is encoded as it
+  would be within the whole text, and the tokens outside are final.  Where the
+  seam is such a place itself, both sides stay as they are.
+* Where a window has grown over eight leaves, or with another pattern, matches are joined:
   the left part's last matches may change when text follows, so the join scans
   again from the first match that could see the end of the left part, over a
   window that doubles until a match boundary of the scan meets one of the right
@@ -34,7 +36,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,13 +44,32 @@ from pyspark.sql import DataFrame
 
 from riskscope.llm.common import keyed_text, pieces
 
-LEAF_CHARS = 1024     # texts up to this long are one leaf
+LEAF_CHARS = 256      # texts up to this long are one leaf
+WINDOW_LEAVES = 8     # windows up to so many leaves are encoded at once
 LEAF_BYTES = 48       # matches up to this long are merged directly
 CACHE_MATCHES = 200_000
 LOOKAHEAD = 3         # characters from its start that decide where a match begins and ends
 # Fixed value: the split pattern whose seams are known.
 STANDARD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_SEAM = re.compile(r"(?<=\S) (?=\S)")
+_WHITE = [c.encode() for c in map(chr, range(0x80, 0x3001)) if c.isspace()]
+
+
+def _closes(token: bytes) -> bool:
+    """Whether the token's end shows that the character there is not white space."""
+    last = token.decode("utf-8", "replace")[-1]
+    if last != "\ufffd":
+        return not last.isspace()
+    return not any(w.endswith(token[-len(w):]) for w in _WHITE)
+
+
+def _opens(token: bytes) -> bool:
+    """Whether the token is a space and the start of a character that is not white space."""
+    if token[:1] != b" " or len(token) < 2:
+        return False
+    first = token[1:].decode("utf-8", "replace")[0]
+    if first != "\ufffd":
+        return not first.isspace()
+    return not any(w.startswith(token[1:1 + len(w)]) for w in _WHITE)
 
 
 def default_ranks_path() -> str:
@@ -70,6 +90,8 @@ class TreeCodec:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.split = regex.compile(pattern)
         self.standard = pattern == STANDARD_PATTERN
+        self._closing = frozenset(i for b, i in ranks.items() if _closes(b))
+        self._opening = frozenset(i for b, i in ranks.items() if _opens(b))
         self._leaf = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=ranks,
                                        special_tokens={}).encode_ordinary
         self.leaf_chars, self.leaf_bytes = max(leaf_chars, 2 * LOOKAHEAD), max(leaf_bytes, 2)
@@ -212,7 +234,7 @@ class TreeCodec:
         if len(text) <= self.leaf_chars:
             return self._leaf(text)
         mid = len(text) // 2
-        return self.join(text[:mid], self.encode(text[:mid]), text[mid:], self.encode(text[mid:]))
+        return self.join(self.encode(text[:mid]), self.encode(text[mid:]))
 
     def _by_matches(self, text: str) -> list[int]:
         out: list[int] = []
@@ -221,49 +243,30 @@ class TreeCodec:
             out += get(m) or tokens(m)
         return out
 
-    def join(self, left: str, left_ids: list[int], right: str, right_ids: list[int]) -> list[int]:
-        """The ids of two neighbouring parts of a text, from theirs."""
-        start, end = self._last_seam(left), self._first_seam(right)
-        if len(left) - start + end > 2 * self.leaf_chars:
-            inner = self._by_matches(left[start:] + right[:end])
-        else:
-            inner = self._leaf(left[start:] + right[:end])
-        return (left_ids[: self._tokens_before(left_ids, len(left[start:].encode()))] + inner
-                + right_ids[self._tokens_over(right_ids, len(right[:end].encode())):])
-
-    @staticmethod
-    def _last_seam(text: str) -> int:
-        """The last proven boundary, from windows that double; else the start."""
-        width = 32
-        while True:
-            at = max(0, len(text) - width)
-            found = [m.start() for m in _SEAM.finditer(text, at)]
-            if found or not at:
-                return found[-1] if found else 0
-            width *= 2
-
-    @staticmethod
-    def _first_seam(text: str) -> int:
-        found = _SEAM.search(text)
-        return found.start() if found else len(text)
-
-    def _tokens_before(self, ids: list[int], size: int) -> int:
-        """How many ids stand before the last ``size`` bytes."""
-        k = len(ids)
-        while size > 0:
-            k -= 1
-            size -= len(self.bytes_of[ids[k]])
-        assert size == 0, "a proven boundary lies between tokens"
-        return k
-
-    def _tokens_over(self, ids: list[int], size: int) -> int:
-        """How many ids make up the first ``size`` bytes."""
-        k = 0
-        while size > 0:
-            size -= len(self.bytes_of[ids[k]])
-            k += 1
-        assert size == 0, "a proven boundary lies between tokens"
-        return k
+    def join(self, left: list[int], right: list[int]) -> list[int]:
+        """The ids of two neighbouring parts of a text, from theirs alone."""
+        if not left or not right or self._proven(left[-1], *right[:2]):
+            return left + right
+        i, j = len(left) - 1, 1
+        after = right[0]
+        while i > 0 and not self._proven(left[i - 1], left[i], after):
+            after = left[i]
+            i -= 1
+        while j < len(right) and not self._proven(right[j - 1], *right[j:j + 2]):
+            j += 1
+        window = b"".join(map(self.bytes_of.__getitem__, left[i:] + right[:j])).decode()
+        encode = self._leaf if len(window) <= WINDOW_LEAVES * self.leaf_chars else self._by_matches
+        return left[:i] + encode(window) + right[j:]
+
+    def _proven(self, a: int, b: int, after: int | None = None) -> bool:
+        """Whether a match begins between two neighbouring tokens, whatever stands
+        before the first; ``after`` are bytes known to follow the second."""
+        if a not in self._closing:
+            return False
+        if b in self._opening:
+            return True
+        token = self.bytes_of[b]
+        return after is not None and token[:1] == b" " and len(token) < 4 and _opens(token + self.bytes_of[after])
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= self.leaf_chars:

@@ -22,6 +22,7 @@ def test_tree_equals_the_library(text):
 
 
 @pytest.mark.parametrize("text", ["we're", "we'll  x", "a'", "   \n\n b", "x" * 3000, "ab" * 2000, "der" * 999, " " * 700,
+                                  "მე ვარ აქ " * 60, "中文 字 " * 90, "caf\u00e9 \u2003 \u00a0x " * 40, "word\n" * 300, "中" * 900,
                                   "!" * 501, "ééé" * 400, "<|endoftext|> x", "antidisestablishmentarianism" * 40])
 def test_long_matches_and_seams(text):
     for c in (CODEC, TINY):
@@ -64,4 +65,4 @@ def test_typical_documents_are_joined(spark, small_sf, monkeypatch):
         joins.clear()
         assert CODEC.encode(text) == LIBRARY.encode_ordinary(text)
         joined += bool(joins)
-    assert 2 * joined > len(texts)
+    assert 10 * joined > 9 * len(texts)
