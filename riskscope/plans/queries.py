@@ -1002,17 +1002,19 @@ def q_prepare_manifest_rows(spark, sf_dir):
 # streaming
 # --------------------------------------------------------------------------
 
-def staged_runs(spark, df, name: str, job, go: Column | None = None, files_per_batch: int | None = 1) -> None:
+def staged_runs(spark, df, name: str, job, go: Column | None = None, batches: int = 2) -> None:
     """Feed ``job(stream)`` from a folder that gets files in two goes, with a run
     after each and a restart between.  ``go`` (0 or 1, by default a hash of the key)
-    says when a row arrives; a run takes one file a micro-batch, or all at once."""
+    says when a row arrives; a run works its files off in so many micro-batches, each
+    of a file a core at least, so that every core has rows in every micro-batch."""
     from ..streaming.jobs import folder_stream, fresh_dir
     src = fresh_dir(spark, f"{name}-arriving")
     go = F.pmod(F.xxhash64(df.columns[0]), F.lit(2)) if go is None else go
+    each = spark.sparkContext.defaultParallelism
     for part in (0, 1):
         half = df.where(go == part)
-        half.repartition(2).write.mode("append").parquet(src)
-        job(folder_stream(spark, src, df.schema, files_per_batch))
+        half.repartition(batches * each).write.mode("append").parquet(src)
+        job(folder_stream(spark, src, df.schema, each))
 
 
 def _corpus_frame(spark, sf_dir) -> DataFrame:
@@ -1094,7 +1096,7 @@ def q_stream_late_rows(spark, sf_dir):
     ev = ev.withColumn("ts", as_utc_instant(F.col("ts"), ev.schema["ts"].dataType)).select("event_id", "user_id", "event_type", "ts")
     out, late, ck = (fresh_dir(spark, f"stream-late-{n}") for n in ("counts", "rows", "ckpt"))
     staged_runs(spark, ev, "late", lambda s: rate_limit_stream(s, "user_id", "ts", "1 hour", "1 day", out, ck, "event_type", late),
-                go=F.col("event_id") % 2, files_per_batch=None)
+                go=F.col("event_id") % 2, batches=1)
     counts = latest(spark, out, ["window_start", "user_id", "event_type"])
     zero = F.lit(0).cast("long")
     both = counts.select("window_start", "event_type", F.col("n").alias("n_counted"), zero.alias("n_late")).unionByName(

@@ -150,3 +150,21 @@ def test_no_machine_local_folder_on_a_cluster():
     with pytest.raises(ValueError):
         session._local_fallback("local-cluster[2,1,1024]")
     assert os.path.isdir(session._local_fallback("local[2]"))
+
+
+def test_every_micro_batch_has_a_file_for_every_core(spark):
+    df, seen = spark.range(500).withColumn("v", F.col("id") * 2), []
+
+    def job(stream):
+        jobs._run(stream.writeStream.foreachBatch(lambda b, i: seen.append(
+            (i, b.count(), b.select(F.input_file_name()).distinct().count()))), checkpoint)
+
+    checkpoint = scratch_path(spark, "spread-ckpt")
+    Q.staged_runs(spark, df, "spread", job)
+    cores = spark.sparkContext.defaultParallelism
+    assert [(i, files) for i, _, files in seen] == [(i, cores) for i in range(4)]
+    assert sum(rows for _, rows, _ in seen) == 500
+    seen.clear()
+    checkpoint = scratch_path(spark, "whole-ckpt")
+    Q.staged_runs(spark, df, "whole", job, go=F.col("id") % 2, batches=1)
+    assert seen == [(0, 250, cores), (1, 250, cores)]
