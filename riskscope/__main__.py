@@ -85,6 +85,8 @@ def _classify(spark, a) -> None:
     lexicon = Lexicon.from_yaml(a.rules) if a.rules else DEFAULT_LEXICON
     valid = items.filter(F.col("reject_reason").isNull()).drop("reject_reason", "malformed")
     full = C.classify(valid, lexicon=lexicon, params=params, max_chars=a.max_chars)
+    logged = C.stored_results(full, key) if a.logs else None
+    full = full if a.view == "raw" or not a.logs else logged
     view = {"full": lambda: C.result_view(full, key), "label": lambda: full.select(key, "label"),
             "csv": lambda: C.csv_view(full, key), "raw": lambda: C.raw_view(full, key)}[a.view]()
     if a.view == "csv":
@@ -96,7 +98,7 @@ def _classify(spark, a) -> None:
     rejects = items.filter(F.col("reject_reason").isNotNull())
     write_json(rejects.select(key, "text", "reject_reason"), a.rejects or f"{a.output.rstrip('/')}_rejects")
     if a.logs:
-        C.write_logs(full, a.logs, key)
+        C.write_logs(logged, a.logs, key)
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:

@@ -17,6 +17,7 @@ from ..operators.fusion import fuse
 from ..operators.rules import match_rules
 from ..operators.scoring import probabilities_map, score_probs
 from ..params import CHUNK_SIZE, DEFAULT_FUSION, DEFAULT_LEXICON, FusionParams, Lexicon
+from ..session import scratch_path
 
 
 def classify(df: DataFrame, text_col: str = "text", probs_col: str = "probs",
@@ -50,6 +51,16 @@ def result_view(df: DataFrame, key: str = "doc_id") -> DataFrame:
                      "bias_metadata", "reasoning", "rule_amplification")
 
 
+def stored_results(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The result fields (all that ``result_view``, ``audit_view``, ``csv_view``
+    and ``write_logs`` read), written once to the shared scratch folder: a job
+    that writes several outputs from them classifies once."""
+    spark = df.sparkSession
+    path, res = scratch_path(spark, "results"), result_view(df, key)
+    res.write.parquet(path)
+    return spark.read.schema(res.schema).parquet(path)
+
+
 def with_audit_fields(df: DataFrame, key: str = "doc_id", request_col: str | None = None) -> DataFrame:
     """The request id (a column's, else the key), a processing stamp and a
     random audit id per row."""
@@ -158,7 +169,8 @@ def file_items(spark, path: str, fmt: str | None = None, strict: bool = False) -
 
 def write_logs(results: DataFrame, output: str, key: str, run_id: str | None = None) -> str:
     """Append the results and their audit records to the logs under
-    ``output`` (JSON Lines), as one run; returns its id.
+    ``output`` (JSON Lines), as one run; returns its id.  ``results`` is read once
+    a log: give ``stored_results``, or each log classifies anew.
 
     Both logs are written to folders of this attempt's own, then one commit
     record, which names the attempt, is published.  ``read_log`` takes the last
@@ -200,6 +212,8 @@ def classify_file(spark, path: str, output_path: str | None = None, fmt: str | N
     valid = items.filter(F.col("reject_reason").isNull()).select("item_idx", "text")
     scored = scorer(valid) if scorer else valid.withColumn("probs", F.lit(None).cast("array<double>"))
     full = classify(scored, **classify_kw)
+    if log_path:
+        full = stored_results(full, "item_idx")
     res = result_view(full, key="item_idx")
     if output_path:
         write_json(res, output_path)

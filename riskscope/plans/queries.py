@@ -1282,11 +1282,11 @@ def q_csv_sink(spark, sf_dir):
 @register("append_logs", _with("doc_id, CAST(2 AS BIGINT) AS n_results, CAST(2 AS BIGINT) AS n_audits, label"))
 def q_append_logs(spark, sf_dir):
     """Two runs append to the result and audit logs, and one of them is
-    repeated: each counts once."""
+    repeated: each counts once.  What they log is classified once."""
     from ..streaming.jobs import fresh_dir
-    from .classify import read_log, write_logs
+    from .classify import read_log, stored_results, write_logs
     path = fresh_dir(spark, "logs")
-    res = classified_corpus(spark, sf_dir)
+    res = stored_results(classified_corpus(spark, sf_dir))
     for run in ("first", "second", "second"):
         write_logs(res, path, "doc_id", run)
     r = read_log(spark, path, "result_log").groupBy("doc_id", "label").agg(F.count("audit_id").alias("n_results"))

@@ -46,3 +46,40 @@ def test_a_run_that_dies_between_the_logs_shows_nothing(spark, tmp_dir, monkeypa
     assert _counts(spark, path) == [1, 1]
     C.write_logs(_results(spark, ["b", "c"]), path, "doc_id", "two")
     assert _counts(spark, path) == [3, 3]
+
+
+def _counted(spark, df):
+    """``df``, and how many of its rows were worked out so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_two_runs_and_a_repeat_classify_once(spark, monkeypatch):
+    from riskscope.plans import queries as Q
+    df, seen = _counted(spark, _results(spark, ["kill the enemy", "b", "", None]))
+    monkeypatch.setattr(Q, "classified_corpus", lambda *a: df)
+    got = Q.REGISTRY["append_logs"][0](spark, "").collect()
+    assert sorted((r.doc_id, r.n_results, r.n_audits) for r in got) == [(i, 2, 2) for i in range(4)]
+    assert seen.value == 4
+
+
+def test_a_logged_file_is_scored_once(spark, tmp_dir):
+    path, out, logs = (os.path.join(tmp_dir, n) for n in ("in.txt", "out", "logs"))
+    with open(path, "w") as f:
+        f.write("one\ntwo\nthree\n")
+    seen = []
+
+    def scorer(valid):
+        df, n = _counted(spark, valid)
+        seen.append(n)
+        return df.withColumn("probs", F.lit(None).cast("array<double>"))
+
+    res = C.classify_file(spark, path, out, scorer=scorer, log_path=logs)
+    assert res.count() == 3 and _counts(spark, logs) == [3, 3] and spark.read.json(out).count() == 3
+    assert [n.value for n in seen] == [3]
