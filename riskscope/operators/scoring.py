@@ -3,7 +3,7 @@
 The model itself is a plug-in.  Scores arrive either as an in-row
 ``array<double>`` of class probabilities (no shuffle), as a keyed scores
 table (one join on the key), as logits (``score_logits``), or from any
-Python model run once per task through ``mapInPandas`` (``score_with_model``).
+Python model run once per task over Arrow batches (``score_with_model``).
 Everything after the probabilities is native expressions.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,31 +146,52 @@ def score_distinct(df: DataFrame, text_col: str, scorer: Callable[[DataFrame], D
     return alone.select(*cols, probs_col).unionByName(shared.select(*cols, probs_col))
 
 
+#: Bytes of text that a plug-in model gets at once.
+MODEL_BYTES = 2 << 20
+
+
+def _slices(texts, limit: int) -> Iterator:
+    """An Arrow array of strings in slices of about ``limit`` bytes, a text at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype="int64")
+    start = 0
+    while start < len(texts):
+        base = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
 def score_with_model(df: DataFrame, text_col: str, load_model: Callable[[], Callable], n_labels: int = 4,
-                     out_col: str = "probs") -> DataFrame:
+                     out_col: str = "probs", max_bytes: int = MODEL_BYTES) -> DataFrame:
     """E6 plug-in point: run any Python model over Arrow batches.
 
     ``load_model()`` is called once per task and must return a function
-    ``texts: pandas.Series -> numpy array (n, n_labels)`` of logits.  Batches
-    are Arrow record batches (``spark.sql.execution.arrow.maxRecordsPerBatch``);
-    softmax and the label fields stay native in ``score_logits``.
-    ``load_model`` travels to the executors with the task: define it in an
-    installed module, locally, or in a module registered with
-    ``cloudpickle.register_pickle_by_value``; load weights from shared
-    storage inside it.
+    ``texts: pandas.Series -> numpy array (n, n_labels)`` of logits.  Only the
+    texts go to Python, in Arrow record batches
+    (``spark.sql.execution.arrow.maxRecordsPerBatch``), and only the logits come
+    back; the model gets a batch in slices of about ``max_bytes`` of text, so a
+    task holds objects for a slice and never for a batch.  Softmax and the label
+    fields stay native in ``score_logits``.  ``load_model`` travels to the
+    executors with the task: define it in an installed module, locally, or in a
+    module registered with ``cloudpickle.register_pickle_by_value``; load weights
+    from shared storage inside it.
     """
     import numpy as np
 
-    schema = T.StructType(df.schema.fields + [T.StructField("__logits", T.ArrayType(T.DoubleType()))])
-
-    def run(batches: Iterator):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predict = load_model()
-        for pdf in batches:
-            logits = np.asarray(predict(pdf[text_col]), dtype="float64").reshape(len(pdf), n_labels)
-            pdf = pdf.copy()
-            pdf["__logits"] = list(logits)
-            yield pdf
-
-    out = df.mapInPandas(run, schema)
-    out = out.withColumn(out_col, softmax("__logits")).drop("__logits")
-    return out
+        for texts in batches:
+            logits = [np.zeros((0, n_labels))]
+            for part in _slices(texts, max_bytes):
+                series = part.to_pandas().rename(text_col)
+                logits.append(np.asarray(predict(series), dtype="float64").reshape(len(part), n_labels))
+            flat = pa.array(np.concatenate(logits).ravel(), from_pandas=True)  # a logit that is no number is null
+            yield pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, n_labels, dtype="int32"), flat)
+
+    # Not deterministic: a filter above is not pushed below it, so no text is scored twice.
+    model = F.arrow_udf(run, T.ArrayType(T.DoubleType())).asNondeterministic()
+    out = df.withColumn("__logits", model(F.col(text_col).cast("string")))
+    return out.withColumn(out_col, softmax("__logits")).drop("__logits")

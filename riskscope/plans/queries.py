@@ -951,8 +951,8 @@ def _length_model():
 
 @register("model_scoring_plugin", None)
 def q_model_scoring_plugin(spark, sf_dir):
-    """E6 plug-in point: any Python model over Arrow batches (mapInPandas),
-    then native softmax, fallback and fusion."""
+    """E6 plug-in point: any Python model over Arrow batches, then native
+    softmax, fallback and fusion."""
     d = seeded_corpus(spark, sf_dir)
     scored = S.score_with_model(d, "text", _length_model, 4, "probs")
     return flat_result(classify(scored))

@@ -103,3 +103,45 @@ def test_exact_filter(spark):
         found = ids.withColumn("m", test.test(spark, *key_pair(F.col("id")), literal_words))
         assert found.where("m is null or m <> (id % 3 = 0)").count() == 0
     assert cascade(pair(members), pair(others), max_bytes=10) is None
+
+
+def test_plugin_model_gets_slices_of_bounded_bytes(spark):
+    def _model():
+        import numpy as np
+
+        def predict(texts):
+            assert texts.name == "text"
+            size = texts.map(lambda t: 0 if t is None else len(t.encode())).to_numpy(dtype="float64")
+            return np.stack([np.full(len(size), np.log(len(size))), np.log(size + 1.0), np.zeros(len(size)), np.full(len(size), np.log(size.sum() + 1.0))], axis=1)
+        return predict
+
+    texts = ["é" * 25_000 if i % 10 else None for i in range(200)] + ["x" * 5_000_000, "", "y"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").coalesce(1).withColumn("more", F.lit("kept"))
+    out = S.score_with_model(df, "text", _model)
+    assert out.columns == ["i", "text", "more", "probs"]
+    rows = out.collect()
+    assert [(r.i, r.text, r.more) for r in rows] == [(i, t, "kept") for i, t in enumerate(texts)]
+    for r, t in zip(rows, texts):
+        n, own, one, whole = (p / r.probs[2] for p in r.probs)
+        assert round(own) == len((t or "").encode()) + 1
+        assert whole < (2 << 20) + 2 or round(n) == 1 or round(whole) == round(own), (r.i, n, whole)
+    assert S.score_with_model(df.where("i < 0"), "text", _model).collect() == []
+
+
+def test_plugin_model_moves_texts_alone_and_scores_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def _model():
+        import numpy as np
+
+        def predict(texts):
+            calls.add(len(texts))
+            size = texts.str.len().to_numpy(dtype="float64")  # no number for a null text
+            return np.stack([size, size * 0, size * 0, size * 0], axis=1)
+        return predict
+
+    df = spark.createDataFrame([(1, "aa", "p"), (2, None, "q"), (3, "", "r")], "i int, text string, more string")
+    out = S.score_probs(S.score_with_model(df, "text", _model), "probs").where("ml_confidence > 0.3")
+    assert "[run(text" in out._jdf.queryExecution().executedPlan().toString().replace("cast(", "")
+    assert sorted(r.i for r in out.collect()) == [1] and calls.value == 3
+    assert [r.probs for r in S.score_with_model(df, "text", _model).where("i = 2").collect()] == [[None] * 4]
