@@ -80,3 +80,40 @@ def test_query_on_odd_and_real_rows(spark, make_docs, odd_texts, small_sf):
             at += r.n_tokens
         ids = [r.doc_id for r in sorted(rows, key=lambda r: r.start)]
         assert ids == sorted(ids, key=lambda i: (i is not None, i))
+
+
+def test_shares_wider_than_a_range_has_left(monkeypatch):
+    """More ids in a slot than fit beside it: slot and share are coded apart."""
+    rng = np.random.default_rng(6)
+    ids = np.concatenate((np.arange(40000), rng.integers(0, 90000, 20000), np.full(3000, 7))).astype(np.uint32)
+    for joint in (idcoder._JOINT, 0):
+        monkeypatch.setattr(idcoder, "_JOINT", joint)
+        assert (idcoder.read_segment(idcoder.write_segment([1], [ids]))[2] == ids).all()
+
+
+def test_lots_are_split_as_by_the_pattern():
+    rng = np.random.default_rng(7)
+    parts = ["'", "s", "t", "re", "ve", "ll", "l", "m", "d", "S", " ", "  ", "\n", "\t", "1", "\u00b2", "\u00e9", "\u4e2d", "\u2603", "\U0001f600",
+             "\u00a0", "\u3000", "\u0301", "x", "!", "''"]
+    texts = ["".join(parts[k] for k in rng.integers(0, len(parts), n)) for n in rng.integers(0, 14, 20000)]
+    tokenizer = idcoder.Tokenizer(P.path("byte_bpe_50k.json"), P.PATTERN)
+    matches, counts = tokenizer.split(texts)
+    want = [tokenizer.pattern.findall(t) for t in texts]
+    assert matches.to_pylist() == [m for w in want for m in w] and counts.tolist() == [len(w) for w in want]
+    again = tokenizer._by_pattern(texts)
+    assert again[0].equals(matches) and (again[1] == counts).all()
+
+
+@pytest.mark.parametrize("limit", [500_000, 3])
+def test_lots_have_the_library_s_ids(odd_texts, limit):
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [t or "" for _, t in odd_texts] + ["a <|endoftext|> b", "it's\u00a0they'll''ve \x00\x7f\u00ad"]
+    tokenizer = idcoder.Tokenizer(P.path("byte_bpe_50k.json"), P.PATTERN, limit)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [i.tolist() for i in tokenizer.encode(texts)] == want
+        assert [i.tolist() for t in texts for i in tokenizer.encode([t])] == want
+    assert tokenizer.encode([]) == []
+    tokenizer.plain = False  # as for a library that does more before its model
+    tokenizer._forget()
+    assert [i.tolist() for i in tokenizer.encode(texts)] == want
