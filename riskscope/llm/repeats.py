@@ -6,9 +6,12 @@ which also starts in a document with a smaller doc_id is removed.
    wherever the window occurs.  An anchor with the bytes around it that windows
    through it can reach is a segment.
 2. Meeting.  (anchor, segment) hashes meet by anchor.  Where a segment occurs in
-   several documents, all but the smallest lose it whole.  Where an anchor has
-   one segment only, nothing else can match.  The other segments, one each, are
-   asked for by their smallest document.
+   several documents, all but the smallest lose it whole.  Two segments share a
+   window only if they also agree over a core: the 39 or 40 bytes around the
+   anchor that lie in all windows of one third of the places (windows that begin
+   0-11, 12-23 or 24-34 bytes before the anchor).  Segments with a core that also
+   stands in another segment, of another smallest document, are asked for by
+   their smallest document, once each; nothing else can match.
 3. Shards.  The bytes of those segments are gathered by anchor into shards of
    bounded size.  Each shard gets a suffix array (Larsson-Sadakane) and common
    prefixes (Kasai); a run of suffixes that agree over 50 bytes is one window,
@@ -31,7 +34,7 @@ each; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,34 +47,68 @@ from riskscope.llm.suffixes import WORD, common_prefixes, suffix_array, words_at
 SPAN = 50                       # fixed by the contract
 GRAM = 16
 REACH = SPAN - GRAM             # bytes on either side that a window through an anchor can reach
-CHUNK = 1 << 20                 # bytes of a text that are worked on at a time
-BUCKET_BYTES = 12 << 20         # text whose anchors meet in one bucket
-SEND_ENTRIES = 400_000          # entries that a task holds before it deals them out
+CHUNK = 1 << 16                 # bytes of texts that are worked on at a time, in a processor's cache
+BUCKET_BYTES = 8 << 20          # text whose anchors meet in one bucket
+SEND_ENTRIES = 300_000          # entries that a task holds before it deals them out
+SEND_SEGMENTS = 20_000          # segments that go from a task in one batch
 SHARD_SEGMENTS = 4_000          # small enough for a processor's cache
 MERGE_WINDOWS = 200_000
+BATCH_BYTES = 8 << 20           # of rows that go to a Python worker at once
 SAMPLE_DOCS = 4000              # documents that show which anchors are very common
 COMMON = 0.02                   # share of them that makes an anchor so
+CORES = ((16, 23), (-12, 11), (-24, -16))  # 16-byte strings, from the anchor, that make a core with it
+CORE_BITS = 21                  # of a core's hash; zero where the text has no such core
+ALWAYS = np.uint64(1 << 63)     # asked for, whatever the cores
 FULL = (1 << 63) - 1            # all windows of a segment
 _NULL = -(1 << 63)              # stands for a null doc_id
 _ANCHOR_BITS = np.uint64((1 << 48) - 1)
 
 
-def anchors(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(anchor hash of 48 bits, segment hash, anchor place), chunk by chunk; a
-    place near a seam may come twice."""
-    for chunk in range(0, len(data) - SPAN + 1, CHUNK):
-        last = min(chunk + CHUNK, len(data) - SPAN + 1)  # window starts of this chunk end here
-        lo, hi = max(0, chunk - REACH), min(len(data), last + 2 * SPAN)
-        part = data[lo:hi]
-        words = words_at(np.frombuffer(part, np.uint8))
-        n = len(part) - GRAM + 1
-        grams = mix(words[:n] * np.uint64(0x9E3779B97F4A7C15) ^ mix(words[GRAM - WORD:GRAM - WORD + n]))
-        starts = slice(chunk - lo, last - lo + REACH)     # grams of the chunk's windows
-        own = grams[starts]
-        least = sliding(own, REACH + 1)
-        edge = np.zeros(REACH, np.uint64)
-        at = np.flatnonzero(own == sliding(np.concatenate((edge, least, edge)), REACH + 1, np.maximum)) + chunk - lo
-        yield grams[at] & _ANCHOR_BITS, segment_hash(grams, at, lo, len(data)), at + lo
+def anchors(texts: Iterable[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(which text, anchor hash of 48 bits, segment hash, cores, anchor place), in
+    lots of about CHUNK bytes: short texts side by side, long ones chunk by chunk.
+    A place near a seam may come twice."""
+    lot, held = [], 0
+    for k, data in enumerate(texts):
+        for chunk in range(0, len(data) - SPAN + 1, CHUNK):
+            last = min(chunk + CHUNK, len(data) - SPAN + 1)  # window starts of this chunk end here
+            lo = max(0, chunk - REACH)
+            part = data[lo:last + 2 * SPAN]
+            if lot and held + len(part) > CHUNK:
+                yield _anchors(lot)
+                lot, held = [], 0
+            lot.append((part, k, lo, len(data), chunk - lo, last - lo))
+            held += len(part)
+    if lot:
+        yield _anchors(lot)
+
+
+def _anchors(lot: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Of parts of texts: bytes, which text, where in it, its size, and where
+    windows start and stop to start in the part."""
+    grams = _grams(b"".join(p[0] for p in lot))
+    text, lo, size, start, stop = np.array([p[1:] for p in lot]).T
+    base = np.cumsum([0, *(len(p[0]) for p in lot[:-1])])
+    start, stop = start + base, stop + base
+    least = sliding(grams, REACH + 1)
+    own = np.zeros(len(grams) + REACH, np.uint64)  # zero where a window would reach over its part
+    for a, b in zip(start.tolist(), stop.tolist()):
+        own[REACH + a:REACH + b] = least[a:b]
+    at = np.flatnonzero(grams == sliding(own, REACH + 1, np.maximum))
+    k = np.searchsorted(base, at, "right") - 1
+    inside = (at >= start[k]) & (at < stop[k] + REACH)
+    if not inside.all():  # zero bytes across a seam
+        at, k = at[inside], k[inside]
+    zero = (base - lo)[k]  # where the text would begin
+    begin, end = np.maximum(at - REACH, zero), np.minimum(at + SPAN, zero + size[k])
+    return text[k], grams[at] & _ANCHOR_BITS, segment_hash(grams, at, begin, end), core_hashes(grams, at, begin, end), at - zero
+
+
+def _grams(data: bytes) -> np.ndarray:
+    """The hashes of the 16-byte strings."""
+    words = words_at(np.frombuffer(data, np.uint8))
+    n = max(len(data) - GRAM + 1, 0)
+    return mix(words[:n] * np.uint64(0x9E3779B97F4A7C15) ^ mix(words[GRAM - WORD:GRAM - WORD + n]))
 
 
 def bounds(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,44 +116,80 @@ def bounds(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(at - REACH, 0), np.minimum(at + SPAN, size)
 
 
-def segment_hash(grams: np.ndarray, at: np.ndarray, lo: int, size: int) -> np.ndarray:
+def segment_hash(grams: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of segments from those of the 16-byte strings that cover them, the
-    anchor's place and the length; ``grams`` starts at byte ``lo`` of the text."""
-    begin, end = bounds(at + lo, size)
-    h = ((at + lo - begin) * 128 + (end - begin)).astype(np.uint64)
+    anchor's place and the length."""
+    h = ((at - begin) * 128 + (end - begin)).astype(np.uint64)
     for offset in range(0, REACH + SPAN, GRAM):
-        h = mix((h + np.uint64(0x9E3779B97F4A7C15)) ^ grams[np.minimum(begin + offset, end - GRAM) - lo])
+        h = mix((h + np.uint64(0x9E3779B97F4A7C15)) ^ grams[np.minimum(begin + offset, end - GRAM)])
     return h
 
 
+_CORE_AT = np.array(CORES).T.reshape(-1, 1)
+_CORE_SHIFT = np.arange(len(CORES), dtype=np.uint64)[:, None] * np.uint64(CORE_BITS)
+_CORE = np.uint64((1 << CORE_BITS) - 1) << _CORE_SHIFT
+
+
+def core_hashes(grams: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hashes of an anchor's cores side by side in one number.  They are only
+    compared among segments of one anchor, whose own 16 bytes are equal."""
+    where = at + _CORE_AT
+    room = (where >= begin) & (where <= end - GRAM)
+    of = grams[np.where(room, where, 0)]
+    n = len(CORES)
+    h = (of[:n] * np.uint64(0x9E3779B97F4A7C15) + of[n:]) >> np.uint64(64 - CORE_BITS)
+    return np.bitwise_or.reduce((np.maximum(h, np.uint64(1)) * (room[:n] & room[n:])) << _CORE_SHIFT, axis=0)
+
+
+def core_keys(anchor: np.ndarray, cores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each core a row: its part of ``cores``, and its hash with the anchor's."""
+    part = cores & _CORE
+    return part, mix(anchor ^ mix(part + np.uint64(0x9E3779B97F4A7C15)))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id (nulls by their stand-in) and the text's bytes."""
     return docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"),
                        F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))
 
 
-def _common_anchors(rows: DataFrame, n: int) -> np.ndarray:
-    """Anchors of a large share of a bounded sample of documents.  They are only
-    dealt out differently, so the sample does not touch the result."""
+def _common_anchors(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors, and anchors with a core, of a large share of a bounded sample of
+    documents.  They are only dealt out differently, so the sample does not touch
+    the result."""
     fraction = min(1.0, SAMPLE_DOCS / max(1, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
-                own = [a for a, *_ in anchors(text.as_py())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.unique(np.concatenate([np.zeros(0, np.uint64), *own])).view(np.int64))], names=["anchor"])
-
-    counts = rows.select("text").sample(fraction, 17).mapInArrow(run, "anchor long").groupBy("anchor").count()
+            for text, anchor, _, cores, _ in anchors(t.as_py() for t in batch.column(0)):
+                part, keys = core_keys(anchor, cores)
+                for core, k, values in ((False, text, anchor), *((True, text[p != 0], key[p != 0]) for p, key in zip(part, keys))):
+                    order = np.lexsort((k, values))
+                    k, values = k[order], values[order]
+                    new = np.append(True, (values[1:] != values[:-1]) | (k[1:] != k[:-1]))[:len(k)]  # once a document
+                    first = np.flatnonzero(np.append(True, values[new][1:] != values[new][:-1])[:new.sum()])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(values[new][first].view(np.int64)), pa.array(np.full(len(first), core)),
+                         pa.array(np.diff(np.append(first, new.sum())))], names=["hash", "core", "n"])
+
+    counts = (rows.select("text").sample(fraction, 17).mapInArrow(run, "hash long, core boolean, n long")
+              .groupBy("hash", "core").agg(F.sum("n").alias("n")))
     least = max(20, int(COMMON * fraction * n))
-    # At most (anchors of the sample) / least rows.
-    return np.sort(np.array([r.anchor for r in counts.where(F.col("count") >= least).collect()], np.int64).view(np.uint64))
+    # At most 4 x (anchors of the sample) / least rows.
+    found = counts.where(F.col("n") >= least).collect()
+    known, cores = (np.sort(np.array([r.hash for r in found if r.core == kind], np.int64).view(np.uint64)) for kind in (False, True))
+    return known, cores
 
 
-def _meet(rows: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
+def _meet(rows: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
     """(doc_id, at, anchor, seg, whole): ``whole`` says that the segment goes
-    from the document; otherwise it is to be asked for."""
-    entry = np.dtype([("seg", "<u8"), ("low", "<u4"), ("high", "<u2"), ("doc", "<i8"), ("at", "<u4")])
+    from the document; otherwise it is to be asked for, and may come up to three
+    times.
+
+    Entries go to a bucket by their anchor.  Those of a common anchor go by their
+    segment, without cores, and once more for each core by anchor and core.  A
+    core that is common as well is not counted: its segments are all asked for."""
+    entry = np.dtype([("seg", "<u8"), ("low", "<u4"), ("high", "<u2"), ("doc", "<i8"), ("at", "<u4"), ("cores", "<u8")])
     anchor_of = lambda e: e["low"].astype(np.uint64) | (e["high"].astype(np.uint64) << np.uint64(32))
     spread = rows.sparkSession.sparkContext.broadcast(common)  # bounded by the sample
     out = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("anchor", pa.int64()), ("seg", pa.int64()),
@@ -124,13 +197,13 @@ def _meet(rows: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
 
     def in_order(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entries by (seg, anchor), their anchors, and where each segment begins."""
-        e = e[np.argsort(e["seg"], kind="stable")]
+        e = e.take(np.argsort(e["seg"]))
         anchor = anchor_of(e)
         new = np.concatenate((np.ones(min(len(e), 1), bool), e["seg"][1:] != e["seg"][:-1]))
         mixed = np.flatnonzero(~new)
         if len(mixed) and (anchor[mixed] != anchor[mixed - 1]).any():  # hashes of unlike segments agree
             order = np.lexsort((anchor, e["seg"]))
-            e, anchor = e[order], anchor[order]
+            e, anchor = e.take(order), anchor[order]
         new[1:] = (e["seg"][1:] != e["seg"][:-1]) | (anchor[1:] != anchor[:-1])
         return e, anchor, new
 
@@ -140,29 +213,39 @@ def _meet(rows: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
+        parts, held = [], 0
         for batch in batches:
-            parts, held = [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for anchor, seg, at in anchors(text.as_py()):
-                    e = np.empty(len(at), entry)
-                    e["low"], e["high"] = anchor & np.uint64(0xFFFFFFFF), anchor >> np.uint64(32)
-                    e["seg"], e["doc"], e["at"] = seg, doc, at
-                    parts.append(e)
-                    held += len(e)
+            docs = batch.column(0).to_numpy()
+            for text, anchor, seg, cores, at in anchors(t.as_py() for t in batch.column(1)):
+                e = np.empty(len(at), entry)
+                e["low"], e["high"] = anchor & np.uint64(0xFFFFFFFF), anchor >> np.uint64(32)
+                e["seg"], e["doc"], e["at"], e["cores"] = seg, docs[text], at, cores
+                parts.append(e)
+                held += len(e)
                 if held >= SEND_ENTRIES:
                     yield pa.RecordBatch.from_arrays(by_bucket(np.concatenate(parts)), schema=schema)
                     parts, held = [], 0
-            if parts:
-                yield pa.RecordBatch.from_arrays(by_bucket(np.concatenate(parts)), schema=schema)
+        if parts:
+            yield pa.RecordBatch.from_arrays(by_bucket(np.concatenate(parts)), schema=schema)
 
     def by_bucket(e: np.ndarray) -> list[pa.Array]:
-        known, where = spread.value, anchor_of(e)
-        if len(known):
-            hot = known[np.minimum(np.searchsorted(known, where), len(known) - 1)] == where
-            where[hot] ^= mix(e["seg"][hot])
+        (known, common_cores), where = spread.value, anchor_of(e)
+        hot = _among(where, known)
+        if hot.any():
+            of, anchor, e, where = e[hot], where[hot], e.take(np.flatnonzero(~hot)), where[~hot]
+            part, key = core_keys(anchor, of["cores"])
+            often = _among(key, common_cores) & (part != 0)
+            always = often.any(axis=0)
+            counted = (part != 0) & ~often
+            lots = [of.copy(), *(of[k] for k in counted)]
+            lots[0]["cores"] = np.where(always, ALWAYS, np.uint64(0))
+            for lot, p, k in zip(lots[1:], part, counted):
+                lot["cores"] = p[k]
+            e = np.concatenate((e, *lots))
+            where = np.concatenate((where, anchor ^ mix(of["seg"]), *(x[k] for x, k in zip(key, counted))))
         bucket = (mix(where) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        e, bucket = e[order], bucket[order]
+        order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")  # by radix where it fits
+        e, bucket = e.take(order), bucket[order]
         cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
         return [pa.array(bucket[cuts[:-1]]), pa.array([e[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())]
 
@@ -179,17 +262,26 @@ def _meet(rows: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
             yield decide(np.concatenate(held))
 
     def decide(e: np.ndarray) -> pa.RecordBatch:
-        known = spread.value
         e, anchor, new = in_order(e)
         starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(e)))
         low = np.minimum.reduceat(e["doc"], starts)
-        whole = e["doc"] > np.repeat(low, np.diff(np.append(starts, len(e))))
-        # Anchors with one segment only: nothing but its copies can match.
-        heads = np.sort(anchor[starts])
-        last, first = np.append(heads[1:] != heads[:-1], True), np.insert(heads[1:] != heads[:-1], 0, True)
-        alone = _among(anchor, heads[first & last]) & ~_among(anchor, known)
-        keep = whole | ~alone
-        return rows_of(e[keep], anchor[keep], whole[keep])
+        cores = np.bitwise_or.reduceat(e["cores"], starts)
+        asked = cores >= ALWAYS
+        for part, key in zip(*core_keys(anchor[starts], cores)):
+            own = np.flatnonzero(part)
+            own = own[np.argsort(key[own])]
+            key, doc = key[own], low[own]
+            # Cores in segments of one smallest document only take nothing from anyone.
+            first = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+            if len(first):
+                apart = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+                asked[own[np.repeat(apart, np.diff(np.append(first, len(own))))]] = True
+        whole = e["doc"] > np.repeat(low, sizes)
+        # An entry that only counts a core leaves the copies to the one that went by its segment.
+        counts = _among(anchor, spread.value[0]) & ((e["cores"] & ~ALWAYS) != 0)
+        keep = np.flatnonzero(np.where(whole, ~counts, np.repeat(asked, sizes)))
+        return rows_of(e.take(keep), anchor[keep], whole[keep])
 
     dealt = rows.mapInArrow(deal, "bucket int, entries binary")
     return (dealt.repartition("bucket").sortWithinPartitions("bucket")
@@ -205,13 +297,10 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 def _is_at(data: bytes, at: np.ndarray, seg: np.ndarray) -> np.ndarray:
     """Which of the segments stand at their places in this text: a doc_id may
     stand in several rows."""
-    words = words_at(np.frombuffer(data, np.uint8))
-    n = max(len(data) - GRAM + 1, 0)
-    grams = mix(words[:n] * np.uint64(0x9E3779B97F4A7C15) ^ mix(words[GRAM - WORD:GRAM - WORD + n]))
     begin, end = bounds(at, len(data))
     inside = np.flatnonzero(end - begin >= SPAN)
     out = np.zeros(len(at), bool)
-    out[inside] = segment_hash(grams, at[inside], 0, len(data)) == seg[inside]
+    out[inside] = segment_hash(_grams(data), at[inside], begin[inside], end[inside]) == seg[inside]
     return out
 
 
@@ -223,17 +312,30 @@ def _segments(rows: DataFrame, asked: DataFrame, several: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            cols, held, size = ([], [], [], []), [], 0
             for doc, text, of in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                data, of = text.as_py(), of.values
-                at = of.field("at").to_numpy()
-                begin, end = bounds(at, len(data))
-                pieces = [data[a:b] for a, b in zip(begin.tolist(), end.tolist())]
-                found = pa.RecordBatch.from_arrays(
-                    [of.field("anchor"), of.field("seg"), pa.array(np.full(len(at), doc)), of.field("at"),
-                     pa.array(pieces, pa.binary())], schema=schema)
+                data = text.as_py()
+                at, anchor, seg = (of.values.field(c).to_numpy() for c in ("at", "anchor", "seg"))
+                order = np.lexsort((seg, at))
+                at, anchor, seg = at[order], anchor[order], seg[order]
+                once = np.append(True, (at[1:] != at[:-1]) | (seg[1:] != seg[:-1]))  # else asked for by several cores
                 if several:
-                    found = found.filter(pa.array(_is_at(data, at, of.field("seg").to_numpy().view(np.uint64))))
-                yield found
+                    once &= _is_at(data, at, seg.view(np.uint64))
+                if not once.all():
+                    at, anchor, seg = at[once], anchor[once], seg[once]
+                begin, end = bounds(at, len(data))
+                held += [data[a:b] for a, b in zip(begin.tolist(), end.tolist())]
+                for col, values in zip(cols, (anchor, seg, np.full(len(at), doc), at)):
+                    col.append(values)
+                size += len(at)
+                if size >= SEND_SEGMENTS:
+                    yield packed(cols, held)
+                    cols, held, size = ([], [], [], []), [], 0
+            if held:
+                yield packed(cols, held)
+
+    def packed(cols: tuple[list, ...], held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in cols), pa.array(held, pa.binary())], schema=schema)
 
     return rows.join(wanted, "doc_id").select("doc_id", "text", "of").mapInArrow(
         run, "anchor long, seg long, doc_id long, at long, bytes binary")
@@ -245,15 +347,17 @@ _SHARD = pa.schema([*_ANSWER, ("anchor", pa.int64()), ("piece", pa.int32()), ("r
 _RUN = np.dtype([("window", f"S{SPAN}"), ("doc", "<i8"), ("at", "<i8"), ("seg", "<i8"), ("j", "<i4")])
 
 
-def search_shard(table: pa.Table, pieces: int) -> pa.Table:
+def search_shard(table: pa.Table) -> pa.Table:
     """One shard: for each segment, the windows that start in a smaller document
-    too, as bits; for anchors spread over shards, also the sorted windows."""
-    docs, wide = table.column("doc_id").to_numpy(), table.column("wide").to_numpy(zero_copy_only=False)
+    too, as bits; for anchors spread over shards (``parts`` of them, else 0), also
+    the sorted windows."""
+    docs, parts = table.column("doc_id").to_numpy(), table.column("parts").to_numpy()
+    wide = parts > 0
     blobs = table.column("bytes").to_pylist()
     if not wide.any():  # a segment that stands in a document several times is searched once
         name = table.column("seg").to_numpy().view(np.uint64) ^ mix(table.column("anchor").to_numpy().view(np.uint64))
         _, first, places = np.unique(name, return_index=True, return_inverse=True)
-        docs, wide, blobs = docs[first], wide[first], [blobs[k] for k in first]
+        docs, wide, parts, blobs = docs[first], wide[first], parts[first], [blobs[k] for k in first]
     else:
         places = np.arange(len(blobs))
     sizes = np.array([len(b) for b in blobs], np.int64)
@@ -278,8 +382,8 @@ def search_shard(table: pa.Table, pieces: int) -> pa.Table:
     found = np.flatnonzero(bits_at)
     take = lambda name, k: table.column(name).take(pa.array(k)).combine_chunks()
     none = lambda kind, k: pa.nulls(k, kind)
-    parts = [[take("doc_id", found), take("at", found), take("seg", found), pa.array(bits_at[found]),
-              none(pa.int64(), len(found)), none(pa.int32(), len(found)), none(pa.binary(), len(found))]]
+    results = [[take("doc_id", found), take("at", found), take("seg", found), pa.array(bits_at[found]),
+                none(pa.int64(), len(found)), none(pa.int32(), len(found)), none(pa.binary(), len(found))]]
     least = np.flatnonzero(wide[owner] & ~gone)
     if len(least):
         run = np.empty(len(least), _RUN)
@@ -288,14 +392,16 @@ def search_shard(table: pa.Table, pieces: int) -> pa.Table:
         run["doc"], run["at"], run["seg"] = docs[own], table.column("at").to_numpy()[own], table.column("seg").to_numpy()[own]
         run["j"] = offset[least]
         anchor = table.column("anchor").to_numpy()[own]
-        place = (RangeHash(data.tobytes()).of(order[least], order[least] + SPAN) % np.uint64(pieces)).astype(np.int32)
+        # As many pieces as the anchor's own windows fill: pieces times shards are rows.
+        pieces = (-(-parts[own] * SHARD_SEGMENTS * (REACH + 1) // MERGE_WINDOWS)).astype(np.uint64)
+        place = (RangeHash(data.tobytes()).of(order[least], order[least] + SPAN) % pieces).astype(np.int32)
         split = np.lexsort((np.arange(len(least)), place, anchor))  # windows stay sorted in each part
         cuts = np.flatnonzero(np.concatenate(([True], (np.diff(anchor[split]) != 0) | (np.diff(place[split]) != 0), [True])))
         heads = split[cuts[:-1]]
         k = len(heads)
-        parts.append([none(pa.int64(), k)] * 4 + [pa.array(anchor[heads]), pa.array(place[heads]),
-                                                  pa.array([run[split[a:b]].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())])
-    return pa.Table.from_batches([pa.RecordBatch.from_arrays(p, schema=_SHARD) for p in parts])
+        results.append([none(pa.int64(), k)] * 4 + [pa.array(anchor[heads]), pa.array(place[heads]),
+                                                    pa.array([run[split[a:b]].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())])
+    return pa.Table.from_batches([pa.RecordBatch.from_arrays(r, schema=_SHARD) for r in results])
 
 
 def merge_runs(runs: list[np.ndarray]) -> list[np.ndarray]:
@@ -331,14 +437,12 @@ def _search(segments: DataFrame) -> DataFrame:
                   .select("anchor", F.ceil(F.col("count") / SHARD_SEGMENTS).cast("long").alias("parts")), "repeats-wide")
     total = segments.count()
     shards = max(1, -(-total // SHARD_SEGMENTS))
-    n_wide = (wide.agg(F.sum("parts")).first()[0] or 0) * SHARD_SEGMENTS
-    pieces = max(1, -(-n_wide * (REACH + 1) // MERGE_WINDOWS))
     salted = F.xxhash64("anchor", F.pmod("seg", "parts"))
     keyed = segments.join(wide, "anchor", "left").select(
-        "anchor", "seg", "doc_id", "at", "bytes", F.col("parts").isNotNull().alias("wide"),
+        "anchor", "seg", "doc_id", "at", "bytes", F.coalesce("parts", F.lit(0)).alias("parts"), F.col("parts").isNotNull().alias("wide"),
         F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(salted).alias("shard"))
     fields = [f"{f.name} {'binary' if f.type == pa.binary() else 'int' if f.type == pa.int32() else 'long'}" for f in _SHARD]
-    found = stored(keyed.groupBy("shard", "wide").applyInArrow(lambda t: search_shard(t, pieces), ", ".join(fields)),
+    found = stored(keyed.groupBy("shard", "wide").applyInArrow(search_shard, ", ".join(fields)),
                    "repeats-shards")
     merged = found.where("run is not null").groupBy("anchor", "piece").applyInArrow(_merge_group, ANSWER)
     return found.where("run is null").select("doc_id", "at", "seg", "windows").unionByName(merged)
@@ -398,8 +502,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         once = rows.join(twice, "doc_id", "left_anti").unionByName(
             rows.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
     common = _common_anchors(rows, n)
-    met = stored(_meet(once, common, max(8, -(-size // BUCKET_BYTES))), "repeats-met")
+    met = stored(_meet(once, common, max(8, -(-size // BUCKET_BYTES))), "repeats-met", BATCH_BYTES)
     asked = met.where("not whole").select("doc_id", "at", "anchor", "seg")
-    segments = stored(_segments(once, asked, several), "repeats-segments")
+    segments = stored(_segments(once, asked, several), "repeats-segments", BATCH_BYTES)
     whole = met.where("whole").select("doc_id", "at", "seg", F.lit(FULL).alias("windows"))
     return _finish(rows, whole.unionByName(_search(segments)), several)

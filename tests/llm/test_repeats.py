@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskscope.llm import repeats
@@ -103,5 +104,79 @@ def test_chunks_common_anchors_and_merged_shards(make_docs, monkeypatch):
     check(make_docs, pairs)
 
 
+def noise(rng, n):
+    return "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+
+
+def asked(make_docs, pairs):
+    rows = repeats._rows(make_docs(pairs))
+    return sorted(r.doc_id for r in repeats._meet(rows, repeats._common_anchors(rows, len(pairs)), 8).where("not whole").collect())
+
+
+def test_only_segments_with_a_common_core_are_asked_for(make_docs):
+    rng = random.Random(21)
+    line = noise(rng, 30)
+    pairs = [(k, noise(rng, 60) + line + noise(rng, 60)) for k in range(15)]
+    # An anchor in common, no 39 bytes: nothing to search; the same for a common anchor.
+    assert asked(make_docs, pairs) == []
+    assert asked(make_docs, pairs + [(k, noise(rng, 60) + line + noise(rng, 60)) for k in range(100, 140)]) == []
+    # Repeats within one document take nothing.
+    both = line + noise(rng, 20)
+    assert asked(make_docs, pairs + [(50, noise(rng, 60) + both + noise(rng, 60) + both + noise(rng, 60))]) == []
+    text = noise(rng, 60) + both + noise(rng, 60)
+    assert set(asked(make_docs, pairs + [(50, text), (51, noise(rng, 60) + both + noise(rng, 60))])) == {50, 51}
+
+
+def test_single_windows_wherever_their_anchor_stands(make_docs):
+    rng = random.Random(22)
+    pairs, places = [], set()
+    for k in range(400):
+        window = noise(rng, 50)
+        pairs += [(k, noise(rng, rng.choice([0, 5, 20, 60])) + window + noise(rng, rng.choice([0, 5, 20, 60]))),
+                  (1000 + k, noise(rng, 30) + window + noise(rng, 30))]
+        places |= set(np.concatenate([a[-1] for a in repeats.anchors([window.encode()])]).tolist())
+    assert places == set(range(repeats.REACH + 1))
+    check(make_docs, pairs)
+
+
+def test_common_anchor_with_rare_and_common_cores(make_docs):
+    rng = random.Random(23)
+    line, before, after = noise(rng, 26), noise(rng, 24), noise(rng, 24)
+    pairs = []
+    for k in range(120):
+        if k % 3 == 0:  # as rare as a pair each
+            side = noise(rng, 24)
+            pairs += [(k, noise(rng, 60) + line + side + noise(rng, 60)), (500 + k, noise(rng, 60) + line + side + noise(rng, 60)),
+                      (600 + k, noise(rng, 60) + side + line + noise(rng, 60)), (700 + k, noise(rng, 60) + side + line + noise(rng, 60)),
+                      (800 + k, noise(rng, 60) + side + line + after + noise(rng, 60))]  # one core common, one rare
+        pairs.append((200 + k, noise(rng, 60) + (before if k % 2 else "") + line + (after if k % 4 else "") + noise(rng, 60)))
+    rows = repeats._rows(make_docs(pairs))
+    known, cores = repeats._common_anchors(rows, len(pairs))
+    assert len(known) and len(cores)
+    check(make_docs, pairs)
+    check(make_docs, pairs + [(None, pairs[0][1]), (None, pairs[3][1] + "x"), *pairs[:9]])
+
+
+def test_texts_side_by_side_have_the_anchors_of_single_ones(monkeypatch):
+    rng = random.Random(24)
+    odd = [b"", b"x" * 49, b"y" * 50, bytes(60), bytes(16), b"z" * 60 + bytes(10), bytes(6) + b"z" * 60]
+    many = odd + [t.encode() for t in texts(rng, 60)] + odd
+    found = lambda lots: sorted({row for lot in lots for row in zip(*(x.tolist() for x in lot))})
+    single = sorted({(k, *row[1:]) for k, t in enumerate(many) for row in found(repeats.anchors([t]))})
+    assert found(repeats.anchors(many)) == single
+    monkeypatch.setattr(repeats, "CHUNK", 64)
+    assert found(repeats.anchors(many)) == single
+
+
+def test_an_anchor_is_merged_in_as_many_pieces_as_its_own_windows_fill(monkeypatch):
+    monkeypatch.setattr(repeats, "MERGE_WINDOWS", 4 * (repeats.REACH + 1) * repeats.SHARD_SEGMENTS)
+    rng = random.Random(25)
+    n = 40
+    table = pa.table({"anchor": pa.array([1] * n), "seg": pa.array(range(n)), "doc_id": pa.array(range(n)), "at": pa.array([34] * n),
+                      "bytes": pa.array([noise(rng, 84).encode() for _ in range(n)]), "parts": pa.array([8] * n)})
+    runs = repeats.search_shard(table)
+    assert set(runs.column("piece").to_pylist()) == {0, 1}
+
+
 def test_real_texts(spark, make_docs, small_sf):
     check(make_docs, [(r.doc_id, r.text) for r in spark.read.parquet(f"{small_sf}/documents.parquet").collect()])
